@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -44,6 +45,12 @@ def per_worker(key: str, make: Callable):
     return store[key]
 
 
+def send(spark: SparkSession, value) -> Callable:
+    """A broadcast that carries its classes along; the result gives the value inside a task."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(sent.value)
+
+
 def add_columns(df: DataFrame, text: str, added: str, start: Callable[[], Callable[[list[bytes]], Iterable]]) -> DataFrame:
     """df with columns computed from its text, batch by batch; narrow, so no shuffle.
 
