@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import op7_line_dedup
+from fieldlab.llm import op1_decontamination, op7_line_dedup, op8_toxicity
 
-QUERIES = {"op7_line_dedup": op7_line_dedup.query}
+QUERIES = {"op1_decontamination": op1_decontamination.query, "op7_line_dedup": op7_line_dedup.query, "op8_toxicity": op8_toxicity.query}
 ORACLES = {"op7_line_dedup": op7_line_dedup.ORACLE}
