@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import op1_decontamination, op7_line_dedup, op8_toxicity
+from fieldlab.llm import op1_decontamination, op3_license, op4_html, op5_packing, op7_line_dedup, op8_toxicity
 
-QUERIES = {"op1_decontamination": op1_decontamination.query, "op7_line_dedup": op7_line_dedup.query, "op8_toxicity": op8_toxicity.query}
-ORACLES = {"op7_line_dedup": op7_line_dedup.ORACLE}
+OPERATORS = {
+    "op1_decontamination": op1_decontamination,
+    "op3_license": op3_license,
+    "op4_html": op4_html,
+    "op5_packing": op5_packing,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity": op8_toxicity,
+}
+QUERIES = {name: module.query for name, module in OPERATORS.items()}
+ORACLES = {name: module.ORACLE for name, module in OPERATORS.items() if hasattr(module, "ORACLE")}
