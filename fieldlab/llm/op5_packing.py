@@ -47,10 +47,6 @@ class Encoder:
         self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
 
     def learn(self, runs: set[bytes]) -> None:
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        if len(self.parts) > KNOWN:
-            self.parts.clear()
         split = {}
         for run in runs:
             text = run.decode()
@@ -64,6 +60,9 @@ class Encoder:
             self.known[run] = b"".join([self.parts[p] for p in x])
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
+        for memory in (self.known, self.parts):
+            if len(memory) > KNOWN:
+                memory.clear()
         runs = [raw.split() for raw in raws]
         self.learn(set(chain.from_iterable(runs)) - self.known.keys())
         return [b"".join(map(self.known.__getitem__, x)) for x in runs]
