@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import op1_decontamination, op3_license, op4_html, op5_packing, op7_line_dedup, op8_toxicity
+from fieldlab.llm import op1_decontamination, op3_license, op4_html, op5_packing, op6_jaccard, op7_line_dedup, op8_toxicity
 
 OPERATORS = {
     "op1_decontamination": op1_decontamination,
     "op3_license": op3_license,
     "op4_html": op4_html,
     "op5_packing": op5_packing,
+    "op6_jaccard": op6_jaccard,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
 }
