@@ -199,8 +199,8 @@ class Sets:
         """(node, tokens): tokens are the sorted 64-bit hashes. A filter of fixed size goes to the scan first."""
         needed = cut(nodes.distinct().join(self.first, "node"))
         spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-        bits = needed.select(spot.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
-        whole = np.zeros(FILTER // 8 + 4096, np.uint8)
+        bits = needed.select((spot + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
+        whole = np.zeros(FILTER // 8, np.uint8)
         for r in bits:
             own = np.frombuffer(bytes(r.bits), np.uint8)
             whole[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(own)] |= own
