@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import op1_decontamination, op3_license, op4_html, op5_packing, op6_jaccard, op7_line_dedup, op8_toxicity
+from fieldlab.llm import op1_decontamination, op9_order_minhash, op10_warc, op3_license, op4_html, op5_packing, op6_jaccard, op7_line_dedup, op8_toxicity
 
 OPERATORS = {
     "op1_decontamination": op1_decontamination,
@@ -12,6 +12,8 @@ OPERATORS = {
     "op6_jaccard": op6_jaccard,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_order_minhash": op9_order_minhash,
+    "op10_warc": op10_warc,
 }
 QUERIES = {name: module.query for name, module in OPERATORS.items()}
 ORACLES = {name: module.ORACLE for name, module in OPERATORS.items() if hasattr(module, "ORACLE")}
