@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import op1_decontamination, op9_order_minhash, op10_warc, op3_license, op4_html, op5_packing, op6_jaccard, op7_line_dedup, op8_toxicity
+from fieldlab.llm import op1_decontamination, op9_order_minhash, op10_warc, op2_pii, op3_license, op4_html, op5_packing, op6_jaccard, op7_line_dedup, op8_toxicity
 
 OPERATORS = {
     "op1_decontamination": op1_decontamination,
+    "op2_pii": op2_pii,
     "op3_license": op3_license,
     "op4_html": op4_html,
     "op5_packing": op5_packing,
