@@ -1,12 +1,65 @@
-"""A corpus pipeline of five stages, each a whole-corpus decision of one operator."""
+"""A corpus pipeline of five stages, each a whole-corpus decision of one operator.
+
+toxicity: documents with a score of 0.5 or more go. line dedup: lines found in at least 10 documents go
+from the others' texts. near duplicates: of each group of documents whose sets of five-word shingles are
+linked by a Jaccard similarity of at least 0.8, the one with the smallest doc_id stays (documents without
+words are in no group). decontamination: documents that the benchmark contaminates go. packing: what is
+left becomes token sequences. n_chars always tells the length of the text as it is.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldlab.llm import op1_decontamination, op5_packing, op6_jaccard, op7_line_dedup, op8_toxicity
+from fieldlab.llm.common import checkpoint_dir, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lexicon = op8_toxicity.learn(docs, table(spark, sf_dir, "labels").where(~op8_toxicity.held_out()))
+    return op8_toxicity.score_toxicity(docs, lexicon).where("score < 0.5").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = op7_line_dedup.dedup_lines(docs, op7_line_dedup.file_batches(docs))
+    return kept.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = op6_jaccard.jaccard_components(docs, shingle=5, percent=80)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op1_decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op5_packing.pack(docs, op5_packing.tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: Learned weights, components and best fit are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages over documents; what one returns is written to the shared folder and read by the next."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
