@@ -1,0 +1,100 @@
+"""Neighbourhood operators along an axis, as window expressions over (keys, order)."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def axis(keys: list[str], order: str):
+    return Window.partitionBy(*keys).orderBy(order)
+
+
+def shifted(x: str, keys: list[str], order: str, by: int = 1) -> Column:
+    return F.lag(x, by).over(axis(keys, order))
+
+
+def moving_average(df: DataFrame, keys: list[str], order: str, value: str, width: int = 5) -> DataFrame:
+    """Centred mean of full windows without a missing value; days are numbered anew from 1."""
+    half = width // 2
+    w = axis(keys, order).rowsBetween(-half, half)
+    rows = df.withColumn("_n", F.count(value).over(w)).withColumn("_mean", F.avg(value).over(w)).withColumn("_at", F.row_number().over(axis(keys, order)))
+    full = (F.col("_at") > half) & (F.col("_at") <= F.count(F.lit(1)).over(Window.partitionBy(*keys)) - half)
+    rows = rows.withColumn("_full", full).where("_full")
+    return rows.withColumn(value, F.when(F.col("_n") == width, F.col("_mean"))).withColumn("day", (F.col("_at") - half).cast("int")).drop("_n", "_mean", "_at", "_full")
+
+
+def index_gradient(x: str | Column, keys: list[str], order: str) -> Column:
+    """Centred difference by 2 inside, one-sided at the ends; edges are told by place, not by missing values."""
+    x, w = F.col(x) if isinstance(x, str) else x, axis(keys, order)
+    here, before, after = F.row_number().over(w), F.lag(x).over(w), F.lead(x).over(w)
+    last = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return F.when(last < 2, None).when(here == 1, after - x).when(here == last, x - before).otherwise((after - before) / 2)
+
+
+def derivative(x: str | Column, along: str | Column, keys: list[str], order: str) -> Column:
+    """Ratio of two index gradients."""
+    return F.try_divide(index_gradient(x, keys, order), index_gradient(along, keys, order))
+
+
+def coordinate_gradient(x: str | Column, along: str | Column, keys: list[str], order: str) -> Column:
+    """Second-order derivative on an uneven axis, one-sided at the ends."""
+    x, c = (F.col(a) if isinstance(a, str) else a for a in (x, along))
+    w = axis(keys, order)
+    here, last = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    xb, xa, hs, hd = F.lag(x).over(w), F.lead(x).over(w), c - F.lag(c).over(w), F.lead(c).over(w) - c
+    inside = F.try_divide(hs * hs * xa + (hd * hd - hs * hs) * x - hd * hd * xb, hs * hd * (hs + hd))
+    return F.when(last < 2, None).when(here == 1, F.try_divide(xa - x, hd)).when(here == last, F.try_divide(x - xb, hs)).otherwise(inside)
+
+
+def tendency(x: str, keys: list[str], time: str) -> Column:
+    """Change per time step: forward, centred, backward."""
+    return index_gradient(x, keys, time)
+
+
+def centred_difference(x: str, keys: list[str], order: str) -> Column:
+    """Next minus previous value; NULL at the ends."""
+    w = axis(keys, order)
+    return F.lead(x).over(w) - F.lag(x).over(w)
+
+
+def detrended(df: DataFrame, keys: list[str], x: str, y: str, to: str = "residual") -> DataFrame:
+    """y minus its least-squares line over x."""
+    fit = df.groupBy(*keys).agg(F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"))
+    rows = df.join(fit, keys) if keys else df.crossJoin(F.broadcast(fit))
+    return rows.withColumn(to, F.col(y) - (F.col("_a") + F.col("_b") * F.col(x))).drop("_a", "_b")
+
+
+def standardised(df: DataFrame, keys: list[str], x: str, to: str = "z") -> DataFrame:
+    """z-scores with the population standard deviation."""
+    stats = df.groupBy(*keys).agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
+    rows = df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))
+    return rows.withColumn(to, F.try_divide(F.col(x) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
+
+
+def gaussian_kernel(sigma: float, truncate: float = 4.0) -> np.ndarray:
+    reach = int(truncate * sigma + 0.5)
+    k = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    return k / k.sum()
+
+
+def smoothed(field: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Separable Gaussian with mirrored edges."""
+    k = gaussian_kernel(sigma)
+    reach = len(k) // 2
+    for a in (0, 1):
+        padded = np.pad(field, [(reach, reach) if d == a else (0, 0) for d in (0, 1)], mode="symmetric")
+        field = np.apply_along_axis(np.convolve, a, padded, k, mode="valid")
+    return field
+
+
+def gaussian_filter(slabs: DataFrame, sigma: float = 1.0) -> DataFrame:
+    """Smoothed slabs; each is one row, so fields are filtered in parallel."""
+
+    def run(frames):
+        for frame in frames:
+            frame["data"] = [smoothed(np.array(d, float).reshape(len(y), len(x)), sigma).ravel() for y, x, d in zip(frame["lat"], frame["lon"], frame["data"], strict=True)]
+            yield frame
+
+    return slabs.mapInPandas(run, slabs.schema)
