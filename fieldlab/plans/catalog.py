@@ -1,0 +1,753 @@
+"""All queries by name, each with its SQL where SQL can say it."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fieldlab.functions import scalar, stats
+from fieldlab.model import from_slab, to_series, to_slab
+from fieldlab.operators import calculus, climate, elliptic, forcing, joins, modes, reduce, regrid, select, spatial, spectral, window
+from fieldlab.plans.proxies import CUBE, DAILY, GRID, MONTHLY, SALES, YEARLY, daily_series, level_cube, monthly_cube, price_grid, sales_cube, samples, table, yearly_cube
+from fieldlab.streaming import windows
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+BASE = (1996, 2000)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = steady_sql(sql)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({n: steady(F.col(n), digits) for n in names})
+
+
+def texted(df: DataFrame, *names: str) -> DataFrame:
+    """Dates as text, which both engines write alike."""
+    return df.withColumns({n: F.col(n).cast("string") for n in names})
+
+
+def nudge(digits: int) -> float:
+    """Added before rounding, so that no value of few decimals is halfway between two."""
+    return 0.013 * 10.0**-digits
+
+
+def steady(x, digits: int):
+    return F.round((F.col(x) if isinstance(x, str) else x) + nudge(digits), digits)
+
+
+def steady_sql(sql: str) -> str:
+    """SQL whose round(x, n) add the same; round(x) stays."""
+    at = 0
+    while (at := sql.find("round(", at)) >= 0:
+        depth, cut, i = 0, None, at + 5
+        while True:
+            c = sql[i]
+            depth += (c in "([") - (c in ")]")
+            if c == "," and depth == 1:
+                cut = i
+            if depth == 0:
+                break
+            i += 1
+        if cut is not None and sql[cut + 1 : i].strip().isdigit():
+            body = f"{sql[at + 6 : cut]} + {nudge(int(sql[cut + 1 : i]))!r}::DOUBLE"
+            sql = sql[: at + 6] + body + sql[cut:]
+        at += 6
+    return sql
+
+
+def w3(x: str, part: str, order: str) -> str:
+    """SQL of the index gradient."""
+    w, p = f"(PARTITION BY {part} ORDER BY {order})", f"(PARTITION BY {part})"
+    return f"(CASE WHEN count(*) OVER {p} < 2 THEN NULL WHEN row_number() OVER {w} = 1 THEN lead({x}) OVER {w} - {x} WHEN row_number() OVER {w} = count(*) OVER {p} THEN {x} - lag({x}) OVER {w} ELSE (lead({x}) OVER {w} - lag({x}) OVER {w}) / 2 END)"
+
+
+def w4(x: str, c: str, part: str, order: str) -> str:
+    """SQL of the coordinate gradient."""
+    w, p = f"(PARTITION BY {part} ORDER BY {order})", f"(PARTITION BY {part})"
+    hs, hd, xa, xb = f"({c} - lag({c}) OVER {w})", f"(lead({c}) OVER {w} - {c})", f"lead({x}) OVER {w}", f"lag({x}) OVER {w}"
+    inside = f"({hs}*{hs}*{xa} + ({hd}*{hd} - {hs}*{hs})*{x} - {hd}*{hd}*{xb}) / nullif({hs}*{hd}*({hs}+{hd}), 0)"
+    return f"(CASE WHEN count(*) OVER {p} < 2 THEN NULL WHEN row_number() OVER {w} = 1 THEN ({xa} - {x}) / nullif({hd}, 0) WHEN row_number() OVER {w} = count(*) OVER {p} THEN ({x} - {xb}) / nullif({hs}, 0) ELSE {inside} END)"
+
+
+RE = repr(scalar.EARTH_RADIUS)
+DX = f"({RE} * cos(radians(lat)) * radians({w3('lon', 'lat', 'lon')}))"
+DY = f"({RE} * radians({w3('lat', 'lon', 'lat')}))"
+
+
+# --- indices -----------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SALES}, d AS (SELECT time, avg(x) AS x FROM sales WHERE month(time) IN (6, 7, 8) GROUP BY 1),
+y AS (SELECT CAST(year(time) AS INT) AS year, avg(x) AS raw FROM d GROUP BY 1),
+a AS (SELECT *, raw - (SELECT avg(raw) FROM y WHERE year BETWEEN 1996 AND 2000) AS anomaly FROM y),
+r AS (SELECT *, anomaly - (SELECT regr_intercept(anomaly, year) FROM a) - (SELECT regr_slope(anomaly, year) FROM a) * year AS residual FROM a),
+s AS (SELECT *, (SELECT stddev_pop(residual) FROM r WHERE year BETWEEN 1996 AND 2000) AS sigma FROM r)
+SELECT year, round(raw, 4) AS raw, round(anomaly, 4) AS anomaly, round(residual, 4) AS residual, round(sigma, 4) AS sigma,
+CAST(CASE WHEN residual / sigma > 0.5 THEN 1 WHEN residual / sigma < -0.5 THEN -1 ELSE 0 END AS INT) AS class FROM s""")
+def jja_anomaly_index(spark, d):
+    out = climate.anomaly_index(sales_cube(spark, d), "time", "x", [6, 7, 8], BASE)
+    out = out.withColumn("class", scalar.three_way(F.col("z")))
+    return rounded(out, 4, "raw", "anomaly", "residual", "sigma").select("year", "raw", "anomaly", "residual", "sigma", "class")
+
+
+@query(f"WITH {YEARLY} SELECT lat, lon, round(avg(x), 4) AS x_clim FROM yearly WHERE year BETWEEN 1996 AND 2000 GROUP BY 1, 2")
+def base_climatology(spark, d):
+    return rounded(reduce.climatology(yearly_cube(spark, d), *BASE, ["lat", "lon"], ["x"]), 4, "x_clim")
+
+
+@query(f"WITH {YEARLY} SELECT lat, lon, round(stddev_pop(x), 4) AS x_std FROM yearly WHERE year BETWEEN 1996 AND 2000 GROUP BY 1, 2")
+def base_spread(spark, d):
+    return rounded(reduce.spread(yearly_cube(spark, d), *BASE, ["lat", "lon"], ["x"]), 4, "x_std")
+
+
+@query(f"""WITH {YEARLY}, fit AS (SELECT lat, lon, regr_slope(x, year) AS b, regr_intercept(x, year) AS a FROM yearly GROUP BY 1, 2)
+SELECT year, lat, lon, round(x - (a + b * year), 3) AS residual FROM yearly JOIN fit USING (lat, lon)""")
+def detrended_anomaly(spark, d):
+    return rounded(window.detrended(yearly_cube(spark, d), ["lat", "lon"], "year", "x"), 3, "residual").select("year", "lat", "lon", "residual")
+
+
+@query(f"""WITH {YEARLY}, m AS (SELECT year, avg(x) AS x FROM yearly GROUP BY 1)
+SELECT year, round((x - (SELECT avg(x) FROM m)) / (SELECT stddev_pop(x) FROM m), 6) AS z FROM m""")
+def zscore_index(spark, d):
+    return rounded(window.standardised(reduce.area_mean(yearly_cube(spark, d), ["year"], ["x"]), [], "x"), 6, "z").select("year", "z")
+
+
+WINTER = f"""{MONTHLY}, m AS (SELECT time, avg(x) AS x FROM monthly GROUP BY 1),
+winter AS (SELECT CAST(year(time) + CASE WHEN month(time) = 12 THEN 1 ELSE 0 END AS INT) AS year, sum(x) / 3 AS idx FROM m WHERE month(time) IN (12, 1, 2) GROUP BY 1 HAVING count(x) = 3)"""
+
+
+def winters(spark, d) -> DataFrame:
+    return climate.winter_index(reduce.area_mean(monthly_cube(spark, d), ["time"], ["x"]), "time", "x")
+
+
+@query(f"WITH {WINTER} SELECT year, round(idx, 4) AS index FROM winter")
+def djf_style_season(spark, d):
+    return rounded(winters(spark, d), 4, "index")
+
+
+@query(f"""WITH {WINTER}, z AS (SELECT year, (idx - (SELECT avg(idx) FROM winter)) / (SELECT stddev_pop(idx) FROM winter) AS z FROM winter)
+SELECT year, CAST(CASE WHEN z > 0.5 THEN 1 WHEN z < -0.5 THEN -1 ELSE 0 END AS INT) AS class, CASE WHEN z > 0 THEN 'red' ELSE 'blue' END AS colour FROM z""")
+def enso_class(spark, d):
+    z = window.standardised(winters(spark, d), [], "index")
+    return z.select("year", climate.winter_class(F.col("z")).alias("class"), scalar.sign_label(F.col("z")).alias("colour"))
+
+
+@query(f"WITH {WINTER} SELECT round(CASE WHEN max(idx) = min(idx) THEN 0.05 ELSE 0.03 * (max(idx) - min(idx)) END, 5) AS \"offset\" FROM winter")
+def plot_offset(spark, d):
+    return rounded(climate.plot_offset(winters(spark, d), "index"), 5, "offset")
+
+
+# --- reductions --------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SALES} SELECT CAST(time AS VARCHAR) AS time, round(avg(x), 4) AS x FROM sales GROUP BY 1")
+def area_mean(spark, d):
+    return texted(rounded(reduce.area_mean(sales_cube(spark, d), ["time"], ["x"]), 4, "x"), "time")
+
+
+@query(f"WITH {SALES} SELECT CAST(time AS VARCHAR) AS time, round(sum(cos(radians(lat)) * x) / sum(cos(radians(lat))), 4) AS x FROM sales GROUP BY 1")
+def area_mean_cos(spark, d):
+    return texted(rounded(reduce.area_mean(sales_cube(spark, d), ["time"], ["x"], cos_weight=True), 4, "x"), "time")
+
+
+@query(f"WITH {YEARLY} SELECT year, lat, lon, round(x, 4) AS x FROM yearly")
+def yearly_season_mean(spark, d):
+    return rounded(yearly_cube(spark, d), 4, "x")
+
+
+@query(f"WITH {SALES} SELECT CAST(year(time) AS INT) AS year, lat, lon, round(coalesce(sum(x), 0), 4) AS x FROM sales WHERE month(time) IN (6, 7, 8, 9) GROUP BY 1, 2, 3")
+def yearly_season_sum(spark, d):
+    out = reduce.yearly_sum(select.months(sales_cube(spark, d), "time", [6, 7, 8, 9]), "time", ["lat", "lon"], ["x"])
+    return rounded(out, 4, "x")
+
+
+@query(f"WITH {SALES} SELECT round(quantile_cont(x, 0.8), 4) AS q FROM sales")
+def quantile80_threshold(spark, d):
+    return rounded(reduce.quantile(sales_cube(spark, d), "x", 0.8), 4, "q")
+
+
+FLAGS = f"{SALES}, flags AS (SELECT *, CAST(x > (SELECT quantile_cont(x, 0.8) FROM sales) AS INT) AS flag FROM sales)"
+
+
+@query(f"WITH {FLAGS} SELECT CAST(time AS VARCHAR) AS time, lat, lon, flag FROM flags")
+def exceedance_binary(spark, d):
+    return texted(flags(spark, d), "time")
+
+
+def flags(spark, d) -> DataFrame:
+    cube = sales_cube(spark, d)
+    return joins.with_scalars(cube, reduce.quantile(cube, "x", 0.8)).select("time", "lat", "lon", (F.col("x") > F.col("q")).cast("int").alias("flag"))
+
+
+FRACTION = f"{FLAGS}, frac AS (SELECT time, sum(flag) AS hits, CAST(sum(flag) AS DOUBLE) / (SELECT count(*) FROM (SELECT DISTINCT lat, lon FROM sales)) AS fraction FROM flags GROUP BY 1)"
+
+
+@query(f"WITH {FRACTION} SELECT CAST(time AS VARCHAR) AS time, CAST(hits AS BIGINT) AS hits, round(fraction, 6) AS fraction FROM frac")
+def area_fraction(spark, d):
+    cube = sales_cube(spark, d)
+    cells = cube.select("lat", "lon").distinct().agg(F.count("*").alias("n"))
+    return texted(rounded(reduce.area_fraction(flags(spark, d), ["time"], "flag", cells), 6, "fraction"), "time")
+
+
+def dated(spark, d) -> DataFrame:
+    return sales_cube(spark, d).withColumn("year", F.year("time")).withColumn("dos", F.dayofyear("time") - 1)
+
+
+@query(f"""WITH {FRACTION} SELECT CAST(year(time) AS INT) AS year, CAST(dayofyear(time) - 1 AS INT) AS dos, CAST(hits AS BIGINT) AS hits, round(fraction, 6) AS fraction,
+CAST(year(time) * 100 + dayofyear(time) - 1 AS INT) AS key FROM frac WHERE fraction >= 0.2""")
+def event_days(spark, d):
+    return rounded(climate.extreme_events(dated(spark, d), "x"), 6, "fraction")
+
+
+@query("""WITH e AS (SELECT CAST(year(o_orderdate) AS INT) AS year, CAST(o_orderkey % 4 AS INT) AS type FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT year, count(*) FILTER (WHERE type = 0) AS "0", count(*) FILTER (WHERE type = 1) AS "1", count(*) FILTER (WHERE type = 2) AS "2", count(*) FILTER (WHERE type = 3) AS "3" FROM e WHERE year BETWEEN 1995 AND 2001 GROUP BY 1""")
+def event_year_type_pivot(spark, d):
+    events = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.year("o_orderdate").alias("year"), (F.col("o_orderkey") % 4).cast("int").alias("type"))
+    counts = reduce.event_counts(events, list(range(1995, 2002)), [0, 1, 2, 3])
+    out = reduce.pivot_sum(counts, "year", "type", [0, 1, 2, 3], "n")
+    return out.where(F.col("0") + F.col("1") + F.col("2") + F.col("3") > 0)
+
+
+@query(f"WITH {MONTHLY} SELECT CAST(month(time) AS INT) AS month, lat, lon, CASE WHEN count(x) = count(*) THEN round(avg(x), 4) END AS x FROM (SELECT time, lat, lon, CASE WHEN x > 100000 THEN x END AS x FROM monthly) GROUP BY 1, 2, 3")
+def composite_mean(spark, d):
+    cube = monthly_cube(spark, d).withColumn("x", select.null_unless(F.col("x") > 100000, F.col("x"))).withColumn("month", F.month("time"))
+    return rounded(reduce.composite(cube, ["month", "lat", "lon"], "x"), 4, "x")
+
+
+@query(f"WITH {GRID} SELECT i, round(max(f), 4) AS highest, round(min(f), 4) AS lowest, round(max(abs(f)), 4) AS largest FROM grid GROUP BY 1")
+def extremes(spark, d):
+    return rounded(reduce.extremes(price_grid(spark, d), ["i"], "f"), 4, "highest", "lowest", "largest")
+
+
+@query("SELECT p_brand, round(2 * sqrt(sum(pow(CAST(p_size AS DOUBLE) / 2, 2))), 6) AS diameter FROM part GROUP BY 1")
+def equivalent_diameter(spark, d):
+    return table(spark, d, "part").groupBy("p_brand").agg(steady(reduce.equivalent_diameter(F.col("p_size").cast("double")), 6).alias("diameter"))
+
+
+@query(f"WITH {GRID} SELECT i, count(CASE WHEN f > 25000 THEN 1 END) AS n FROM grid GROUP BY 1")
+def valid_count(spark, d):
+    return reduce.valid_count(price_grid(spark, d).withColumn("f", select.null_unless(F.col("f") > 25000, F.col("f"))), ["i"], "f")
+
+
+@query(f"WITH {GRID} SELECT i, round(avg(nullif(CASE WHEN f > 25000 THEN f ELSE 0.0 END, 0.0)), 4) AS f FROM grid GROUP BY 1")
+def profile_mean(spark, d):
+    return rounded(reduce.profile_mean(price_grid(spark, d).withColumn("f", select.keep_above(F.col("f"), 25000.0)), ["i"], "f"), 4, "f")
+
+
+K = f"{YEARLY}, m AS (SELECT year, avg(x) AS x FROM yearly GROUP BY 1), kk AS (SELECT year, x AS k FROM m)"
+
+
+def indexed(spark, d) -> tuple[DataFrame, DataFrame]:
+    cube = yearly_cube(spark, d)
+    return cube, reduce.area_mean(cube, ["year"], ["x"]).withColumnRenamed("x", "k")
+
+
+@query(f"WITH {K} SELECT lat, lon, round(CASE WHEN count(*) > 1 THEN regr_slope(x, k) END, 5) AS slope, round(CASE WHEN count(*) > 1 THEN regr_intercept(x, k) END, 2) AS intercept, count(*) AS n FROM yearly JOIN kk USING (year) GROUP BY 1, 2")
+def regress_map(spark, d):
+    cube, k = indexed(spark, d)
+    return rounded(rounded(reduce.regression(joins.align(cube, k, ["year"]), ["lat", "lon"], "x", "k"), 5, "slope"), 2, "intercept")
+
+
+@query(f"WITH {K} SELECT lat, lon, round(corr(x, k), 6) AS r, count(*) AS n FROM yearly JOIN kk USING (year) GROUP BY 1, 2")
+def corr_map(spark, d):
+    cube, k = indexed(spark, d)
+    return rounded(reduce.correlation(joins.align(cube, k, ["year"]), ["lat", "lon"], "x", "k"), 6, "r")
+
+
+@query(f"WITH {K}, c AS (SELECT lat, lon, corr(x, k) AS r FROM yearly JOIN kk USING (year) GROUP BY 1, 2) SELECT lat, lon, CASE WHEN abs(r) >= {stats.r_crit(7)!r} THEN 0.0::DOUBLE END AS mark FROM c")
+def sig_mask(spark, d):
+    cube, k = indexed(spark, d)
+    r = reduce.correlation(joins.align(cube, k, ["year"]), ["lat", "lon"], "x", "k")
+    return r.select("lat", "lon", select.significant(F.col("r"), stats.r_crit(7)).alias("mark"))
+
+
+# --- windows and differences -------------------------------------------------------------------------------
+
+
+@query(f"""WITH {DAILY}, w AS (SELECT d, CAST(year(d) AS INT) AS year, avg(x) OVER p AS m, count(x) OVER p AS n, row_number() OVER (PARTITION BY year(d) ORDER BY d) AS place, count(*) OVER (PARTITION BY year(d)) AS total FROM daily
+WINDOW p AS (PARTITION BY year(d) ORDER BY d ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT CAST(d AS VARCHAR) AS d, year, CAST(place - 2 AS INT) AS day, CASE WHEN n = 5 THEN round(m, 4) END AS x FROM w WHERE place > 2 AND place <= total - 2""")
+def moving_avg5_valid(spark, d):
+    series = daily_series(spark, d).withColumn("year", F.year("d"))
+    return texted(rounded(window.moving_average(series, ["year"], "d", "x"), 4, "x").select("d", "year", "day", "x"), "d")
+
+
+@query(f"WITH {MONTHLY} SELECT CAST(time AS VARCHAR) AS time, lat, lon, round(lag(x) OVER (PARTITION BY lat, lon ORDER BY time), 4) AS before FROM monthly")
+def time_shift(spark, d):
+    return texted(monthly_cube(spark, d).select("time", "lat", "lon", steady(window.shifted("x", ["lat", "lon"], "time"), 4).alias("before")), "time")
+
+
+@query(f"WITH {MONTHLY} SELECT CAST(time AS VARCHAR) AS time, lat, lon, round({w3('x', 'lat, lon', 'time')}, 4) AS tendency FROM monthly")
+def tendency(spark, d):
+    return texted(monthly_cube(spark, d).select("time", "lat", "lon", steady(window.tendency("x", ["lat", "lon"], "time"), 4).alias("tendency")), "time")
+
+
+@query(f"WITH {GRID} SELECT i, j, round({w3('f', 'i', 'j')}, 4) AS gj, round({w3('f', 'j', 'i')}, 4) AS gi FROM grid")
+def grad_index(spark, d):
+    return price_grid(spark, d).select("i", "j", steady(window.index_gradient("f", ["i"], "j"), 4).alias("gj"), steady(window.index_gradient("f", ["j"], "i"), 4).alias("gi"))
+
+
+@query(f"WITH {GRID}, c AS (SELECT *, CAST(j * j AS DOUBLE) AS c FROM grid) SELECT i, j, round({w4('f', 'c', 'i', 'j')}, 4) AS g FROM c")
+def grad_coord(spark, d):
+    rows = price_grid(spark, d).withColumn("c", (F.col("j") * F.col("j")).cast("double"))
+    return rows.select("i", "j", steady(window.coordinate_gradient("f", "c", ["i"], "j"), 4).alias("g"))
+
+
+@query(f"WITH {GRID} SELECT i, j, round(lead(f) OVER (PARTITION BY i ORDER BY j) - lag(f) OVER (PARTITION BY i ORDER BY j), 4) AS diff FROM grid")
+def centred_difference(spark, d):
+    return price_grid(spark, d).select("i", "j", steady(window.centred_difference("f", ["i"], "j"), 4).alias("diff"))
+
+
+@query(f"WITH {GRID} SELECT lat, lon, round(1e6 * ({w3('f', 'lat', 'lon')} / {DX} + {w3('g', 'lon', 'lat')} / {DY} - g * tan(radians(lat)) / {RE}), 5) AS div FROM grid")
+def divergence(spark, d):
+    out = calculus.divergence(price_grid(spark, d), [], "f", "g")
+    return out.select("lat", "lon", steady(1e6 * F.col("div"), 5).alias("div"))
+
+
+@query(f"WITH {GRID} SELECT lat, lon, round(1e6 * ({w3('g', 'lat', 'lon')} / {DX} - {w3('f', 'lon', 'lat')} / {DY}), 5) AS vor FROM grid")
+def vorticity(spark, d):
+    return calculus.vorticity(price_grid(spark, d), [], "f", "g").select("lat", "lon", steady(1e6 * F.col("vor"), 5).alias("vor"))
+
+
+STEP = f"({RE} * radians(5.0))"
+
+
+@query(f"""WITH {GRID} SELECT lat, lon, round(1e6 * ((lead(g) OVER (PARTITION BY lat ORDER BY lon) - lag(g) OVER (PARTITION BY lat ORDER BY lon)) / ({STEP} * cos(radians(lat)))
+- (lead(f) OVER (PARTITION BY lon ORDER BY lat) - lag(f) OVER (PARTITION BY lon ORDER BY lat)) / {STEP}), 5) AS vor FROM grid""")
+def vorticity_fixed_step(spark, d):
+    return calculus.vorticity_fixed_step(price_grid(spark, d), [], "f", "g").select("lat", "lon", steady(1e6 * F.col("vor"), 5).alias("vor"))
+
+
+@query(f"WITH {GRID} SELECT lat, lon, round(1e6 * {w3('f', 'lat', 'lon')} / {DX}, 4) AS gx, round(1e6 * {w3('f', 'lon', 'lat')} / {DY}, 4) AS gy FROM grid")
+def scalar_gradient(spark, d):
+    out = calculus.gradient(price_grid(spark, d), [], "f")
+    return out.select("lat", "lon", steady(1e6 * F.col("gx"), 4).alias("gx"), steady(1e6 * F.col("gy"), 4).alias("gy"))
+
+
+@query(f"WITH {GRID} SELECT i, j, round(sqrt(f * f + g * g), 4) AS speed FROM grid")
+def wind_speed(spark, d):
+    return price_grid(spark, d).select("i", "j", steady(scalar.wind_speed(F.col("f"), F.col("g")), 4).alias("speed"))
+
+
+@query(f"WITH {GRID} SELECT DISTINCT lat, round(1e6 * 2 * 7.292e-5 * sin(radians(lat)), 6) AS f FROM grid")
+def coriolis(spark, d):
+    return price_grid(spark, d).select("lat", steady(1e6 * scalar.coriolis(F.col("lat")), 6).alias("f")).distinct()
+
+
+@query(f"WITH {GRID} SELECT lat, lon, round((f - (SELECT avg(f) FROM grid)) / nullif(2 * 7.292e-5 * sin(radians(lat)), 0) / 1e6, 4) AS psi FROM grid")
+def qg_streamfunction(spark, d):
+    grid = price_grid(spark, d)
+    rows = joins.with_scalars(grid, grid.agg(F.avg("f").alias("mean")))
+    return rows.select("lat", "lon", steady(calculus.qg_streamfunction(F.col("f"), F.col("mean"), F.col("lat")) / 1e6, 4).alias("psi"))
+
+
+def flux_sql(mode: int) -> str:
+    lon, lat = "radians(lon)", "radians(lat)"
+    if mode == 2:
+        by = lambda x, axis: f"{w3(x, 'lat', 'lon')} / {w3(lon, 'lat', 'lon')}" if axis == "lon" else f"{w3(x, 'lon', 'lat')} / {w3(lat, 'lon', 'lat')}"
+    else:
+        by = lambda x, axis: w4(x, lon, "lat", "lon") if axis == "lon" else w4(x, lat, "lon", "lat")
+    radius = scalar.FLUX_RADIUS if mode == 2 else scalar.MEAN_RADIUS
+    mixed = by("y", "lon") if mode == 2 else by("x", "lat")
+    seen = "abs(lat) >= 20 AND lat > (SELECT min(lat) FROM grid) AND lat < (SELECT max(lat) FROM grid)" if mode == 2 else "abs(lat) > 20 AND abs(lat) < 90"
+    return f"""WITH {GRID}, a AS (SELECT lat, lon, f / 1000 AS u, g AS v, f AS s FROM grid),
+b AS (SELECT *, {by('s', 'lon')} AS x, {by('s', 'lat')} AS y FROM a),
+c AS (SELECT *, {by('x', 'lon')} AS xx, {by('y', 'lat')} AS yy, {mixed} AS xy FROM b),
+e AS (SELECT *, 0.25 * cos({lat}) / (2::DOUBLE * {radius!r}::DOUBLE * {radius!r}::DOUBLE * sqrt(u * u + v * v)) AS c FROM c)
+SELECT lat, lon, CASE WHEN {seen} THEN round(1e6 * c * (u / (cos({lat}) * cos({lat})) * (x * x - s * xx) + v / cos({lat}) * (x * y - s * xy)), 3) END AS fx,
+CASE WHEN {seen} THEN round(1e6 * c * (u / cos({lat}) * (x * y - s * xy) + v * (y * y - s * yy)), 3) END AS fy FROM e"""
+
+
+def flux(spark, d, mode: int) -> DataFrame:
+    rows = price_grid(spark, d).select("lat", "lon", (F.col("f") / 1000).alias("u"), F.col("g").alias("v"), F.col("f").alias("psi"))
+    out = calculus.wave_activity_flux(rows, [], 250.0, mode=mode)
+    return out.select("lat", "lon", steady(1e6 * F.col("fx"), 3).alias("fx"), steady(1e6 * F.col("fy"), 3).alias("fy"))
+
+
+@query(flux_sql(2))
+def waf_mode2(spark, d):
+    return flux(spark, d, 2)
+
+
+@query(flux_sql(1))
+def waf_mode1(spark, d):
+    return flux(spark, d, 1)
+
+
+ADV = f"(-(u * {w4('t', f'radians(lon) * {RE}', 'time, lev, lat', 'lon')} / cos(radians(lat)) + v * {w4('t', f'radians(lat) * {RE}', 'time, lev, lon', 'lat')}))"
+STABILITY = f"({scalar.R_DRY} * t / ({scalar.CP_DRY} * lev) - {w3('t', 'time, lat, lon', 'lev')} / {w3('lev', 'time, lat, lon', 'lev')})"
+
+
+@query(f"WITH {CUBE} SELECT CAST(time AS VARCHAR) AS time, lev, lat, lon, round(1e6 * {ADV}, 4) AS adv FROM cube")
+def temperature_advection(spark, d):
+    out = calculus.advection(level_cube(spark, d), ["time", "lev"])
+    return texted(out.select("time", "lev", "lat", "lon", steady(1e6 * F.col("adv"), 4).alias("adv")), "time")
+
+
+@query(f"WITH {CUBE} SELECT CAST(time AS VARCHAR) AS time, lev, lat, lon, round({STABILITY}, 4) AS sigma FROM cube")
+def static_stability(spark, d):
+    return texted(level_cube(spark, d).select("time", "lev", "lat", "lon", steady(calculus.static_stability("t", "lev", ["time", "lat", "lon"]), 4).alias("sigma")), "time")
+
+
+SECONDS = "(list_value(" + ", ".join(str(float(x)) for x in scalar.MONTH_DAYS) + ")[month(time)] * 86400.0::DOUBLE)"
+
+
+@query(f"""WITH {CUBE}, b AS (SELECT *, {ADV} AS a, u / 1000 / 100.0 * {STABILITY} AS ver, {w3('t', 'lev, lat, lon', 'time')} AS dt FROM cube)
+SELECT CAST(time AS VARCHAR) AS time, lev, lat, lon, round(dt, 4) AS "dTdt", round(1e6 * a, 4) AS "adv_T", round(1e6 * ver, 4) AS ver, round((dt - a * {SECONDS} - ver * {SECONDS}) * {scalar.CP_DRY} / {SECONDS}, 4) AS "Q" FROM b""")
+def temperature_budget(spark, d):
+    rows = level_cube(spark, d).withColumn("w", F.col("u") / 1000)
+    out = calculus.temperature_budget(rows, "time", "lev")
+    return texted(out.select("time", "lev", "lat", "lon", steady("dTdt", 4).alias("dTdt"), steady(1e6 * F.col("adv_T"), 4).alias("adv_T"), steady(1e6 * F.col("ver"), 4).alias("ver"), steady("Q", 4).alias("Q")), "time")
+
+
+# --- energy ------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {GRID} SELECT i, j, round(f + g, 4) AS net, round(f + g + 2.45e9 * (g / 1e6), 3) AS heat FROM grid")
+def net_radiation(spark, d):
+    return price_grid(spark, d).select("i", "j", steady(climate.net_radiation(F.col("f"), F.col("g")), 4).alias("net"), steady(climate.sensible_heat(F.col("f"), F.col("g"), F.col("g") / 1e6), 3).alias("heat"))
+
+
+@query(f"""WITH {K}, z AS (SELECT year, (k - (SELECT avg(k) FROM kk)) / (SELECT stddev_pop(k) FROM kk) AS z FROM kk),
+p AS (SELECT lat, lon, CASE WHEN count(*) > 1 THEN regr_slope(x, z) / nullif(stddev_pop(x), 0) END AS h, CASE WHEN count(*) > 1 THEN regr_slope(sqrt(x), z) / nullif(stddev_pop(sqrt(x)), 0) END AS hp, CASE WHEN count(*) > 1 THEN regr_slope(x * x / 1e6, z) / nullif(stddev_pop(x * x / 1e6), 0) END AS t FROM yearly JOIN z USING (year) GROUP BY 1, 2)
+SELECT lat, lon, round(h, 5) AS h1, round(hp, 5) AS hp1, round(t, 5) AS t1, round((h - hp) * t, 5) AS pi FROM p""")
+def pi_index(spark, d):
+    cube, k = indexed(spark, d)
+    rows = cube.select("year", "lat", "lon", F.col("x").alias("h"), F.sqrt("x").alias("hp"), (F.col("x") * F.col("x") / 1e6).alias("t"))
+    return rounded(climate.coupling_index(rows, k, ["lat", "lon"]), 5, "h1", "hp1", "t1", "pi")
+
+
+@query(f"""WITH {K}, s AS (SELECT lat, lon, CASE WHEN count(*) > 1 THEN regr_slope(x, k) END / 86400.0::DOUBLE AS a, CASE WHEN count(*) > 1 THEN regr_slope(sqrt(x), k) END / 86400.0::DOUBLE AS b FROM yearly JOIN kk USING (year) WHERE lat BETWEEN 20 AND 40 GROUP BY 1, 2)
+SELECT round(1e6 * avg(a), 4) AS ssr, round(1e9 * avg(b), 4) AS str, round(1e6 * (avg(a) + avg(b)), 4) AS net FROM s""")
+def energy_budget(spark, d):
+    cube, k = indexed(spark, d)
+    mask = cube.where("lat BETWEEN 20 AND 40").select("lat", "lon").distinct()
+    out = climate.energy_budget(cube.withColumn("ssr", F.col("x")).withColumn("str", F.sqrt("x")), k, mask, ["ssr", "str"])
+    return out.select(steady(1e6 * F.col("ssr"), 4).alias("ssr"), steady(1e9 * F.col("str"), 4).alias("str"), steady(1e6 * F.col("net"), 4).alias("net"))
+
+
+# --- selection and joins -----------------------------------------------------------------------------------
+
+TRIANGLE = [(12.0, 15.0), (148.0, 22.0), (61.0, 68.0)]
+SQUARE = [(160.0, 25.0), (240.0, 25.0), (240.0, 55.0), (160.0, 55.0)]
+
+
+def edges_sql(*rings) -> str:
+    rows = [f"({g}, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for g, r in enumerate(rings) for a, b in zip(r, r[1:] + r[:1], strict=True)]
+    return f"edges(geom, x1, y1, x2, y2) AS (VALUES {', '.join(rows)})"
+
+
+@query(f"""WITH {GRID}, {edges_sql(TRIANGLE, SQUARE)}, hits AS (SELECT lat, lon, geom FROM grid, edges WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1),
+inside AS (SELECT DISTINCT lat, lon, true AS yes FROM hits) SELECT lat, lon, CASE WHEN yes THEN round(f, 4) END AS f FROM grid LEFT JOIN inside USING (lat, lon)""")
+def polygon_mask(spark, d):
+    shapes = spatial.polygons(spark, [TRIANGLE], 0).unionByName(spatial.polygons(spark, [SQUARE], 1))
+    return rounded(spatial.masked(price_grid(spark, d), spatial.edge_table(shapes), ["f"]), 4, "f").select("lat", "lon", "f")
+
+
+@query(f"WITH {GRID} SELECT lat, lon, round(f, 4) AS f FROM grid WHERE lon BETWEEN 60 AND 160 AND lat BETWEEN 0 AND 60")
+def bbox(spark, d):
+    return rounded(select.bbox(price_grid(spark, d), 60, 0, 160, 60), 4, "f").select("lat", "lon", "f")
+
+
+@query(f"WITH {GRID} SELECT lat, lon, round(f, 4) AS f FROM grid UNION ALL SELECT lat, lon + 360, round(f, 4) FROM grid WHERE lon = (SELECT min(lon) FROM grid)")
+def cyclic_pad(spark, d):
+    return rounded(select.cyclic_pad(price_grid(spark, d).select("lat", "lon", "f")), 4, "f")
+
+
+@query(f"WITH {SALES} SELECT CAST(time AS VARCHAR) AS time, lat, lon, round(x, 4) AS x FROM sales")
+def concat_union(spark, d):
+    cube = sales_cube(spark, d)
+    return texted(rounded(select.between(cube, "time", "1900-01-01", "1998-12-31").unionByName(select.between(cube, "time", "1999-01-01", "2999-12-31")), 4, "x"), "time")
+
+
+@query(f"WITH {YEARLY} SELECT year, lat, lon, round(x, 4) AS x FROM yearly WHERE year IN (SELECT year(o_orderdate) FROM orders WHERE o_totalprice > 400000 AND o_orderpriority = '1-URGENT')")
+def semi_join_years(spark, d):
+    years = table(spark, d, "orders").where("o_totalprice > 400000 AND o_orderpriority = '1-URGENT'").select(F.year("o_orderdate").alias("year"))
+    return rounded(joins.of_years(yearly_cube(spark, d), years), 4, "x")
+
+
+@query(f"WITH {WINTER} SELECT year, round(coalesce(idx, 0), 4) AS index FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS year FROM orders) LEFT JOIN winter USING (year)")
+def left_lookup_default(spark, d):
+    years = table(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct()
+    return rounded(joins.lookup(years, winters(spark, d), ["year"], "index", 0.0), 4, "index")
+
+
+@query(f"""WITH {GRID}, a AS (SELECT lat, lon, f, row_number() OVER (ORDER BY lat, lon) AS p FROM grid), b AS (SELECT g, row_number() OVER (ORDER BY lon, lat) AS p FROM grid)
+SELECT lat, lon, round(f + g, 4) AS total FROM a FULL JOIN b USING (p)""")
+def zip_join(spark, d):
+    grid = price_grid(spark, d)
+    rows = joins.zipped(grid.select("lat", "lon", "f"), grid.select(F.col("lon").alias("y"), F.col("lat").alias("x"), "g"), ["lat", "lon"], ["y", "x"])
+    return rows.select("lat", "lon", steady(F.col("f") + F.col("g"), 4).alias("total"))
+
+
+@query(f"WITH {WINTER}, y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS year FROM orders) SELECT count(*) FILTER (WHERE w.year IS NULL OR y.year IS NULL) AS unmatched, count(*) FILTER (WHERE w.year IS NULL OR y.year IS NULL) = 0 AS equal FROM y FULL JOIN winter w ON y.year = w.year")
+def keys_equal(spark, d):
+    return joins.same_keys(table(spark, d, "orders").select(F.year("o_orderdate").alias("year")), winters(spark, d), "year")
+
+
+@query(f"WITH {GRID} SELECT lat, lon, CASE WHEN abs(lat) >= 20 THEN round(f, 4) END AS band, CASE WHEN lat > 10 AND lat < 70 AND lon > 5 AND lon < 250 THEN round(f, 4) END AS ring FROM grid")
+def null_masks(spark, d):
+    rows = price_grid(spark, d).withColumn("band", select.null_band(F.col("lat"), F.col("f"))).withColumn("ring", F.col("f"))
+    return rounded(select.null_ring(rows, [], ["ring"]), 4, "band", "ring").select("lat", "lon", "band", "ring")
+
+
+@query(f"WITH {GRID} SELECT lat, lon, round(f, 4) AS f FROM grid WHERE lat > 10 AND lat < 70 AND lon > 5 AND lon < 250")
+def interior(spark, d):
+    return rounded(select.interior(price_grid(spark, d), []), 4, "f").select("lat", "lon", "f")
+
+
+@query(f"WITH {GRID}, m AS (SELECT i, j, CASE WHEN f > 40000 THEN f END AS f FROM grid) SELECT i, j, round(f, 4) AS f FROM m WHERE j IN (SELECT j FROM m WHERE f IS NOT NULL)")
+def dropna_all_rows(spark, d):
+    rows = price_grid(spark, d).withColumn("f", select.null_unless(F.col("f") > 40000, F.col("f")))
+    return rounded(select.drop_empty(rows, ["j"], "f"), 4, "f").select("i", "j", "f")
+
+
+@query(f"WITH {GRID}, m AS (SELECT i, j, CASE WHEN f > 51000 THEN f END AS f FROM grid) SELECT i, j, round(f, 4) AS f FROM m WHERE i IN (SELECT i FROM m WHERE f IS NOT NULL)")
+def dropna_all_cols(spark, d):
+    rows = price_grid(spark, d).withColumn("f", select.null_unless(F.col("f") > 51000, F.col("f")))
+    return rounded(select.drop_empty(rows, ["i"], "f"), 4, "f").select("i", "j", "f")
+
+
+@query(f"WITH {MONTHLY}, t AS (SELECT time, row_number() OVER (ORDER BY time) AS p FROM (SELECT DISTINCT time FROM monthly)) SELECT CAST(m.time AS VARCHAR) AS time, lat, lon, round(x, 4) AS x FROM monthly m JOIN t ON m.time = t.time WHERE p % 5 = 1")
+def strided_sample(spark, d):
+    return texted(rounded(select.strided(monthly_cube(spark, d), "time", 5), 4, "x"), "time")
+
+
+@query(f"WITH {MONTHLY}, t AS (SELECT time, row_number() OVER (ORDER BY time) AS p FROM (SELECT DISTINCT time FROM monthly)) SELECT lat, lon, round(avg(x), 4) AS x FROM monthly m JOIN t ON m.time = t.time WHERE p BETWEEN 20 AND 25 GROUP BY 1, 2")
+def positional_slice(spark, d):
+    return rounded(reduce.area_mean(select.positions(monthly_cube(spark, d), "time", 19, 25), ["lat", "lon"], ["x"]), 4, "x")
+
+
+@query("SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderpriority = '3-MEDIUM' ORDER BY o_orderkey LIMIT 1")
+def first_match_lookup(spark, d):
+    return rounded(select.first_match(table(spark, d, "orders"), "o_orderpriority", "3-MEDIUM", "o_orderkey"), 2, "o_totalprice").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT p_partkey, CAST(length(p_name) - length(replace(p_name, 'a', '')) AS INT) AS n, CASE p_brand WHEN 'Brand#11' THEN 'first' WHEN 'Brand#12' THEN 'second' ELSE 'other' END AS label FROM part")
+def char_count(spark, d):
+    return table(spark, d, "part").select("p_partkey", scalar.char_count(F.col("p_name"), "a").alias("n"), scalar.branch(F.col("p_brand"), {"Brand#11": "first", "Brand#12": "second"}, "other").alias("label"))
+
+
+@query("SELECT DISTINCT CAST(month(o_orderdate) AS INT) AS month, list_value(" + ", ".join(str(float(x)) for x in scalar.MONTH_DAYS) + ")[month(o_orderdate)]::DOUBLE * 86400 AS seconds FROM orders")
+def month_seconds(spark, d):
+    return table(spark, d, "orders").select(F.month("o_orderdate").alias("month")).distinct().withColumn("seconds", scalar.month_seconds(F.col("month")))
+
+
+@query("SELECT o_orderkey, CAST(year(o_orderdate) * 100 + day(o_orderdate) - 1 AS INT) AS key, CAST(year(o_orderdate) - 1961 AS INT) AS age, CAST(trunc(o_totalprice) AS INT)::VARCHAR AS whole FROM orders")
+def season_keys(spark, d):
+    key = scalar.season_key(F.year("o_orderdate"), F.dayofmonth("o_orderdate") - 1)
+    return table(spark, d, "orders").select("o_orderkey", key.alias("key"), (scalar.key_year(key) - 1961).alias("age"), scalar.whole_text(F.col("o_totalprice")).alias("whole"))
+
+
+@query(f"""WITH {GRID} SELECT i, j, round(f - 273.15, 4) AS celsius, round(f / 86400, 6) AS flux, round(f / 100, 4) AS hecto, round(g * 999 + 1, 4) AS level,
+round(CASE WHEN (lon * 3) % 360 >= 180 THEN (lon * 3) % 360 - 360 ELSE (lon * 3) % 360 END, 4) AS west FROM grid""")
+def unit_conversions(spark, d):
+    r4 = lambda x, n, k=4: steady(x, k).alias(n)
+    f, g = F.col("f"), F.col("g")
+    return price_grid(spark, d).select("i", "j", r4(scalar.celsius(f), "celsius"), r4(scalar.flux(f), "flux", 6), r4(scalar.hecto(f), "hecto"), r4(scalar.level_of(g), "level"), r4(scalar.longitude(F.col("lon") * 3, signed=True), "west"))
+
+
+# --- profiles, forcing, interpolation ----------------------------------------------------------------------
+
+LEVELS = "lv AS (SELECT CAST(lev AS INT) AS lev, sigma FROM (VALUES " + ", ".join(f"({i}, {float(np.float32(s))!r}::DOUBLE)" for i, s in enumerate(forcing.SIGMA, 1)) + ") t(lev, sigma))"
+
+
+def profile_sql(kind: int) -> str:
+    return {1: f"8 * sin({math.pi!r} * sigma)", 2: "8 * exp(-20.0::DOUBLE * (sigma - 0.45::DOUBLE) * (sigma - 0.45::DOUBLE))", 3: "8.0::DOUBLE"}[kind]
+
+
+def profile(kind: int):
+    def run(spark, d):
+        return forcing.levels(spark).select("lev", steady(forcing.vertical_value(F.col("sigma"), kind), 6).alias("ver"))
+
+    return run
+
+
+for _kind in (1, 2, 3):
+    QUERIES[f"vertical_profile_{_kind}"] = profile(_kind)
+    SQL[f"vertical_profile_{_kind}"] = steady_sql(f"WITH {LEVELS} SELECT lev, round({profile_sql(_kind)}, 6) AS ver FROM lv")
+
+CENTRE = "(lon - 77.0::DOUBLE)", "(lat - 31.5::DOUBLE)"
+ELLIPSE = f"({CENTRE[0]} * {CENTRE[0]} / 529.0::DOUBLE + {CENTRE[1]} * {CENTRE[1]} / 420.25::DOUBLE)"
+HORIZONTAL = {
+    1: f"CASE WHEN {ELLIPSE} > 1 THEN 0.0::DOUBLE ELSE 0.25::DOUBLE * (1 - sqrt({ELLIPSE})) END",
+    2: f"CASE WHEN abs({CENTRE[0]}) <= 23 AND abs({CENTRE[1]}) <= 20.5 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END",
+}
+
+
+def spread_of(kind: int):
+    def run(spark, d):
+        value = forcing.horizontal_value(F.col("lon"), F.col("lat"), kind, ry=20.5, centre=(77.0, 31.5))
+        return price_grid(spark, d).select("lat", "lon", steady(value, 6).alias("hor"))
+
+    return run
+
+
+for _kind in (1, 2):
+    QUERIES[f"horizontal_profile_{_kind}"] = spread_of(_kind)
+    SQL[f"horizontal_profile_{_kind}"] = steady_sql(f"WITH {GRID} SELECT lat, lon, round({HORIZONTAL[_kind]}, 6) AS hor FROM grid")
+
+
+@query(f"""WITH {GRID}, {LEVELS} SELECT lev, lat, lon, round(CAST(CAST(({HORIZONTAL[1]}) * ({profile_sql(2)}) / 86400 * 0.0::DOUBLE AS FLOAT) AS DOUBLE), 12) AS v, round(CAST(CAST(({HORIZONTAL[1]}) * ({profile_sql(2)}) / 86400 * 1.0::DOUBLE AS FLOAT) AS DOUBLE), 12) AS t FROM grid, lv""")
+def outer_product_forcing(spark, d):
+    hor = price_grid(spark, d).select("lat", "lon", forcing.horizontal_value(F.col("lon"), F.col("lat"), 1, ry=20.5, centre=(77.0, 31.5)).alias("hor"))
+    ver = forcing.levels(spark).select("lev", forcing.vertical_value(F.col("sigma"), 2).alias("ver"))
+    out = forcing.forcing(hor, ver, {"t": 1.0})
+    return out.select("lev", "lat", "lon", steady(F.col("v").cast("double"), 12).alias("v"), steady(F.col("t").cast("double"), 12).alias("t"))
+
+
+def hat(x: str, dim: str, step: float) -> str:
+    """SQL of the linear weight of a node of an even axis."""
+    return f"greatest(0.0::DOUBLE, 1 - abs({x} - {dim}) / {step})"
+
+
+TARGET_LON, TARGET_LAT = [2.0, 5.0, 7.5, 33.3, 101.0, 250.0, 251.0], [10.0, 14.0, 33.0, 70.0, 71.0]
+
+
+def axis(spark, name: str, values: list[float]) -> DataFrame:
+    return spark.createDataFrame([(v,) for v in values], f"{name} double")
+
+
+def values_sql(name: str, values: list[float]) -> str:
+    return f"t_{name}(t{name}) AS (VALUES {', '.join(f'({v}::DOUBLE)' for v in values)})"
+
+
+@query(f"""WITH {GRID}, {values_sql('lon', TARGET_LON)} SELECT lat, tlon AS lon, CASE WHEN tlon BETWEEN 5 AND 250 THEN round(sum({hat('tlon', 'lon', 5.0)} * f), 4) END AS f FROM grid, t_lon GROUP BY 1, 2""")
+def interp1d(spark, d):
+    return rounded(regrid.interpolate(price_grid(spark, d), ["lat"], "f", {"lon": axis(spark, "lon", TARGET_LON)}), 4, "f").select("lat", "lon", "f")
+
+
+@query(f"""WITH {GRID}, {values_sql('lon', TARGET_LON)}, {values_sql('lat', TARGET_LAT)} SELECT tlat AS lat, tlon AS lon, CASE WHEN tlon BETWEEN 5 AND 250 AND tlat BETWEEN 10 AND 70 THEN round(sum({hat('tlon', 'lon', 5.0)} * {hat('tlat', 'lat', 10.0)} * f), 4) ELSE 0 END AS f FROM grid, t_lon, t_lat GROUP BY 1, 2""")
+def interp2d(spark, d):
+    out = regrid.interpolate(price_grid(spark, d), [], "f", {"lon": axis(spark, "lon", TARGET_LON), "lat": axis(spark, "lat", TARGET_LAT)}, missing=0.0)
+    return rounded(out, 4, "f").select("lat", "lon", "f")
+
+
+STACK = "stack AS (SELECT k AS lev, lat, lon, f * k AS f FROM grid, (VALUES (100.0::DOUBLE), (200.0::DOUBLE), (300.0::DOUBLE)) t(k))"
+
+
+@query(f"""WITH {GRID}, {STACK}, {values_sql('lon', [7.5, 101.0])}, {values_sql('lat', [14.0, 33.0])}, {values_sql('lev', [100.0, 150.0, 300.0])}
+SELECT tlev AS lev, tlat AS lat, tlon AS lon, round(sum({hat('tlon', 'lon', 5.0)} * {hat('tlat', 'lat', 10.0)} * {hat('tlev', 'lev', 100.0)} * f), 2) AS f FROM stack, t_lon, t_lat, t_lev GROUP BY 1, 2, 3""")
+def interp3d(spark, d):
+    stack = price_grid(spark, d).crossJoin(axis(spark, "lev", [100.0, 200.0, 300.0])).withColumn("f", F.col("f") * F.col("lev"))
+    out = regrid.interpolate(stack, [], "f", {"lev": axis(spark, "lev", [100.0, 150.0, 300.0]), "lat": axis(spark, "lat", [14.0, 33.0]), "lon": axis(spark, "lon", [7.5, 101.0])}, outside="error")
+    return rounded(out, 2, "f").select("lev", "lat", "lon", "f")
+
+
+@query("""WITH p AS (SELECT m, l, row_number() OVER (ORDER BY l, m) AS n FROM range(0, 43) a(m), range(0, 43) b(l) WHERE m <= 42 - l)
+SELECT CAST(m AS INT) AS m, CAST(l AS INT) AS l, CAST(2 * n - 1 AS INT) AS re_index, CAST(2 * n AS INT) AS im_index FROM p""")
+def nmo_index(spark, d):
+    return spectral.index_map(spark)
+
+
+# --- streams -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS DATE)::VARCHAR AS start, event_type, count(value) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    return rounded(windows.tumbling(table(spark, d, "events"), "1 day", ["event_type"], "value"), 2, "total").select(F.to_date("start").cast("string").alias("start"), "event_type", "n", "total")
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT CAST(epoch_us(min(ts)) AS BIGINT) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark, d):
+    return windows.sessions(table(spark, d, "events"), "6 hours", ["user_id"]).select(F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "user_id", "n")
+
+
+# --- beyond SQL --------------------------------------------------------------------------------------------
+
+
+def flow(spark, d) -> DataFrame:
+    """A small wind field."""
+    return price_grid(spark, d).where("j <= 20").select("lat", "lon", (F.col("f") / 1000).alias("u"), (F.col("g") * 100).alias("v"), F.lit(1).alias("k"))
+
+
+@query()
+def poisson_sor(spark, d):
+    rows = calculus.vorticity(flow(spark, d), ["k"], to="rhs").select("k", "lat", "lon", "rhs")
+    return elliptic.poisson(rows, ["k"], "rhs", "psi", method="sor", omega=1.5, tol=1e-3, max_iter=2000)
+
+
+@query()
+def stream_function(spark, d):
+    return elliptic.stream_function(flow(spark, d), ["k"])
+
+
+@query()
+def velocity_potential(spark, d):
+    return elliptic.velocity_potential(flow(spark, d), ["k"])
+
+
+@query()
+def prototype_stream_function(spark, d):
+    return elliptic.prototype_stream_function(flow(spark, d), ["k"])
+
+
+@query()
+def gaussian_filter(spark, d):
+    return from_slab(window.gaussian_filter(to_slab(price_grid(spark, d).withColumn("k", F.lit(1)), ["k"], "f")), ["k"], "f")
+
+
+def full_cells(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("time"), F.col("l_linenumber").alias("lat"), (F.col("l_quantity").cast("int") % 10).alias("lon")).agg(F.avg("l_extendedprice").alias("x"))
+
+
+@query()
+def eof(spark, d):
+    return modes.eof(full_cells(spark, d), "time", ["lat", "lon"], "x")[0]
+
+
+@query()
+def pcs(spark, d):
+    return modes.eof(full_cells(spark, d), "time", ["lat", "lon"], "x")[1]
+
+
+@query()
+def variance_fraction(spark, d):
+    return modes.eof(full_cells(spark, d), "time", ["lat", "lon"], "x")[2]
+
+
+@query()
+def kmeans(spark, d):
+    return modes.kmeans(samples(spark, d), 4).select("sample", "type")
+
+
+@query()
+def cluster_curve(spark, d):
+    return modes.cluster_curve(samples(spark, d), 6)
+
+
+@query()
+def eemd(spark, d):
+    monthly = daily_series(spark, d).groupBy(F.trunc("d", "month").alias("t")).agg(F.avg("x").alias("x")).withColumn("name", F.lit("price"))
+    return modes.eemd(to_series(monthly, ["name"], "t", "x"), ["name"], trials=200)
+
+
+def model_slab(spark, d) -> DataFrame:
+    """Prices stretched over the model grid."""
+    values = price_grid(spark, d).select("i", "j", "f")
+    grid = forcing.model_grid(spark).withColumn("i", (1 + F.floor((F.col("lat") + 90) / 180 * 6.999)).cast("int")).withColumn("j", (1 + F.floor(F.col("lon") / 360 * 49.999)).cast("int"))
+    return to_slab(grid.join(values, ["i", "j"]).withColumn("k", F.lit(1)), ["k"], "f")
+
+
+@query()
+def sht_forward(spark, d):
+    return spectral.to_waves(model_slab(spark, d), ["k"])
+
+
+@query()
+def sht_inverse(spark, d):
+    return spectral.to_grid(sht_forward(spark, d), ["k"]).select("k", F.posexplode("data").alias("at", "value"))
