@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -33,6 +34,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Stored:
+    """Tables in the shared folder for intermediate results that are large: compressed, unlike checkpoints, and
+    removed when they have served."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+    def remove(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS_PER_BATCH)
 

@@ -3,18 +3,21 @@
 Equal sets are one class, found by a hash of the sorted set, and only classes take part.
 
 Candidates, without loss: two sets of sizes n and m that reach the threshold differ in at most
-(n + m)(1 - t) / (1 + t) tokens. Sets of a size class are cut by token hash into one bucket more than that
-(two more for small sets, taken in pairs), so two similar sets have an equal bucket, and its hash is a
-signature that both emit. A set near the upper end of its size class also emits those of the next.
-
-Groups: each class that shares signatures is verified against the one pivot (the smallest class of a
-signature) that it shares most of them with; verified links make the first groups of similar documents.
-Token-group matrix: where a signature still holds classes of different groups, its classes are queries
-against the other groups. Groups are cut into parts of at most PART classes; each part's token union is
-stored, and a query's overlap with it bounds the intersection with every member. Only parts that qualify
-are opened, and their members verified one by one. So every pair that shares a signature is linked,
-verified, ruled out by a bound, or inside one component already: no link between components is lost,
-and a group of near copies costs its size, not its square.
+(n + m)(1 - t) / (1 + t) tokens. Sets of a size class are cut by token hash into more buckets than that,
+leaving room for empty ones (two more for small sets, taken in pairs), so two similar sets have an equal
+bucket that isn't empty, and its hash is a signature that both emit. A set near the upper end of its size class also emits those of the next.
+
+Groups: the pivot of a signature is its most central class (whose signatures have the most classes), and
+each class belongs to the pivot that it shares most signatures with. It is verified against that pivot;
+verified links make the first groups of similar documents, so a group of near copies costs its size, not its
+square. Token-group matrix: where a signature still holds classes of different groups, those classes are cut
+into parts of similar documents, of bounded size: a class joins the most popular of its KEYS smallest hashes.
+A matrix of BITS token groups has the groups of each member; pairs of parts whose members it rules out aren't
+looked at again. For each pair of parts that is left, the
+token union of one bounds the overlap of the other's members, and only for members that reach the threshold
+by this bound the part is opened and its intersections counted. Rows of the plan are pairs of parts, never
+pairs of documents. So every pair that shares a signature is linked, compared, ruled out by a bound, or
+inside one component already: no link between components is lost.
 
 Shingles, sets and classes are told apart by 64-bit hashes. Null or empty texts (or texts of white space)
 have an empty set and are linked with nothing. Repeated rows are copies; rows that share a doc_id count as
@@ -30,16 +33,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fieldlab.llm.common import cut, raw_texts, small_batches, table
+from fieldlab.llm.common import Stored, cut, raw_texts, small_batches, table
 from fieldlab.llm.components import components
 from fieldlab.llm.text import spaced_words
 
 SHINGLE = 3
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 90
-#: Classes of a part of a group, about.
-PART = 64
-#: Ratio of the bounds of a size class.
+#: Classes of a part of a group, and its tokens, about.
+PART, PART_TOKENS = 256, 200_000
+#: Token groups of the matrix.
+BITS = 4096
+#: Smallest hashes of a set that may name its family.
+KEYS = 4
+#: Ratio of the bounds of a size class, at least.
 RATIO = 1.25
 #: Up to this upper bound, signatures are pairs of buckets.
 PAIRED = 42
@@ -89,7 +96,8 @@ class Buckets:
     """Size classes and the signatures of a set."""
 
     def __init__(self, percent: int):
-        self.percent = percent
+        self.counts: dict[int, int] = {}
+        self.percent, self.ratio = percent, max(RATIO, (100 / percent) ** 2)
         bound = 1
         while self.differ(2 * (bound + 1) - 1) == 0:
             bound += 1
@@ -101,19 +109,29 @@ class Buckets:
 
     def schemes(self, n: int):
         while self.upper[-1] < n * 2 + 2:
-            self.upper.append(max(self.upper[-1] + 1, int(self.upper[-1] * RATIO)))
+            u = self.upper[-1]
+            self.upper.append(max(u + 1, int(u * self.ratio), u * 100 // self.percent))  # no set links beyond the next class
         c = int(np.searchsorted(self.upper, n))
         if c > 0:
             yield c
         if 100 * n >= self.percent * (self.upper[c] + 1):
             yield c + 1
 
+    def count(self, c: int) -> int:
+        """Buckets of a size class: so many that those that aren't empty outnumber the tokens that may differ."""
+        if c not in self.counts:
+            d, least = self.differ(2 * self.upper[c]), self.percent * (self.upper[c - 1] + 1) / 100
+            k = np.arange(d + 1, 2 * d + 12)
+            empty = np.exp(-least / k)
+            full = k * (1 - empty) - 3.5 * np.sqrt(k * empty * (1 - empty))
+            self.counts[c] = int(k[np.argmax(full >= d + 1)] if (full >= d + 1).any() else k[np.argmax(full)])
+        return self.counts[c]
+
     def signatures(self, t: np.ndarray) -> np.ndarray:
         out = [np.empty(0, np.uint64)]
         for c in self.schemes(len(t)):
-            upper = self.upper[c]
-            paired = upper <= PAIRED
-            k = self.differ(2 * upper) + (2 if paired else 1)
+            d, paired = self.differ(2 * self.upper[c]), self.upper[c] <= PAIRED
+            k = d + 2 if paired else self.count(c)
             sums, full = bucket_sums(t, k)
             names = mixed(np.arange(k, dtype=np.uint64) + np.uint64(c << 32))
             with np.errstate(over="ignore"):
@@ -122,7 +140,7 @@ class Buckets:
                     out.append(mixed(sums[i] + sums[j] + mixed(names[i] * A + names[j])))
                 else:
                     out.append(mixed(sums + names)[full])
-                    if not full.all():  # an equal empty bucket says little: with a bucket of another cut
+                    if full.sum() <= d:  # an empty bucket may be all that is equal: with a bucket of another cut
                         again, _ = bucket_sums(np.sort(mixed(t)), k)
                         for e in np.flatnonzero(~full):
                             out.append(mixed(again + mixed(names * B + names[e])))
@@ -139,7 +157,7 @@ def bucket_sums(t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_rows(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, n) of every row; node names the class."""
+    """(doc_id, node, n, keys) of every row; node names the class, keys are the KEYS smallest hashes of its set."""
 
     def run(batches):
         import pyarrow as pa
@@ -147,9 +165,9 @@ def set_rows(docs: DataFrame, shingle: int) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             sets = [token_set(raw, shingle, hashes) for raw in raw_texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([class_of(t) for t in sets], pa.int64()), pa.array([len(t) for t in sets], pa.int64())], ["doc_id", "node", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([class_of(t) for t in sets], pa.int64()), pa.array([len(t) for t in sets], pa.int64()), pa.array([t[:KEYS].view(np.int64).tolist() for t in sets], pa.list_(pa.int64()))], ["doc_id", "node", "n", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long")
+    return docs.mapInArrow(run, "doc_id long, node long, n long, keys array<long>")
 
 
 def signature_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -180,12 +198,11 @@ def signature_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 def shared_signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(sig, node, n, pivot, pivot_n) of the signatures that several classes emit."""
+    """(sig, node, n, times) of the signatures that several classes emit, with their number; a class may stand twice."""
     by = Window.partitionBy("sig")
     rows = signature_rows(docs, shingle, percent)
-    least = F.min(F.struct("node", "n")).over(by)
-    rows = rows.withColumn("p", least).withColumn("most", F.max("node").over(by)).where(F.col("p.node") != F.col("most"))
-    return cut(rows.select("sig", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")).distinct())
+    rows = rows.withColumn("least", F.min("node").over(by)).withColumn("most", F.max("node").over(by)).withColumn("times", F.count("*").over(by))
+    return rows.where("least <> most").select("sig", "node", "n", "times")
 
 
 class Sets:
@@ -253,50 +270,162 @@ def verified(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
     return overlaps(full, lambda i, n, m: 100 * i >= percent * (n + m - i), "a long, b long").distinct()
 
 
-def token_groups(members: DataFrame, sets: Sets) -> DataFrame:
-    """(part, tokens): the token union of each part."""
-    tokens = sets.of(members.select("node"))
-
-    def union(rows):
-        import pandas as pd
-
-        every = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["tokens"]]))
-        return pd.DataFrame({"part": [rows["part"].iloc[0]], "tokens": [every.tobytes()]})
-
-    return members.select("part", "node").join(tokens, "node").groupBy("part").applyInPandas(union, "part long, tokens binary")
+def compared(a: dict, b: dict | None, percent: int) -> list[tuple[int, int]]:
+    """Links between the members of two parts (or within one) that join different groups, a forest of them.
+
+    A member of a is compared with b's members only if b's token union covers enough of it; then its
+    intersections with all of them are counted at once, over the sorted tokens of b with their owners.
+    """
+    other = b or a
+    sizes = np.array([len(t) for t in other["tokens"]])
+    owner, tokens = np.repeat(np.arange(len(sizes)), sizes), np.concatenate(other["tokens"])
+    order = np.argsort(tokens, kind="stable")
+    owner, tokens = owner[order], tokens[order]
+    union, first = np.unique(tokens, return_index=True)
+    ends = np.append(first[1:], len(tokens))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    out = []
+    for i, (node, group, t) in enumerate(zip(a["node"], a["grp"], a["tokens"], strict=True)):
+        at = np.minimum(np.searchsorted(union, t), len(union) - 1)
+        at = at[union[at] == t]
+        if 100 * len(at) < percent * len(t):
+            continue
+        lengths = ends[at] - first[at]
+        spots = np.repeat(first[at] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        both = np.bincount(owner[spots], minlength=len(sizes))
+        for j in np.flatnonzero(100 * both >= percent * (len(t) + sizes - both)).tolist():
+            x, y = find(group), find(other["grp"][j])
+            if x != y and (b is not None or j != i):
+                root[x] = y
+                out.append((node, other["node"][j]))
+    return out
+
+
+def families(shared: DataFrame) -> DataFrame:
+    """(node, family): the pivot that a class shares most signatures with.
+
+    The pivot of a signature is its most central class: the one whose signatures have the most classes.
+    """
+    central = shared.groupBy("node").agg((F.sum("times") / F.max("n")).alias("central"))
+    best = F.max(F.struct("central", "node", "n")).over(Window.partitionBy("sig"))
+    rows = shared.join(central, "node").withColumn("p", best)
+    times = rows.groupBy("node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")).agg(F.count("*").alias("k"))
+    mine = F.max_by(F.struct("pivot", "pivot_n"), F.struct((F.col("node") == F.col("pivot")).alias("own"), "k", "pivot"))
+    return times.groupBy("node", "n").agg(mine.alias("p")).select("node", "n", F.col("p.pivot").alias("family"), F.col("p.pivot_n").alias("family_n"))
 
 
 def links(docs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between classes that give the components of all links."""
     sets = Sets(docs, rows, shingle)
-    shared = shared_signatures(docs, shingle, percent)
-    near = shared.where((F.col("node") != F.col("pivot")) & bounded_sizes(F.col("n"), F.col("pivot_n"), percent))
-    best = near.groupBy("node", "pivot").agg(F.count("*").alias("times")).groupBy("node").agg(F.max_by("pivot", F.struct("times", F.col("pivot"))).alias("pivot"))
-    first = cut(verified(best.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets, percent))
+    stored = Stored(docs.sparkSession)
+    shared = stored(shared_signatures(docs, shingle, percent))
+    family = cut(families(shared))
+    near = family.where((F.col("node") != F.col("family")) & bounded_sizes(F.col("n"), F.col("family_n"), percent))
+    first = cut(verified(near.select(F.col("family").alias("a"), F.col("node").alias("b")), sets, percent))
 
     # What is left: signatures whose classes are in different groups.
     group = components(first).withColumnRenamed("component", "grp")
-    placed = shared.select("sig", "node", "n").join(group, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    mixed_sigs = placed.groupBy("sig").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("sig")
-    placed = cut(placed.join(mixed_sigs, "sig"))
-    others = placed.groupBy("sig", F.col("grp").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    possible = (F.col("n") * 100 >= F.col("lo") * percent) & (F.col("hi") * 100 >= F.col("n") * percent)
-    asked = cut(placed.join(others, "sig").where((F.col("grp") > F.col("other")) & possible).select("node", "n", "other").distinct())
-
-    nodes = shared.select("node", "n").distinct().join(group, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    nodes = nodes.join(asked.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi")
-    sizes = nodes.groupBy("grp").agg(F.count("*").alias("size"))
-    members = nodes.join(sizes, "grp").withColumn("part", F.xxhash64("grp", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / PART))))
-    members = cut(members.select("grp", "part", "node", "n"))
-    parts = members.select("grp", "part").distinct()
-
-    queries = asked.join(parts.withColumnRenamed("grp", "other"), "other").select(F.col("node").alias("a"), "n", "part")
-    own = sets.of(queries.select(F.col("a").alias("node")))
-    matrix = token_groups(members, sets)
-    bound = queries.join(own.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(matrix.select("part", F.col("tokens").alias("y")), "part")
-    opened = cut(overlaps(bound, lambda i, n, m: 100 * i >= percent * n, "a long, n long, part long"))
-    pairs = opened.withColumnRenamed("n", "a_n").join(members, "part").where(bounded_sizes(F.col("a_n"), F.col("n"), percent) & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b"))
-    return first.union(verified(pairs, sets, percent))
+    placed = shared.select("sig", "node").join(group, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    left = placed.groupBy("sig").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("sig")
+    placed = stored(placed.join(left, "sig"))
+
+    members = placed.select("node", "grp").distinct().join(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "node")
+    members = cut(members)
+    named = members.select("node", F.explode("keys").alias("key"))
+    popular = named.groupBy("key").agg(F.count("*").alias("k"))
+    home = named.join(popular, "key").groupBy("node").agg(F.max_by("key", F.struct("k", "key")).alias("family"))
+    members = members.join(home, "node")
+    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / PART_TOKENS)).alias("parts"))
+    members = cut(members.join(sizes, "family").select("node", "grp", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("part")))
+    by_sig = placed.select("sig", "node").join(members, "node").groupBy("sig", "part").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+    other = by_sig.select("sig", F.col("part").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"))
+    mixed_ = (F.least("lo", "other_lo") < F.greatest("hi", "other_hi")) & (F.col("part") <= F.col("other"))
+    pairs = cut(by_sig.join(other, "sig").where(mixed_).select("part", "other").distinct())
+
+    member = F.struct("node", "grp", "tokens")
+    tokens = stored(members.join(sets.of(members.select("node")), "node").groupBy("part").agg(F.collect_list(member).alias("m")))
+    pairs = bounded(pairs, tokens, percent, stored)
+    both = pairs.join(tokens, "part").join(tokens.select(F.col("part").alias("other"), F.col("m").alias("om")), "other")
+    rest = opened(both, percent)
+    stored.remove()
+    return first.union(rest)
+
+
+def token_bits(tokens: np.ndarray) -> bytes:
+    """A bit for each of BITS groups of tokens that the set has."""
+    out = np.zeros(BITS, np.uint8)
+    out[(tokens >> np.uint64(20)) % np.uint64(BITS)] = 1
+    return np.packbits(out).tobytes()
+
+
+def may_link(a: dict, b: dict, percent: int, same: bool) -> bool:
+    """Whether two parts have members of different groups that their bits don't rule out.
+
+    A token group that x has and y hasn't is at least one token of x outside y.
+    """
+    x, y, n, m = a["bits"], b["bits"], a["n"][:, None], b["n"][None, :]
+    outside = np.array([np.bitwise_count(row & ~y).sum(1, dtype=np.int64) for row in x])
+    back = np.array([np.bitwise_count(~row & y).sum(1, dtype=np.int64) for row in x])
+    most = np.minimum(n - outside, m - back)
+    yes = (100 * most >= percent * (n + m - most)) & (a["grp"][:, None] != b["grp"][None, :])
+    return bool(np.triu(yes, 1).any() if same else yes.any())
+
+
+def bounded(pairs: DataFrame, tokens: DataFrame, percent: int, stored: Stored) -> DataFrame:
+    """The token-group matrix: pairs of parts that the bits of their members don't rule out."""
+
+    def marks(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(part, [r["grp"] for r in m], [len(r["tokens"]) // 8 for r in m], b"".join(token_bits(np.frombuffer(r["tokens"], np.uint64)) for r in m)) for part, m in zip(batch.column("part").to_pylist(), batch.column("m").to_pylist(), strict=True)]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["part", "grp", "n", "bits"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            columns, yes = {c: batch.column(c).to_pylist() for c in batch.schema.names}, []
+            for i in range(batch.num_rows):
+                a, b = ({"grp": np.array(columns[f"{p}grp"][i]), "n": np.array(columns[f"{p}n"][i]), "bits": np.frombuffer(columns[f"{p}bits"][i], np.uint64).reshape(-1, BITS // 64)} for p in ("", "o_"))
+                yes.append(may_link(a, b, percent, columns["part"][i] == columns["other"][i]))
+            yield batch.select(["part", "other"]).filter(pa.array(yes, pa.bool_()))
+
+    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 32)
+    bits = stored(tokens.mapInArrow(marks, "part long, grp array<long>, n array<long>, bits binary"))
+    other = bits.select(F.col("part").alias("other"), F.col("grp").alias("o_grp"), F.col("n").alias("o_n"), F.col("bits").alias("o_bits"))
+    kept = cut(pairs.join(bits, "part").join(other, "other").mapInArrow(run, "part long, other long"))
+    small_batches(pairs.sparkSession)
+    return kept
+
+
+def opened(pairs: DataFrame, percent: int) -> DataFrame:
+    """Links of the pairs of parts; a part has at most a bounded number of tokens."""
+
+    def read(rows) -> dict:
+        return {"node": [r["node"] for r in rows], "grp": [r["grp"] for r in rows], "tokens": [np.frombuffer(r["tokens"], np.uint64) for r in rows]}
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                same = batch.column("part")[i].as_py() == batch.column("other")[i].as_py()
+                out += compared(read(batch.column("m")[i].as_py()), None if same else read(batch.column("om")[i].as_py()), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    found = cut(pairs.select("part", "other", "m", "om").mapInArrow(run, "a long, b long").distinct())
+    small_batches(pairs.sparkSession)
+    return found
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
