@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 # The SQL of the cubes, to be used behind WITH.
 SALES = """sales AS (
-  SELECT CAST(o_orderdate AS DATE) AS time, 10.0 * (n_regionkey + 1) AS lat, 15.0 * (n_nationkey // 5) AS lon,
+  SELECT CAST(o_orderdate AS DATE) AS time, 10.0::DOUBLE * (n_regionkey + 1) AS lat, 15.0::DOUBLE * (n_nationkey // 5) AS lon,
     CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS x
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3)"""
 GRID = """grid AS (
-  SELECT CAST(l_linenumber AS INT) AS i, CAST(l_quantity AS INT) AS j, 10.0 * CAST(l_linenumber AS INT) AS lat, 5.0 * CAST(l_quantity AS INT) AS lon,
+  SELECT CAST(l_linenumber AS INT) AS i, CAST(l_quantity AS INT) AS j, 10.0::DOUBLE * CAST(l_linenumber AS INT) AS lat, 5.0::DOUBLE * CAST(l_quantity AS INT) AS lon,
     CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS f,
     CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS g FROM lineitem GROUP BY 1, 2)"""
 DAILY = """daily AS (
@@ -21,7 +21,7 @@ MONTHLY = f"""{SALES}, monthly AS (
 YEARLY = f"""{SALES}, yearly AS (
   SELECT CAST(year(time) AS INT) AS year, lat, lon, avg(x) AS x FROM sales WHERE month(time) IN (6, 7, 8) GROUP BY 1, 2, 3)"""
 CUBE = """cube AS (
-  SELECT CAST(l_linenumber AS INT) AS lev, 10.0 * (1 + CAST(l_quantity AS INT) % 5) AS lat, 15.0 * (CAST(l_quantity AS INT) // 5 % 8) AS lon, CAST(date_trunc('month', l_shipdate) AS DATE) AS time,
+  SELECT CAST(l_linenumber AS INT) AS lev, 10.0::DOUBLE * (1 + CAST(l_quantity AS INT) % 5) AS lat, 15.0::DOUBLE * (CAST(l_quantity AS INT) // 5 % 8) AS lon, CAST(date_trunc('month', l_shipdate) AS DATE) AS time,
     CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 / 100 AS t,
     CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) AS u, CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) AS v FROM lineitem
   WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-05-01' GROUP BY 1, 2, 3, 4)"""

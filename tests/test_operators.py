@@ -1,0 +1,264 @@
+"""Closed-form answers of the operators."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fieldlab.functions import scalar, stats
+from fieldlab.model import from_series, from_slab, normalise, to_series, to_slab
+from fieldlab.operators import calculus, climate, elliptic, forcing, joins, modes, reduce, regrid, select, spatial, spectral, window
+
+
+def grid(spark, f, lats=range(10, 80, 10), lons=range(0, 100, 10)):
+    return spark.createDataFrame([(1, float(y), float(x), float(f(x, y))) for y in lats for x in lons], "k int, lat double, lon double, f double")
+
+
+def test_normalise_makes_nan_null_and_dates(spark):
+    df = normalise(spark.createDataFrame([(19610101, 1.0), (19610102, float("nan"))], "date int, x double"), {"date": "time"}, time_format="yyyyMMdd")
+    rows = df.orderBy("time").collect()
+    assert str(rows[0].time) == "1961-01-01" and rows[1].x is None
+
+
+@pytest.mark.parametrize("values, mean, total", [([None, None], None, 0.0), ([1.0, None, 3.0], 2.0, 4.0), ([1.0, 2.0], 1.5, 3.0)])
+def test_null_matrix(spark, values, mean, total):
+    df = spark.createDataFrame([("2000-06-01", 1.0, 1.0, v) for v in values], "time string, lat double, lon double, x double").withColumn("time", F.to_date("time"))
+    assert reduce.area_mean(df, ["time"], ["x"]).first().x == mean
+    assert reduce.yearly_sum(df, "time", ["lat"], ["x"]).first().x == total
+    assert reduce.valid_count(df, ["lat"], "x").first().n == sum(v is not None for v in values)
+    assert reduce.composite(df, ["lat"], "x").first().x == (mean if None not in values else None)
+
+
+def test_trend_is_found_and_taken_off(spark):
+    df = spark.createDataFrame([(y, 2 + 0.1 * (y - 1961)) for y in range(1961, 2023)], "year int, x double").withColumn("cell", F.lit(1))
+    r = reduce.regression(df, ["cell"], "x", "year").first()
+    assert r.slope == pytest.approx(0.1) and r.n == 62
+    assert window.detrended(df, [], "year", "x").agg(F.max(F.abs("residual"))).first()[0] < 1e-9
+    assert reduce.correlation(df, ["cell"], "x", "year").first().r == pytest.approx(1.0)
+
+
+def test_regression_of_one_pair_is_null(spark):
+    r = reduce.regression(spark.createDataFrame([(1, 1.0, 2.0)], "c int, x double, y double"), ["c"], "y", "x").first()
+    assert r.slope is None and r.intercept is None
+
+
+def test_standardised_and_classes(spark):
+    df = spark.createDataFrame([(i, float((-1) ** i)) for i in range(10)], "i int, x double")
+    z = window.standardised(df, [], "x").withColumn("c", scalar.three_way(F.col("z")))
+    assert {r.c for r in z.collect()} == {1, -1} and {round(r.z, 9) for r in z.collect()} == {1.0, -1.0}
+
+
+def test_winter_needs_three_months_and_ignores_order(spark):
+    rows = [(f"{y}-{m:02d}-01", float(y * 100 + m)) for y in (1960, 1961, 1962) for m in range(1, 13)][::-1]
+    df = spark.createDataFrame(rows, "t string, x double").withColumn("time", F.to_date("t"))
+    got = {r.year: r["index"] for r in climate.winter_index(df, "time", "x").collect()}
+    assert got == {1961: pytest.approx((196012 + 196101 + 196102) / 3), 1962: pytest.approx((196112 + 196201 + 196202) / 3)}
+
+
+def test_quantile_interpolates(spark):
+    assert reduce.quantile(spark.createDataFrame([(float(x),) for x in (1, 2, 4, 9, 3)], "x double"), "x", 0.8).first().q == pytest.approx(5.0)
+
+
+def test_moving_average_keeps_full_windows(spark):
+    df = spark.createDataFrame([(1, i, None if i == 9 else float(i)) for i in range(12)], "cell int, d int, x double")
+    got = window.moving_average(df, ["cell"], "d", "x").orderBy("d").collect()
+    assert [r.day for r in got] == list(range(1, 9)) and [r.x for r in got] == [2.0, 3.0, 4.0, 5.0, 6.0, None, None, None]
+
+
+def test_gradients_on_an_uneven_axis(spark):
+    df = spark.createDataFrame([(1, i, float(c), float(c * c)) for i, c in enumerate((0, 1, 3, 7))], "k int, i int, c double, f double")
+    got = df.select("i", window.derivative("f", "c", ["k"], "i").alias("a"), window.coordinate_gradient("f", "c", ["k"], "i").alias("b")).orderBy("i").collect()
+    assert [r.a for r in got] == [1.0, 3.0, pytest.approx(8.0), 10.0]
+    assert [r.b for r in got] == [1.0, 2.0, 6.0, 10.0]
+
+
+def test_edges_are_told_by_place(spark):
+    df = spark.createDataFrame([(1, i, None if i == 1 else float(i)) for i in range(4)], "k int, i int, f double")
+    got = [r.g for r in df.select("i", window.index_gradient("f", ["k"], "i").alias("g")).orderBy("i").collect()]
+    assert got == [None, 1.0, None, 1.0]
+
+
+def test_solid_body_rotation(spark):
+    df = grid(spark, lambda x, y: 10 * math.cos(math.radians(y))).withColumnRenamed("f", "u").withColumn("v", F.lit(0.0))
+    assert calculus.divergence(df, ["k"]).agg(F.max(F.abs("div"))).first()[0] < 1e-12
+    got = calculus.vorticity(df, ["k"]).where("lat = 40 AND lon = 50").first().vor
+    exact = 10 * math.sin(math.radians(40)) / scalar.EARTH_RADIUS
+    assert got == pytest.approx(exact, rel=0.01)
+
+
+def test_poles_bands_and_rings(spark):
+    df = grid(spark, lambda x, y: 1, range(-90, 100, 30), range(0, 40, 10))
+    got = df.select("lat", select.null_poles(F.col("lat"), F.col("f")).alias("p"), select.null_band(F.col("lat"), F.col("f"), 30.0, inclusive=True).alias("b"))
+    assert {r.lat for r in got.where("p IS NULL").collect()} == {-90.0, 90.0} and {r.lat for r in got.where("b IS NULL").collect()} == {-30.0, 0.0, 30.0}
+    assert select.interior(df, ["k"]).count() == 5 * 2 == select.null_ring(df, ["k"], ["f"]).where("f IS NOT NULL").count()
+
+
+def test_flux_of_a_constant_is_zero_and_needs_a_mode(spark):
+    df = grid(spark, lambda x, y: 5).withColumnRenamed("f", "psi").withColumn("u", F.lit(10.0)).withColumn("v", F.lit(1.0))
+    for mode in (1, 2):
+        got = calculus.wave_activity_flux(df, ["k"], 250.0, mode=mode).agg(F.max(F.abs("fx")), F.max(F.abs("fy")), F.count("fx")).first()
+        assert got[0] < 1e-15 and got[1] < 1e-15 and got[2] > 0
+    with pytest.raises(ValueError):
+        calculus.wave_activity_flux(df, ["k"], 250.0, mode=3)
+
+
+def test_sweeps_agree_with_the_direct_solution():
+    lat, lon = np.arange(20.0, 62, 6), np.arange(0.0, 60, 6)
+    dx2, dy2 = elliptic.spacing(lat, lon)
+    rhs = np.random.default_rng(1).normal(size=(len(lat), len(lon))) * 1e-10
+    exact = elliptic.direct(rhs, dx2, dy2)
+    swept, sweeps, _ = elliptic.relax(rhs, dx2, dy2, 1.5, 1e-9, 5000)
+    assert np.abs(exact - swept).max() < 1e-6 and sweeps < 5000
+    plain, _, _ = elliptic.jacobi(-rhs, dx2, dy2, 1e-9, 20000)
+    assert np.abs(exact - plain).max() < 1e-5
+
+
+def test_wavefronts_equal_lexicographic_sweeps():
+    rng = np.random.default_rng(2)
+    rhs, dx2, dy2 = rng.normal(size=(6, 8)), np.full((6, 8), 1.5), np.full((6, 8), 0.7)
+    x, c = np.zeros_like(rhs), 2 / 1.5 + 2 / 0.7
+    for _ in range(3):
+        for i in range(1, 5):
+            for j in range(1, 7):
+                x[i, j] = 0.8 * x[i, j] + 0.2 * ((x[i, j + 1] + x[i, j - 1]) / 1.5 + (x[i + 1, j] + x[i - 1, j]) / 0.7 - rhs[i, j]) / c
+    assert np.allclose(elliptic.relax(rhs, dx2, dy2, 0.2, 0, 3)[0], x, atol=1e-14)
+
+
+def test_potentials_have_opposite_signs_on_request(spark):
+    df = grid(spark, lambda x, y: math.sin(x / 9) + y / 50).withColumnRenamed("f", "u").withColumn("v", F.col("lon") / 30)
+    a = elliptic.stream_function(df, ["k"]).where("lat = 40 AND lon = 50").first()
+    b = elliptic.stream_function(df, ["k"], sign="standard").where("lat = 40 AND lon = 50").first()
+    assert a.psi == pytest.approx(-b.psi) and a.u_psi == pytest.approx(-b.u_psi)
+
+
+def test_one_harmonic_and_round_trip(spark):
+    t = spectral.Truncation(n_lon=32, n_lat=16, n=10, m=10, l=10)
+    tables = spectral.legendre(t)
+    c = np.zeros((11, 11), complex)
+    c[2, 1] = 1 + 2j
+    back = spectral.forward(spectral.backward(c, t, tables), t, tables)
+    assert np.abs(back - c).max() < 1e-12
+    rng = np.random.default_rng(3)
+    for m, k in t.pairs():
+        c[m, k] = rng.normal() + (1j * rng.normal() if m else 0)
+    assert np.abs(spectral.forward(spectral.backward(c, t, tables), t, tables) - c).max() < 1e-11
+    assert spectral.Truncation().size == 1892
+    assert spectral.index_map(spark).agg(F.max("im_index")).first()[0] == 1892
+
+
+def test_meridional_derivative_tables():
+    t = spectral.Truncation(n_lon=32, n_lat=200, n=6, m=6, l=6)
+    mu, _, p, d = spectral.legendre(t)
+    lat = np.arcsin(mu)
+    for m, k in ((0, 3), (2, 1), (3, 0)):
+        assert np.abs(np.gradient(p[m, k], lat) - d[m, k])[5:-5].max() < 2e-2 * np.abs(d[m, k]).max()
+
+
+def test_rank_one_field_has_one_mode(spark):
+    df = spark.createDataFrame([(t, float(y), float(x), math.sin(t) * (x + 2 * y)) for t in range(8) for y in range(3) for x in range(4)], "time int, lat double, lon double, f double")
+    eofs, pcs, share = modes.eof(df, "time", ["lat", "lon"], "f", 2)
+    s = {r.mode: r.fraction for r in share.collect()}
+    assert s[1] == pytest.approx(1.0) and s[2] < 1e-9
+    pc = np.array([r.pc for r in pcs.where("mode = 1").orderBy("time").collect()])
+    assert pc.std(ddof=1) == pytest.approx(1.0)
+    field = eofs.where("mode = 1").join(pcs.where("mode = 1").select("time", "pc"), how="cross").withColumn("g", F.col("eof") * F.col("pc"))
+    mean = np.mean([math.sin(t) for t in range(8)])
+    worst = max(abs(r.g - (math.sin(r.time) - mean) * (r.lon + 2 * r.lat)) for r in field.collect())
+    assert worst < 1e-9
+
+
+def test_two_blobs(spark):
+    df = spark.createDataFrame([(i, [float(i % 2) * 10, float(i % 3) * 0.1]) for i in range(30)], "sample int, features array<double>")
+    got = {(r.sample % 2, r.type) for r in modes.kmeans(df, 2).collect()}
+    assert len(got) == 2 and len({t for _, t in got}) == 2
+
+
+def test_modes_add_up_to_the_series(spark):
+    x = [math.sin(i / 2) + i / 40 for i in range(60)]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "name string, t int, v double")
+    out = modes.eemd(to_series(df, ["name"], "t", "v"), ["name"], trials=2, noise=0.0)
+    total = [r.s for r in out.groupBy("at").agg(F.sum("value").alias("s")).orderBy("at").collect()]
+    assert np.allclose(total, x)
+    with pytest.raises(ValueError):
+        modes.eemd(df, ["name"], trials=0)
+
+
+def test_linear_interpolation_is_exact_for_planes(spark):
+    df = grid(spark, lambda x, y: x + 2 * y)
+    axis = lambda n, v: spark.createDataFrame([(float(x),) for x in v], f"{n} double")
+    got = regrid.interpolate(df, ["k"], "f", {"lon": axis("lon", [0, 5, 90, 95]), "lat": axis("lat", [15, 70])}).collect()
+    assert len(got) == 8 and all(r.f is None if r.lon > 90 else abs(r.f - r.lon - 2 * r.lat) < 1e-9 for r in got)
+    assert regrid.interpolate(df, ["k"], "f", {"lon": axis("lon", [95])}, missing=0.0).first().f == 0.0
+    with pytest.raises(ValueError):
+        regrid.interpolate(df, ["k"], "f", {"lon": axis("lon", [95])}, outside="error")
+
+
+def test_polygon_mask_counts_the_inside(spark):
+    df = grid(spark, lambda x, y: 1)
+    edges = spatial.edge_table(spatial.polygons(spark, [[(5, 15), (45, 15), (45, 45), (5, 45)], [(15, 25), (25, 25), (25, 35), (15, 35)]]))
+    once = spatial.masked(df, edges, ["f"])
+    assert once.where("f IS NOT NULL").count() == 4 * 3 - 1 and once.count() == df.count()
+    assert spatial.masked(once, edges, ["f"]).where("f IS NOT NULL").count() == 11
+    assert '"type":"Feature"' in spatial.geojson(spatial.polygons(spark, [[(0, 0), (1, 0), (1, 1)]])).first().value
+
+
+def test_heat_events(spark):
+    rows = [(2000, d, float(c), 0.0, 10.0 if c < {0: 0, 1: 2, 2: 10}[d] else 1.0) for d in range(3) for c in range(10)]
+    df = spark.createDataFrame(rows, "year int, dos int, lat double, lon double, x double")
+    limit = spark.createDataFrame([(5.0,)], "q double")
+    got = {r.dos: r.fraction for r in climate.extreme_events(df, "x", threshold=limit).collect()}
+    assert got == {1: 0.2, 2: 1.0}
+    assert climate.event_samples(df, climate.extreme_events(df, "x", threshold=limit), "x", limit).count() == 20
+
+
+def test_profiles_and_forcing(spark):
+    for kind, f in {1: lambda s: 8 * math.sin(math.pi * s), 2: lambda s: 8 * math.exp(-20 * (s - 0.45) ** 2), 3: lambda s: 8.0}.items():
+        rows = forcing.levels(spark).select("sigma", forcing.vertical_value(F.col("sigma"), kind).alias("v")).collect()
+        assert len(rows) == 20 and all(r.v == pytest.approx(f(r.sigma)) for r in rows)
+    spot = spark.createDataFrame([(77.0, -1.5), (77.0, 10.0), (300.0, 0.0)], "lon double, lat double")
+    assert [r.h for r in spot.select(forcing.horizontal_value(F.col("lon"), F.col("lat"), 1).alias("h")).collect()] == [0.25, 0.0, 0.0]
+    hor, ver = spot.withColumn("hor", F.lit(2.0)), spark.createDataFrame([(1, 43200.0)], "lev int, ver double")
+    assert forcing.forcing(hor, ver, {"t": 3.0}).select("v", "t").first()[:] == (0.0, 3.0)
+    for bad in (lambda: forcing.vertical_value(F.lit(1.0), 4), lambda: forcing.horizontal_value(F.lit(1.0), F.lit(1.0), 1, rx=-1), lambda: forcing.forcing(hor, ver, {"z": 1})):
+        with pytest.raises(ValueError):
+            bad()
+    assert abs(forcing.gauss_latitudes()[0] - 87.8638) < 1e-3
+
+
+def test_layouts_round_trip(spark):
+    df = grid(spark, lambda x, y: x * y).withColumn("f", F.when(F.col("lon") != 30, F.col("f")))
+    back = from_slab(to_slab(df, ["k"], "f"), ["k"], "f")
+    assert sorted(map(repr, df.select("k", "lat", "lon", "f").collect())) == sorted(map(repr, back.collect()))
+    s = from_series(to_series(df.where("lat = 10"), ["k"], "lon", "f"), ["k"], "lon", "f")
+    assert s.count() == 10
+
+
+def test_smoothing_keeps_a_constant(spark):
+    df = grid(spark, lambda x, y: 7)
+    assert window.gaussian_filter(to_slab(df, ["k"], "f")).select(F.array_max("data"), F.array_min("data")).first()[:] == (pytest.approx(7), pytest.approx(7))
+
+
+def test_joins_and_lookups(spark):
+    a, b = (spark.createDataFrame([(i, i * k) for i in range(n)], "year int, x int") for n, k in ((5, 1), (4, 10)))
+    assert joins.same_keys(a, b, "year").first()[:] == (1, False)
+    assert joins.lookup(a, b.withColumnRenamed("x", "y"), ["year"], "y", -1).where("y = -1").count() == 1
+    assert joins.of_years(a, b).count() == 4 and joins.product(a.select("x"), b.select("year")).count() == 20
+    z = joins.zipped(a, b.withColumnsRenamed({"year": "y2", "x": "x2"}), ["year"], ["y2"])
+    assert z.count() == 5 and z.where("y2 IS NULL").count() == 1
+    assert select.first_match(a, "x", 3, "year").first().year == 3
+    assert {r.year for r in select.strided(a, "year", 2).collect()} == {0, 2, 4} and {r.year for r in select.positions(a, "year", 1, 3).collect()} == {1, 2}
+    with pytest.raises(ValueError):
+        select.months(a, "year", [13])
+
+
+def test_critical_correlations():
+    assert stats.t_quantile(0.975, 43) == pytest.approx(2.0167, abs=1e-4)
+    assert [round(stats.r_crit(45, a), 3) for a in (0.01, 0.05, 0.1)] == [0.380, 0.294, 0.248]
+    with pytest.raises(ValueError):
+        stats.r_crit(2)
+
+
+def test_scalars(spark):
+    r = spark.range(1).select(scalar.char_count(F.lit("tomato Toast"), "t").alias("n"), scalar.season_key(F.lit(1961), F.lit(3)).alias("k"), scalar.longitude(F.lit(350.0), True).alias("w"), scalar.month_seconds(F.lit(2)).alias("s"), scalar.day_of(F.lit(19610203)).cast("string").alias("d"), scalar.zeros(3).alias("z"), scalar.grid_axis(0.0, 2.5, 3).alias("g")).first()
+    assert r[:] == (3, 196103, -10.0, 28.25 * 86400, "1961-02-03", [0.0, 0.0, 0.0], [0.0, 2.5, 5.0])
