@@ -45,6 +45,7 @@ class Stored:
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
         df.write.parquet(f"{self.folder}/{self.n}")
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files that led here
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
     def remove(self) -> None:
