@@ -62,7 +62,7 @@ def fold(text: str) -> str:
 def unmasked(m: re.Match) -> str:
     """A word with digits or signs for letters; signs at its end are punctuation, long mixes are codes."""
     word = m[0].rstrip("@$!")
-    if len(word) > 20 or sum(c.isdigit() for c in word) * 2 > len(word):
+    if len(word) > 20 or sum(c.isdigit() for c in word) * 3 > 2 * len(word):
         return m[0]
     return word.translate(SUBSTITUTES) + m[0][len(word) :]
 
