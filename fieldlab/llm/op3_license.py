@@ -1,9 +1,9 @@
 """License scans over a positional rare-token index.
 
 The index holds, for each word of the licence notices below, its postings (notice, position). Each file
-looks up its licence words of highest IDF (document frequencies are counted over all documents), and the
-postings vote for the place where a notice would have to begin: file position minus notice position. For
-the best place of each notice its share is the IDF weight of its words that stand where they should. A
+looks up all its licence words, and the postings vote with the word's IDF (document frequencies are counted
+over all documents) for the place where a notice would have to begin: file position minus notice position.
+For the best place of each notice its share is the IDF weight of its words that stand where they should. A
 label holds if its mandatory key phrases are in the file. Phrases are found by intersecting their words'
 places, shifted by their position in the phrase, from the rarest word on, so every place is found.
 
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from fieldlab.llm.common import add_columns, raw_texts, send, small_batches, table
 from fieldlab.llm.text import words
 
-#: Licence words that a file looks up: so many of its rarest ones.
-LOOK_UPS = 16
-#: Words that more than this share of the documents hold aren't looked up for notices.
+#: Places of a long file that are voted on at once.
+BLOCK = 1 << 16
+#: Notices are reached by words that at most this share of the documents hold.
 COMMON = 0.05
 
 # Phrases that the contract names, with their labels.
@@ -58,11 +58,10 @@ class Index:
         number = lambda p: np.array([self.vocab[w.encode()] for w in p.split()])
         self.notices = [(label, number(n), [number(k) for k in keys]) for label, n, keys in notices]
         self.base = [(label, number(p)) for p, label in base.items()]
-        postings: dict[int, list[tuple[int, int]]] = {}
-        for t, (_, n, _) in enumerate(self.notices):
-            for p, w in enumerate(n.tolist()):
-                postings.setdefault(w, []).append((t, p))
-        self.postings = {w: np.array(x) for w, x in postings.items()}
+        postings = sorted((w, t, p) for t, (_, n, _) in enumerate(self.notices) for p, w in enumerate(n.tolist()))
+        word, self.of, self.at = np.array(postings, np.int64).reshape(-1, 3).T
+        self.first = np.searchsorted(word, np.arange(len(self.vocab) + 2))
+        self.longest = max((len(n) for _, n, _ in self.notices), default=0)
         self.idf = np.ones(len(self.vocab) + 1)
         self.rare = np.ones(len(self.vocab) + 1, bool)
 
@@ -86,30 +85,20 @@ class Index:
         return starts
 
     def shares(self, ids: np.ndarray) -> dict[int, float]:
-        """The best share of each notice that a looked-up word votes for."""
-        own = np.unique(ids)
-        own = own[self.rare[own] & (own > 0)]
-        if not len(own):
-            return {}
-        looked = own[np.argsort(-self.idf[own], kind="stable")][:LOOK_UPS]
-        votes = []
-        for w in looked.tolist():
-            if w in self.postings:
-                at, p = np.flatnonzero(ids == w), self.postings[w]
-                votes.append(np.stack([np.repeat(p[:, 0], len(at)), (at[None, :] - p[:, 1:2]).ravel()]))
-        if not votes:
-            return {}
-        found, n = np.unique(np.concatenate(votes, axis=1), axis=1, return_counts=True)
-        best: dict[int, float] = {}
-        for t in np.unique(found[0]).tolist():
-            own = found[0] == t
-            notice = self.notices[t][1]
-            weight = self.idf[notice]
-            for start in found[1][own][n[own] == n[own].max()].tolist():
-                span = np.arange(max(0, start), max(0, min(len(ids), start + len(notice))))
-                same = ids[span] == notice[span - start]
-                best[t] = max(best.get(t, 0.0), float((weight[span - start] * same).sum() / weight.sum()))
-        return best
+        """The share of each notice with a rare word in the file, at its best place; all words of the file vote."""
+        best = np.zeros(len(self.notices))
+        hits = np.flatnonzero(ids)
+        reached = {t for w in np.unique(ids[hits]).tolist() if self.rare[w] for t in self.of[self.first[w] : self.first[w + 1]].tolist()}
+        for low in range(-self.longest, len(ids), BLOCK):
+            width = min(BLOCK, len(ids) - low)
+            near = hits[slice(*np.searchsorted(hits, [low, low + width + self.longest]))]
+            first, n = self.first[ids[near]], self.first[ids[near] + 1] - self.first[ids[near]]
+            posting = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+            place = np.repeat(near, n) - self.at[posting] - low
+            mine = (place >= 0) & (place < width)
+            votes = np.bincount((self.of[posting] * width + place)[mine], np.repeat(self.idf[ids[near]], n)[mine], len(best) * width)
+            best = np.maximum(best, votes.reshape(len(best), width).max(axis=1))
+        return {t: best[t] / self.idf[self.notices[t][1]].sum() for t in np.flatnonzero(best).tolist() if t in reached}
 
     def scan(self, raw: bytes) -> tuple[int, list[int], list[str], list[str], float]:
         ids = self.numbers(words(raw))
@@ -125,9 +114,9 @@ class Index:
             label, _, keys = self.notices[t]
             if all(len(self.places(ids, k)) for k in keys):
                 labels.add(label)
-                score = max(score, share)
+                score = max(score, float(share))
             else:
-                score = max(score, share / 2)
+                score = max(score, float(share) / 2)
         return len(ids), sorted(hits), sorted(set(base)), sorted(labels), min(1.0, score)
 
 

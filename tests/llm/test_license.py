@@ -30,3 +30,25 @@ def test_odd_rows(spark):
     got = op.scan_licenses(odd(spark, labels="mine", score=3)).collect()
     assert len(got) == 8 and all(r.labels == [] and r.places == [] for r in got)
     assert op.scan_licenses(docs(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_every_licence_of_a_long_text(spark):
+    """The notice of 16 rare words must not keep the others from being looked up."""
+    notices = [n for _, n, _ in op.NOTICES]
+    texts = [f"{notices[1]}. Also licensed under the GNU General Public License, version 3.", " and ".join(notices)]
+    filler = ["nothing of the kind here"] * 80 + ["gnu general public license version 3 mozilla"] * 2
+    got = {r.doc_id: r for r in op.scan_licenses(docs(spark, texts + filler)).collect()}
+    assert got[0].labels == ["gpl-3", "mit"] and got[0].score == 1.0
+    assert got[1].labels == sorted({label for label, _, _ in op.NOTICES})
+
+
+def test_shares_equal_brute_force(monkeypatch):
+    """Also where a file is longer than a block of places."""
+    monkeypatch.setattr(op, "BLOCK", 7)
+    index = op.Index()
+    index.weigh({i: i % 5 for i in range(len(index.vocab))}, 1000)
+    text = "the gnu general public license x version 3 " * 3 + "all rights reserved licensed under cc by"
+    ids = index.numbers([w.encode() for w in text.split()])
+    for t, (_, notice, _) in enumerate(index.notices):
+        fits = [sum(index.idf[w] for k, w in enumerate(notice) if 0 <= s + k < len(ids) and ids[s + k] == w) for s in range(-len(notice), len(ids))]
+        assert abs(index.shares(ids).get(t, 0) - max(fits) / index.idf[notice].sum()) < 1e-9
