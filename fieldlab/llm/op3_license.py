@@ -24,8 +24,6 @@ from fieldlab.llm.text import words
 
 #: Places of a long file that are voted on at once.
 BLOCK = 1 << 16
-#: Notices are reached by words that at most this share of the documents hold.
-COMMON = 0.05
 
 # Phrases that the contract names, with their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -61,14 +59,16 @@ class Index:
         postings = sorted((w, t, p) for t, (_, n, _) in enumerate(self.notices) for p, w in enumerate(n.tolist()))
         word, self.of, self.at = np.array(postings, np.int64).reshape(-1, 3).T
         self.first = np.searchsorted(word, np.arange(len(self.vocab) + 2))
+        self.needs = np.zeros((len(self.notices), len(self.vocab) + 1), bool)
+        for t, (_, _, keys) in enumerate(self.notices):
+            for k in keys:
+                self.needs[t, k] = True
         self.longest = max((len(n) for _, n, _ in self.notices), default=0)
         self.idf = np.ones(len(self.vocab) + 1)
-        self.rare = np.ones(len(self.vocab) + 1, bool)
 
     def weigh(self, df: dict[int, int], n: int) -> None:
         count = np.array([df.get(i, 0) for i in range(len(self.vocab) + 1)])
         self.idf = np.log((n + 1) / (count + 0.5))
-        self.rare = count <= COMMON * n
 
     def numbers(self, w: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocab.get, w, repeat(0)), np.int64, len(w))
@@ -85,10 +85,9 @@ class Index:
         return starts
 
     def shares(self, ids: np.ndarray) -> dict[int, float]:
-        """The share of each notice with a rare word in the file, at its best place; all words of the file vote."""
+        """The share of each notice at its best place; all words of the file vote."""
         best = np.zeros(len(self.notices))
         hits = np.flatnonzero(ids)
-        reached = {t for w in np.unique(ids[hits]).tolist() if self.rare[w] for t in self.of[self.first[w] : self.first[w + 1]].tolist()}
         for low in range(-self.longest, len(ids), BLOCK):
             width = min(BLOCK, len(ids) - low)
             near = hits[slice(*np.searchsorted(hits, [low, low + width + self.longest]))]
@@ -98,7 +97,7 @@ class Index:
             mine = (place >= 0) & (place < width)
             votes = np.bincount((self.of[posting] * width + place)[mine], np.repeat(self.idf[ids[near]], n)[mine], len(best) * width)
             best = np.maximum(best, votes.reshape(len(best), width).max(axis=1))
-        return {t: best[t] / self.idf[self.notices[t][1]].sum() for t in np.flatnonzero(best).tolist() if t in reached}
+        return {t: best[t] / self.idf[self.notices[t][1]].sum() for t in np.flatnonzero(best).tolist()}
 
     def scan(self, raw: bytes) -> tuple[int, list[int], list[str], list[str], float]:
         ids = self.numbers(words(raw))
@@ -109,10 +108,13 @@ class Index:
                 hits.extend(at.tolist())
                 base.append(label)
         shares = self.shares(ids)
+        absent = np.ones(len(self.vocab) + 1, bool)
+        absent[ids] = False
+        whole = ~(self.needs & absent).any(axis=1)
         labels, score = set(base), 1.0 if base else 0.0
         for t, share in shares.items():
             label, _, keys = self.notices[t]
-            if all(len(self.places(ids, k)) for k in keys):
+            if whole[t] and all(len(self.places(ids, k)) for k in keys):
                 labels.add(label)
                 score = max(score, float(share))
             else:

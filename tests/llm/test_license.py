@@ -52,3 +52,13 @@ def test_shares_equal_brute_force(monkeypatch):
     for t, (_, notice, _) in enumerate(index.notices):
         fits = [sum(index.idf[w] for k, w in enumerate(notice) if 0 <= s + k < len(ids) and ids[s + k] == w) for s in range(-len(notice), len(ids))]
         assert abs(index.shares(ids).get(t, 0) - max(fits) / index.idf[notice].sum()) < 1e-9
+
+
+def test_frequent_notices_keep_their_labels(spark):
+    """A table of one document, and one where a third of the rows carry the same notice."""
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    one = op.scan_licenses(docs(spark, [gpl])).first()
+    assert one.labels == ["gpl-3"] and one.score > 0.999
+    for notice, label in [(gpl, "gpl-3"), ("Copyright. All rights reserved.", "proprietary"), ("Licensed under CC BY-SA 4.0.", "cc-by-sa")]:
+        got = op.scan_licenses(docs(spark, [notice, "nothing of the kind", "plain words"] * 20)).collect()
+        assert all(r.labels == ([label] if r.doc_id % 3 == 0 else []) for r in got)
