@@ -671,8 +671,8 @@ def event_sessions(spark, d):
 
 
 def flow(spark, d) -> DataFrame:
-    """A small wind field."""
-    return price_grid(spark, d).where("j <= 20").select("lat", "lon", (F.col("f") / 1000).alias("u"), (F.col("g") * 100).alias("v"), F.lit(1).alias("k"))
+    """A wind field over the whole grid."""
+    return price_grid(spark, d).select("lat", "lon", (F.col("f") / 1000).alias("u"), (F.col("g") * 100).alias("v"), F.lit(1).alias("k"))
 
 
 @query()
@@ -727,7 +727,7 @@ def kmeans(spark, d):
 
 @query()
 def cluster_curve(spark, d):
-    return modes.cluster_curve(samples(spark, d), 6)
+    return modes.cluster_curve(samples(spark, d))
 
 
 @query()

@@ -41,3 +41,29 @@ def test_query_beyond_sql_runs(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["poisson_sor", "stream_function", "velocity_potential"])
+def test_elliptic_queries_cover_the_grid(spark, name):
+    """All 7 x 50 cells, and only the ring of the whole grid without values (or 0)."""
+    got = {(r.lat, r.lon): r for r in catalog.QUERIES[name](spark, DATA).collect()}
+    assert set(got) == {(10.0 * i, 5.0 * j) for i in range(1, 8) for j in range(1, 51)}
+    value = "chi" if name == "velocity_potential" else "psi"
+    assert {k for k, r in got.items() if not r[value]} == {(10.0 * i, 5.0 * j) for i in range(1, 8) for j in range(1, 51) if i in (1, 7) or j in (1, 50)}
+
+
+def test_sor_of_the_grid_equals_the_direct_solution(spark):
+    from fieldlab.operators import calculus, elliptic
+
+    rows = calculus.vorticity(catalog.flow(spark, DATA), ["k"], to="rhs").select("k", "lat", "lon", "rhs")
+    exact = {(r.lat, r.lon): r.psi for r in elliptic.poisson(rows, ["k"], "rhs", "psi").collect()}
+    swept = {(r.lat, r.lon): r.psi for r in catalog.QUERIES["poisson_sor"](spark, DATA).collect()}
+    assert len(exact) == 350 and all(abs(swept[k] - exact[k]) < 1 for k in exact) and max(map(abs, exact.values())) > 1e5
+
+
+def test_prototype_covers_the_interior(spark):
+    assert catalog.QUERIES["prototype_stream_function"](spark, DATA).count() == 5 * 48
+
+
+def test_cluster_curve_goes_to_twenty(spark):
+    assert [r.k for r in catalog.QUERIES["cluster_curve"](spark, DATA).orderBy("k").collect()] == list(range(2, 21))
