@@ -5,8 +5,12 @@ matter: case of addresses, separators of numbers). The norm gets a core, derived
 numbers and names of the same kind, with as many characters of the same script, card numbers with the same
 first digit and a right check digit, given names of the same gender. The core is written out in the
 entity's own format. A dictionary of all norms checks the cores: where two norms share one, or a core is
-somebody's real norm, all but the first get another attempt, until all are distinct. So the same entity has
-the same surrogate in every document, and different ones different surrogates.
+somebody's real norm, all but the first get another attempt, until all are distinct; after ATTEMPTS, each
+attempt makes the core one character (Latin family names: one syllable) longer, so there is always room. So
+the same entity has the same surrogate in every document, and different ones different surrogates.
+
+Phones are written with or without a country code in groups of 3, 3 and 4, with + or 00 and groups of any
+usual length, or with a leading 0 (five pairs, or an area code and 6 to 8 digits).
 
 Texts without entities pass by narrowly. For the others the dictionary is joined to the distinct (text,
 entity) pairs, and each text gets its own surrogates back; joins are by hash of the whole text, and the
@@ -18,6 +22,8 @@ rows are treated alike. A column named n_entities is replaced; others pass throu
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +31,7 @@ from fieldlab.llm.common import cut, table
 
 KEY = "fieldlab"
 MARK = "﷐"
-#: Attempts for distinct cores.
+#: Attempts for distinct cores of the usual length.
 ATTEMPTS = 50
 
 # Patterns of the kinds, tried in this order at each place.
@@ -36,6 +42,9 @@ PATTERNS = [
     r"(?<![0-9A-Za-z])(?:(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])",
     r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     r"(?<![0-9+])\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    r"(?<![0-9+]|[0-9][.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    r"(?<![0-9+]|[0-9][.,-])(?:\+|00)(?=(?:[ ./()-]{0,3}[0-9]){7})[1-9][0-9]{0,2}(?:[ ./-]?\(?[0-9]{1,5}\)?)?(?:[ ./-]?[0-9]{2,4}){2,5}(?![0-9])",
+    r"(?<![0-9+]|[0-9][.-])(?:0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})|\(?0[1-9][0-9]{1,3}\)?[ /-][0-9]{6,8})(?![0-9])",
     r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     r"(?<!\p{L})(?:" + "|".join(TITLES) + r")\.? " + NAME_PART + "(?: " + NAME_PART + ")?",
@@ -57,7 +66,7 @@ def kind(entity: Column) -> Column:
         .when(entity.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(entity.rlike(r"^(?:[0-9a-fA-F]{32,128}|AKIA.*|gh[pousr]_.*|sk-.*)$"), "secret")
         .when(entity.rlike(r"^[0-9]([ -]?[0-9]){12,18}$"), "card")
-        .when(entity.rlike(r"^[+0-9]"), "phone")
+        .when(entity.rlike(r"^[+(0-9]"), "phone")
         .otherwise("name")
     )
 
@@ -101,19 +110,25 @@ def luhn_sum(digits: Column) -> Column:
 def core(of: Column, name: Column, attempt: Column) -> Column:
     """The surrogate of a norm."""
     h = keyed(of, name, attempt.cast("string"))
+    more = F.greatest(attempt - ATTEMPTS, F.lit(0))
+    tail = lambda letter: F.repeat(F.lit(letter), more)
     domain = F.element_at(F.split(name, "@"), -1)
     hd = keyed(F.lit("domain"), domain)
-    email = F.concat(alike(F.element_at(F.split(name, "@"), 1), h), F.lit("@m"), number(hd, 1, 10000).cast("string"), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), number(hd, 9, 3) + 1))
+    email = F.concat(alike(F.concat(F.element_at(F.split(name, "@"), 1), tail("a")), h), F.lit("@m"), number(hd, 1, 10000).cast("string"), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), number(hd, 9, 3) + 1))
     n = F.char_length(name)
-    body = F.concat(F.substring(name, F.lit(1), F.lit(1)), alike(F.substring(name, F.lit(2), n - 2), h))
+    body = F.concat(F.substring(name, F.lit(1), F.lit(1)), alike(F.concat(F.substring(name, F.lit(2), n - 2), tail("0")), h))
     valid = (luhn_sum(F.substring(name, F.lit(1), n - 1)) + F.substring(name, n, F.lit(1)).cast("int")) % 10 == 0
     card = F.concat(body, F.when(valid, ((10 - luhn_sum(body) % 10) % 10).cast("string")).otherwise(alike(F.substring(name, n, F.lit(1)), F.substring(h, 65, 64))))
-    phone = F.concat(F.substring(name, F.lit(1), n - 10), alike(F.substring(name, n - 9, F.lit(10)), h))
+    kept = F.greatest(n - 10, F.char_length(F.regexp_extract(name, "^0*", 0)))
+    phone = F.concat(F.substring(name, F.lit(1), kept), alike(F.concat(F.substring(name, kept + 1, n), tail("0")), h))
     ip = F.concat_ws(".", (number(h, 1, 223) + 1).cast("string"), number(h, 5, 256).cast("string"), number(h, 9, 256).cast("string"), (number(h, 13, 254) + 1).cast("string"))
-    syllable = lambda i: F.element_at(F.array(*map(F.lit, SYLLABLES)), number(h, 4 * i + 1, len(SYLLABLES)) + 1)
-    family = F.when(name.rlike("^[\\x00-\\x{24f}]+$"), F.initcap(F.concat(*[syllable(i) for i in range(4)]))).otherwise(alike(name, h))
-    hexes = F.when(name.rlike("^[0-9a-f]+$"), F.substring(F.concat(h, h), F.lit(1), n)).otherwise(F.concat(F.substring(name, F.lit(1), F.lit(4)), alike(F.substring(name, F.lit(5), n), h)))
-    return F.when(of == "email", email).when(of == "card", card).when(of == "phone", phone).when(of == "ip", ip).when(of == "ssn", alike(name, h)).when(of == "secret", hexes).otherwise(family)
+    ip = F.concat(ip, F.when(more > 0, F.concat(F.lit(":"), alike(tail("0"), F.substring(h, 65, 64)))).otherwise(""))
+    syllable = lambda i: F.element_at(F.array(*map(F.lit, SYLLABLES)), number(h, 4 * i % 128 + 1, len(SYLLABLES)) + 1)
+    letter = F.coalesce(F.nullif(F.regexp_extract(name, "[а-яё]|[α-ω]", 0), F.lit("")), F.lit("a"))
+    other = alike(F.concat(name, F.repeat(letter, more)), h)
+    family = F.when(name.rlike("^[\\x00-\\x{24f}]+$"), F.initcap(F.concat(*[syllable(i) for i in range(4)], F.array_join(F.transform(F.sequence(F.lit(0), more), lambda i: F.when(i > 0, syllable(3 + i)).otherwise("")), "")))).otherwise(other)
+    hexes = F.when(name.rlike("^[0-9a-f]+$"), F.substring(F.concat(h, h), F.lit(1), n + more)).otherwise(F.concat(F.substring(name, F.lit(1), F.lit(4)), alike(F.concat(F.substring(name, F.lit(5), n), tail("a")), h)))
+    return F.when(of == "email", email).when(of == "card", card).when(of == "phone", phone).when(of == "ip", ip).when(of == "ssn", alike(F.concat(name, tail("0")), h)).when(of == "secret", hexes).otherwise(family)
 
 
 def written(entity: Column, of: Column, surrogate: Column) -> Column:
@@ -126,6 +141,7 @@ def written(entity: Column, of: Column, surrogate: Column) -> Column:
     name = F.concat_ws(" ", F.element_at(F.split(entity, " "), 1), F.when(F.size(F.split(entity, " ")) > 2, first), surrogate)
     place = lambda i: F.char_length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9]", ""))
     digits = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(surrogate, place(i), F.lit(1))).otherwise(c)), "")
+    digits = F.concat(digits, F.substring(surrogate, F.char_length(F.regexp_replace(entity, "[^0-9]", "")) + 1, F.char_length(surrogate)))
     cased = F.when(entity == F.upper(entity), F.upper(surrogate)).otherwise(surrogate)
     return F.when(of.isin("phone", "card", "ssn"), digits).when(of.isin("email", "secret"), cased).when(of == "name", name).otherwise(surrogate)
 
@@ -134,7 +150,7 @@ def dictionary(norms: DataFrame) -> DataFrame:
     """(kind, norm, core) of the distinct (kind, norm), cores distinct within a kind and nobody's norm."""
     names = norms.select("kind", "norm").distinct()
     made = cut(names.withColumn("attempt", F.lit(0)).withColumn("core", core(F.col("kind"), F.col("norm"), F.lit(0))))
-    for attempt in range(1, ATTEMPTS + 1):
+    for attempt in count(1):
         first = made.groupBy("kind", "core").agg(F.min("norm").alias("first"), F.count("*").alias("n"))
         real = made.select("kind", F.col("norm").alias("core"), F.lit(True).alias("real"))
         clash = first.join(real, ["kind", "core"], "left").where((F.col("n") > 1) | F.col("real"))
@@ -142,7 +158,7 @@ def dictionary(norms: DataFrame) -> DataFrame:
             break
         bad = made.join(clash, ["kind", "core"]).where(F.col("real") | (F.col("norm") != F.col("first"))).select("kind", "norm", F.lit(attempt).alias("again"))
         made = made.join(bad, ["kind", "norm"], "left")
-        made = cut(made.select("kind", "norm", F.coalesce("again", "attempt").alias("attempt"), F.when(F.col("again").isNotNull(), core(F.col("kind"), F.col("norm"), F.lit(attempt))).otherwise(F.col("core")).alias("core")))
+        made = cut(made.select("kind", "norm", F.coalesce("again", "attempt").alias("attempt"), F.when(F.col("again").isNotNull(), core(F.col("kind"), F.col("norm"), F.col("again"))).otherwise(F.col("core")).alias("core")))
     return made.select("kind", "norm", "core")
 
 

@@ -63,3 +63,37 @@ def test_query_leaves_nothing(spark):
     before = {x for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect() for x in re.findall(r"[\w.]+@[\w.]+\w|\b\d{16}\b|\+1 \(\d{3}\) \d{3}-\d{4}", r.text)}
     after = op.query(spark, folder).collect()
     assert before and len(after) == 200 and not any(x in r.text for r in after for x in before)
+
+
+def test_local_and_european_phones(spark):
+    phones = ["(555) 123-4567", "555-123-4567", "555 123 4567", "+49 30 12345678", "+49 (0)30 1234 5678", "+33 1 23 45 67 89", "0033 1 23 45 67 89", "+34 612 345 678", "+4930123456", "01 23 45 67 89", "030 12345678", "(030) 12345678", "030/1234567", "+1 (017) 555-7713"]
+    rows = op.surrogates(docs(spark, [f"Call {p}, or write." for p in phones])).orderBy("doc_id").collect()
+    for p, r in zip(phones, rows, strict=True):
+        assert r.n_entities == 1 and p not in r.text
+        assert re.sub("[0-9]", "0", r.text) == re.sub("[0-9]", "0", f"Call {p}, or write.")
+    plain = ["on 01.02.2024 and 2024-11-05 at 12:30", "1 234 567 people, 12 345 678 others", "3.14159265, 5.0012345678 and +12.5", "1990-2020, 12-555-1234"]
+    assert all(r.n_entities == 0 and r.text == plain[r.doc_id] for r in op.surrogates(docs(spark, plain)).collect())
+
+
+def test_distinct_where_the_usual_length_has_no_room(spark, monkeypatch):
+    """More norms than cores of their length: the rest get longer ones, down to the written text."""
+    monkeypatch.setattr(op, "ATTEMPTS", 2)
+    rows = [("ssn", f"{i:02d}") for i in range(100)] + [("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"] + [("name", c) for c in "абвгдежзиклмнопрстуфхцчшщыэюя"] + [("phone", str(i)) for i in range(1, 10)] + [("card", f"4{i:02d}") for i in range(100)]
+    names = spark.createDataFrame(rows, "kind string, norm string")
+    got = op.dictionary(names).collect()
+    real = set(rows)
+    assert len(got) == len(rows) == len({(r.kind, r.core) for r in got}) and not any((r.kind, r.core) in real for r in got)
+    made = {r.norm: r.core for r in got if r.kind == "ssn"}
+    cores = spark.createDataFrame(list(made.items()), "entity string, core string")
+    from pyspark.sql import functions as F
+
+    text = {r.entity: r.text for r in cores.select("entity", op.written(F.col("entity"), F.lit("ssn"), F.col("core")).alias("text")).collect()}
+    assert text == made
+
+
+def test_family_names_lengthen(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(op, "ATTEMPTS", 3)
+    got = spark.range(1, 9).select(op.core(F.lit("name"), F.lit("Smith"), F.col("id").cast("int")).alias("c"), "id").collect()
+    assert [len(r.c) for r in sorted(got, key=lambda r: r.id)] == [8, 8, 8, 10, 12, 14, 16, 18]
