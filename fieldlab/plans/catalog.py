@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldlab.functions import scalar, stats
 from fieldlab.model import from_slab, to_series, to_slab
 from fieldlab.operators import calculus, climate, elliptic, forcing, joins, modes, reduce, regrid, select, spatial, spectral, window
-from fieldlab.plans.proxies import CUBE, DAILY, GRID, MONTHLY, SALES, YEARLY, daily_series, level_cube, monthly_cube, price_grid, sales_cube, samples, table, yearly_cube
+from fieldlab.plans.proxies import CUBE, CUBE_ALL, DAILY, GRID, MONTHLY, SALES, YEARLY, daily_series, level_cube, monthly_cube, price_grid, sales_cube, samples, table, yearly_cube
 from fieldlab.streaming import windows
 
 QUERIES: dict = {}
@@ -412,6 +412,25 @@ def temperature_budget(spark, d):
     return texted(out.select("time", "lev", "lat", "lon", steady("dTdt", 4).alias("dTdt"), steady(1e6 * F.col("adv_T"), 4).alias("adv_T"), steady(1e6 * F.col("ver"), 4).alias("ver"), steady("Q", 4).alias("Q")), "time")
 
 
+@query(f"WITH {CUBE_ALL} SELECT CAST(time AS VARCHAR) AS time, lev, lat, lon, round(1e6 * {ADV}, 4) AS adv FROM cube")
+def temperature_advection_all(spark, d):
+    out = calculus.advection(level_cube(spark, d, whole=True), ["time", "lev"])
+    return texted(out.select("time", "lev", "lat", "lon", steady(1e6 * F.col("adv"), 4).alias("adv")), "time")
+
+
+@query(f"WITH {CUBE_ALL} SELECT CAST(time AS VARCHAR) AS time, lev, lat, lon, round({STABILITY}, 4) AS sigma FROM cube")
+def static_stability_all(spark, d):
+    return texted(level_cube(spark, d, whole=True).select("time", "lev", "lat", "lon", steady(calculus.static_stability("t", "lev", ["time", "lat", "lon"]), 4).alias("sigma")), "time")
+
+
+@query(f"""WITH {CUBE_ALL}, b AS (SELECT *, {ADV} AS a, u / 1000 / 100.0 * {STABILITY} AS ver, {w3('t', 'lev, lat, lon', 'time')} AS dt FROM cube)
+SELECT CAST(time AS VARCHAR) AS time, lev, lat, lon, round(dt, 4) AS "dTdt", round(1e6 * a, 4) AS "adv_T", round(1e6 * ver, 4) AS ver, round((dt - a * {SECONDS} - ver * {SECONDS}) * {scalar.CP_DRY} / {SECONDS}, 4) AS "Q" FROM b""")
+def temperature_budget_all(spark, d):
+    rows = level_cube(spark, d, whole=True).withColumn("w", F.col("u") / 1000)
+    out = calculus.temperature_budget(rows, "time", "lev")
+    return texted(out.select("time", "lev", "lat", "lon", steady("dTdt", 4).alias("dTdt"), steady(1e6 * F.col("adv_T"), 4).alias("adv_T"), steady(1e6 * F.col("ver"), 4).alias("ver"), steady("Q", 4).alias("Q")), "time")
+
+
 # --- energy ------------------------------------------------------------------------------------------------
 
 

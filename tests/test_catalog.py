@@ -67,3 +67,10 @@ def test_prototype_covers_the_interior(spark):
 
 def test_cluster_curve_goes_to_twenty(spark):
     assert [r.k for r in catalog.QUERIES["cluster_curve"](spark, DATA).orderBy("k").collect()] == list(range(2, 21))
+
+
+@pytest.mark.parametrize("name", ["temperature_advection", "static_stability", "temperature_budget"])
+def test_level_queries_over_all_months(spark, duck, name):
+    months = {str(m) for (m,) in duck.sql("SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) FROM lineitem WHERE l_shipdate IS NOT NULL").fetchall()}
+    got = {r.time for r in catalog.QUERIES[f"{name}_all"](spark, DATA).select("time").distinct().collect()} - {None}
+    assert got == months and len(months) > 80
