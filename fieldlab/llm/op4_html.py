@@ -3,19 +3,23 @@
 The standard library's parser streams events; they become lines, one for each block of text. Each line has
 a text-to-tag ratio: its characters by the tags since the line before. The ratios are smoothed by a Gaussian
 along the page, and clustered by a threshold, their standard deviation: lines above it are content. The
-content lines choose the regions: the article, main or other container that holds most of their text. All
-lines of a chosen region belong to the text, short ones too, but for those inside elements that are no
-article text by their tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments).
-
-A line break inside a block is white space. Null, empty or text-free html gives an empty text. Markup that
-is cut off at the end is dropped. Repeated pages are treated alike; extra columns pass through.
+content lines choose the regions: the articles (or main elements) that hold any, else the innermost container
+that holds most of their text, with the h1 that stands in an element around it. All lines of a chosen region
+belong to the text, short ones too, but for those inside elements that are no article text: by tag, role or a
+class or id that names nothing else (menus, footers, sidebars, adverts, forms, scripts, styles, reader
+comments), or by a name that may be an article's own (header, notice, share ...) where the line's ratio isn't
+above the threshold either. A name is a whole class or id: boilerplate words with no others than
+structural ones, so `share-price` or `article-header` name nothing. Headings are never told by name.
+
+A line break inside a block is white space. Null, empty or text-free html gives an empty text. A comment or tag
+that is cut off at the end is dropped. Repeated pages are treated alike; extra columns pass through.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -39,32 +43,56 @@ BARRIERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"tabl
 # Elements, roles and class words that hold no article text.
 NO_TEXT = frozenset("aside button canvas dialog footer form head iframe menu nav noscript object script select style svg template textarea".split())
 NO_TEXT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-NO_TEXT_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification outbrain pager pagination popup promo promoted promotion related reply replies share sharing sidebar signup social sponsor sponsored subscribe subscription taboola toolbar".split())
-ARTICLE_WORDS = frozenset("ad ads advert advertisement comment comments promo reply sponsored".split())
+NO_TEXT_NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter outbrain pager pagination popup sidebar signup sponsor sponsored subscribe subscription taboola toolbar".split())
+PERHAPS_NO_TEXT = frozenset("alert banner disclaimer header notice notification promo promoted promotion related replies reply share sharing social".split())
+STRUCTURE = frozenset("area bar block body bottom box button buttons col column container content form global group icon icons inner item items left link links list main message outer overlay page panel primary reader right row secondary section site slot text thread title toggle top unit user widget wrap wrapper".split())
+ARTICLE_NAMES = frozenset("ad ads advert advertisement comment comments promo reply sponsored".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 
 
+def named(known: dict) -> set[str]:
+    """Boilerplate words of an element's classes and id, of those names that hold nothing else."""
+    out: set[str] = set()
+    for name in f"{known.get('class') or ''} {known.get('id') or ''}".split():
+        found = {w.lower() for w in WORD.findall(name)}
+        words = found & (NO_TEXT_NAMES | PERHAPS_NO_TEXT)
+        if words and found <= words | STRUCTURE:
+            out |= words
+    return out
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int  # since the line before
+    path: tuple[tuple[str, int], ...]  # open regions: tag and number
+    doubtful: bool  # inside an element that is perhaps no text
+    heading: bool  # of the first level
+
+
 class Lines(HTMLParser):
-    """Parser events as lines: (text, tags before it, open regions)."""
+    """Parser events as lines."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, whether it hides its text, number
-        self.hidden = self.count = self.tags = 0
+        self.open: list[tuple[str, int, int, int]] = []  # tag, whether it hides its text, whether perhaps, number
+        self.hidden = self.doubtful = self.count = self.tags = 0
         self.parts: list[str] = []
-        self.lines: list[tuple[str, int, tuple]] = []
+        self.lines: list[Line] = []
 
     def flush(self) -> None:
         if self.parts:
             if text := SPACE.sub(" ", "".join(self.parts)).strip():
-                self.lines.append((text, self.tags, tuple((t, n) for t, _, n in self.open if t in REGIONS)))
+                tags = [x[0] for x in self.open]
+                self.lines.append(Line(text, self.tags, tuple((t, n) for t, _, _, n in self.open if t in REGIONS), self.doubtful > 0, "h1" in tags))
                 self.tags = 0
             self.parts.clear()
 
     def pop_to(self, at: int) -> None:
-        for _, hides, _ in self.open[at:]:
+        for _, hides, perhaps, _ in self.open[at:]:
             self.hidden -= hides
+            self.doubtful -= perhaps
         del self.open[at:]
 
     def close_first(self, tags: set[str], barriers) -> None:
@@ -85,25 +113,27 @@ class Lines(HTMLParser):
         elif tag == "br":
             self.parts.append(" ")
         if tag not in VOID:
-            hides = self.hides(tag, attrs)
+            hides, perhaps = self.judged(tag, attrs)
             self.count += 1
-            self.open.append((tag, hides, self.count))
+            self.open.append((tag, hides, perhaps, self.count))
             self.hidden += hides
+            self.doubtful += perhaps
 
-    def hides(self, tag: str, attrs) -> bool:
-        if tag in NO_TEXT:
-            return True
-        inside = any(t == "article" for t, _, _ in self.open)
-        if tag == "header" and not inside:
-            return True
+    def judged(self, tag: str, attrs) -> tuple[bool, bool]:
+        """Whether an element hides its text, and whether it perhaps does."""
+        if tag in NO_TEXT or tag == "header" and not any(x[0] == "article" for x in self.open):
+            return True, False
         if tag in ("html", "body", "main"):
-            return False
+            return False, False
         known = dict(attrs)
         if "hidden" in known or known.get("role") in NO_TEXT_ROLES or known.get("aria-hidden") == "true" or "display:none" in (known.get("style") or "").replace(" ", ""):
-            return True
-        names = f"{known.get('class') or ''} {known.get('id') or ''}"
-        found = {w.lower() for w in WORD.findall(names)} if names != " " else ()
-        return not (ARTICLE_WORDS if tag == "article" else NO_TEXT_WORDS).isdisjoint(found)
+            return True, False
+        if tag in HEADINGS or not ("class" in known or "id" in known):
+            return False, False
+        words = named(known)
+        if tag == "article":
+            return not words.isdisjoint(ARTICLE_NAMES), False
+        return not words.isdisjoint(NO_TEXT_NAMES), bool(words)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -130,7 +160,7 @@ def uncut(html: str) -> str:
     if comment >= 0 and html.find("-->", comment + 4) < 0:
         html = html[:comment]
     tag = html.rfind("<")
-    if tag > html.rfind(">") and re.match(r"[A-Za-z/!?]|$", html[tag + 1 :]):
+    if tag > html.rfind(">") and re.match(r"[A-Za-z/!?]", html[tag + 1 :]):
         html = html[:tag]
     return html
 
@@ -142,35 +172,34 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
-def content(lines: list[tuple[str, int, tuple]]) -> np.ndarray:
-    """Which lines the threshold puts into the content cluster."""
-    ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines])
+def content(lines: list[Line]) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines the threshold puts into the content cluster, and which are above it by themselves."""
+    ratios = np.array([len(x.text) / max(1, x.tags) for x in lines])
     smooth = smoothed(ratios)
-    return smooth >= min(smooth.std(), smooth.max())
+    threshold = min(smooth.std(), smooth.max())
+    return smooth >= threshold, ratios >= threshold
 
 
-def region(lines: list[tuple[str, int, tuple]]) -> set[int]:
+def regions(lines: list[Line], is_content: np.ndarray) -> set[int]:
     """Numbers of the elements whose lines are the main text."""
     weight: dict[tuple, int] = {}
     depth: dict[tuple, int] = {}
     total = 0
-    for (text, _, path), yes in zip(lines, content(lines), strict=True):
+    for line, yes in zip(lines, is_content, strict=True):
         if yes:
-            total += len(text)
-            for d, element in enumerate(path):
-                weight[element] = weight.get(element, 0) + len(text)
+            total += len(line.text)
+            for d, element in enumerate(line.path):
+                weight[element] = weight.get(element, 0) + len(line.text)
                 depth[element] = d
     for kind in ("article", "main"):
-        own = {e: w for e, w in weight.items() if e[0] == kind}
-        if own:
-            most = max(own.values())
-            return {n for (_, n), w in own.items() if 2 * w >= most}
-        if any(e[0] == kind for _, _, path in lines for e in path):
-            by: dict[int, int] = {}
-            for text, _, path in lines:
-                for t, n in path:
-                    if t == kind:
-                        by[n] = by.get(n, 0) + len(text)
+        if own := {n for t, n in weight if t == kind}:
+            return own
+        by: dict[int, int] = {}
+        for line in lines:
+            for t, n in line.path:
+                if t == kind:
+                    by[n] = by.get(n, 0) + len(line.text)
+        if by:
             return {max(by, key=by.get)}
     holding = [e for e, w in weight.items() if w >= HOLDS * total]
     return {max(holding, key=lambda e: depth[e])[1]} if holding else set()
@@ -184,10 +213,18 @@ def main_text(html: str) -> str:
         parser.feed(html[i : i + CHUNK])
     parser.close()
     parser.flush()
-    if not parser.lines:
+    lines = parser.lines
+    if not lines:
         return ""
-    chosen = region(parser.lines)
-    return "\n".join(text for text, _, path in parser.lines if not chosen or any(n in chosen for _, n in path))
+    is_content, above = content(lines)
+    chosen = regions(lines, is_content)
+    inside = [not chosen or any(n in chosen for _, n in x.path) for x in lines]
+    around: set[tuple] = set()  # paths to what stands around a region that is no article
+    for x, yes in zip(lines, inside, strict=True):
+        if chosen and yes and not any(t in ("article", "main") for t, _ in x.path):
+            at = next(i for i, (_, n) in enumerate(x.path) if n in chosen)
+            around.update(x.path[:i] for i in range(at + 1))
+    return "\n".join(x.text for x, yes, high in zip(lines, inside, above, strict=True) if (yes or x.heading and x.path in around) and (high or not x.doubtful))
 
 
 def extract_text(pages: DataFrame, html: str = "html", to: str = "text") -> DataFrame:

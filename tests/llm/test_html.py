@@ -1,3 +1,8 @@
+import math
+import random
+
+import pytest
+
 from fieldlab.llm import op4_html as op
 
 from .common_cases import saved
@@ -25,12 +30,51 @@ def test_pages_without_article():
     assert op.main_text(page(f"<main><p>{LONG}</p></main><div><p>off</p></div>")) == one
 
 
+ONE = " ".join(LONG.split())
+
+
+@pytest.mark.parametrize(
+    "body, expected",
+    [
+        (f"<article><div class='article-header'><h1>Title</h1></div><p>{LONG}</p></article>", f"Title\n{ONE}"),
+        (f"<article><h1 class='header banner'>Title</h1><p>{LONG}</p></article>", f"Title\n{ONE}"),
+        (f"<article><p>{LONG}</p><p class='notice'>{LONG}</p></article>", f"{ONE}\n{ONE}"),
+        (f"<article><p>{LONG}</p><div class='notice'>Read <a>this</a></div></article>", ONE),
+        (f"<article><p>{LONG}</p><div id='share-price'>12 euro</div><div class='social-policy'>Of old.</div></article>", f"{ONE}\n12 euro\nOf old."),
+        (f"<article><p>{LONG}</p><div class='share'><a>A</a> <a>B</a></div><div class='relatedLinks'><a>C</a></div></article>", ONE),
+        (f"<article><p>{LONG}</p></article><article><p>{LONG[:200]}</p></article>", f"{ONE}\n{LONG[:200].strip()}"),
+        (f"<article><p>{LONG}</p><div class='comment-list'><p>{LONG}</p></div><section id=userComments><p>{LONG}</p></section></article>", ONE),
+        (f"<article><p>{LONG}</p><div class='ad'>{LONG}</div><div class='adventure ads-weekly'>Kept.</div></article>", f"{ONE}\nKept."),
+        (f"<article><p>{LONG}</p></article><article class='comment'><p>{LONG}</p></article>", ONE),
+        (f"<div id=page><div class=menu>m</div><h1>Title</h1><div id=text><p>{LONG}</p><p>{LONG}</p></div></div>", f"Title\n{ONE}\n{ONE}"),
+        (f"<header><h1>Site</h1></header><div id=text><p>{LONG}</p><p>{LONG}</p></div><div><h1>Other</h1><a>x</a></div>", f"{ONE}\n{ONE}"),
+    ],
+)
+def test_rules(body, expected):
+    assert op.main_text(page(body)) == expected
+
+
+def test_ratios_and_clusters_equal_a_plain_version():
+    rng = random.Random(5)
+    for _ in range(50):
+        lines = [op.Line("x" * rng.choice([2, 5, 30, 200, 900]), rng.randint(0, 9), (), False, False) for _ in range(rng.randint(1, 60))]
+        ratios = [len(x.text) / max(1, x.tags) for x in lines]
+        kernel = [math.exp(-0.5 * (d / op.SIGMA) ** 2) for d in range(-4, 5)]
+        smooth = [sum(k * ratios[min(max(i + d, 0), len(ratios) - 1)] for k, d in zip(kernel, range(-4, 5), strict=True)) / sum(kernel) for i in range(len(ratios))]
+        mean = sum(smooth) / len(smooth)
+        threshold = min((sum((x - mean) ** 2 for x in smooth) / len(smooth)) ** 0.5, max(smooth))
+        got = op.content(lines)
+        sure = [i for i in range(len(lines)) if abs(smooth[i] - threshold) > 1e-9]
+        assert [got[0][i] for i in sure] == [smooth[i] >= threshold for i in sure] and got[1].tolist() == [x >= threshold for x in ratios]
+
+
 def test_cut_and_broken_pages():
     one = " ".join(LONG.split())
     whole = page(f"<article><p>{LONG}</p><p>tail</p></article>")
     assert op.main_text(whole[: whole.index("tail") + 4]) == f"{one}\ntail"
-    for rest in ("<p", "</p", "<a href='x", "<!-- no end", "<"):
+    for rest in ("<p", "</p", "<a href='x", "<!-- no end"):
         assert op.main_text(f"<article><p>{LONG}</p>{rest}") == one
+    assert op.main_text(f"<article><p>{LONG}</p><p>a <") == f"{one}\na <"
     assert op.main_text("<article>1 < 2 and a & b</article>") == "1 < 2 and a & b"
     assert op.main_text("") == op.main_text("<p></p>") == op.main_text("<script>x</script>") == ""
 
