@@ -35,24 +35,107 @@ def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) ->
     return spark.read.parquet(path)
 
 
-def read_netcdf(spark: SparkSession, paths: list[str], variables: list[str]) -> DataFrame:
-    """Long rows (path, dims..., variable, value) of NetCDF files, one task for each file; needs the netCDF4 library on executors."""
+# Types of the classic NetCDF format by number.
+NETCDF_TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
+
+
+class Classic:
+    """A classic NetCDF file (also with 64-bit offsets): dimensions, and variables as arrays."""
+
+    def __init__(self, content: bytes):
+        if content[:3] != b"CDF" or content[3] not in (1, 2):
+            raise ValueError("not a classic NetCDF file")
+        self.content, self.at, self.wide = content, 4, content[3] == 2
+        self.records = self.number()
+        self.dims = self.entries(lambda: (self.name(), self.number()))
+        self.entries(self.attribute)
+        self.variables = {}
+        for name, dims, attributes, kind, size, begin in self.entries(self.variable):
+            self.variables[name] = (dims, dict(attributes), kind, size, begin)
+
+    def number(self, kind: str = ">i") -> int:
+        self.at += struct.calcsize(kind)
+        return struct.unpack_from(kind, self.content, self.at - struct.calcsize(kind))[0]
+
+    def padded(self, n: int) -> bytes:
+        self.at += -(-n // 4) * 4
+        return self.content[self.at - -(-n // 4) * 4 :][:n]
+
+    def name(self) -> str:
+        return self.padded(self.number()).decode()
+
+    def entries(self, read: Callable) -> list:
+        self.number()
+        return [read() for _ in range(self.number())]
+
+    def attribute(self) -> tuple:
+        name, kind, n = self.name(), NETCDF_TYPES[self.number()], self.number()
+        return name, np.frombuffer(self.padded(n * np.dtype(kind).itemsize), kind)
+
+    def variable(self) -> tuple:
+        name, dims = self.name(), [self.number() for _ in range(self.number())]
+        return name, dims, self.entries(self.attribute), NETCDF_TYPES[self.number()], self.number(), self.number(">q" if self.wide else ">i")
+
+    def names(self, variable: str) -> list[str]:
+        return [self.dims[i][0] for i in self.variables[variable][0]]
+
+    def slices(self, variable: str):
+        """The variable's arrays along its first dimension; packed values unpacked, fill values NaN."""
+        dims, attributes, kind, _, begin = self.variables[variable]
+        shape, each = [self.dims[i][1] for i in dims], np.dtype(kind).itemsize
+        record = bool(dims) and shape[0] == 0
+        sizes = [v[3] for v in self.variables.values() if v[0] and self.dims[v[0][0]][1] == 0]
+        n = int(np.prod(shape[1:]))
+        step = (n * each if len(sizes) == 1 else sum(sizes)) if record else n * each
+        for i in range(self.records if record else shape[0] if dims else 1):
+            raw = np.frombuffer(self.content, kind, n, begin + i * step)
+            data = raw.astype(float)
+            for name in ("_FillValue", "missing_value"):
+                if name in attributes:
+                    data[raw == attributes[name][0]] = np.nan
+            yield data * float(attributes.get("scale_factor", [1.0])[0]) + float(attributes.get("add_offset", [0.0])[0])
+
+    def axis(self, dim: str) -> np.ndarray:
+        """A dimension's labels: its variable, or places."""
+        if dim in self.variables:
+            return np.concatenate([np.atleast_1d(x) for x in self.slices(dim)])
+        n = dict(self.dims)[dim]
+        return np.arange(float(n or self.records))
+
+
+def read_netcdf(spark: SparkSession, path: str, *variables: str, dims: tuple[str, ...] = ("time", "lat", "lon")) -> DataFrame:
+    """(path, dims..., variable, value) of classic NetCDF files, a step of the first dimension at a time.
+
+    All variables have these dimensions. Values that are missing are NULL. Files of the HDF5-based kind need the
+    netCDF4 library on executors. A file is read by one task.
+    """
+
+    def steps(content: bytes, v: str):
+        if content[:3] == b"CDF":
+            f = Classic(content)
+            return f.names(v), [f.axis(d) for d in f.names(v)], f.slices(v)
+        import netCDF4
+
+        f = netCDF4.Dataset("memory", memory=content)
+        return list(f[v].dimensions), [np.asarray(f[d][:], float) for d in f[v].dimensions], (np.ma.filled(f[v][i].astype(float), np.nan).ravel() for i in range(f[v].shape[0]))
 
     def run(frames):
-        import netCDF4
         import pandas as pd
 
         for frame in frames:
-            for path in frame["path"]:
-                with netCDF4.Dataset(path) as f:
-                    for v in variables:
-                        data, axes = np.ma.filled(f[v][:].astype(float), np.nan), [f[d][:] for d in f[v].dimensions]
-                        grid = np.meshgrid(*axes, indexing="ij")
-                        labels = [dict(zip(f[v].dimensions, map(float, p), strict=True)) for p in zip(*(g.ravel() for g in grid), strict=True)]
-                        yield pd.DataFrame({"path": path, "labels": labels, "variable": v, "value": data.ravel()})
-
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    return files.mapInPandas(run, "path string, labels map<string,double>, variable string, value double")
+            for p, content in zip(frame["path"], frame["content"], strict=True):
+                for v in variables:
+                    names, axes, fields = steps(bytes(content), v)
+                    if sorted(names) != sorted(dims):
+                        raise ValueError(f"{v} has dimensions {names}")
+                    inner = [g.ravel() for g in np.meshgrid(*axes[1:], indexing="ij")]
+                    for label, values in zip(axes[0], fields, strict=True):
+                        own = {names[0]: label} | dict(zip(names[1:], inner, strict=True))
+                        yield pd.DataFrame({"path": p} | {d: own[d] for d in dims} | {"variable": v, "value": values}, index=range(len(values)))
+
+    rows = spark.read.format("binaryFile").load(path).select("path", "content")
+    out = rows.mapInPandas(run, "path string, " + "".join(f"{d} double, " for d in dims) + "variable string, value double")
+    return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:

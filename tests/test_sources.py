@@ -19,6 +19,30 @@ def test_npy_and_grads(spark, tmp_path):
     assert rows.count() == 12 and rows.where("value IS NULL").select("time", "lat", "lon").collect() == [(0, 5.0, 20.0)]
 
 
+def classic(records, wide):
+    """A classic NetCDF file: time (records), lat, lon; t as packed shorts with a fill value, u as floats."""
+    order, offset = (lambda n: struct.pack(">i", n)), (">q" if wide else ">i")
+    name = lambda s: order(len(s)) + s.encode() + b"\0" * (-len(s) % 4)
+    floats = lambda n, x: name(n) + order(6) + order(1) + struct.pack(">d", x)
+    head = b"CDF" + bytes([2 if wide else 1]) + order(records) + order(10) + order(3) + name("time") + order(0) + name("lat") + order(2) + name("lon") + order(3) + order(0) + order(0)
+    packing = order(12) + order(3) + floats("scale_factor", 0.5) + floats("add_offset", 10.0) + name("_FillValue") + order(3) + order(1) + struct.pack(">h", -9) + b"\0\0"
+    none = order(0) + order(0)
+    specs = [("lat", [1], none, 6, 16), ("lon", [2], none, 6, 24), ("time", [0], none, 4, 4), ("t", [0, 1, 2], packing, 3, 12), ("u", [0, 1, 2], none, 5, 24)]
+    build = lambda begins: head + order(11) + order(len(specs)) + b"".join(name(n) + order(len(d)) + b"".join(map(order, d)) + a + order(k) + order(size) + struct.pack(offset, at) for (n, d, a, k, size), at in zip(specs, begins, strict=True))
+    start = len(build([0] * 5))
+    body = struct.pack(">2d", 10, 20) + struct.pack(">3d", 1, 2, 3)
+    body += b"".join(struct.pack(">i", 100 + r) + struct.pack(">6h", *(-9 if i == 4 else 10 * r + i for i in range(6))) + struct.pack(">6f", *(r + i / 2 for i in range(6))) for r in range(records))
+    return build([start, start + 16, start + 40, start + 44, start + 56]) + body
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_netcdf(spark, tmp_path, wide):
+    (tmp_path / "a.nc").write_bytes(classic(3, wide))
+    got = {(r.time, r.lat, r.lon, r.variable): r.value for r in files.read_netcdf(spark, str(tmp_path / "a.nc"), "t", "u").collect()}
+    want = {(100.0 + r, 10.0 * (1 + i // 3), 1.0 + i % 3, v): {"t": None if i == 4 else 10 + (10 * r + i) / 2, "u": r + i / 2}[v] for r in range(3) for i in range(6) for v in ("t", "u")}
+    assert got == want
+
+
 def test_shapefile(spark, tmp_path):
     ring = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)]
     body = struct.pack("<i4d2i", 5, 0, 0, 1, 1, 1, len(ring)) + struct.pack("<i", 0) + b"".join(struct.pack("<2d", *p) for p in ring)
