@@ -22,10 +22,14 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def to_slab(df: DataFrame, keys: list[str], value: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """(keys, lat, lon, data): axes ascending, data row-major with NULL where a cell has none."""
-    cells = F.map_from_entries(F.collect_list(F.struct(F.struct(lat, lon), F.col(value))))
-    axis = lambda c: F.array_sort(F.collect_set(c)).alias(c)
-    rows = df.groupBy(*keys).agg(axis(lat), axis(lon), cells.alias("_cells"))
-    data = F.flatten(F.transform(lat, lambda y: F.transform(lon, lambda x: F.try_element_at("_cells", F.struct(y.alias(lat), x.alias(lon))))))
+    axis = lambda c: F.sort_array(F.collect_set(c)).alias(c)
+    rows = df.groupBy(*keys).agg(axis(lat), axis(lon), F.collect_list(F.struct(F.col(lat).alias("y"), F.col(lon).alias("x"), F.col(value).alias("v"))).alias("_cells"))
+    # Each cell at its place, and behind it an empty one for every place; of a place's cells the first one counts.
+    entry = lambda place, blank, v: F.struct(place.cast("int").alias("p"), F.lit(blank).alias("o"), v.alias("v"))
+    own = F.transform("_cells", lambda c: entry((F.array_position(lat, c["y"]) - 1) * F.size(lon) + F.array_position(lon, c["x"]) - 1, 0, c["v"]))
+    blank = F.transform(F.sequence(F.lit(0), F.size(lat) * F.size(lon) - 1), lambda p: entry(p, 1, F.lit(None).cast(dict(df.dtypes)[value])))
+    rows = rows.withColumn("_all", F.sort_array(F.concat(own, blank)))
+    data = F.transform(F.filter("_all", lambda e, i: (i == 0) | (F.get("_all", i - 1)["p"] != e["p"])), lambda e: e["v"])
     return rows.select(*keys, lat, lon, data.alias("data"))
 
 

@@ -51,7 +51,7 @@ def sensible_heat(short: Column, long: Column, evaporation: Column) -> Column:
 def coupling_index(df: DataFrame, index: DataFrame, by: list[str], h: str = "h", hp: str = "hp", t: str = "t", year: str = "year") -> DataFrame:
     """pi = (h' - hp') t' for each cell, x' the slope of x on the standardised index by the spread of x."""
     k = window.standardised(index.select(year, "k"), [], "k", "z").select(year, "z")
-    rows = df.join(F.broadcast(k), year)
+    rows = df.join(k, year)
     part = lambda x: F.try_divide(reduce.slope(x, "z"), F.stddev_pop(x))
     out = rows.groupBy(*by).agg(part(h).alias("h1"), part(hp).alias("hp1"), part(t).alias("t1"))
     return out.withColumn("pi", (F.col("h1") - F.col("hp1")) * F.col("t1"))
@@ -59,7 +59,7 @@ def coupling_index(df: DataFrame, index: DataFrame, by: list[str], h: str = "h",
 
 def energy_budget(df: DataFrame, index: DataFrame, mask: DataFrame, fluxes: list[str], year: str = "year") -> DataFrame:
     """One row: mean slopes of accumulated fluxes on an index over the cells of a mask, in W/m2, and net radiation."""
-    rows = df.join(F.broadcast(index.select(year, "k")), year).join(mask.select("lat", "lon"), ["lat", "lon"], "left_semi")
+    rows = df.join(index.select(year, "k"), year).join(mask.select("lat", "lon"), ["lat", "lon"], "left_semi")
     slopes = rows.groupBy("lat", "lon").agg(*[flux(reduce.slope(x, "k")).alias(x) for x in fluxes])
     out = slopes.agg(*[F.avg(x).alias(x) for x in fluxes])
     return out.withColumn("net", F.col(fluxes[0]) + F.col(fluxes[1]))

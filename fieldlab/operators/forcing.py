@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.functions.scalar import DAY, level_of
+from fieldlab.operators.regrid import interpolate
 
 # The 20 sigma levels of the model (single precision) and the 20 pressure levels in hPa.
 SIGMA = [0.99500, 0.97999, 0.94995, 0.89988, 0.82977, 0.74468, 0.64954, 0.54946, 0.45447, 0.36948, 0.29450, 0.22953, 0.17457, 0.12440, 0.0846830, 0.0598005, 0.0449337, 0.0349146, 0.0248800, 0.00829901]
@@ -62,6 +63,19 @@ def forcing(horizontal: DataFrame, vertical: DataFrame, switches: dict[str, floa
     return rows.select("lev", "lat", "lon", *[(shape * float(switches.get(v, 0.0))).cast("float").alias(v) for v in (*VARIABLES, *(["q"] if "q" in switches else []))])
 
 
+def on_axes(df: DataFrame, keys: list[str], axes: dict[str, DataFrame], switches: dict[str, float] | None = None) -> DataFrame:
+    """(keys, axes..., v, d, t, p): forcing interpolated linearly to other axes (sigma or pressure labels, latitudes,
+    longitudes), 0 outside them; variables that df hasn't, or that are switched off, are 0 everywhere."""
+    on = [v for v in VARIABLES if v in df.columns and (switches or {}).get(v, 1.0)]
+    every = None
+    for label in axes.values():
+        every = label.distinct() if every is None else every.crossJoin(label.distinct())
+    out = df.select(*keys).distinct().crossJoin(every) if keys else every
+    for v in on:
+        out = out.join(interpolate(df, keys, v, axes, missing=0.0), [*keys, *axes])
+    return out.select(*keys, *axes, *[F.col(v) if v in on else F.lit(0.0).alias(v) for v in VARIABLES])
+
+
 def vertical_structure(df: DataFrame, value: str, lev: str = "lev") -> DataFrame:
     """Mean over the horizontal of what isn't zero."""
     return df.groupBy(lev).agg(F.avg(F.nullif(F.col(value), F.lit(0.0))).alias(value))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlab.operators.select import numbered
+
 #: Rows of a table that may be sent to every executor.
 BROADCAST_ROWS = 1_000_000
 
@@ -21,7 +23,7 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
 
 def zipped(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str], by: list[str] | None = None) -> DataFrame:
     """Join by position: the n-th row of each; a row without a partner stays, so that counts can be compared."""
-    place = lambda df, order: df.withColumn("_place", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)))
+    place = lambda df, order: df.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))) if by else numbered(df, order)
     return place(a, order_a).join(place(b, order_b), [*(by or []), "_place"], "full_outer").drop("_place")
 
 

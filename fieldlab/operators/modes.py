@@ -41,10 +41,13 @@ def eof(df: DataFrame, time: str, cell: list[str], value: str, k: int = 3) -> tu
             total += a.T @ a
         yield pd.DataFrame({"i": range(len(times)), "row": list(total)})
 
-    rows = columns.select("s").mapInPandas(gram, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    g = np.zeros((len(times), len(times)))
-    for r in rows.toLocalIterator():
-        g[r.i, r.j] = r.v
+    def added(rows):
+        import pandas as pd
+
+        return pd.DataFrame({"i": rows["i"].iloc[:1], "row": [np.sum(np.stack(rows["row"].to_list()), axis=0)]})
+
+    rows = columns.select("s").mapInPandas(gram, "i int, row array<double>").groupBy("i").applyInPandas(added, "i int, row array<double>").collect()
+    g = np.array([r.row for r in sorted(rows, key=lambda r: r.i)]).reshape(len(times), len(times))
     values, vectors = np.linalg.eigh(g)
     order = np.argsort(values)[::-1][:k]
     lam, vec = np.maximum(values[order], 0.0) / (len(times) - 1), vectors[:, order]

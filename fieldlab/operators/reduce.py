@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlab.functions import stats
+from fieldlab.operators import select
+
+#: Accuracy of the approximate quantiles that bound an exact one.
+ACCURACY = 10_000
+
 
 def area_mean(df: DataFrame, by: list[str], values: list[str], cos_weight: bool = False, lat: str = "lat") -> DataFrame:
     """Mean over cells; by default every cell counts alike."""
@@ -34,8 +40,26 @@ def spread(df: DataFrame, first: int, last: int, by: list[str], values: list[str
 
 
 def quantile(df: DataFrame, value: str, q: float, by: list[str] | None = None) -> DataFrame:
-    """Exact quantile with linear interpolation."""
-    return df.groupBy(*(by or [])).agg(F.percentile(value, q).alias("q"))
+    """Exact quantile with linear interpolation.
+
+    Over the whole table, approximate quantiles bound the values about the wanted one; what is below is counted,
+    and only the values between them, added up by value, are put in order.
+    """
+    if by:
+        return df.groupBy(*by).agg(F.percentile(value, q).alias("q"))
+    some = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    near = [max(0.0, q - 3 / ACCURACY), min(1.0, q + 3 / ACCURACY)]
+    bounds = some.agg(F.percentile_approx("v", near, ACCURACY).alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    many = F.col("n") >= ACCURACY  # else two ranks may be further apart than the margin, and all values are few
+    low = F.when(many & (F.lit(near[0]) > 0), F.get("b", F.lit(0))).otherwise(F.col("lo"))
+    high = F.when(many & (F.lit(near[1]) < 1), F.get("b", F.lit(1))).otherwise(F.col("hi"))
+    bounds = bounds.select(low.alias("low"), high.alias("high"), (F.lit(float(q)) * (F.col("n") - 1)).alias("at"))
+    counted = some.crossJoin(F.broadcast(bounds)).where("v <= high").groupBy(F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("n"), F.first("at").alias("at"))
+    upto = F.sum("n").over(Window.orderBy(F.asc_nulls_first("v")))
+    ranked = counted.select("v", "at", upto.alias("end"), (upto - F.col("n")).alias("start"))
+    value_at = lambda place: F.max(F.when((F.col("start") <= place) & (place < F.col("end")), F.col("v")))
+    ends = ranked.agg(value_at(F.floor("at")).alias("a"), value_at(F.ceil("at")).alias("b"), F.first("at").alias("at"))
+    return ends.select((F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("q"))
 
 
 def valid_count(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -92,6 +116,13 @@ def correlation(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
     return df.groupBy(*by).agg(F.when(n > 1, r).alias("r"), n.alias("n"))
 
 
+def significance(df: DataFrame, alpha: float = 0.05, r: str = "r", n: str = "n") -> DataFrame:
+    """df with mark: 0 where |r| is significant for the cell's own number of pairs n, else NULL (always under 3 pairs)."""
+    spark, counts = df.sparkSession, [x[0] for x in df.select(n).where(F.col(n) > 2).distinct().collect()]  # numbers of times
+    limits = spark.createDataFrame([(c, stats.r_crit(c, alpha)) for c in counts], f"{n} long, _limit double")
+    return df.join(limits, n, "left").withColumn("mark", select.significant(F.col(r), F.col("_limit"))).drop("_limit")
+
+
 def profile_mean(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean over the horizontal, zeros taken as missing."""
     return df.groupBy(*by).agg(F.avg(F.nullif(F.col(value), F.lit(0.0))).alias(value))

@@ -58,23 +58,25 @@ def null_poles(lat: Column, x: Column) -> Column:
     return F.when(F.abs(lat) < 90, x)
 
 
-def edges(df: DataFrame, keys: list[str], rows: str = "lat", columns: str | None = "lon") -> Column:
-    """Whether a cell is on the outer ring (or in the first and last row) of its field."""
-    w = Window.partitionBy(*keys)
+def with_ring(df: DataFrame, keys: list[str], rows: str = "lat", columns: str | None = "lon") -> DataFrame:
+    """df with _ring: whether a cell is on the outer ring (or in the first and last row) of its field."""
+    axes = (rows, *([columns] if columns else []))
+    ends = df.groupBy(*keys).agg(*[f(c).alias(f"_{k}_{c}") for c in axes for k, f in (("lo", F.min), ("hi", F.max))])
+    df = df.join(ends, keys) if keys else df.crossJoin(F.broadcast(ends))  # without keys ends is one row
     ring = F.lit(False)
-    for c in (rows, *([columns] if columns else [])):
-        ring = ring | (F.col(c) == F.min(c).over(w)) | (F.col(c) == F.max(c).over(w))
-    return ring
+    for c in axes:
+        ring = ring | (F.col(c) == F.col(f"_lo_{c}")) | (F.col(c) == F.col(f"_hi_{c}"))
+    return df.withColumn("_ring", ring).drop(*ends.drop(*keys).columns)
 
 
 def null_ring(df: DataFrame, keys: list[str], values: list[str], rows: str = "lat", columns: str | None = "lon") -> DataFrame:
-    df = df.withColumn("_ring", edges(df, keys, rows, columns))
+    df = with_ring(df, keys, rows, columns)
     return df.withColumns({v: F.when(~F.col("_ring"), F.col(v)) for v in values}).drop("_ring")
 
 
 def interior(df: DataFrame, keys: list[str], rows: str = "lat", columns: str = "lon") -> DataFrame:
     """Without the outer ring."""
-    return df.withColumn("_ring", edges(df, keys, rows, columns)).where("NOT _ring").drop("_ring")
+    return with_ring(df, keys, rows, columns).where("NOT _ring").drop("_ring")
 
 
 def drop_empty(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -95,7 +97,7 @@ def null_to_zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
 
 
-def significant(r: Column, limit: float) -> Column:
+def significant(r: Column, limit: float | Column) -> Column:
     """0 where |r| reaches the limit, else NULL."""
     return F.when(F.abs(r) >= limit, 0.0)
 
@@ -105,17 +107,36 @@ def first_match(df: DataFrame, key: str, wanted, order: str) -> DataFrame:
     return df.where(F.col(key) == F.lit(wanted)).orderBy(order).limit(1)
 
 
+#: Parts that a table is cut into to number its rows.
+PARTS = 200
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with _place, its rows' places from 0 in an order.
+
+    The rows are cut into PARTS parts at quantiles of the first column; a row's place is its place in the part
+    plus the rows of the parts before, so no task sorts them all.
+    """
+    first = F.col(order[0])
+    cuts = sorted(set(df.agg(F.percentile_approx(first, [i / PARTS for i in range(1, PARTS)])).first()[0] or []))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < first)) if cuts else F.lit(0)
+    rows = df.withColumn("_part", part)
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_start"))  # at most PARTS rows
+    return rows.join(F.broadcast(starts), "_part").withColumn("_place", F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).drop("_part", "_start")
+
+
 def positions(df: DataFrame, dim: str, first: int, end: int) -> DataFrame:
     """Rows whose label is at places first..end-1 (from 0) of the distinct labels."""
-    w = Window.orderBy(dim)
-    labels = df.select(dim).distinct().withColumn("_at", F.row_number().over(w) - 1).where(F.col("_at").between(first, end - 1))
-    return df.join(F.broadcast(labels.select(dim)), dim, "left_semi")
+    labels = df.select(dim).distinct().orderBy(dim).offset(first).limit(max(0, end - first))
+    return df.join(labels, dim, "left_semi")
 
 
 def strided(df: DataFrame, dim: str, step: int) -> DataFrame:
     """Every step-th label, from the first on."""
-    labels = df.select(dim).distinct().withColumn("_at", F.row_number().over(Window.orderBy(dim)) - 1).where(F.col("_at") % step == 0)
-    return df.join(F.broadcast(labels.select(dim)), dim, "left_semi")
+    labels = numbered(df.select(dim).distinct(), [dim]).where(F.col("_place") % step == 0)
+    return df.join(labels.select(dim), dim, "left_semi")
 
 
 def cyclic_pad(df: DataFrame, lon: str = "lon", period: float = 360.0) -> DataFrame:

@@ -266,11 +266,14 @@ def corr_map(spark, d):
     return rounded(reduce.correlation(joins.align(cube, k, ["year"]), ["lat", "lon"], "x", "k"), 6, "r")
 
 
-@query(f"WITH {K}, c AS (SELECT lat, lon, corr(x, k) AS r FROM yearly JOIN kk USING (year) GROUP BY 1, 2) SELECT lat, lon, CASE WHEN abs(r) >= {stats.r_crit(7)!r} THEN 0.0::DOUBLE END AS mark FROM c")
+R_CRIT = " ".join(f"WHEN {n} THEN {stats.r_crit(n)!r}" for n in range(3, 61))
+
+
+@query(f"WITH {K}, c AS (SELECT lat, lon, corr(x, k) AS r, count(*) AS n FROM yearly JOIN kk USING (year) GROUP BY 1, 2) SELECT lat, lon, CASE WHEN abs(r) >= CASE n {R_CRIT} END THEN 0.0::DOUBLE END AS mark FROM c")
 def sig_mask(spark, d):
     cube, k = indexed(spark, d)
     r = reduce.correlation(joins.align(cube, k, ["year"]), ["lat", "lon"], "x", "k")
-    return r.select("lat", "lon", select.significant(F.col("r"), stats.r_crit(7)).alias("mark"))
+    return reduce.significance(r).select("lat", "lon", "mark")
 
 
 # --- windows and differences -------------------------------------------------------------------------------
@@ -715,9 +718,18 @@ def prototype_stream_function(spark, d):
     return elliptic.prototype_stream_function(flow(spark, d), ["k"])
 
 
-@query()
+KERNEL = "k AS (SELECT CAST(d AS INT) AS d, w FROM (VALUES " + ", ".join(f"({d}, {w!r}::DOUBLE)" for d, w in enumerate(window.gaussian_kernel(1.0).tolist(), -4)) + ") t(d, w))"
+
+
+def mirrored(c: str, last: int) -> str:
+    """SQL of a place beyond an axis, mirrored into it."""
+    return f"CASE WHEN g.{c} + k.d < 1 THEN 1 - (g.{c} + k.d) WHEN g.{c} + k.d > {last} THEN {2 * last + 1} - (g.{c} + k.d) ELSE g.{c} + k.d END"
+
+
+@query(f"""WITH {GRID}, {KERNEL}, a AS (SELECT g.i, g.j, g.lat, g.lon, sum(k.w * s.f) AS f FROM grid g, k, grid s WHERE s.j = g.j AND s.i = {mirrored('i', 7)} GROUP BY 1, 2, 3, 4)
+SELECT 1 AS k, g.lat, g.lon, round(sum(k.w * s.f), 4) AS f FROM a g, k, a s WHERE s.i = g.i AND s.j = {mirrored('j', 50)} GROUP BY 1, 2, 3""")
 def gaussian_filter(spark, d):
-    return from_slab(window.gaussian_filter(to_slab(price_grid(spark, d).withColumn("k", F.lit(1)), ["k"], "f")), ["k"], "f")
+    return rounded(from_slab(window.gaussian_filter(to_slab(price_grid(spark, d).withColumn("k", F.lit(1)), ["k"], "f")), ["k"], "f"), 4, "f")
 
 
 def full_cells(spark, d) -> DataFrame:
@@ -770,3 +782,114 @@ def sht_forward(spark, d):
 @query()
 def sht_inverse(spark, d):
     return spectral.to_grid(sht_forward(spark, d), ["k"]).select("k", F.posexplode("data").alias("at", "value"))
+
+
+@query()
+def sht_gradient_x(spark, d):
+    return spectral.to_waves(model_slab(spark, d), ["k"], gradient="X")
+
+
+@query()
+def sht_gradient_y(spark, d):
+    return spectral.to_waves(model_slab(spark, d), ["k"], gradient="Y")
+
+
+@query()
+def sht_gradient_grid(spark, d):
+    return spectral.to_grid(sht_forward(spark, d), ["k"], gradient="X").select("k", F.posexplode("data").alias("at", "value"))
+
+
+# --- further selections, keys and forcing ------------------------------------------------------------------
+
+
+@query(f"WITH {GRID} SELECT lat, lon, round(f, 4) AS f FROM grid WHERE i = 3 AND j = 7")
+def exact_labels(spark, d):
+    return rounded(select.at(price_grid(spark, d), i=3, j=7), 4, "f").select("lat", "lon", "f")
+
+
+@query(f"WITH {GRID} SELECT i, j, CAST(CASE WHEN (CASE WHEN f > 51000 THEN f ELSE 0 END) = 0 THEN 0 ELSE 1 END AS INT) AS flag FROM grid")
+def binarised(spark, d):
+    return price_grid(spark, d).select("i", "j", select.binary(select.keep_above(F.col("f"), 51000.0)).alias("flag"))
+
+
+@query(f"WITH {GRID} SELECT i, j, round(f, 4) AS f FROM grid WHERE f > 51000")
+def present_cells(spark, d):
+    rows = price_grid(spark, d).withColumn("f", select.null_unless(F.col("f") > 51000, F.col("f")))
+    return rounded(select.present(rows, "f"), 4, "f").select("i", "j", "f")
+
+
+@query(f"WITH {MONTHLY} SELECT CAST(time AS VARCHAR) AS time, CAST(row_number() OVER (PARTITION BY time ORDER BY lat, lon) - 1 AS INT) AS at, round(x, 4) AS x FROM monthly")
+def flattened_space(spark, d):
+    flat = select.flatten(monthly_cube(spark, d), ["time"], ["lat", "lon"], "x")
+    return texted(rounded(flat.select("time", F.posexplode("features").alias("at", "x")), 4, "x"), "time")
+
+
+@query(f"WITH {GRID} SELECT lat, lon, 0 AS time, 500.0::DOUBLE AS lev, round(f, 4) AS f FROM grid")
+def constant_dims(spark, d):
+    return rounded(select.with_constants(price_grid(spark, d).select("lat", "lon", "f"), time=0, lev=500.0), 4, "f").select("lat", "lon", "time", "lev", "f")
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE)::VARCHAR AS date, 'order ' || o_orderkey || ' of ' || o_custkey AS label, least(o_orderkey, o_custkey) AS low, greatest(o_orderkey, o_custkey) AS high,
+round(o_totalprice / 86400, 6) AS rate, round(3 + 0.5 * o_totalprice, 2) AS line FROM orders""")
+def scalar_helpers(spark, d):
+    number = F.date_format("o_orderdate", "yyyyMMdd").cast("int")
+    label = F.format_string("order %d of %d", "o_orderkey", "o_custkey")
+    values = (steady(scalar.per_second(F.col("o_totalprice")), 6).alias("rate"), steady(scalar.line(F.col("o_totalprice"), F.lit(0.5), F.lit(3.0)), 2).alias("line"))
+    return table(spark, d, "orders").select("o_orderkey", scalar.day_of(number).cast("string").alias("date"), label.alias("label"), F.least("o_orderkey", "o_custkey").alias("low"), F.greatest("o_orderkey", "o_custkey").alias("high"), *values)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(k AS INT) AS \"at\", 10 + 2.5::DOUBLE * k AS x, 0.0::DOUBLE AS zero, 1961 + k AS year FROM nation, range(0, 4) t(k)")
+def generated_axes(spark, d):
+    axes = F.arrays_zip(scalar.grid_axis(10.0, 2.5, 4).alias("x"), scalar.zeros(4).alias("zero"), F.sequence(F.lit(1961).cast("long"), F.lit(1964).cast("long")).alias("year"))
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.posexplode(axes).alias("at", "v")).select("n_nationkey", "at", "v.x", "v.zero", "v.year")
+
+
+@query(f"""WITH {FRACTION}, e AS (SELECT time, CAST(year(time) * 100 + dayofyear(time) - 1 AS INT) AS key FROM frac WHERE fraction >= 0.2)
+SELECT CAST(key % 4 AS INT) AS type, lat, lon, count(*) AS n, CAST(sum(flag) AS DOUBLE) AS hits FROM flags JOIN e USING (time) GROUP BY 1, 2, 3""")
+def event_members(spark, d):
+    """Cells of event days by the type of the day, as a clustering of the days would give it."""
+    cube = dated(spark, d)
+    threshold = reduce.quantile(cube, "x", 0.8)
+    events = climate.extreme_events(cube, "x", threshold=threshold)
+    types = events.select("key", (F.col("key") % 4).cast("int").alias("type"))
+    rows = joins.align(climate.event_samples(cube, events, "x", threshold), types, ["key"])
+    return rows.groupBy("type", "lat", "lon").agg(F.count("*").alias("n"), F.sum("flag").alias("hits"))
+
+
+@query(f"""WITH {GRID}, {STACK}, {values_sql('lon', [7.5, 101.0, 300.0])}, {values_sql('lat', [14.0, 33.0])}, {values_sql('lev', [100.0, 150.0])},
+f AS (SELECT tlev AS lev, tlat AS lat, tlon AS lon, sum({hat('tlon', 'lon', 5.0)} * {hat('tlat', 'lat', 10.0)} * {hat('tlev', 'lev', 100.0)} * f) AS f FROM stack, t_lon, t_lat, t_lev GROUP BY 1, 2, 3)
+SELECT lev, lat, lon, round(CASE WHEN lon <= 250 THEN f ELSE 0 END, 2) AS v, 0.0::DOUBLE AS d, round(CASE WHEN lon <= 250 THEN -f ELSE 0 END, 2) AS t, 0.0::DOUBLE AS p FROM f""")
+def forcing_on_axes(spark, d):
+    stack = price_grid(spark, d).crossJoin(axis(spark, "lev", [100.0, 200.0, 300.0])).withColumn("v", F.col("f") * F.col("lev")).withColumn("t", -F.col("v")).withColumn("p", F.col("v"))
+    axes = {"lev": axis(spark, "lev", [100.0, 150.0]), "lat": axis(spark, "lat", [14.0, 33.0]), "lon": axis(spark, "lon", [7.5, 101.0, 300.0])}
+    return rounded(forcing.on_axes(stack, [], axes, {"p": 0.0}), 2, "v", "t").select("lev", "lat", "lon", "v", "d", "t", "p")
+
+
+WAVES = "waves AS (SELECT j % 5 AS m, j // 5 % 4 AS l, CASE WHEN j // 20 % 2 = 0 THEN 're' ELSE 'im' END AS part, i AS k, ['t', 'vor', 'div'][1 + (j // 40) % 3] AS var, f AS coef FROM grid)"
+
+
+def coefficients(spark, d) -> DataFrame:
+    """Prices as if they were coefficients of three variables."""
+    whole = lambda n: F.floor(F.col("j") / n)
+    var = F.element_at(F.array(*map(F.lit, ("t", "vor", "div"))), (1 + whole(40) % 3).cast("int"))
+    return price_grid(spark, d).select((F.col("j") % 5).alias("m"), (whole(5) % 4).cast("int").alias("l"), F.when(whole(20) % 2 == 0, "re").otherwise("im").alias("part"), F.col("i").alias("k"), var.alias("var"), F.col("f").alias("coef"))
+
+
+@query(f"""WITH {GRID}, {WAVES}, b AS (SELECT *, CASE var WHEN 'vor' THEN 1 WHEN 'div' THEN 2 ELSE 3 END AS block, CASE part WHEN 're' THEN 0 ELSE 1 END AS row FROM waves)
+SELECT CAST(row_number() OVER (ORDER BY m, block, l, row, k, coef) AS INT) AS at, CAST(m AS INT) AS m, CAST(block AS INT) AS block, CAST(l AS INT) AS l, CAST(row AS INT) AS row, CAST(k AS INT) AS k, round(coef, 4) AS coef FROM b""")
+def packed_forcing(spark, d):
+    rows = select.numbered(spectral.packed(coefficients(spark, d), ["vor", "div", "t"]), ["m", "block", "l", "row", "k", "coef"])
+    return rounded(rows.withColumn("at", (F.col("_place") + 1).cast("int")), 4, "coef").select("at", "m", "block", "l", "row", "k", "coef")
+
+
+@query(f"WITH {GRID} SELECT i, j, round(-j * g, 6) AS re, round(j * f, 4) AS im FROM grid")
+def zonal_derivative(spark, d):
+    re, im = spectral.zonal_derivative(F.col("j"), F.col("f"), F.col("g"))
+    return price_grid(spark, d).select("i", "j", steady(re, 6).alias("re"), steady(im, 4).alias("im"))
+
+
+@query("""SELECT CAST(epoch_us(s) AS BIGINT) AS start, event_type, count(value) AS n, round(sum(value), 2) AS total FROM (
+  SELECT date_trunc('day', ts) - k * INTERVAL 12 HOUR + INTERVAL 12 HOUR AS s, ts, event_type, value FROM events, range(0, 3) t(k)) WHERE ts >= s AND ts < s + INTERVAL 24 HOUR GROUP BY 1, 2""")
+def event_sliding(spark, d):
+    out = windows.sliding(table(spark, d, "events"), "24 hours", "12 hours", ["event_type"], "value")
+    return rounded(out, 2, "total").select(F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "event_type", "n", "total")

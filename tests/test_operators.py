@@ -262,3 +262,51 @@ def test_critical_correlations():
 def test_scalars(spark):
     r = spark.range(1).select(scalar.char_count(F.lit("tomato Toast"), "t").alias("n"), scalar.season_key(F.lit(1961), F.lit(3)).alias("k"), scalar.longitude(F.lit(350.0), True).alias("w"), scalar.month_seconds(F.lit(2)).alias("s"), scalar.day_of(F.lit(19610203)).cast("string").alias("d"), scalar.zeros(3).alias("z"), scalar.grid_axis(0.0, 2.5, 3).alias("g")).first()
     assert r[:] == (3, 196103, -10.0, 28.25 * 86400, "1961-02-03", [0.0, 0.0, 0.0], [0.0, 2.5, 5.0])
+
+
+def test_quantile_of_large_and_small_tables(spark):
+    rng = np.random.default_rng(3)
+    for xs in (rng.random(30_000), np.repeat([1.0, 2.0], [20_000, 3]), np.arange(12_000.0), np.array([3.0]), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(x),) for x in xs] + [(None,)], "x double")
+        for q in (0, 0.2, 0.8, 1):
+            assert reduce.quantile(df, "x", q).first().q == pytest.approx(np.quantile(xs, q))
+    assert reduce.quantile(spark.createDataFrame([(None,)], "x double"), "x", 0.5).first().q is None
+
+
+def test_places_over_parts(spark):
+    rows = [(i % 50 if i % 7 else None, i) for i in range(500)]
+    got = select.numbered(spark.createDataFrame(rows, "a int, b int"), ["a", "b"]).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r._place)] == order and sorted(r._place for r in got) == list(range(500))
+    assert select.numbered(spark.createDataFrame([], "a int"), ["a"]).count() == 0
+
+
+def test_slabs_with_gaps(spark):
+    rows = [("a", 2.0, 5.0, 1.0), ("a", 1.0, 6.0, 2.0), ("a", 3.0, 5.0, None), ("b", 0.0, 0.0, 9.0)]
+    got = {r.k: (r.lat, r.lon, r.data) for r in to_slab(spark.createDataFrame(rows, "k string, lat double, lon double, v double"), ["k"], "v").collect()}
+    assert got == {"a": ([1.0, 2.0, 3.0], [5.0, 6.0], [None, 2.0, 1.0, None, None, None]), "b": ([0.0], [0.0], [9.0])}
+
+
+def test_significance_follows_each_count(spark):
+    rows = [(0.9, 4), (0.96, 4), (0.5, 30), (0.3, 30), (1.0, 2)]
+    got = {(r.r, r.n): r.mark for r in reduce.significance(spark.createDataFrame(rows, "r double, n long")).collect()}
+    assert got == {(0.9, 4): None, (0.96, 4): 0.0, (0.5, 30): 0.0, (0.3, 30): None, (1.0, 2): None}
+
+
+def test_packed_coefficients_are_written_in_order(spark, tmp_path):
+    rows = [(m, k, part, var, lev, float(hash_)) for hash_, (m, k, part, var, lev) in enumerate((m, k, part, var, lev) for var in ("t", "vor") for lev in (1, 2) for part in ("im", "re") for k in (0, 1) for m in (0, 1, 2))]
+    packed = spectral.packed(spark.createDataFrame(rows, "m int, l int, part string, var string, k int, coef double"), ["vor", "t"])
+    assert spectral.dump(packed, str(tmp_path / "f")) == len(rows)
+    want = [r[5] for r in sorted(rows, key=lambda r: (r[0], ["vor", "t"].index(r[3]), r[1], ["re", "im"].index(r[2]), r[4]))]
+    assert np.fromfile(tmp_path / "f", "<f8").tolist() == want
+    with pytest.raises(ValueError):
+        spectral.packed(packed, [])
+
+
+def test_derivative_of_rows_equals_the_transform():
+    t = spectral.Truncation(16, 8, 5, 5, 5)
+    tables, field = spectral.legendre(t), np.random.default_rng(1).random((8, 16))
+    plain, along = spectral.forward(field, t, tables), spectral.forward(field, t, tables, "X")
+    assert np.allclose(along, 1j * np.arange(6)[:, None] * plain)
+    grid = spectral.backward(plain, t, tables)
+    assert np.allclose(spectral.backward(plain, t, tables, mode="N"), -grid) and np.allclose(spectral.backward(plain, t, tables, mode="A", onto=field), field + grid) and np.allclose(spectral.backward(plain, t, tables, mode="S", onto=field), field - grid)
