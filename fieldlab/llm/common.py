@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -12,8 +11,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows of text sent to a Python worker at once; whole texts may be long.
-TEXT_ROWS_PER_BATCH = 1000
+#: Bytes of rows sent to a Python worker at once, about; whole texts may be long.
+BATCH_BYTES = 2 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,17 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set."""
+    """The shared folder that the cluster names. Only a local Spark may do without; it gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: lineage ends in the shared folder, so lost executors cost nothing."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A reliable checkpoint: lineage ends in the shared folder, so lost executors cost nothing.
+
+    With rows, it's read by tasks of so many rows, about: what is small needn't be read, and shuffled again, by as
+    many tasks as made it.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    df = df.checkpoint()
+    return df.coalesce(max(1, -(-df.count() // rows))) if rows else df
 
 
 class Stored:
@@ -45,7 +53,6 @@ class Stored:
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
         df.write.parquet(f"{self.folder}/{self.n}")
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files that led here
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
     def remove(self) -> None:
@@ -54,7 +61,10 @@ class Stored:
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS_PER_BATCH)
+    """Lowers the session's limit of bytes a batch, if it is higher; results don't depend on it."""
+    now = spark.conf.get(BATCH_CONF).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
 def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
@@ -62,14 +72,6 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def per_worker(key: str, make: Callable):
-    """One object per Python worker process, shared by the tasks that it runs."""
-    store = sys.__dict__.setdefault("_fieldlab_worker", {})
-    if key not in store:
-        store[key] = make()
-    return store[key]
-
-
 def send(spark: SparkSession, value) -> Callable:
     """A broadcast that carries its classes along; the result gives the value inside a task."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))

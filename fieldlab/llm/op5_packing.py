@@ -6,9 +6,9 @@ longest first, into the open window with the tightest fit, found by a segment tr
 capacities. Groups are independent, so any number of tasks packs any number of documents, and only the last
 windows of a group stay part empty.
 
-Tokenizing uses that white space separates ids: each run of other characters is encoded once per worker and
-looked up afterwards. Null or empty text is the end id alone. Repeated rows are packed as often as they
-occur; a null doc_id is kept. Extra columns aren't returned.
+Tokenizing uses that white space separates ids: each run of other characters is encoded once per batch and
+looked up afterwards; a task keeps a bounded table of runs from one batch to the next.
+Null or empty text is the end id alone. Repeated rows are packed as often as they occur; a null doc_id is kept. Extra columns aren't returned.
 """
 
 from __future__ import annotations
@@ -24,47 +24,68 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import cut, per_worker, raw_texts, small_batches, table
+from fieldlab.llm.common import cut, raw_texts, small_batches, table
 
 LENGTH = 4096
 END_ID = 2
 #: Remainders of a group, about.
 GROUP = 20_000
-#: Entries of a worker's look-up table; it starts anew when full.
-KNOWN = 300_000
+#: Entries that a task's look-up table keeps from one batch to the next.
+KNOWN = 150_000
 
-#: Latin letters with signs after them: the two parts have ids of their own.
-WORD_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*|\"()-]*)")
+#: Lower-case Latin letters, with signs after them that have ids of their own; or anything else.
+WORD_AND_SIGNS = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:#$%&*|\"()-]*) |[^ ]+ ")
+#: First bytes of the marks that may be composed with an ASCII letter; such texts aren't lower-cased before.
+MARKS = (b"\xcc", b"\xcd")
+WORD_END = "</w>"
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes."""
+    """Ids of texts as little-endian bytes.
+
+    Words of Latin letters, most of what is new in a batch, and the signs after them go to the tokenizer's model
+    joined by spaces: they are normal already and need no pattern, and as the last id of each says so, the ids are
+    cut apart again. Everything else is encoded by the whole tokenizer, run by run.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+
+    def whole(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        found = self.tokenizer.encode_batch_fast([x.decode() for x in runs], add_special_tokens=False)
+        return {x: array("I", e.ids).tobytes() for x, e in zip(runs, found, strict=True)}
+
+    def words(self, runs: list[bytes], found: list[tuple[str, str]]) -> dict[bytes, bytes]:
+        """Runs that are a word and signs, found apart."""
+        text = " ".join([f"{word} {signs}" if signs else word for word, signs in found])
+        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids if runs else [], "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        last = np.cumsum([2 if signs else 1 for _, signs in found], dtype=np.int64)
+        if len(last) and last[-1] != len(ends):
+            return self.whole(runs)
+        raw, cuts = ids.tobytes(), (4 * ends[last - 1]).tolist()
+        return dict(zip(runs, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
 
     def learn(self, runs: set[bytes]) -> None:
-        split = {}
-        for run in runs:
-            text = run.decode()
-            m = WORD_AND_SIGNS.fullmatch(text)
-            split[run] = (m[1].lower(), m[2]) if m else (text,)
-        new = list({p for x in split.values() for p in x if p and p not in self.parts})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.parts[p] = array("I", e.ids).tobytes()
-        self.parts[""] = b""
-        for run, x in split.items():
-            self.known[run] = b"".join([self.parts[p] for p in x])
+        """Adds what the table doesn't hold; runs: all of a batch."""
+        new = list(runs - self.known.keys())
+        if len(self.known) + len(new) > KNOWN:
+            self.known = {run: self.known[run] for run in runs if run in self.known}
+        found = WORD_AND_SIGNS.findall((b" ".join(new) + b" ").decode() if new else "")
+        self.known |= self.words([run for run, x in zip(new, found, strict=True) if x[0]], [x for x in found if x[0]])
+        self.known |= self.whole([run for run, x in zip(new, found, strict=True) if not x[0]])
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
-        for memory in (self.known, self.parts):
-            if len(memory) > KNOWN:
-                memory.clear()
-        runs = [raw.split() for raw in raws]
-        self.learn(set(chain.from_iterable(runs)) - self.known.keys())
+        runs = [(raw if any(m in raw for m in MARKS) else raw.lower()).split() for raw in raws]
+        self.learn(set(chain.from_iterable(runs)))
         return [b"".join(map(self.known.__getitem__, x)) for x in runs]
 
 
@@ -76,7 +97,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     def run(batches):
         import pyarrow as pa
 
-        encoder = per_worker(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
+        encoder = Encoder(tokenizer)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for batch in batches:
             rows = []
