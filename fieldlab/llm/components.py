@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from fieldlab.llm.common import cut
 
 
+#: Edges that a task reads, about.
+ROWS = 50_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of an edge; the component is its smallest node.
 
     Each round hangs the neighbours of a node to its smallest neighbour, first the larger ones, then the
-    smaller ones, until every component is a star. Loops and repeated edges don't matter.
+    smaller ones, until every component is a star. Loops and repeated edges don't matter. The smallest neighbours
+are stored before they are joined to the edges, so Spark can split the edges of a hub among tasks.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e, before = cut(e), None
+    e, before = cut(e, ROWS), None
     while (now := state(e)) != before:
         before = now
-        e = cut(small_star(large_star(e)))
+        e = cut(small_star(large_star(e)), ROWS)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -29,11 +34,11 @@ def state(e: DataFrame) -> tuple:
 
 def large_star(e: DataFrame) -> DataFrame:
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), ROWS)
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(e.groupBy("u").agg(F.min("v").alias("m")), ROWS)
     rest = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.union(least.select("u", F.col("m").alias("v"))).distinct()
