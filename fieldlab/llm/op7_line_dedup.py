@@ -22,12 +22,12 @@ from fieldlab.llm.common import add_columns, cut, raw_texts, small_batches, tabl
 
 #: Runs of a level that are compacted into one of the next.
 FANOUT = 3
-#: Batches that a set of files is dealt into by the query.
+#: Batches that a table is dealt into by the query.
 BATCHES = 4
 #: Frequent keys (16 bytes each) that may be sent to every worker; above it they're joined.
 BROADCAST_KEYS = 400_000
 #: Distinct keys that a task holds before it passes their counts on.
-TASK_KEYS = 200_000
+TASK_KEYS = 100_000
 
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -115,11 +115,13 @@ class LineRuns:
         self.levels = [[]]
 
 
-def file_batches(docs: DataFrame, most: int = BATCHES) -> list[DataFrame]:
-    """A DataFrame that is a plain Parquet read, as up to `most` batches of whole files."""
-    files = sorted(docs.inputFiles())
-    n = min(most, len(files))
-    return [docs.sparkSession.read.schema(docs.schema).parquet(*files[i::n]) for i in range(n)] or [docs]
+def batches_of(docs: DataFrame, n: int = BATCHES) -> list[DataFrame]:
+    """docs in n batches: files of a plain Parquet read, which has enough of them, else rows by a hash of their text."""
+    plan = docs._jdf.queryExecution().analyzed().treeString().strip()
+    files = sorted(docs.inputFiles()) if plan.startswith("Relation") and "\n" not in plan else []
+    if len(files) >= n:
+        return [docs.sparkSession.read.schema(docs.schema).parquet(*files[i::n]) for i in range(n)]
+    return [docs.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) for i in range(n)]
 
 
 def drop_keys(docs: DataFrame, frequent: DataFrame, text: str = "text", most: int = BROADCAST_KEYS) -> DataFrame:
@@ -137,6 +139,7 @@ def drop_keys(docs: DataFrame, frequent: DataFrame, text: str = "text", most: in
     marked = add_columns(docs, text, "_h binary", lambda: lambda raws: [[xxhash.xxh3_128_digest(x) for x in raws]])
     pairs = add_columns(marked.select("_h", text), text, "_keys array<binary>", lambda: lambda raws: [[[xxhash.xxh3_128_digest(k) for k in set(keys_of(x)) if k] for x in raws]])
     own = pairs.select("_h", F.explode("_keys").alias("key")).distinct().join(frequent, "key", "left_semi").groupBy("_h").agg(F.collect_set("key").alias("_bad"))
+    own = cut(own)  # so Spark can split the rows of a text that is repeated a lot
     joined = marked.join(own, "_h", "left").drop("_h")
 
     out = [f for f in docs.schema if f.name not in ("n_lines", "n_dropped")]
@@ -175,27 +178,29 @@ def replaced(df: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 def dedup_lines(docs: DataFrame, batches: list[DataFrame] | None = None, min_docs: int = 10, text: str = "text", most: int = BROADCAST_KEYS) -> DataFrame:
     """docs without lines that at least min_docs documents hold. batches: docs, in parts; else docs is one batch."""
     runs = LineRuns(docs.sparkSession, min_docs)
-    for batch in batches or [docs]:
-        runs.add(batch, text)
-    frequent = cut(runs.frequent())
-    runs.close()
+    try:
+        for batch in batches or [docs]:
+            runs.add(batch, text)
+        frequent = cut(runs.frequent())
+    finally:
+        runs.close()
     return drop_keys(docs, frequent, text, most)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs, file_batches(docs))
+    docs = table(spark, sf_dir, "documents")
+    out = dedup_lines(docs.select("doc_id", "text"), batches_of(docs))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 ORACLE = r"""
 WITH lines AS (
-  SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+  SELECT r, doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line
+  FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
 keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
-frequent AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+frequent AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.k IS NOT NULL) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
-FROM keyed LEFT JOIN frequent f USING (k) GROUP BY doc_id
+FROM keyed LEFT JOIN frequent f USING (k) GROUP BY r, doc_id
 """
