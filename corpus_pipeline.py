@@ -5,6 +5,10 @@ from the others' texts. near duplicates: of each group of documents whose sets o
 linked by a Jaccard similarity of at least 0.8, the one with the smallest doc_id stays (documents without
 words are in no group). decontamination: documents that the benchmark contaminates go. packing: what is
 left becomes token sequences. n_chars always tells the length of the text as it is.
+
+A null text passes as one without words, and line dedup makes it an empty one; a null doc_id is kept, and of
+near duplicates comes last. Rows that are repeated are near duplicates of each other: one stays; without words
+they all stay. Columns beyond those of documents aren't returned. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -26,14 +30,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = op7_line_dedup.dedup_lines(docs, op7_line_dedup.file_batches(docs))
+    kept = op7_line_dedup.dedup_lines(docs, op7_line_dedup.batches_of(docs))
     return kept.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = op6_jaccard.jaccard_components(docs, shingle=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return op6_jaccard.drop_near_duplicates(docs, shingle=5, percent=80).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
