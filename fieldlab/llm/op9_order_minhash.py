@@ -1,14 +1,17 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
-The units of a text are its runs without white space; a k-mer is K units in a row. The o-th occurrence of a
-k-mer has a hash of its own, so repeated k-mers count as often as they occur. The hash space is cut into
-SKETCHES ranges; in each, the TUPLE occurrence-numbered k-mers of smallest hash are selected, put back into
-their order in the text, and hashed as a tuple. Two texts agree in a sketch only if they select the same
-k-mers in the same order, so likeness, the share of agreeing sketches among those that either text has,
-falls with edit distance and not just with the set of k-mers.
+The units of a text are its runs without white space; of a run of more than LONG_RUN characters (a script
+without blanks, a code, an address) the units are all its windows of WINDOW characters, so that a change
+touches few of them there too. A k-mer is K units in a row. The o-th occurrence of a k-mer has a hash of its
+own, so repeated k-mers count as often as they occur. The hash space is cut into SKETCHES ranges, which stand
+for as many independent hashes; in each, the TUPLE occurrence-numbered k-mers of smallest hash are selected,
+put back into their order in the text, and hashed as a tuple. Two texts agree in a sketch only if they select
+the same k-mers in the same order, so likeness, the share of agreeing sketches among those that either text
+has, falls with edit distance and not just with the set of k-mers.
 
 A text of fewer than K units is one k-mer, also the empty text and null. Positions beyond 2^24 units count
-as 2^24. Equal texts have equal fingerprints. Repeated rows are fingerprinted alike.
+as 2^24. Equal texts have equal fingerprints. Repeated rows are fingerprinted alike. The query returns no extra
+columns.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from fieldlab.llm.common import table
 
 K = 2
 TUPLE = 2
+#: Longest run that is one unit, and the characters of a unit of longer ones.
+LONG_RUN, WINDOW = 32, 8
 #: A power of two.
 SKETCHES = 64
 #: Documents of a run of neighbours, about, and most runs.
@@ -41,9 +46,11 @@ def with_sketch(df: DataFrame, text: str, to: str) -> DataFrame:
     low, same = (1 << POSITION_BITS) - 1, lambda a, b: f"shiftright({a}, {POSITION_BITS}) = shiftright({b}, {POSITION_BITS})"
     kmer = "xxhash64(" + ", ".join(f"get({t}, i + {j})" for j in range(K)) + ")"
     occurrence = packed(f"xxhash64(shiftright(get({dup}, i), {POSITION_BITS}), i - s + 1)", f"(get({dup}, i) & {low}L)")
-    units = F.split(F.coalesce(F.col(text), F.lit("")), r"\s+")
+    plain = f"split(coalesce(`{text}`, ''), '\\\\s+')"
+    windows = "transform(sequence(0, size(c) - " + str(WINDOW) + "), j -> concat(" + ", ".join(f"get(c, j + {j})" for j in range(WINDOW)) + "))"
+    cut = f"flatten(transform({plain}, u -> if(char_length(u) > {LONG_RUN}, transform(array(split(u, '')), c -> {windows})[0], array(u))))"
     steps = [
-        (t, units),
+        (t, F.expr(f"if(`{text}` RLIKE '(?<!\\\\S)\\\\S{{{LONG_RUN + 1}}}', {cut}, {plain})")),
         (v, F.expr(f"sort_array(transform(sequence(0, greatest(size({t}) - {K}, 0)), i -> {packed(kmer, f'least(i, {low})')}))")),
         # Later occurrences of a k-mer stand behind the first one in hash order.
         (dup, F.expr(f"filter({v}, (x, i) -> i > 0 AND {same('x', f'get({v}, i - 1)')})")),

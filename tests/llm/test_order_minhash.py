@@ -1,6 +1,8 @@
 import hashlib
 import random
+import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from fieldlab.llm import op9_order_minhash as op
@@ -34,21 +36,64 @@ def test_occurrences_count(spark):
     assert s[0] == s[2] != s[1] and len(s[1]) == op.SKETCHES and all(len(x) >= 1 for x in s.values()) and s[5] == s[6]
 
 
-def test_occurrence_numbers_and_selection_equal_a_plain_version(spark):
-    """Selected k-mers, recomputed from the same hashes with loops."""
-    text = " ".join(random.Random(4).choice("abc") for _ in range(200))
-    df = docs(spark, [text]).withColumn("t", F.split("text", r"\s+")).withColumn("h", F.expr(f"transform(sequence(0, size(t) - {op.K}), i -> xxhash64(get(t, i), get(t, i + 1)))"))
-    row = df.first()
-    low, seen, items = (1 << op.POSITION_BITS) - 1, {}, []
-    short = [((h % (1 << 64)) >> 1) >> op.POSITION_BITS for h in row.h]
-    for at, h in enumerate(short):
-        seen[h] = seen.get(h, -1) + 1
-        items.append((h, seen[h], at))
-    pairs = spark.createDataFrame([(h, o, at) for h, o, at in items], "h long, o int, at int")
-    value = F.expr(f"CASE WHEN o = 0 THEN h * {low + 1}L + at ELSE (shiftrightunsigned(xxhash64(h, o), 1) & {-(low + 1)}L) | at END")
-    values = sorted(r.v for r in pairs.select(value.alias("v")).collect())
-    numbers = sorted({v >> op.SHIFT for v in values})
-    assert [x >> 32 for x in sketches(spark, [text])[0]] == numbers
+def plain_sketch(text):
+    """The same sketch with loops, from the text on."""
+    xx = lambda data, seed: xxhash.xxh64_intdigest(data, seed)
+    units = []
+    for u in re.split(r"\s+", text or "", flags=re.ASCII):
+        units += [u[j : j + op.WINDOW] for j in range(len(u) - op.WINDOW + 1)] if len(u) > op.LONG_RUN else [u]
+    seen, items = {}, []
+    for at in range(max(1, len(units) - op.K + 1)):
+        h = 42
+        for u in units[at : at + op.K]:
+            h = xx(u.encode(), h)
+        h = (h >> 1) >> op.POSITION_BITS
+        seen[h] = seen.get(h, 0) + 1
+        if seen[h] > 1:  # a hash of its own: of the hash and the number of the occurrence
+            h = xx((seen[h] - 1).to_bytes(4, "little"), xx(h.to_bytes(8, "little"), 42)) >> 1 >> op.POSITION_BITS
+        items.append((h, at))
+    out = []
+    for number in sorted({h >> (op.SHIFT - op.POSITION_BITS) for h, _ in items}):
+        least = sorted(x for x in items if x[0] >> (op.SHIFT - op.POSITION_BITS) == number)[: op.TUPLE]
+        tuple_ = 42
+        for h, _ in sorted(least, key=lambda x: x[1]):
+            tuple_ = xx(h.to_bytes(8, "little"), tuple_)
+        out.append(number << 32 | tuple_ & 0xFFFFFFFF)
+    return out
+
+
+def test_equals_a_plain_version(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abc") for _ in range(200)), " ".join(f"w{rng.randrange(300)}" for _ in range(900)), "one", "", None, " a  b\n", "x" * 32, "x" * 33, "".join(rng.choice("漢字かなカナ仮名交文") for _ in range(300)), "some words " + "".join(rng.choice("abcdef0123") for _ in range(200)) + " and more"]
+    s = sketches(spark, texts)
+    for i, t in enumerate(texts):
+        assert s[i] == plain_sketch(t)
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_likeness_follows_edit_distance(spark):
+    """More edits, less likeness: for words, and for characters of a text without blanks."""
+    rng = random.Random(8)
+    for unit, joined in (([f"w{i}" for i in range(400)], " "), (list("漢字仮名交文言語学習機械翻訳大規模"), "")):
+        base = [rng.choice(unit) for _ in range(300)]
+        versions = []
+        for n in (0, 1, 3, 10, 40, 150):
+            t = base.copy()
+            for _ in range(n):
+                k = rng.randrange(len(t))
+                rng.choice([lambda: t.insert(k, rng.choice(unit)), lambda: t.pop(k), lambda: t.__setitem__(k, rng.choice(unit))])()  # noqa: B023
+            versions.append(t)
+        s = sketches(spark, [joined.join(t) for t in versions])
+        far, near = [edit_distance(base, t) for t in versions], [like(s[0], s[i]) for i in range(6)]
+        assert far == sorted(far) and near == sorted(near, reverse=True) and near[0] == 1 and near[1] > 0.75 and near[5] < 0.25
 
 
 def test_query_and_neighbours(spark, tmp_path, monkeypatch):
