@@ -28,13 +28,39 @@ def test_links_headers_and_digests(spark):
     assert op.derivatives(source).count() == 8
 
 
+def test_conversion_of_odd_markup(spark):
+    cases = {
+        "<p>It&#8217;s a caf&eacute; &#x2014; 5&nbsp;&euro; &amp;lt; &unknown; &</p>": "It’s a café — 5 € &lt; &unknown; &",
+        "<p>a</p><script>if (a<b) leak('x')": "a",
+        "<p>a</p><!-- open <p>b</p>": "a",
+        "<p>a</p><style>p{}": "a",
+        "<p title='a>b' class=\"c>d\">text</p>": "text",
+        "<a title='odd>one</a> two": "one two",
+        "<SCRIPT>x</SCRIPT><DIV>up</DIV>1 < 2": "up\n1 < 2",
+        "<a " + "b='>' " * 1000 + ">long</a>": None,
+        "<" + "'" * 100_000: None,
+        "<p " + '"' * 100_001: None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "page_id long, html string").withColumn("url", op.F.lit("http://a/\r\nb"))
+    got = {r.key: r for r in op.derivatives(op.responses(df)).where("record_type = 'conversion'").collect()}
+    for i, want in enumerate(cases.values()):
+        assert want is None or got[i].block == want
+        assert got[i].target_uri == "http://a/b"
+
+
+def test_ids_of_different_pages_differ(spark):
+    df = spark.createDataFrame([(1, "u", "a"), (1, "u", "b"), (1, "u", "b"), (None, None, "b")], "page_id long, url string, html string")
+    made = op.derivatives(op.responses(df))
+    assert made.count() == 8 and made.select("record_id").distinct().count() == 6
+
+
 def test_written_files_are_read_again(spark, tmp_path):
     made = op.derivatives(op.responses(pages(spark)))
     for kind in (None, "gzip"):
         op.write_warc(made.coalesce(2), str(tmp_path / str(kind)), kind)
         back = op.read_warc(spark, str(tmp_path / str(kind)))
-        want = sorted((r.record_type, r.record_id, r.refers_to, r.target_uri, r.block_digest, r.block) for r in made.collect())
-        assert sorted((r.record_type, r.record_id, r.refers_to, r.target_uri, r.block_digest, r.payload) for r in back.collect()) == want
+        want = sorted({(r.record_type, r.record_id, r.refers_to, r.target_uri, r.block_digest, r.source_digest, r.block) for r in made.collect()})
+        assert sorted((r.record_type, r.record_id, r.refers_to, r.target_uri, r.block_digest, r.source_digest, r.payload) for r in back.collect()) == want
 
 
 def test_responses_of_a_file_are_converted(spark, tmp_path):
@@ -44,8 +70,8 @@ def test_responses_of_a_file_are_converted(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record))
     rows = op.read_warc(spark, str(tmp_path / "a.warc.gz"))
     assert rows.count() == 2 and rows.first().payload == "<p>héllo</p>" and rows.first().http_headers.startswith("HTTP/1.1 200")
-    source = rows.selectExpr("record_id AS key", "record_id", "target_uri", "date", "http_headers", "payload", "'sha256:x' AS payload_digest", "'sha256:y' AS block_digest")
-    got = op.derivatives(source).where("record_type = 'conversion'").first()
+    got = op.derivatives(rows.where("record_type = 'response'")).where("record_type = 'conversion'").first()
+    assert got.source_digest == "sha256:" + hashlib.sha256(body).hexdigest() and rows.first().block_digest == "sha256:" + hashlib.sha256(http).hexdigest()
     assert got.block == "héllo" and got.refers_to == "<urn:uuid:1>" and got.date == "2024-01-01T00:00:00Z"
 
 
