@@ -7,7 +7,8 @@ token: the rarest one, by a count over all documents. Documents are scanned for
 Where one occurs, its offset in the window gives the one place where the window may begin (positional
 bound), which must leave room for the whole window (length bound); then the words are compared.
 
-The benchmark is cut into blocks of at most BLOCK (window, item) pairs. A block fits in any worker, so its
+The benchmark is cut into blocks of about BLOCK (window, item) pairs, dealt by a hash of both, so a window that
+very many items hold is in several blocks, with some of the items in each. A block fits in any worker, so its
 size bounds what is sent; each further block is another pass over the documents, behind a checkpoint.
 
 Null or empty texts have no words: such documents are clean, such items never occur. Items without an id
@@ -182,9 +183,9 @@ def scan(docs: DataFrame, sent, text: str, first: bool) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """docs with n_words, hits (spans of hit words), items (ids, sorted) and contaminated."""
     spark = docs.sparkSession
-    pairs = windows_of(benchmark, item_text, item_id, window)
+    pairs = cut(windows_of(benchmark, item_text, item_id, window))
     blocks = max(1, -(-pairs.count() // block))
-    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
+    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks)))
     mine = docs.select(*[c for c in docs.columns if c not in ("n_words", "hits", "items", "contaminated")])
     out = mine
     for b in range(blocks):
@@ -208,3 +209,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[i + 1 : i + n], ' ') AS s FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(0, len(w) - least(13, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+grams AS (SELECT r, i, n, array_to_string(w[i + 1 : i + n], ' ') AS s FROM (SELECT r, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+hits AS (SELECT r, i, n, item FROM grams JOIN windows USING (n, s)),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN covered c USING (r) LEFT JOIN items i USING (r)
+"""

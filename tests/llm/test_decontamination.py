@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from fieldlab.llm import op1_decontamination as op
@@ -80,3 +81,11 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert op.decontaminate(docs(spark, ["a b"]), none).first().contaminated is False
     assert op.decontaminate(docs(spark, ["a"]).limit(0), none).count() == 0
+
+
+def test_query_equals_its_sql(spark):
+    folder, duck = "/root/testdata/sf0.001", duckdb.connect()
+    for name in "documents benchmark".split():
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    got = op.query(spark, folder)
+    assert sorted(map(tuple, got.collect())) == sorted(duck.sql(op.ORACLE).select(*[duckdb.ColumnExpression(c) for c in got.columns]).fetchall())
