@@ -33,7 +33,7 @@ SHORTEST, LONGEST = 3, 12
 #: Toxic documents that an entry needs, and its least log-odds.
 LEAST_DOCS, LEAST_WEIGHT = 4, 2.0
 #: Distinct terms that a task counts before it passes them on.
-TASK_TERMS = 300_000
+TASK_TERMS = 60_000
 
 # Harmless phrases that hold an insult.
 EXCEPTIONS = ("clown fish", "clownfish", "clown school", "trash can", "trash bin", "trash talk show", "scum line", "pond scum", "sore loser rule", "worthless check", "idiot proof", "idiot-proof")
@@ -174,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n = known.count()
     if n > rows:
         known = known.where(F.pmod(F.xxhash64(doc_id, F.lit(7)), F.lit(1_000_000)) < int(950_000 * rows / n))
-    known = known.limit(rows)
+    known = known.orderBy(F.xxhash64(doc_id, F.lit(7)), doc_id).limit(rows)
     sample = docs.select(doc_id, text).join(F.broadcast(known), doc_id).select(text, F.col("_y").alias("_y"), F.pmod(F.xxhash64(doc_id, F.lit(11)), F.lit(folds)).alias("_fold")).persist()
     sizes = {(r._fold, r.y): r.n for r in sample.groupBy("_fold", (F.col("_y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
 
@@ -213,7 +213,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Dat
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def scored(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 
 from fieldlab.llm import op8_toxicity as op
@@ -62,3 +64,28 @@ def test_odd_rows(spark):
 def test_sample_is_bounded(spark, rows):
     texts, labels = corpus()
     assert op.learn(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"), rows=rows).weights
+
+
+def plain_features(lexicon, text):
+    """The same with a plain search: at each place the longest entry, and on behind it."""
+    text, at, total, own = op.fold(text), 0, 0.0, set()
+    while at < len(text):
+        found = max((t for t in lexicon.weights if text.startswith(t, at)), key=len, default=None)
+        if found and lexicon.weights[found] and (at == 0 or not text[at - 1].isalnum()):
+            total += lexicon.weights[found]
+            own.add(found)
+        at += len(found) if found else 1
+    n = text.count(" ") + text.count("\n") + 1
+    return [math.log1p(total), total / n**0.5, math.log1p(len(own)), math.log(n)]
+
+
+def test_features_equal_a_plain_search():
+    rng = random.Random(2)
+    for _ in range(200):
+        entries = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))): rng.choice([0.0, 1.0, 2.5]) for _ in range(6)}
+        lexicon = op.Lexicon(entries, exceptions=("ca b", "abca"))
+        text = "".join(rng.choice("abcA \n") for _ in range(rng.randint(0, 60)))
+        assert np.allclose(lexicon.features(text), plain_features(lexicon, text))
+    lexicon = op.Lexicon({"clown": 3.0, "scum": 2.0})
+    assert lexicon.features("a clown fish and pond scum")[0] == 0 < lexicon.features("a clown and scum")[0]
+
