@@ -62,3 +62,34 @@ def test_frequent_notices_keep_their_labels(spark):
     for notice, label in [(gpl, "gpl-3"), ("Copyright. All rights reserved.", "proprietary"), ("Licensed under CC BY-SA 4.0.", "cc-by-sa")]:
         got = op.scan_licenses(docs(spark, [notice, "nothing of the kind", "plain words"] * 20)).collect()
         assert all(r.labels == ([label] if r.doc_id % 3 == 0 else []) for r in got)
+
+
+def brute_scan(index, text):
+    """Labels and score by trying every notice at every place."""
+    w = WORD.findall((text or "").lower())
+    weight = lambda x: index.idf[index.vocab[x.encode()]]
+    inside = lambda p: any(w[k : k + len(p.split())] == p.split() for k in range(len(w)))
+    labels, score = {label for p, label in op.BASE.items() if inside(p)}, 0.0
+    score = 1.0 if labels else 0.0
+    for label, notice, keys in op.NOTICES:
+        n = notice.split()
+        best = max((sum(weight(x) for k, x in enumerate(n) if 0 <= s + k < len(w) and w[s + k] == x) for s in range(-len(n), len(w))), default=0) / sum(map(weight, n))
+        if best > 0 and all(map(inside, keys)):
+            labels.add(label)
+            score = max(score, best)
+        else:
+            score = max(score, best / 2)
+    return sorted(labels), min(1.0, score)
+
+
+def test_all_labels_equal_brute_force(spark):
+    notices = [n for _, n, _ in op.NOTICES]
+    cut = [" ".join(n.split()[len(n.split()) // 3 :]) for n in notices[-9:]]
+    texts = ["", None, "plain words only", *notices, *cut, "Intro. " + notices[17].replace(" the ", " THE, ", 5) + " and more", f"{notices[8]} {notices[12]}"]
+    df = docs(spark, texts)
+    index = op.Index()
+    index.weigh(*op.word_frequencies(df, op.Index(), "text"))
+    for r in op.scan_licenses(df).collect():
+        labels, score = brute_scan(index, r.text)
+        assert r.labels == labels and abs(r.score - score) < 1e-9
+
