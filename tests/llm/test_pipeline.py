@@ -1,8 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fieldlab.llm import op1_decontamination, op5_packing, op8_toxicity
 
+from .common_cases import docs, odd, saved
 from .test_jaccard import brute as brute_groups
 from .test_line_dedup import brute as brute_lines
 
@@ -47,3 +49,17 @@ def test_each_stage_on_its_own_input(spark, stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert corpus_pipeline.run(spark, DATA).select("doc_id", "start").distinct().count() == stages[-1][1].count()
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    rows = odd(spark).unionByName(docs(spark, ["some words here to be packed", "some words here to be packed"])).withColumn("score", F.lit("mine"))
+    folder = saved(rows, tmp_path / "odd", "documents")
+    saved(spark.createDataFrame([(4, 1, 0), (None, None, 1)], "doc_id long, quality int, toxic int"), folder, "labels")
+    saved(spark.createDataFrame([(None, None), ("b", "")], "item_id string, text string"), folder, "benchmark")
+    packed = corpus_pipeline.run(spark, folder).collect()
+    # 5 is there twice, and 0 and 1 hold the same words.
+    assert sorted((r.doc_id for r in packed if r.start == 0), key=str) == sorted([None, 0, 1, 2, 3, 4, 5, 6], key=str)
+    empty = saved(rows.limit(0), tmp_path / "empty", "documents")
+    for name in ("labels", "benchmark"):
+        saved(spark.read.parquet(f"{folder}/{name}.parquet").limit(0), empty, name)
+    assert corpus_pipeline.run(spark, empty).count() == 0
