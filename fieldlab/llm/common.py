@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -67,6 +69,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
+def tidy(run: Callable) -> Callable:
+    """run, and at its end what it has freed goes back to the system: a worker lives on, beside other ones."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # where the C library can't
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
@@ -98,7 +112,7 @@ def add_columns(df: DataFrame, text: str, added: str, start: Callable[[], Callab
             yield as_batch(columns, [f.name for f in kept] + names, arrow_types)
 
     arrow_types = dict(zip(names, (arrow_type(f.dataType) for f in new), strict=True))
-    return df.mapInArrow(run, T.StructType([*kept, *new]))
+    return df.mapInArrow(tidy(run), T.StructType([*kept, *new]))
 
 
 def arrow_type(kind: T.DataType) -> pa.DataType:

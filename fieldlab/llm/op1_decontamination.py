@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldlab.llm.common import as_batch, cut, raw_texts, send, small_batches, table
+from fieldlab.llm.common import as_batch, cut, raw_texts, send, small_batches, table, tidy
 from fieldlab.llm.text import words
 
 WINDOW = 13
@@ -56,7 +56,7 @@ def windows_of(benchmark: DataFrame, text: str = "text", item_id: str = "item_id
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(ids, pa.string())], ["window", "item_id"])
 
     items = benchmark.select(F.col(text), F.col(item_id).cast("string").alias("item_id"))
-    return items.mapInArrow(run, "window binary, item_id string").distinct()
+    return items.mapInArrow(tidy(run), "window binary, item_id string").distinct()
 
 
 def shingle_hashes(ids: np.ndarray, k: int) -> np.ndarray:
@@ -141,7 +141,7 @@ def token_counts(docs: DataFrame, sent, text: str) -> dict[tuple[int, int], int]
             at = np.flatnonzero(c)
             yield as_batch([pa.array(np.full(len(at), k, np.int32)), pa.array(block.tokens[k][at].view(np.int64)), pa.array(c[at])], ["k", "token", "n"], {})
 
-    rows = docs.select(text).mapInArrow(run, "k int, token long, n long").groupBy("k", "token").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(text).mapInArrow(tidy(run), "k int, token long, n long").groupBy("k", "token").agg(F.sum("n").alias("n")).collect()
     return {(r.k, r.token % (1 << 64)): r.n for r in rows}
 
 
@@ -177,7 +177,7 @@ def scan(docs: DataFrame, sent, text: str, first: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*kept, "n_words", "_hits", "_items"])
 
     small_batches(docs.sparkSession)
-    return docs.select(*kept, *earlier).mapInArrow(run, schema)
+    return docs.select(*kept, *earlier).mapInArrow(tidy(run), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import add_columns, raw_texts, send, small_batches, table
+from fieldlab.llm.common import add_columns, raw_texts, send, small_batches, table, tidy
 from fieldlab.llm.text import words
 
 #: Places of a long file that are voted on at once.
@@ -182,7 +182,7 @@ def word_frequencies(docs: DataFrame, index: Index, text: str) -> tuple[dict[int
                 counts[np.unique(mine.numbers(words(raw)))] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], ["word", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0").collect()
+    rows = docs.select(text).mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0").collect()
     return {r.word: r.n for r in rows if r.word}, docs.count()
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import add_columns, cut, raw_texts, small_batches, table
+from fieldlab.llm.common import add_columns, cut, raw_texts, small_batches, table, tidy
 
 #: Runs of a level that are compacted into one of the next.
 FANOUT = 3
@@ -57,7 +57,7 @@ def key_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 counts.clear()
         yield pour()
 
-    return docs.select(text).mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(tidy(run), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 class LineRuns:
@@ -156,7 +156,7 @@ def drop_keys(docs: DataFrame, frequent: DataFrame, text: str = "text", most: in
 
     from pyspark.sql import types as T
 
-    return joined.mapInArrow(run, T.StructType([*out, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
+    return joined.mapInArrow(tidy(run), T.StructType([*out, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
 
 
 def kept(texts: list, is_bad) -> tuple[list, list, list]:

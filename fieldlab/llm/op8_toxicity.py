@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import add_columns, raw_texts, send, small_batches, table
+from fieldlab.llm.common import add_columns, raw_texts, send, small_batches, table, tidy
 
 #: Labelled documents that are learned from, at most.
 FIT_ROWS = 20_000
@@ -98,7 +98,7 @@ def term_counts(sample: DataFrame, text: str, label: str) -> DataFrame:
                     yield pour()
         yield pour()
 
-    return sample.select(text, label).mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sample.select(text, label).mapInArrow(tidy(run), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 class Lexicon:
