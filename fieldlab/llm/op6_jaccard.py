@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fieldlab.llm.common import Stored, cut, raw_texts, small_batches, table
+from fieldlab.llm.common import Stored, cut, raw_texts, small_batches, table, tidy
 from fieldlab.llm.components import components
 from fieldlab.llm.text import spaced_words
 
@@ -188,7 +188,7 @@ def set_rows(docs: DataFrame, shingle: int) -> DataFrame:
             own = {"node": pa.array([class_of(t) for t in sets], pa.int64()), "n": pa.array([len(t) for t in sets], pa.int64()), "keys": pa.array([t[:KEYS].view(np.int64).tolist() for t in sets], pa.list_(pa.int64())), "bits": pa.array([token_bits(t).tobytes() if len(t) else None for t in sets], pa.binary())}
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *own.values()], ["doc_id", "h", *own])
 
-    return docs.withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, node long, n long, keys array<long>, bits binary")
+    return docs.withColumn("h", F.xxhash64("text")).mapInArrow(tidy(run), "doc_id long, h long, node long, n long, keys array<long>, bits binary")
 
 
 def signature_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -215,7 +215,7 @@ def signature_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 sig = np.concatenate(sigs).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int64), lengths))], ["sig", "node", "n"])
 
-    return docs.select("text").mapInArrow(run, "sig long, node long, n long")
+    return docs.select("text").mapInArrow(tidy(run), "sig long, node long, n long")
 
 
 def shared_signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -270,7 +270,7 @@ class Sets:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "node", "tokens"])
 
-        found = self.docs.withColumn("x", spot).mapInArrow(run, "doc_id long, node long, tokens binary")
+        found = self.docs.withColumn("x", spot).mapInArrow(tidy(run), "doc_id long, node long, tokens binary")
         found = found.join(needed, (found["node"] == needed["node"]) & found["doc_id"].eqNullSafe(needed["doc_id"])).select(found["node"], "tokens")
         return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
 
@@ -297,7 +297,7 @@ def overlaps(pairs: DataFrame, keep, columns: str) -> DataFrame:
                 yes.append(bool(keep(int(found.sum()), len(s), len(t))))
             yield batch.select(names).filter(pa.array(yes, pa.bool_()))
 
-    return pairs.mapInArrow(run, columns)
+    return pairs.mapInArrow(tidy(run), columns)
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -313,13 +313,14 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     mine = classes.select(F.col("node").alias("a"), "n", F.col("bits").alias("x"))
     other = classes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-    return pairs.join(mine, "a").join(other, "b").where(bounded_sizes(F.col("n"), F.col("m"), percent)).mapInArrow(run, "a long, b long")
+    return pairs.join(mine, "a").join(other, "b").where(bounded_sizes(F.col("n"), F.col("m"), percent)).mapInArrow(tidy(run), "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: Sets, percent: int, stored: Stored) -> DataFrame:
     """Of the distinct pairs (a, b) of classes those that are linked."""
     pairs = cut(possible(pairs, sets.classes, percent), ROWS)
-    tokens = sets.of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
+    # Stored, so Spark can split the pairs of a pivot that has many.
+    tokens = stored(sets.of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))))
     full = pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     return overlaps(full, lambda i, n, m: 100 * i >= percent * (n + m - i), "a long, b long").distinct()
 
@@ -382,7 +383,7 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> Da
         shared = stored(without_hottest(stored(shared_signatures(docs, shingle, percent))))
         family = families(shared)
         near = family.where((F.col("node") != F.col("family")) & bounded_sizes(F.col("n"), F.col("family_n"), percent))
-        first = cut(verified(near.select(F.col("family").alias("a"), F.col("node").alias("b")), sets, percent), ROWS)
+        first = cut(verified(near.select(F.col("family").alias("a"), F.col("node").alias("b")), sets, percent, stored), ROWS)
 
         # What is left: signatures whose classes are in different groups.
         group = components(first).withColumnRenamed("component", "grp")
@@ -462,7 +463,7 @@ def bounded(pairs: DataFrame, members: DataFrame, classes: DataFrame, percent: i
 
     bits = stored(members.join(classes.select("node", "n", "bits"), "node").groupBy("part").agg(F.collect_list(F.struct("node", "grp", "n", "bits")).alias("m")))
     both = pairs.join(bits, "part").join(bits.select(F.col("part").alias("other"), F.col("m").alias("om")), "other")
-    return both.select("part", "other", "m", "om").mapInArrow(run, "part long, other long, nodes array<long>")
+    return both.select("part", "other", "m", "om").mapInArrow(tidy(run), "part long, other long, nodes array<long>")
 
 
 def opened(pairs: DataFrame, percent: int) -> DataFrame:
@@ -481,7 +482,7 @@ def opened(pairs: DataFrame, percent: int) -> DataFrame:
                 out += compared(read(batch.column("m")[i].as_py()), None if same else read(batch.column("om")[i].as_py()), percent)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return pairs.select("part", "other", "m", "om").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("part", "other", "m", "om").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def jaccard_rows(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
