@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import string
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of rows sent to a Python worker at once, about; whole texts may be long.
@@ -124,3 +126,9 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
 def as_batch(columns: list, names: list[str], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, kinds[n]) for c, n in zip(columns, names, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names)
+
+
+def az_lower(text: Column) -> Column:
+    """A-Z in lower case, other characters as they are."""
+    ascii_only = F.octet_length(text) == F.char_length(text)  # then lower() does the same, much faster
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
