@@ -11,7 +11,8 @@ copies of a block out before that. Names are written to the shared folder before
 can't give a block two names, and Spark can split the rows of a block or of a group that is repeated a lot.
 
 Null or empty text is one empty block. Rows that are repeated are documents of their own: of those with the largest
-id one is kept. Null ids come last. Columns of docs other than text stay; those named as added ones are replaced.
+id one is kept. Null ids come last. Columns of docs other than text stay; those named as added
+ones are replaced, and the names _row, _hashes, _level, _name and _keep are taken.
 """
 
 from __future__ import annotations
@@ -57,10 +58,10 @@ def block_names(docs: DataFrame, text: str, size: int, store: Stored) -> tuple[D
 
 
 def identities(docs: DataFrame, text: str, size: int, store: Stored) -> DataFrame:
-    """docs without text, with _row, text_sha256 and the identity: level (rounds of pairing) and name."""
+    """docs without text, with _row, text_sha256 and the identity: _level (rounds of pairing) and _name."""
     names, seed = block_names(docs, text, size, store)
     lower = az_lower(F.coalesce(F.col(text), F.lit("")))
-    kept = [F.col(c) for c in docs.columns if c not in (text, "_row", "_hashes", "text_sha256", *ADDED)]
+    kept = [F.col(c) for c in docs.columns if c not in (text, "_row", "_hashes", "_level", "_name", "_keep", "text_sha256", *ADDED)]
     rows = docs.select(*kept, F.sha2(lower, 256).alias("text_sha256"), F.transform(blocks(F.col(text), size), lambda b: hashed(b, seed)).alias("_hashes"), F.monotonically_increasing_id().alias("_row"))
     rows = store(rows)  # so a row's number is the same for all that follows
 
@@ -70,10 +71,10 @@ def identities(docs: DataFrame, text: str, size: int, store: Stored) -> DataFram
     while True:
         now = places.join(names, ["a", "b"]).select("_row", "m", "k", "name")
         if most == 1:
-            done.append(now.select("_row", F.lit(level).alias("level"), "name"))
+            done.append(now.select("_row", F.lit(level).alias("_level"), F.col("name").alias("_name")))
             break
         now = store(now)
-        done.append(now.where("m = 1").select("_row", F.lit(level).alias("level"), "name"))
+        done.append(now.where("m = 1").select("_row", F.lit(level).alias("_level"), F.col("name").alias("_name")))
         pair = [F.max(F.when(F.col("k") % 2 == i, F.col("name"))) for i in (0, 1)]
         halves = now.where("m > 1").groupBy("_row", F.ceil(F.col("m") / 2).cast("int").alias("m"), F.floor(F.col("k") / 2).cast("int").alias("k"))
         places = store(halves.agg(pair[0].alias("a"), F.coalesce(pair[1], F.lit(-1)).alias("b")))  # -1: a last name without partner
@@ -90,9 +91,9 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     store, work = Stored(docs.sparkSession), Stored(docs.sparkSession)
     rows = store(identities(docs, text, size, work))
     work.remove()
-    groups = rows.groupBy("level", "name").agg(F.max(F.struct(F.col(id).alias("id"), "_row")).alias("top"), F.count("*").alias("group_size"))
-    groups = store(groups.select("level", "name", F.col("top.id").alias("keep_id"), F.col("top._row").alias("_keep"), "group_size"))
-    return rows.join(groups, ["level", "name"]).withColumn("kept", F.col("_row") == F.col("_keep")).drop("level", "name", "_row", "_keep")
+    groups = rows.groupBy("_level", "_name").agg(F.max(F.struct(F.col(id).alias("id"), "_row")).alias("top"), F.count("*").alias("group_size"))
+    groups = store(groups.select("_level", "_name", F.col("top.id").alias("keep_id"), F.col("top._row").alias("_keep"), "group_size"))
+    return rows.join(groups, ["_level", "_name"]).withColumn("kept", F.col("_row") == F.col("_keep")).drop("_level", "_name", "_row", "_keep")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
