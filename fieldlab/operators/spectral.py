@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldlab.sources import pieces
+
 
 @dataclass(frozen=True)
 class Truncation:
@@ -149,13 +151,5 @@ def packed(waves: DataFrame, order: list[str]) -> DataFrame:
 
 
 def dump(packed_rows: DataFrame, path: str) -> int:
-    """Packed coefficients as raw float64, in order; a truncation has about 1e5 numbers, which bounds what comes here."""
-    import itertools
-
-    n = 0
-    with open(path, "wb") as f:
-        rows = packed_rows.orderBy("m", "block", "l", "row", "k").select("coef").toLocalIterator()
-        while part := [r.coef for r in itertools.islice(rows, 10_000)]:
-            f.write(np.array(part, "<f8").tobytes())
-            n += len(part)
-    return n
+    """Packed coefficients as raw float64, in order, written by many tasks into one file; how many there are."""
+    return pieces.write_vector(packed_rows, path, ["m", "block", "l", "row", "k"], "coef")

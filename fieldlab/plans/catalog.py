@@ -12,6 +12,7 @@ from fieldlab.functions import scalar, stats
 from fieldlab.model import from_slab, to_series, to_slab
 from fieldlab.operators import calculus, climate, elliptic, forcing, joins, modes, reduce, regrid, select, spatial, spectral, window
 from fieldlab.plans.proxies import CUBE, CUBE_ALL, DAILY, GRID, MONTHLY, SALES, YEARLY, daily_series, level_cube, monthly_cube, price_grid, sales_cube, samples, table, yearly_cube
+from fieldlab.sources import files, netcdf, pieces
 from fieldlab.streaming import windows
 
 QUERIES: dict = {}
@@ -674,6 +675,26 @@ def nmo_index(spark, d):
     return spectral.index_map(spark)
 
 
+# --- files ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {MONTHLY} SELECT CAST(time AS VARCHAR) AS time, lat, lon, round(x, 4) AS x FROM monthly WHERE time >= DATE '1995-01-01' AND lat BETWEEN 20 AND 40")
+def netcdf_scan(spark, d):
+    """The monthly cube, written as NetCDF files; a range of its times and latitudes is read."""
+    path = files.shared_folder(spark)
+    netcdf.write_netcdf(monthly_cube(spark, d), path, ["time", "lat", "lon"], ["x"], steps=24)
+    cells = netcdf.scan(spark, path).where("time >= timestamp'1995-01-01' AND lat BETWEEN 20 AND 40")
+    return texted(rounded(select.present(cells, "x").withColumn("time", F.to_date("time")), 4, "x"), "time").select("time", "lat", "lon", "x")
+
+
+@query(f"WITH {DAILY} SELECT row_number() OVER (ORDER BY d) - 1 AS \"at\", round(x, 4) AS value FROM daily")
+def npy_vector(spark, d):
+    """The daily series, written as one npy file and read again."""
+    path = files.shared_folder(spark)
+    pieces.write_vector(daily_series(spark, d), path, ["d"], "x", npy=True)
+    return rounded(files.read_npy(spark, path), 4, "value").select("at", "value")
+
+
 # --- streams -----------------------------------------------------------------------------------------------
 
 

@@ -5,12 +5,18 @@ from __future__ import annotations
 import io
 import os
 import struct
+import tempfile
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
+
+from fieldlab.sources import netcdf
 
 SEPARATOR = "◇"
 
@@ -26,6 +32,14 @@ def write_cube(df: DataFrame, path: str, partition: str | None = "year", mode: s
     (writer.partitionBy(partition) if partition and partition in df.columns else writer).parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; only a local Spark may do without that setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+    return f"{folder or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+
+
 def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """The cube at path; computed and written first if it isn't there."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -35,85 +49,28 @@ def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) ->
     return spark.read.parquet(path)
 
 
-# Types of the classic NetCDF format by number.
-NETCDF_TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
-
-
-class Classic:
-    """A classic NetCDF file (also with 64-bit offsets): dimensions, and variables as arrays."""
-
-    def __init__(self, content: bytes):
-        if content[:3] != b"CDF" or content[3] not in (1, 2):
-            raise ValueError("not a classic NetCDF file")
-        self.content, self.at, self.wide = content, 4, content[3] == 2
-        self.records = self.number()
-        self.dims = self.entries(lambda: (self.name(), self.number()))
-        self.entries(self.attribute)
-        self.variables = {}
-        for name, dims, attributes, kind, size, begin in self.entries(self.variable):
-            self.variables[name] = (dims, dict(attributes), kind, size, begin)
-
-    def number(self, kind: str = ">i") -> int:
-        self.at += struct.calcsize(kind)
-        return struct.unpack_from(kind, self.content, self.at - struct.calcsize(kind))[0]
-
-    def padded(self, n: int) -> bytes:
-        self.at += -(-n // 4) * 4
-        return self.content[self.at - -(-n // 4) * 4 :][:n]
-
-    def name(self) -> str:
-        return self.padded(self.number()).decode()
-
-    def entries(self, read: Callable) -> list:
-        self.number()
-        return [read() for _ in range(self.number())]
-
-    def attribute(self) -> tuple:
-        name, kind, n = self.name(), NETCDF_TYPES[self.number()], self.number()
-        return name, np.frombuffer(self.padded(n * np.dtype(kind).itemsize), kind)
-
-    def variable(self) -> tuple:
-        name, dims = self.name(), [self.number() for _ in range(self.number())]
-        return name, dims, self.entries(self.attribute), NETCDF_TYPES[self.number()], self.number(), self.number(">q" if self.wide else ">i")
-
-    def names(self, variable: str) -> list[str]:
-        return [self.dims[i][0] for i in self.variables[variable][0]]
-
-    def slices(self, variable: str):
-        """The variable's arrays along its first dimension; packed values unpacked, fill values NaN."""
-        dims, attributes, kind, _, begin = self.variables[variable]
-        shape, each = [self.dims[i][1] for i in dims], np.dtype(kind).itemsize
-        record = bool(dims) and shape[0] == 0
-        sizes = [v[3] for v in self.variables.values() if v[0] and self.dims[v[0][0]][1] == 0]
-        n = int(np.prod(shape[1:]))
-        step = (n * each if len(sizes) == 1 else sum(sizes)) if record else n * each
-        for i in range(self.records if record else shape[0] if dims else 1):
-            raw = np.frombuffer(self.content, kind, n, begin + i * step)
-            data = raw.astype(float)
-            for name in ("_FillValue", "missing_value"):
-                if name in attributes:
-                    data[raw == attributes[name][0]] = np.nan
-            yield data * float(attributes.get("scale_factor", [1.0])[0]) + float(attributes.get("add_offset", [0.0])[0])
-
-    def axis(self, dim: str) -> np.ndarray:
-        """A dimension's labels: its variable, or places."""
-        if dim in self.variables:
-            return np.concatenate([np.atleast_1d(x) for x in self.slices(dim)])
-        n = dict(self.dims)[dim]
-        return np.arange(float(n or self.records))
-
-
 def read_netcdf(spark: SparkSession, path: str, *variables: str, dims: tuple[str, ...] = ("time", "lat", "lon")) -> DataFrame:
-    """(path, dims..., variable, value) of classic NetCDF files, a step of the first dimension at a time.
+    """(path, dims..., variable, value) of NetCDF files whose variables all have these dimensions; missing is NULL.
 
-    All variables have these dimensions. Values that are missing are NULL. Files of the HDF5-based kind need the
-    netCDF4 library on executors. A file is read by one task.
+    Files of the classic formats are read by parts (see netcdf.scan, which also decodes times). Files of the HDF5-based
+    kind need the netCDF4 library on executors; these, and files in a store that only Spark can open, are read whole.
     """
+    try:
+        with netcdf.located(path)[0].open_input_file(netcdf.located(netcdf.files_of(path)[0][0])[1]) as f:
+            split = f.read(3) == b"CDF"
+    except (OSError, ValueError):
+        split = False
+    if split:
+        cells = netcdf.scan(spark, path, *variables, decodeTimes="false")
+        if sorted(cells.columns[1 : -len(variables)]) != sorted(dims):
+            raise ValueError(f"the dimensions are {cells.columns[1 : -len(variables)]}")
+        return cells.unpivot(["path", *dims], list(variables), "variable", "value")
 
     def steps(content: bytes, v: str):
         if content[:3] == b"CDF":
-            f = Classic(content)
-            return f.names(v), [f.axis(d) for d in f.names(v)], f.slices(v)
+            c = netcdf.Classic(io.BytesIO(content), len(content))
+            own = c.variables[v]
+            return own.dims, [c.axis(d) for d in own.dims], (own.decoded(c.raw(own, i)) for i in range(own.shape[0]))
         import netCDF4
 
         f = netCDF4.Dataset("memory", memory=content)
@@ -178,28 +135,71 @@ def grads_header(text: str) -> dict:
     return out
 
 
-def read_grads(spark: SparkSession, path: str, ctl: str) -> DataFrame:
+def read_grads(spark: SparkSession, path: str, ctl: str, **options) -> DataFrame:
     """(time, lev, lat, lon, variable, value) of a GrADS binary and the text of its descriptor; time counts from 0."""
-    head = grads_header(ctl)
-
-    def run(frames):
-        import pandas as pd
-
-        lat, lon, lev = head["ydef"], head["xdef"], head["zdef"]
-        for frame in frames:
-            for content in frame["content"]:
-                data, at = np.frombuffer(bytes(content), ">f4" if head["big"] else "<f4").astype(float), 0
-                for t in range(head["tdef"]):
-                    for name, n in head["vars"]:
-                        for k in range(n):
-                            own = data[at : at + len(lat) * len(lon)]
-                            at += len(own)
-                            value = np.where(own == head["undef"], np.nan, own) if head["undef"] is not None else own
-                            rows = pd.DataFrame({"time": t, "lev": lev[k], "lat": np.repeat(lat, len(lon)), "lon": np.tile(lon, len(lat)), "variable": name, "value": value})
-                            yield rows.astype({"time": "int32"})
-
-    df = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "time int, lev double, lat double, lon double, variable string, value double")
-    return df.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    spark.dataSource.register(Grads)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("grads").option("ctl", ctl).options(**options).load(path)
+
+
+@dataclass
+class Fields(InputPartition):
+    path: str
+    numbers: list[int]
+
+
+class Grads(DataSource):
+    """A GrADS binary: fields of one length, in the order of times, variables and levels; a partition is some of them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "grads"
+
+    def schema(self) -> str:
+        return "time int, lev double, lat double, lon double, variable string, value double"
+
+    def reader(self, schema) -> DataSourceReader:
+        most = self.options.get("partitionBytes") or self.options.get("partitionbytes") or netcdf.PARTITION_BYTES
+        return GradsReader(self.options["path"], grads_header(self.options["ctl"]), int(most))
+
+
+class GradsReader(DataSourceReader):
+    def __init__(self, path: str, head: dict, most: int):
+        self.path, self.head, self.most, self.asked = path, head, most, []
+        self.layers = [(name, float(head["zdef"][k])) for name, n in head["vars"] for k in range(n)]
+        self.cells = len(head["ydef"]) * len(head["xdef"])
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons of time, variable and level choose the fields that are read; Spark applies all of them again."""
+        self.asked = netcdf.comparisons(filters, ["time", "variable", "lev"])
+        return iter(filters)
+
+    def partitions(self) -> list[Fields]:
+        times = np.flatnonzero(netcdf.matching(self.asked, "time", np.arange(self.head["tdef"])))
+        names, levels = (np.array([x[i] for x in self.layers]) for i in (0, 1))
+        layers = np.flatnonzero(netcdf.matching(self.asked, "variable", names) & netcdf.matching(self.asked, "lev", levels))
+        numbers = (times[:, None] * len(self.layers) + layers).ravel()
+        per = max(1, self.most // (4 * self.cells))
+        return [Fields(path, numbers[i : i + per].tolist()) for path, _ in netcdf.files_of(self.path) for i in range(0, len(numbers), per)]
+
+    def read(self, part: Fields | None):
+        import pyarrow as pa
+
+        if part is None:  # no field is left
+            return
+        head, (system, inner) = self.head, netcdf.located(part.path)
+        lat, lon = np.repeat(head["ydef"], len(head["xdef"])).astype(float), np.tile(head["xdef"], len(head["ydef"])).astype(float)
+        with system.open_input_file(inner) as f:
+            for number in part.numbers:
+                f.seek(4 * self.cells * number)
+                raw = f.read(4 * self.cells)
+                if len(raw) < 4 * self.cells:
+                    raise ValueError(f"{part.path} ends before field {number}")
+                value = np.frombuffer(raw, ">f4" if head["big"] else "<f4").astype(float)
+                name, lev = self.layers[number % len(self.layers)]
+                empty = np.isnan(value) if head["undef"] is None else np.isnan(value) | (value == np.float32(head["undef"]))
+                same = np.zeros(self.cells, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(same + number // len(self.layers)), pa.array(same + lev), pa.array(lat), pa.array(lon), pa.array([name]).take(pa.array(same)), pa.array(value, mask=empty)], ["time", "lev", "lat", "lon", "variable", "value"])
 
 
 def shapes(content: bytes):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlab.sources import files
+from fieldlab.sources import files, netcdf, pieces
 from fieldlab.streaming import windows
 
 
@@ -90,3 +90,93 @@ def test_streamed_windows_equal_batch(spark, tmp_path):
     q.stop()
     assert sorted(spark.table("windows").collect()) == sorted(windows.tumbling(df, "2 hours", ["kind"], "v").collect())
     assert windows.sessions(df, "90 minutes", ["kind"]).first().n == 6
+
+
+def test_netcdf_columns_and_unknown_lengths(spark, tmp_path):
+    """A column for each variable; a file that says its records are still being written; fields that don't share dimensions."""
+    raw = classic(3, True)
+    (tmp_path / "a.nc").write_bytes(raw)
+    (tmp_path / "b.nc").write_bytes(raw[:4] + b"\xff" * 4 + raw[8:])
+    df = netcdf.scan(spark, str(tmp_path))
+    assert df.columns == ["path", "time", "lat", "lon", "t", "u"] and df.count() == 36
+    a, b = (netcdf.scan(spark, str(tmp_path / f"{n}.nc"), "u").select("time", "lat", "lon", "u").collect() for n in "ab")
+    assert sorted(a) == sorted(b) and len(a) == 18
+    with pytest.raises(Exception, match="share their dimensions"):
+        netcdf.scan(spark, str(tmp_path / "a.nc"), "t", "lat")
+    with pytest.raises(Exception, match="no variable"):
+        netcdf.scan(spark, str(tmp_path / "a.nc"), "z")
+
+
+def test_netcdf_default_fill_values():
+    v = netcdf.Variable(["x"], [3], 3, 0, 2)
+    assert np.isnan(v.decoded(np.array([1, -32767, 2], ">i2"))).tolist() == [False, True, False]
+    assert not np.isnan(netcdf.Variable(["x"], [1], 1, 0, 1).decoded(np.array([-127], ">i1")))[0]
+
+
+def days(spark, n=40):
+    time = F.expr("timestamp'1999-12-01 06:00:00' + make_dt_interval(CAST(id DIV 24 AS INT))")
+    cells = spark.range(24 * n).select(time.alias("time"), (10.0 * (F.col("id") % 24 / 6).cast("int")).alias("lat"), (F.col("id") % 6).cast("double").alias("lon"), F.when(F.col("id") % 7 != 0, F.col("id") * 1.5).alias("x"), (-F.col("id")).cast("float").alias("y"))
+    return cells.where("lat <> 10 OR lon <> 3")  # no rows for one cell
+
+
+@pytest.mark.parametrize("single", [False, True])
+def test_netcdf_round_trip(spark, tmp_path, single):
+    df, path = days(spark), str(tmp_path / "out")
+    netcdf.write_netcdf(df, path, ["time", "lat", "lon"], ["x", "y"], steps=9, single=single)
+    names = sorted(p.name for p in ([tmp_path / "out"] if single else (tmp_path / "out").iterdir()))
+    assert names == (["out"] if single else [f"part-{i:05d}.nc" for i in range(5)])
+    back = netcdf.scan(spark, path, partitionBytes=24 * 16 * 4)
+    assert back.count() == 40 * 24 and back.rdd.getNumPartitions() == (10 if single else 13)
+    both = back.join(df.withColumnsRenamed({"x": "a", "y": "b"}), ["time", "lat", "lon"], "left")
+    assert both.where("NOT (x <=> a AND y <=> b)").count() == 0
+    with pytest.raises(Exception):
+        netcdf.write_netcdf(df, path, ["time", "lat", "lon"], ["x"], single=single) if single else netcdf.scan(spark, path, "z")
+
+
+def test_netcdf_filters_choose_steps_and_rows(spark, tmp_path):
+    path = str(tmp_path / "out")
+    netcdf.write_netcdf(days(spark), path, ["time", "lat", "lon"], ["x", "y"], single=True)
+    all_cells = netcdf.scan(spark, path, partitionBytes=24 * 16)
+    some = all_cells.where("time > timestamp'2000-01-05 00:00:00' AND lat >= 20 AND lon IN (1.0, 4.0)")
+    assert all_cells.rdd.getNumPartitions() == 40 and some.rdd.getNumPartitions() == 5 and some.count() == 5 * 2 * 2
+    assert sorted(some.select("time", "lat", "lon", "x").collect()) == sorted(days(spark).where("time > timestamp'2000-01-05 00:00:00' AND lat >= 20 AND lon IN (1.0, 4.0)").select("time", "lat", "lon", "x").collect())
+    assert all_cells.where("lat = 5").count() == 0 and all_cells.where("time < timestamp'1990-01-01'").count() == 0
+
+
+def test_netcdf_file_above_two_gigabytes(spark, tmp_path):
+    """A sparse file: one field of 5 MB in 600 steps, 3 GB; only the steps that are asked for are opened."""
+    axes = {"time": np.arange(600.0), "lat": np.arange(800.0), "lon": np.arange(800.0)}
+    head, size, cells = netcdf.header(axes, {}, ["x"], 600)
+    with open(tmp_path / "big.nc", "wb") as f:
+        f.write(head)
+        for i in range(600):
+            f.seek(len(head) + i * size)
+            f.write(struct.pack(">d", i) + (np.full(cells, i + 0.5, ">f8").tobytes() if i == 431 else b""))
+        f.truncate(len(head) + 600 * size)
+    df = netcdf.scan(spark, str(tmp_path / "big.nc"), partitionBytes=64 << 20)
+    assert (tmp_path / "big.nc").stat().st_size > 2 << 30 and df.rdd.getNumPartitions() == 47
+    classic, file = netcdf.opened(str(tmp_path / "big.nc"))
+    assert (classic.raw(classic.variables["x"], 431) == 431.5).all() and len(classic.seen) < 1 << 17
+    file.close()
+    got = df.where("time = 431 AND lat < 10").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).first()
+    assert tuple(got) == (8000, 431.5, 431.5) and df.where("time = 431").rdd.getNumPartitions() == 1
+
+
+def test_npy_and_raw_sinks(spark, tmp_path):
+    df = spark.range(150_000).select("id", (F.col("id") * 0.5).alias("v")).repartition(5)
+    assert pieces.write_vector(df, str(tmp_path / "v.npy"), ["id"], "v", npy=True) == 150_000
+    assert (np.load(tmp_path / "v.npy") == np.arange(150_000) * 0.5).all() and [p.name for p in tmp_path.iterdir()] == ["v.npy"]
+    with pytest.raises(Exception, match="v.npy"):
+        pieces.write_vector(df, str(tmp_path / "v.npy"), ["id"], "v")
+    pieces.write_vector(df.limit(0), str(tmp_path / "none"), ["id"], "v")
+    assert (tmp_path / "none").stat().st_size == 0
+
+
+def test_grads_reads_by_fields(spark, tmp_path):
+    """Two variables of two levels and one: time 1 of a variable is one field of six."""
+    np.arange(2 * 3 * 6, dtype="<f4").tofile(tmp_path / "x.gra")
+    ctl = "UNDEF 7\nOPTIONS little_endian\nXDEF 3 LINEAR 0 10\nYDEF 2 LINEAR -5 10\nZDEF 2 LEVELS 500 200\nTDEF 2 LINEAR 00z01jan2000 1mo\nVARS 2\nt 2 99 temperature\np 0 99 pressure\nENDVARS"
+    rows = files.read_grads(spark, str(tmp_path / "x.gra"), ctl, partitionBytes=6 * 4)
+    assert rows.rdd.getNumPartitions() == 6 and rows.count() == 36 and rows.where("value IS NULL").count() == 1
+    some = rows.where("variable = 't' AND lev = 200.0 AND time >= 1")
+    assert some.rdd.getNumPartitions() == 1 and [r.value for r in some.orderBy("lat", "lon").collect()] == [24.0, 25.0, 26.0, 27.0, 28.0, 29.0]
