@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from fieldlab.operators import select
 
 #: Accuracy of the approximate quantiles that bound an exact one.
 ACCURACY = 10_000
+#: Values that are put in order by one task.
+FEW = 1 << 18
 
 
 def area_mean(df: DataFrame, by: list[str], values: list[str], cos_weight: bool = False, lat: str = "lat") -> DataFrame:
@@ -42,24 +46,34 @@ def spread(df: DataFrame, first: int, last: int, by: list[str], values: list[str
 def quantile(df: DataFrame, value: str, q: float, by: list[str] | None = None) -> DataFrame:
     """Exact quantile with linear interpolation.
 
-    Over the whole table, approximate quantiles bound the values about the wanted one; what is below is counted,
-    and only the values between them, added up by value, are put in order.
+    Over the whole table, rounds of approximate quantiles narrow the band about the wanted rank until at most FEW values
+    are strictly inside; only these and the band's ends, added up by value, are put in order by one task.
     """
     if by:
         return df.groupBy(*by).agg(F.percentile(value, q).alias("q"))
     some = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    near = [max(0.0, q - 3 / ACCURACY), min(1.0, q + 3 / ACCURACY)]
-    bounds = some.agg(F.percentile_approx("v", near, ACCURACY).alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    many = F.col("n") >= ACCURACY  # else two ranks may be further apart than the margin, and all values are few
-    low = F.when(many & (F.lit(near[0]) > 0), F.get("b", F.lit(0))).otherwise(F.col("lo"))
-    high = F.when(many & (F.lit(near[1]) < 1), F.get("b", F.lit(1))).otherwise(F.col("hi"))
-    bounds = bounds.select(low.alias("low"), high.alias("high"), (F.lit(float(q)) * (F.col("n") - 1)).alias("at"))
-    counted = some.crossJoin(F.broadcast(bounds)).where("v <= high").groupBy(F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("n"), F.first("at").alias("at"))
-    upto = F.sum("n").over(Window.orderBy(F.asc_nulls_first("v")))
-    ranked = counted.select("v", "at", upto.alias("end"), (upto - F.col("n")).alias("start"))
+    near = lambda share: [min(1.0, max(0.0, share + d / ACCURACY)) for d in (-3, 3)]
+    r = some.agg(F.percentile_approx("v", near(q), ACCURACY).alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).first()
+    if r.n == 0:
+        return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("q"))
+    at, low, high, below, inside, bounds = q * (r.n - 1), r.lo, r.hi, 0, r.n, r.b
+    while inside > FEW:
+        low = bounds[0] if near((at - below) / inside)[0] > 0 else low
+        high = bounds[1] if near((at - below) / inside)[1] < 1 else high
+        counts = some.agg(F.count_if(F.col("v") < low).alias("below"), F.count_if((F.col("v") > low) & (F.col("v") < high)).alias("inside")).first()
+        if counts.inside >= inside:  # can't be narrowed any more
+            break
+        below, inside = counts.below, counts.inside
+        if inside > FEW:
+            band = some.where(F.col("v").between(low, high))
+            n = band.count()
+            bounds, inside = band.agg(F.percentile_approx("v", near((at - below) / n), ACCURACY)).first()[0], n
+    counted = some.where(F.col("v").between(low, high)).groupBy("v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("v")) + below
+    ranked = counted.select("v", upto.alias("end"), (upto - F.col("n")).alias("start"))
     value_at = lambda place: F.max(F.when((F.col("start") <= place) & (place < F.col("end")), F.col("v")))
-    ends = ranked.agg(value_at(F.floor("at")).alias("a"), value_at(F.ceil("at")).alias("b"), F.first("at").alias("at"))
-    return ends.select((F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("q"))
+    ends = ranked.agg(value_at(math.floor(at)).alias("a"), value_at(math.ceil(at)).alias("b"))
+    return ends.select((F.col("a") + (at - math.floor(at)) * (F.col("b") - F.col("a"))).alias("q"))
 
 
 def valid_count(df: DataFrame, by: list[str], value: str) -> DataFrame:

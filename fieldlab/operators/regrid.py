@@ -5,28 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlab.operators.joins import BROADCAST_ROWS
+from fieldlab.operators import select
 
 
 def brackets(source: DataFrame, targets: DataFrame, dim: str, outside: str = "null") -> DataFrame:
     """(target, dim, weight): the one or two source labels of each target, with weights that add to 1.
 
-    Targets outside the axis have no row, or raise if outside is "error". Only axes, not fields, are joined here.
+    Targets outside the axis have no row; if outside is "error", the query fails on them. Only axes, not fields, are
+    looked at, by a merge: labels and targets are put in order together, part by part, and each target takes the last
+    label up to it and the first one after it, from its part or carried over from the parts before and behind.
     """
-    axis = source.select(F.col(dim).cast("double").alias("_lo")).distinct()
-    axis = axis.withColumn("_hi", F.lead("_lo").over(Window.orderBy("_lo"))).withColumn("_last", F.max("_lo").over(Window.partitionBy(F.lit(0))))
-    wanted = targets.select(F.col(dim).cast("double").alias("target")).distinct()
-    small = axis.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    cell = (F.col("target") >= F.col("_lo")) & ((F.col("target") < F.col("_hi")) | ((F.col("_hi") == F.col("_last")) & (F.col("target") == F.col("_hi"))) | (F.col("_hi").isNull() & (F.col("target") == F.col("_lo")) & (F.col("_lo") == F.col("_last"))))
-    found = wanted.join(F.broadcast(axis) if small else axis, cell)
-    # A target on the last label falls into the last cell, not behind it.
-    found = found.withColumn("_n", F.row_number().over(Window.partitionBy("target").orderBy("_lo"))).where("_n = 1")
-    if outside == "error" and found.count() < wanted.count():
-        raise ValueError(f"targets outside {dim}")
-    w = F.coalesce(F.try_divide(F.col("target") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    ends = F.array(F.struct(F.col("_lo").alias(dim), (1 - w).alias("weight")), F.struct(F.col("_hi").alias(dim), w.alias("weight")))
-    rows = found.select("target", F.explode(ends).alias("e")).select("target", F.col(f"e.{dim}").alias(dim), F.col("e.weight").alias("weight"))
-    return rows.where(F.col("weight") > 0)
+    labels = source.select(F.col(dim).cast("double").alias("x")).distinct().where("x IS NOT NULL").withColumn("label", F.col("x"))
+    wanted = targets.select(F.col(dim).cast("double").alias("x")).distinct().where("x IS NOT NULL").withColumn("label", F.lit(None).cast("double"))
+    rows = select.parted(labels.unionByName(wanted), ["x"])
+    ends = rows.groupBy("_part").agg(F.max("label").alias("last"), F.min("label").alias("first"))  # at most select.PARTS rows
+    before, behind = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select("_part", F.max("last").over(before).alias("_before"), F.min("first").over(behind).alias("_behind"))
+    own = Window.partitionBy("_part").orderBy("x", F.asc_nulls_last("label"))
+    low = F.last("label", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    high = F.first("label", ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))
+    merged = rows.withColumn("_low", low).withColumn("_high", high).where("label IS NULL").join(F.broadcast(carried), "_part")
+    found = merged.select(F.col("x").alias("target"), F.coalesce("_low", "_before").alias("_lo"), F.coalesce("_high", "_behind").alias("_hi"))
+    held = (F.col("target") == F.col("_lo")) | (F.col("target").between(F.col("_lo"), F.col("_hi")))
+    if outside == "error":
+        found = found.withColumn("target", F.when(held, F.col("target")).otherwise(F.raise_error(F.lit(f"targets outside {dim}")).cast("double")))
+    else:
+        found = found.where(held)
+    w = F.when(F.col("target") == F.col("_lo"), 0.0).otherwise((F.col("target") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    pair = F.array(F.struct(F.col("_lo").alias(dim), (1 - w).alias("weight")), F.struct(F.col("_hi").alias(dim), w.alias("weight")))
+    out = found.select("target", F.explode(pair).alias("e")).select("target", F.col(f"e.{dim}").alias(dim), F.col("e.weight").alias("weight"))
+    return out.where(F.col("weight") > 0)
 
 
 def interpolate(df: DataFrame, keys: list[str], value: str, targets: dict[str, DataFrame], outside: str = "null", missing: float | None = None) -> DataFrame:

@@ -19,16 +19,38 @@ def polygons(spark: SparkSession, rings: list[list[tuple[float, float]]], geom:
     return spark.createDataFrame(rows, "geom_id int, ring_id int, vertices array<struct<x:double,y:double>>")
 
 
+#: Heights of latitude bands, as powers of two: an edge is in the (at most two) bands of about its own height that it crosses.
+LEVELS = (-8, 12)
+
+
+def crossings(lats: DataFrame, edges: DataFrame, lat: str, geom: str) -> DataFrame:
+    """(lat, geom, xs): where each geometry's edges cross each of these latitudes.
+
+    An equi-join by level and band: a latitude meets the edges of one band of each level, not all edges. Lower edges
+    than the lowest level belong to it, higher ones than the highest have one band for each part of their height.
+    """
+    low, high = LEVELS
+    height = F.abs(F.col("y2") - F.col("y1"))
+    level = F.greatest(F.least(F.ceil(F.log2(height)), F.lit(high)), F.lit(low)).cast("int")
+    band = lambda y, level: F.floor(y / F.pow(F.lit(2.0), level))
+    spans = edges.withColumn("_level", level)
+    spans = spans.withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2"), F.col("_level")), band(F.greatest("y1", "y2"), F.col("_level")))))
+    wanted = lats.select(lat, F.explode(F.sequence(F.lit(low), F.lit(high))).alias("_level")).withColumn("_band", band(F.col(lat), F.col("_level")))
+    y = F.col(lat)
+    met = wanted.join(spans, ["_level", "_band"]).where((F.col("y1") > y) != (F.col("y2") > y))
+    x = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    return met.groupBy(lat, geom).agg(F.collect_list(x).alias("_xs"))
+
+
 def inside(points: DataFrame, edges: DataFrame, lat: str = "lat", lon: str = "lon", geom: str = "geom_id") -> DataFrame:
     """The distinct points in the union of the geometries: an odd number of a geometry's edges is crossed going east.
 
-    The join is by latitude: an edge meets only the points between its ends.
+    Crossings are found once for each distinct latitude; a point then counts those to the east of it.
     """
-    grid = points.select(lat, lon).distinct()
-    y, x = F.col(lat), F.col(lon)
-    crossed = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    hits = grid.join(edges, crossed).groupBy(lat, lon, geom).agg(F.count("*").alias("n"))
-    return hits.where("n % 2 = 1").select(lat, lon).distinct()
+    grid = points.select(lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).distinct()
+    found = crossings(grid.select(lat).distinct(), edges, lat, geom)
+    hits = grid.join(found, lat).where(F.size(F.filter("_xs", lambda x: F.col(lon) < x)) % 2 == 1)
+    return hits.select(lat, lon).distinct()
 
 
 def masked(df: DataFrame, edges: DataFrame, values: list[str], lat: str = "lat", lon: str = "lon") -> DataFrame:

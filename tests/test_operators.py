@@ -190,8 +190,8 @@ def test_linear_interpolation_is_exact_for_planes(spark):
     got = regrid.interpolate(df, ["k"], "f", {"lon": axis("lon", [0, 5, 90, 95]), "lat": axis("lat", [15, 70])}).collect()
     assert len(got) == 8 and all(r.f is None if r.lon > 90 else abs(r.f - r.lon - 2 * r.lat) < 1e-9 for r in got)
     assert regrid.interpolate(df, ["k"], "f", {"lon": axis("lon", [95])}, missing=0.0).first().f == 0.0
-    with pytest.raises(ValueError):
-        regrid.interpolate(df, ["k"], "f", {"lon": axis("lon", [95])}, outside="error")
+    with pytest.raises(Exception, match="targets outside lon"):
+        regrid.interpolate(df, ["k"], "f", {"lon": axis("lon", [95])}, outside="error").collect()
 
 
 def test_polygon_mask_counts_the_inside(spark):
@@ -310,3 +310,90 @@ def test_derivative_of_rows_equals_the_transform():
     assert np.allclose(along, 1j * np.arange(6)[:, None] * plain)
     grid = spectral.backward(plain, t, tables)
     assert np.allclose(spectral.backward(plain, t, tables, mode="N"), -grid) and np.allclose(spectral.backward(plain, t, tables, mode="A", onto=field), field + grid) and np.allclose(spectral.backward(plain, t, tables, mode="S", onto=field), field - grid)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("rows", [10**6, 7])
+def test_brackets_by_parts_equal_a_search(spark, monkeypatch, rows):
+    """Labels and targets in one part, or in many parts, some without a label."""
+    monkeypatch.setattr(select.parted, "__defaults__", (rows,))
+    rng = np.random.default_rng(4)
+    labels = np.unique(np.concatenate([rng.normal(0, 1, 40).round(2), [50.0, 51.0]]))
+    targets = np.unique(np.concatenate([rng.uniform(-3, 60, 120), labels[::3]]))
+    frame = lambda v: spark.createDataFrame([(float(x),) for x in v], "x double")
+    out = regrid.brackets(frame(labels), frame(targets), "x")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.target, []).append((r.x, r.weight))
+    want = [t for t in targets if labels[0] <= t <= labels[-1]]
+    assert sorted(got) == sorted(want)
+    for t in want:
+        assert sum(w for _, w in got[t]) == pytest.approx(1) and sum(x * w for x, w in got[t]) == pytest.approx(t)
+        k = np.searchsorted(labels, t, side="right")
+        assert {x for x, _ in got[t]} <= {labels[k - 1], labels[min(k, len(labels) - 1)]} and (len(got[t]) == 1) == (t in labels)
+    assert "NestedLoop" not in plan(out) and "Cartesian" not in plan(out)
+
+
+def crossing_count(points, rings):
+    inside = set()
+    for x, y in points:
+        for ring in rings:
+            n = 0
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+                n += (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+            if n % 2:
+                inside.add((y, x))
+    return inside
+
+
+def test_mask_by_bands_equals_the_crossing_rule(spark):
+    """Edges from a thousandth to thousands of units high, holes, and points at the latitudes of vertices."""
+    rng = np.random.default_rng(7)
+    turn = np.sort(rng.uniform(0, 2 * math.pi, 60))
+    star = [(float(100 + r * math.cos(a)), float(10 + r * math.sin(a))) for a, r in zip(turn, rng.uniform(0.01, 80, 60), strict=True)]
+    rings = [star, [(-5e4, -9e3), (6e4, -9e3), (100.0, 12e3)], [(0.0, 0.0), (0.002, 0.0), (0.002, 0.003), (0.0, 0.003)]]
+    points = [(float(x), float(y)) for x, y in zip(rng.uniform(0, 200, 300), rng.uniform(-80, 100, 300), strict=True)] + star[:20] + [(0.001, 0.001), (0.001, 0.003)]
+    shapes = spatial.polygons(spark, [rings[0]], 0).unionByName(spatial.polygons(spark, [rings[1]], 1)).unionByName(spatial.polygons(spark, [rings[2]], 2))
+    for some in ([0], [0, 1, 2], [2]):
+        found = spatial.inside(spark.createDataFrame(points, "lon double, lat double"), spatial.edge_table(shapes.where(F.col("geom_id").isin(some))))
+        assert {tuple(r) for r in found.collect()} == crossing_count(points, [rings[i] for i in some])
+    assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
+
+
+def test_mask_of_many_edges_and_points(spark):
+    """A circle of 100,000 edges and 200,000 scattered points: a nested loop would make 2 * 10^10 pairs."""
+    n = 100_000
+    at = lambda k: (F.cos(2 * math.pi * (k % n) / n) * 50, F.sin(2 * math.pi * (k % n) / n) * 50)
+    (x1, y1), (x2, y2) = at(F.col("id")), at(F.col("id") + 1)
+    edges = spark.range(n).select(F.lit(0).alias("geom_id"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).where("y1 <> y2")
+    points = spark.range(200_000).select((F.rand(1) * 120 - 60).alias("lon"), (F.rand(2) * 120 - 60).alias("lat"))
+    far = F.hypot("lon", "lat")
+    got = spatial.inside(points, edges)
+    assert got.where(far > 50.001).count() == 0 and got.count() >= points.where(far < 49.999).count()
+
+
+@pytest.mark.parametrize("values", ["ties", "outlier", "spread", "two"])
+def test_quantile_by_rounds(spark, monkeypatch, values):
+    monkeypatch.setattr(reduce, "FEW", 20)
+    monkeypatch.setattr(reduce, "ACCURACY", 50)
+    rng = np.random.default_rng(2)
+    xs = {"ties": np.repeat([1.0, 2.0, 5.0], [700, 900, 900]), "outlier": np.concatenate([rng.random(3000), [1e300, -1e300]]), "spread": np.exp(rng.normal(0, 40, 4000)), "two": np.repeat([-0.5, 7.0], [1, 2500])}[values]
+    df = spark.createDataFrame([(float(x),) for x in rng.permutation(xs)], "x double").repartition(3)
+    for q in (0.0, 0.27, 0.28, 0.5, 0.8, 0.9997, 1.0):
+        assert reduce.quantile(df, "x", q).first().q == pytest.approx(np.quantile(xs, q))
+
+
+def test_places_with_a_constant_first_column(spark, monkeypatch):
+    """Parts are cut by the whole key, texts and dates too, and stay of about one size."""
+    monkeypatch.setattr(select.parted, "__defaults__", (400,))
+    df = spark.range(8000).select(F.lit("same").alias("a"), F.when(F.col("id") % 2 == 0, F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int"))).alias("b"), F.sha1(F.col("id").cast("string")).alias("c"), "id")
+    rows = select.parted(df, ["a", "b"])
+    sizes = [r["count"] for r in rows.groupBy("_part").count().collect()]
+    assert len(sizes) >= 20 and max(sizes) <= 2.5 * 8000 / 21 and sum(sizes) == 8000
+    placed = select.numbered(df, ["a", "b"]).collect()
+    assert sorted(r._place for r in placed) == list(range(8000))
+    got = [r.id for r in sorted(placed, key=lambda r: r._place) if r.b is not None]
+    assert got == sorted(got) and max(r._place for r in placed if r.b is None) == 3999
