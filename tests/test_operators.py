@@ -397,3 +397,88 @@ def test_places_with_a_constant_first_column(spark, monkeypatch):
     assert sorted(r._place for r in placed) == list(range(8000))
     got = [r.id for r in sorted(placed, key=lambda r: r._place) if r.b is not None]
     assert got == sorted(got) and max(r._place for r in placed if r.b is None) == 3999
+
+
+def dense_spline(x, y, at):
+    """The same spline by its full matrix."""
+    n, h = len(x), np.diff(x).astype(float)
+    a, b = np.eye(n), np.zeros(n)
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+    c = np.linalg.solve(a, b)
+    k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
+    left, right = at - x[k], x[k + 1] - at
+    return (c[k] * right**3 + c[k + 1] * left**3) / (6 * h[k]) + (y[k] / h[k] - c[k] * h[k] / 6) * right + (y[k + 1] / h[k] - c[k + 1] * h[k] / 6) * left
+
+
+def test_modes_equal_those_of_dense_splines(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.normal(size=747)) + 5 * np.sin(np.arange(747) / 12)
+    got = modes.sift(x)
+    monkeypatch.setattr(modes, "spline", dense_spline)
+    want = modes.sift(x)
+    assert got.shape == want.shape and np.abs(got - want).max() < 1e-9
+
+
+def test_modes_of_a_long_series(spark):
+    """20,000 values: a dense system for 7,000 knots would hold 400 MB for each envelope."""
+    at = np.arange(20_000)
+    x = np.sin(at / 3) + 3 * np.sin(at / 100) + at / 5000
+    df = spark.createDataFrame([("a", [(int(i), float(v)) for i, v in zip(at, x, strict=True)])], "name string, series array<struct<t:int,v:double>>")
+    out = modes.eemd(df, ["name"], trials=3, noise=0.01)
+    total = out.groupBy("at").agg(F.sum("value").alias("s"))
+    away = total.orderBy("at").toPandas()["s"].to_numpy() - x
+    assert len(away) == 20_000 and np.abs(away).max() < 0.2 and out.count() == 9 * 20_000
+
+
+def gram_modes(field, k):
+    """Eigenvalues and vectors by the matrix of all times."""
+    x = field - field.mean(1, keepdims=True)
+    values, vectors = np.linalg.eigh(x.T @ x)
+    return values[::-1][:k] / values.sum(), vectors[:, ::-1][:, :k]
+
+
+@pytest.mark.parametrize("times, spread", [(7, 1.0), (90, 0.9), (300, 0.999)])
+def test_modes_equal_those_of_all_times(spark, times, spread):
+    """Fewer times than directions, and spectra that fall fast and hardly."""
+    rng = np.random.default_rng(times)
+    field = (rng.normal(size=(40, min(40, times))) * spread ** np.arange(min(40, times))) @ rng.normal(size=(min(40, times), times))
+    df = spark.createDataFrame([(t, c, float(field[c, t])) for c in range(40) for t in range(times)], "time int, cell int, f double").repartition(4)
+    eofs, pcs, share = modes.eof(df, "time", ["cell"], "f", 3)
+    fraction, vectors = gram_modes(field, 3)
+    assert [r.fraction for r in share.orderBy("mode").collect()] == pytest.approx(fraction, rel=1e-8)
+    for m in (1, 2, 3):
+        pc = np.array([r.pc for r in pcs.where(F.col("mode") == m).orderBy("time").collect()]) / math.sqrt(times - 1)
+        load = np.array([r.eof for r in eofs.where(F.col("mode") == m).orderBy("cell").collect()])
+        assert abs(abs(pc @ vectors[:, m - 1]) - 1) < 1e-8 and load[np.abs(load).argmax()] > 0
+        assert np.allclose((field - field.mean(1, keepdims=True)) @ pc / math.sqrt(times - 1), load, atol=1e-8)
+
+
+def test_cluster_curve_by_passes_for_all_ks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    blobs = np.concatenate([rng.normal(c, 0.3, (60, 2)) for c in ((0, 0), (8, 0), (0, 8), (9, 9))])
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(blobs)], "sample int, features array<double>").repartition(3)
+    passes, true = [], modes.by_cluster
+    monkeypatch.setattr(modes, "by_cluster", lambda *a: passes.append(1) or true(*a))
+    got = modes.cluster_curve(df, 9).orderBy("k").collect()
+    assert [r.k for r in got] == list(range(2, 10)) and len(passes) < 60
+    assert all(a.inertia >= b.inertia for a, b in zip(got, got[1:], strict=False)) and max(got, key=lambda r: r.silhouette).k == 4
+    centres = np.array([blobs[60 * i : 60 * i + 60].mean(0) for i in range(4)])
+    assert got[2].inertia == pytest.approx(modes.nearest(blobs, centres).min(1).sum(), rel=1e-6)
+    assert modes.cluster_curve(df.limit(0)).count() == 0
+
+
+def test_silhouettes_equal_those_of_all_pairs():
+    rng = np.random.default_rng(8)
+    x, own = rng.normal(size=(30, 3)), rng.integers(0, 4, 30)
+    own[own == 3] = 0
+    own[0] = 3  # a cluster of one sample
+    sums, squares, sizes = (np.array([f(x[own == j]) for j in range(4)]) for f in (lambda a: a.sum(0), lambda a: (a * a).sum(), len))
+    got = modes.silhouettes(x, (x * x).sum(1), own, sums, squares, sizes.astype(float))
+    far = ((x[:, None] - x) ** 2).sum(2)
+    for i in range(30):
+        inner = far[i][(own == own[i]) & (np.arange(30) != i)]
+        outer = min(far[i][own == j].mean() for j in range(4) if j != own[i])
+        want = 0.0 if not len(inner) else (outer - inner.mean()) / max(outer, inner.mean())
+        assert got[i] == pytest.approx(want)
