@@ -17,14 +17,17 @@ def brackets(source: DataFrame, targets: DataFrame, dim: str, outside: str = "nu
     """
     labels = source.select(F.col(dim).cast("double").alias("x")).distinct().where("x IS NOT NULL").withColumn("label", F.col("x"))
     wanted = targets.select(F.col(dim).cast("double").alias("x")).distinct().where("x IS NOT NULL").withColumn("label", F.lit(None).cast("double"))
-    rows = select.parted(labels.unionByName(wanted), ["x"])
+    rows = labels.unionByName(wanted)
+    cuts = select.cuts_of(rows, ["x"])
+    rows = select.parted(rows, ["x"], cuts)
     ends = rows.groupBy("_part").agg(F.max("label").alias("last"), F.min("label").alias("first"))  # at most select.PARTS rows
     before, behind = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
     carried = ends.select("_part", F.max("last").over(before).alias("_before"), F.min("first").over(behind).alias("_behind"))
     own = Window.partitionBy("_part").orderBy("x", F.asc_nulls_last("label"))
     low = F.last("label", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
     high = F.first("label", ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))
-    merged = rows.withColumn("_low", low).withColumn("_high", high).where("label IS NULL").join(F.broadcast(carried), "_part")
+    merged = rows.withColumn("_low", low).withColumn("_high", high).where("label IS NULL")
+    merged = merged.join(F.broadcast(carried), "_part") if cuts else merged.withColumns({"_before": F.lit(None), "_behind": F.lit(None)})
     found = merged.select(F.col("x").alias("target"), F.coalesce("_low", "_before").alias("_lo"), F.coalesce("_high", "_behind").alias("_hi"))
     held = (F.col("target") == F.col("_lo")) | (F.col("target").between(F.col("_lo"), F.col("_hi")))
     if outside == "error":

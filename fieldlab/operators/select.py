@@ -111,33 +111,38 @@ def first_match(df: DataFrame, key: str, wanted, order: str) -> DataFrame:
 PARTS, PART_ROWS, SAMPLED = 196, 100_000, 200
 
 
-def parted(df: DataFrame, order: list[str], rows: int = PART_ROWS) -> DataFrame:
-    """df with _part, which never falls along an order, for tasks that each order one part.
+def ordered_key(df: DataFrame, order: list[str]) -> Column:
+    """The whole order, and a hash of the other columns that tells rows with equal keys apart."""
+    others = [c for c in df.columns if c not in order]
+    return F.struct(*order, *([F.xxhash64(*others).alias("_tie")] if others else []))
 
-    The parts are cut at keys of the whole order, taken from a sample of bounded size; where all columns of the order
-    are equal, the other columns' hash cuts. Only rows that are wholly equal can't be parted.
-    """
+
+def cuts_of(df: DataFrame, order: list[str]) -> list[Column]:
+    """Keys that cut df along an order into parts of about PART_ROWS rows (at most PARTS parts), from a sample of bounded size."""
     n = df.count()
-    parts = min(PARTS, n // rows + 1)
+    parts = min(PARTS, n // PART_ROWS + 1)
     if parts == 1:
+        return []
+    sample = df.select(ordered_key(df, order).alias("k")).sample(min(1.0, 1.1 * SAMPLED * parts / n), seed=1).orderBy("k")
+    keys, kind = [r.k for r in sample.collect()], sample.schema["k"].dataType
+    cuts = list(dict.fromkeys(keys[len(keys) * i // parts] for i in range(1, parts))) if keys else []
+    return [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kind, strict=True)]) for c in cuts]
+
+
+def parted(df: DataFrame, order: list[str], cuts: list[Column]) -> DataFrame:
+    """df with _part, which never falls along an order, for tasks that each order one part.
+
+    Only rows that are wholly equal can't be parted. A key is compared in two steps with about the root of the number of
+    cuts each.
+    """
+    if not cuts:
         return df.withColumn("_part", F.lit(0))
-    others = [c for c in df.columns if c not in order]
-    key = F.struct(*order, *([F.xxhash64(*others).alias("_tie")] if others else []))
-    sample = df.select(key.alias("k")).sample(min(1.0, 1.1 * SAMPLED * parts / n), seed=1)
-    few = sample.orderBy("k").select(F.col("k").alias("k"))
-    kind = few.schema["k"].dataType
-    keys = [r.k for r in few.collect()]
-    cuts = [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
-    cuts = [c for i, c in enumerate(cuts) if not i or c != cuts[i - 1]]
-    # Two steps of about sqrt(parts) comparisons instead of one for every part.
     wide = max(1, round(len(cuts) ** 0.5))
     groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
-    literal = lambda c: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kind, strict=True)])
-    upto = lambda cs: F.size(F.filter(F.array(*map(literal, cs)), lambda c: c <= F.col("_key")))
-    coarse = upto([g[0] for g in groups[1:]]) if len(groups) > 1 else F.lit(0)
-    every = F.array(*[F.array(*map(literal, g)) for g in groups])
-    fine = F.size(F.filter(F.get(every, F.col("_coarse")), lambda c: c <= F.col("_key")))
-    return df.withColumn("_key", key).withColumn("_coarse", coarse).withColumn("_part", F.col("_coarse") * wide + fine).drop("_key", "_coarse")
+    upto = lambda cs: F.size(F.filter(cs, lambda c: c <= F.col("_key")))
+    coarse = upto(F.array(*[g[0] for g in groups[1:]])) if len(groups) > 1 else F.lit(0)
+    fine = upto(F.get(F.array(*[F.array(*g) for g in groups]), F.col("_coarse")))
+    return df.withColumn("_key", ordered_key(df, order)).withColumn("_coarse", coarse).withColumn("_part", F.col("_coarse") * wide + fine).drop("_key", "_coarse")
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
@@ -145,13 +150,14 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
 
     A row's place is its place in its part plus the rows of the parts before, so no task sorts them all.
     """
-    rows = parted(df, order)
-    others = [c for c in df.columns if c not in order]
-    keys = [*order, *([F.xxhash64(*others)] if others else [])]
+    cuts, key = cuts_of(df, order), ordered_key(df, order)
+    if not cuts:
+        return df.withColumn("_place", F.row_number().over(Window.orderBy(key)) - 1)
+    rows = parted(df, order, cuts)
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_part", before.alias("_start"))  # at most PARTS rows
-    return rows.join(F.broadcast(starts), "_part").withColumn("_place", F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1).drop("_part", "_start")
+    return rows.join(F.broadcast(starts), "_part").withColumn("_place", F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1).drop("_part", "_start")
 
 
 def positions(df: DataFrame, dim: str, first: int, end: int) -> DataFrame:

@@ -187,8 +187,8 @@ def exceedance_binary(spark, d):
     return texted(flags(spark, d), "time")
 
 
-def flags(spark, d) -> DataFrame:
-    cube = sales_cube(spark, d)
+def flags(spark, d, cube: DataFrame | None = None) -> DataFrame:
+    cube = cube or files.stored(sales_cube(spark, d))
     return joins.with_scalars(cube, reduce.quantile(cube, "x", 0.8)).select("time", "lat", "lon", (F.col("x") > F.col("q")).cast("int").alias("flag"))
 
 
@@ -197,13 +197,13 @@ FRACTION = f"{FLAGS}, frac AS (SELECT time, sum(flag) AS hits, CAST(sum(flag) AS
 
 @query(f"WITH {FRACTION} SELECT CAST(time AS VARCHAR) AS time, CAST(hits AS BIGINT) AS hits, round(fraction, 6) AS fraction FROM frac")
 def area_fraction(spark, d):
-    cube = sales_cube(spark, d)
+    cube = files.stored(sales_cube(spark, d))
     cells = cube.select("lat", "lon").distinct().agg(F.count("*").alias("n"))
-    return texted(rounded(reduce.area_fraction(flags(spark, d), ["time"], "flag", cells), 6, "fraction"), "time")
+    return texted(rounded(reduce.area_fraction(flags(spark, d, cube), ["time"], "flag", cells), 6, "fraction"), "time")
 
 
 def dated(spark, d) -> DataFrame:
-    return sales_cube(spark, d).withColumn("year", F.year("time")).withColumn("dos", F.dayofyear("time") - 1)
+    return files.stored(sales_cube(spark, d)).withColumn("year", F.year("time")).withColumn("dos", F.dayofyear("time") - 1)
 
 
 @query(f"""WITH {FRACTION} SELECT CAST(year(time) AS INT) AS year, CAST(dayofyear(time) - 1 AS INT) AS dos, CAST(hits AS BIGINT) AS hits, round(fraction, 6) AS fraction,
@@ -649,12 +649,12 @@ def values_sql(name: str, values: list[float]) -> str:
 
 @query(f"""WITH {GRID}, {values_sql('lon', TARGET_LON)} SELECT lat, tlon AS lon, CASE WHEN tlon BETWEEN 5 AND 250 THEN round(sum({hat('tlon', 'lon', 5.0)} * f), 4) END AS f FROM grid, t_lon GROUP BY 1, 2""")
 def interp1d(spark, d):
-    return rounded(regrid.interpolate(price_grid(spark, d), ["lat"], "f", {"lon": axis(spark, "lon", TARGET_LON)}), 4, "f").select("lat", "lon", "f")
+    return rounded(regrid.interpolate(files.stored(price_grid(spark, d)), ["lat"], "f", {"lon": axis(spark, "lon", TARGET_LON)}), 4, "f").select("lat", "lon", "f")
 
 
 @query(f"""WITH {GRID}, {values_sql('lon', TARGET_LON)}, {values_sql('lat', TARGET_LAT)} SELECT tlat AS lat, tlon AS lon, CASE WHEN tlon BETWEEN 5 AND 250 AND tlat BETWEEN 10 AND 70 THEN round(sum({hat('tlon', 'lon', 5.0)} * {hat('tlat', 'lat', 10.0)} * f), 4) ELSE 0 END AS f FROM grid, t_lon, t_lat GROUP BY 1, 2""")
 def interp2d(spark, d):
-    out = regrid.interpolate(price_grid(spark, d), [], "f", {"lon": axis(spark, "lon", TARGET_LON), "lat": axis(spark, "lat", TARGET_LAT)}, missing=0.0)
+    out = regrid.interpolate(files.stored(price_grid(spark, d)), [], "f", {"lon": axis(spark, "lon", TARGET_LON), "lat": axis(spark, "lat", TARGET_LAT)}, missing=0.0)
     return rounded(out, 4, "f").select("lat", "lon", "f")
 
 
@@ -664,7 +664,7 @@ STACK = "stack AS (SELECT k AS lev, lat, lon, f * k AS f FROM grid, (VALUES (100
 @query(f"""WITH {GRID}, {STACK}, {values_sql('lon', [7.5, 101.0])}, {values_sql('lat', [14.0, 33.0])}, {values_sql('lev', [100.0, 150.0, 300.0])}
 SELECT tlev AS lev, tlat AS lat, tlon AS lon, round(sum({hat('tlon', 'lon', 5.0)} * {hat('tlat', 'lat', 10.0)} * {hat('tlev', 'lev', 100.0)} * f), 2) AS f FROM stack, t_lon, t_lat, t_lev GROUP BY 1, 2, 3""")
 def interp3d(spark, d):
-    stack = price_grid(spark, d).crossJoin(axis(spark, "lev", [100.0, 200.0, 300.0])).withColumn("f", F.col("f") * F.col("lev"))
+    stack = files.stored(price_grid(spark, d)).crossJoin(axis(spark, "lev", [100.0, 200.0, 300.0])).withColumn("f", F.col("f") * F.col("lev"))
     out = regrid.interpolate(stack, [], "f", {"lev": axis(spark, "lev", [100.0, 150.0, 300.0]), "lat": axis(spark, "lat", [14.0, 33.0]), "lon": axis(spark, "lon", [7.5, 101.0])}, outside="error")
     return rounded(out, 2, "f").select("lev", "lat", "lon", "f")
 
@@ -881,7 +881,7 @@ def event_members(spark, d):
 f AS (SELECT tlev AS lev, tlat AS lat, tlon AS lon, sum({hat('tlon', 'lon', 5.0)} * {hat('tlat', 'lat', 10.0)} * {hat('tlev', 'lev', 100.0)} * f) AS f FROM stack, t_lon, t_lat, t_lev GROUP BY 1, 2, 3)
 SELECT lev, lat, lon, round(CASE WHEN lon <= 250 THEN f ELSE 0 END, 2) AS v, 0.0::DOUBLE AS d, round(CASE WHEN lon <= 250 THEN -f ELSE 0 END, 2) AS t, 0.0::DOUBLE AS p FROM f""")
 def forcing_on_axes(spark, d):
-    stack = price_grid(spark, d).crossJoin(axis(spark, "lev", [100.0, 200.0, 300.0])).withColumn("v", F.col("f") * F.col("lev")).withColumn("t", -F.col("v")).withColumn("p", F.col("v"))
+    stack = files.stored(price_grid(spark, d)).crossJoin(axis(spark, "lev", [100.0, 200.0, 300.0])).withColumn("v", F.col("f") * F.col("lev")).withColumn("t", -F.col("v")).withColumn("p", F.col("v"))
     axes = {"lev": axis(spark, "lev", [100.0, 150.0]), "lat": axis(spark, "lat", [14.0, 33.0]), "lon": axis(spark, "lon", [7.5, 101.0, 300.0])}
     return rounded(forcing.on_axes(stack, [], axes, {"p": 0.0}), 2, "v", "t").select("lev", "lat", "lon", "v", "d", "t", "p")
 

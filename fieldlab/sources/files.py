@@ -40,6 +40,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once: written to the shared folder and read from there by all that is derived from it."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """The cube at path; computed and written first if it isn't there."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs

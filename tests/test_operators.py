@@ -319,7 +319,7 @@ def plan(df):
 @pytest.mark.parametrize("rows", [10**6, 7])
 def test_brackets_by_parts_equal_a_search(spark, monkeypatch, rows):
     """Labels and targets in one part, or in many parts, some without a label."""
-    monkeypatch.setattr(select.parted, "__defaults__", (rows,))
+    monkeypatch.setattr(select, "PART_ROWS", rows)
     rng = np.random.default_rng(4)
     labels = np.unique(np.concatenate([rng.normal(0, 1, 40).round(2), [50.0, 51.0]]))
     targets = np.unique(np.concatenate([rng.uniform(-3, 60, 120), labels[::3]]))
@@ -388,9 +388,9 @@ def test_quantile_by_rounds(spark, monkeypatch, values):
 
 def test_places_with_a_constant_first_column(spark, monkeypatch):
     """Parts are cut by the whole key, texts and dates too, and stay of about one size."""
-    monkeypatch.setattr(select.parted, "__defaults__", (400,))
+    monkeypatch.setattr(select, "PART_ROWS", 400)
     df = spark.range(8000).select(F.lit("same").alias("a"), F.when(F.col("id") % 2 == 0, F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int"))).alias("b"), F.sha1(F.col("id").cast("string")).alias("c"), "id")
-    rows = select.parted(df, ["a", "b"])
+    rows = select.parted(df, ["a", "b"], select.cuts_of(df, ["a", "b"]))
     sizes = [r["count"] for r in rows.groupBy("_part").count().collect()]
     assert len(sizes) >= 20 and max(sizes) <= 2.5 * 8000 / 21 and sum(sizes) == 8000
     placed = select.numbered(df, ["a", "b"]).collect()
