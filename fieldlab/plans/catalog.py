@@ -675,6 +675,29 @@ def nmo_index(spark, d):
     return spectral.index_map(spark)
 
 
+# --- one long history, by chunks ---------------------------------------------------------------------------
+
+WHOLE = "(ORDER BY d)"
+
+
+@query(f"""WITH {DAILY}, w AS (SELECT d, row_number() OVER {WHOLE} AS p, count(*) OVER () AS n, avg(x) OVER (ORDER BY d ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS x FROM daily)
+SELECT CAST(d AS VARCHAR) AS d, CAST(p - 15 AS INT) AS day, round(x, 4) AS x FROM w WHERE p > 15 AND p <= n - 15""")
+def moving_avg31_series(spark, d):
+    out = window.moving_average(files.stored(daily_series(spark, d)), [], "d", "x", 31, by_chunks=True)
+    return texted(rounded(out, 4, "x"), "d").select("d", "day", "x")
+
+
+@query(f"""WITH {DAILY}, e AS (SELECT d, x, CAST(d - DATE '1990-01-01' AS DOUBLE) AS t FROM daily)
+SELECT CAST(d AS VARCHAR) AS d, round({w3('x', '1', 'd')}, 4) AS change, round({w4('x', 't', '1', 'd')}, 4) AS slope, round(lead(x) OVER {WHOLE} - lag(x) OVER {WHOLE}, 4) AS centred, round(lag(x, 3) OVER {WHOLE}, 4) AS shifted FROM e""")
+def tendency_series(spark, d):
+    def work(rows, keys):
+        away = F.datediff("d", F.lit("1990-01-01")).cast("double")
+        return rows.withColumns({"change": window.tendency("x", keys, "d"), "slope": window.coordinate_gradient("x", away, keys, "d"), "centred": window.centred_difference("x", keys, "d"), "shifted": window.shifted("x", keys, "d", 3)})
+
+    out = window.chunked(files.stored(daily_series(spark, d)), [], "d", 3, work)
+    return texted(rounded(out, 4, "change", "slope", "centred", "shifted"), "d").select("d", "change", "slope", "centred", "shifted")
+
+
 # --- files ---------------------------------------------------------------------------------------------------
 
 

@@ -482,3 +482,20 @@ def test_silhouettes_equal_those_of_all_pairs():
         outer = min(far[i][own == j].mean() for j in range(4) if j != own[i])
         want = 0.0 if not len(inner) else (outer - inner.mean()) / max(outer, inner.mean())
         assert got[i] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("size", [4, 9, 10**6])
+def test_chunks_equal_whole_histories(spark, monkeypatch, size):
+    """Histories of 1 to 37 rows with gaps in their labels and missing values; borders of chunks fall inside them."""
+    monkeypatch.setattr(window, "CHUNK", size)
+    monkeypatch.setattr(select, "PART_ROWS", 30)
+    rng = np.random.default_rng(1)
+    rows = [(k, int(t), None if rng.random() < 0.1 else float(rng.normal())) for k, n in ((1, 37), (2, 1), (3, 2), (4, 12), (5, 30)) for t in np.sort(rng.choice(100, n, replace=False))]
+    df = spark.createDataFrame(rows, "k int, t int, x double")
+    work = lambda r, keys: r.withColumns({"g": window.index_gradient("x", keys, "t"), "c": window.coordinate_gradient("x", F.col("t").cast("double"), keys, "t"), "d": window.centred_difference("x", keys, "t"), "s": window.shifted("x", keys, "t", 3)})
+    for keys in (["k"], []):
+        own = df if keys else df.where("k = 1")
+        order = lambda r: (r.k, r.t)
+        assert sorted(window.chunked(own, keys, "t", 3, work).collect(), key=order) == sorted(work(own, keys).collect(), key=order)
+        whole, parts = (window.moving_average(own, keys, "t", "x", 5, by_chunks=b).select("k", "t", "x", "day").collect() for b in (False, True))
+        assert len(whole) and [tuple(r) for r in sorted(parts, key=order)] == [(a, b, pytest.approx(x), d) for a, b, x, d in sorted(whole, key=order)]
