@@ -747,6 +747,25 @@ def poisson_sor(spark, d):
     return elliptic.poisson(rows, ["k"], "rhs", "psi", method="sor", omega=1.5, tol=1e-3, max_iter=2000)
 
 
+# Sines along the 48 inner longitudes, elimination along the 5 inner latitudes, and sines back; the ring is 0.
+ACROSS, ALONG = f"pow({RE} * cos(radians(10.0 * i)), 2)", f"pow({RE} * radians(10.0::DOUBLE), 2)"
+POISSON = f"""flow AS (SELECT i, j, lat, lon, f / 1000 AS u, g * 100 AS v FROM grid),
+rhs AS (SELECT i, j, {w3('v', 'lat', 'lon')} / {DX} - {w3('u', 'lon', 'lat')} / {DY} AS r FROM flow),
+k AS (SELECT k, -4 * pow(sin({math.pi!r} * k / 98), 2) / pow(radians(5.0::DOUBLE), 2) AS e FROM range(1, 49) t(k)),
+wave AS (SELECT i, k, e / {ACROSS} - 2 / {ALONG} AS b, sum(r * sin({math.pi!r} * (j - 1) * k / 49)) AS f FROM rhs, k WHERE i BETWEEN 2 AND 6 AND j BETWEEN 2 AND 49 GROUP BY i, k, e),
+up AS (
+  SELECT i, k, 1 / {ALONG} / b AS c, f / b AS d FROM wave WHERE i = 2
+  UNION ALL SELECT w.i, w.k, 1 / {ALONG} / (b - c / {ALONG}), (f - d / {ALONG}) / (b - c / {ALONG}) FROM up JOIN wave w ON w.k = up.k AND w.i = up.i + 1),
+down AS (SELECT i, k, d AS x FROM up WHERE i = 6 UNION ALL SELECT up.i, up.k, up.d - up.c * x FROM down JOIN up ON up.k = down.k AND up.i = down.i - 1),
+psi AS (SELECT i, j, 2.0::DOUBLE / 49 * sum(x * sin({math.pi!r} * (j - 1) * k / 49)) AS psi FROM down, range(2, 50) t(j) GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {GRID}, {POISSON} SELECT lat, lon, round(coalesce(psi, 0), 2) AS psi FROM grid LEFT JOIN psi USING (i, j)")
+def poisson_separated(spark, d):
+    rows = calculus.vorticity(flow(spark, d), ["k"], to="rhs").select("k", "lat", "lon", "rhs")
+    return rounded(elliptic.poisson(files.stored(rows), ["k"], "rhs", "psi", method="separated"), 2, "psi").select("lat", "lon", "psi")
+
+
 @query()
 def stream_function(spark, d):
     return elliptic.stream_function(flow(spark, d), ["k"])

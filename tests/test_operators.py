@@ -499,3 +499,23 @@ def test_chunks_equal_whole_histories(spark, monkeypatch, size):
         assert sorted(window.chunked(own, keys, "t", 3, work).collect(), key=order) == sorted(work(own, keys).collect(), key=order)
         whole, parts = (window.moving_average(own, keys, "t", "x", 5, by_chunks=b).select("k", "t", "x", "day").collect() for b in (False, True))
         assert len(whole) and [tuple(r) for r in sorted(parts, key=order)] == [(a, b, pytest.approx(x), d) for a, b, x, d in sorted(whole, key=order)]
+
+
+@pytest.mark.parametrize("uneven", [False, True])
+def test_separated_equals_direct(spark, uneven):
+    rng = np.random.default_rng(5)
+    lats, lons = np.sort(rng.uniform(-70, 70, 9)), (np.sort(rng.uniform(0, 300, 80)) if uneven else np.arange(0, 300, 3.75))
+    df = spark.createDataFrame([(k, "a", float(y), float(x), float(rng.normal())) for k in (1, 2) for y in lats for x in lons], "k int, name string, lat double, lon double, r double").where("lat < 60 OR k = 1 OR lon > 20")
+    a, b = (elliptic.poisson(df.where("k = 1").unionByName(df.where("k = 2")), ["k"], "r", "psi", method=m).orderBy("k", "lat", "lon").toPandas() for m in ("separated", "direct"))
+    assert len(a) == len(b) == df.count() and np.abs(a.psi - b.psi).max() < 1e-9 * np.abs(b.psi).max()
+
+
+def test_separated_solves_a_large_field(spark):
+    """500 x 1,000 cells (a dense system would have 2.5 * 10^11 entries): the right-hand side comes back as the Laplacian."""
+    lats, lons = np.linspace(-60, 60, 500), np.linspace(0, 200, 1000)
+    df = spark.range(500_000).select(F.lit(1).alias("k"), (F.lit(-60.0) + F.expr("id DIV 1000") * (120 / 499)).alias("lat"), (F.col("id") % 1000 * (200 / 999)).alias("lon"), (F.sin(F.col("id") % 1000 / 50) * F.cos(F.expr("id DIV 1000") / 30)).alias("r"))
+    x = elliptic.poisson(df, ["k"], "r", "psi", method="separated").orderBy("lat", "lon").select("psi", "r").toPandas()
+    psi, r = (x[c].to_numpy().reshape(500, 1000) for c in ("psi", "r"))
+    dx2, dy2 = elliptic.spacing(lats, lons)
+    laplace = (psi[1:-1, 2:] - 2 * psi[1:-1, 1:-1] + psi[1:-1, :-2]) / dx2[1:-1, 1:-1] + (psi[2:, 1:-1] - 2 * psi[1:-1, 1:-1] + psi[:-2, 1:-1]) / dy2[1:-1, 1:-1]
+    assert np.abs(laplace - r[1:-1, 1:-1]).max() < 1e-6 and not psi[[0, -1]].any() and not psi[:, [0, -1]].any()
