@@ -113,6 +113,8 @@ def eof(df: DataFrame, time: str, cell: list[str], value: str, k: int = 3) -> tu
 
 def kmeans(samples: DataFrame, k: int = 4, seed: int = 1, features: str = "features") -> DataFrame:
     """samples with `type`, the cluster of their feature arrays."""
+    if samples.isEmpty():
+        return samples.withColumn("type", F.lit(0))
     rows = samples.withColumn("_v", array_to_vector(F.transform(features, lambda x: x.cast("double"))))
     model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="type").fit(rows)
     return model.transform(rows).drop("_v")

@@ -132,8 +132,12 @@ def correlation(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
 
 def significance(df: DataFrame, alpha: float = 0.05, r: str = "r", n: str = "n") -> DataFrame:
     """df with mark: 0 where |r| is significant for the cell's own number of pairs n, else NULL (always under 3 pairs)."""
-    spark, counts = df.sparkSession, [x[0] for x in df.select(n).where(F.col(n) > 2).distinct().collect()]  # numbers of times
-    limits = spark.createDataFrame([(c, stats.r_crit(c, alpha)) for c in counts], f"{n} long, _limit double")
+
+    def limit(frames):
+        for frame in frames:  # distinct numbers of times
+            yield frame.assign(_limit=[stats.r_crit(int(c), alpha) for c in frame[n]])
+
+    limits = df.select(F.col(n).cast("long").alias(n)).where(F.col(n) > 2).distinct().mapInPandas(limit, f"{n} long, _limit double")
     return df.join(limits, n, "left").withColumn("mark", select.significant(F.col(r), F.col("_limit"))).drop("_limit")
 
 

@@ -93,8 +93,8 @@ def backward(coef: np.ndarray, t: Truncation, tables, gradient: str = "", mode:
     return {"A": lambda: onto + grid, "S": lambda: onto - grid, "N": lambda: -grid}.get(mode, lambda: grid)()
 
 
-def to_waves(slabs: DataFrame, keys: list[str], t: Truncation = Truncation(), gradient: str = "") -> DataFrame:
-    """(keys, m, l, part, coef) of slabs on the model grid (latitudes ascending, as slabs have them)."""
+def to_waves(slabs: DataFrame, keys: list[str], t: Truncation = Truncation(), gradient: str = "", offset: bool = False, mode: str = "P") -> DataFrame:
+    """(keys, m, l, part, coef) of slabs on the model grid (latitudes ascending, as slabs have them). See forward."""
     kept = [f for f in slabs.schema if f.name in keys]
 
     def run(frames):
@@ -105,7 +105,7 @@ def to_waves(slabs: DataFrame, keys: list[str], t: Truncation = Truncation(), gr
             parts = []
             for row in frame.itertuples(index=False):
                 grid = np.array(row.data, float).reshape(t.n_lat, t.n_lon)[::-1]
-                c = forward(np.nan_to_num(grid), t, tables, gradient)
+                c = forward(np.nan_to_num(grid), t, tables, gradient, offset, mode)
                 own = pd.DataFrame([(m, k, part, x) for m, k in pairs for part, x in (("re", c[m, k].real), ("im", c[m, k].imag))], columns=["m", "l", "part", "coef"])
                 for f in kept:
                     own.insert(0, f.name, getattr(row, f.name))
@@ -117,20 +117,26 @@ def to_waves(slabs: DataFrame, keys: list[str], t: Truncation = Truncation(), gr
     return slabs.mapInPandas(run, head + "m int, l int, part string, coef double")
 
 
-def to_grid(waves: DataFrame, keys: list[str], t: Truncation = Truncation(), gradient: str = "") -> DataFrame:
-    """(keys, data): fields of coefficient rows, latitudes ascending."""
+def to_grid(waves: DataFrame, keys: list[str], t: Truncation = Truncation(), gradient: str = "", mode: str = "", onto: DataFrame | None = None) -> DataFrame:
+    """(keys, data): fields of coefficient rows, latitudes ascending. Modes A and S add to and subtract from the slabs onto, N negates."""
+    based = onto is not None
+    if (mode in ("A", "S")) != based:
+        raise ValueError("modes A and S, and no others, need slabs to go onto")
     spectra = waves.groupBy(*keys).agg(F.collect_list(F.struct("m", "l", "part", "coef")).alias("c"))
     kept = [f for f in spectra.schema if f.name in keys]
+    if based:
+        spectra = spectra.join(onto.select(*keys, F.col("data").alias("onto")), keys)
 
     def run(frames):
         tables = legendre(t)
         for frame in frames:
             out = []
-            for rows in frame["c"]:
+            for rows, base in zip(frame["c"], frame["onto"] if based else [None] * len(frame), strict=True):
+                field = None if base is None else np.nan_to_num(np.array(base, float)).reshape(t.n_lat, t.n_lon)[::-1]
                 c = np.zeros((t.m + 1, t.l + 1), complex)
                 for r in rows:
                     c[r["m"], r["l"]] += r["coef"] * (1j if r["part"] == "im" else 1)
-                out.append(backward(c, t, tables, gradient)[::-1].ravel())
+                out.append(backward(c, t, tables, gradient, mode, field)[::-1].ravel())
             yield frame[[f.name for f in kept]].assign(data=out)
 
     return spectra.mapInPandas(run, "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept) + "data array<double>")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldlab.functions import scalar, stats
 from fieldlab.model import from_slab, to_series, to_slab
 from fieldlab.operators import calculus, climate, elliptic, forcing, joins, modes, reduce, regrid, select, spatial, spectral, window
-from fieldlab.plans.proxies import CUBE, CUBE_ALL, DAILY, GRID, MONTHLY, SALES, YEARLY, daily_series, level_cube, monthly_cube, price_grid, sales_cube, samples, table, yearly_cube
+from fieldlab.plans.proxies import CUBE, DAILY, GRID, MONTHLY, SALES, YEARLY, daily_series, level_cube, monthly_cube, price_grid, sales_cube, samples, table, yearly_cube
 from fieldlab.sources import files, netcdf, pieces
 from fieldlab.streaming import windows
 
@@ -416,23 +416,8 @@ def temperature_budget(spark, d):
     return texted(out.select("time", "lev", "lat", "lon", steady("dTdt", 4).alias("dTdt"), steady(1e6 * F.col("adv_T"), 4).alias("adv_T"), steady(1e6 * F.col("ver"), 4).alias("ver"), steady("Q", 4).alias("Q")), "time")
 
 
-@query(f"WITH {CUBE_ALL} SELECT CAST(time AS VARCHAR) AS time, lev, lat, lon, round(1e6 * {ADV}, 4) AS adv FROM cube")
-def temperature_advection_all(spark, d):
-    out = calculus.advection(level_cube(spark, d, whole=True), ["time", "lev"])
-    return texted(out.select("time", "lev", "lat", "lon", steady(1e6 * F.col("adv"), 4).alias("adv")), "time")
-
-
-@query(f"WITH {CUBE_ALL} SELECT CAST(time AS VARCHAR) AS time, lev, lat, lon, round({STABILITY}, 4) AS sigma FROM cube")
-def static_stability_all(spark, d):
-    return texted(level_cube(spark, d, whole=True).select("time", "lev", "lat", "lon", steady(calculus.static_stability("t", "lev", ["time", "lat", "lon"]), 4).alias("sigma")), "time")
-
-
-@query(f"""WITH {CUBE_ALL}, b AS (SELECT *, {ADV} AS a, u / 1000 / 100.0 * {STABILITY} AS ver, {w3('t', 'lev, lat, lon', 'time')} AS dt FROM cube)
-SELECT CAST(time AS VARCHAR) AS time, lev, lat, lon, round(dt, 4) AS "dTdt", round(1e6 * a, 4) AS "adv_T", round(1e6 * ver, 4) AS ver, round((dt - a * {SECONDS} - ver * {SECONDS}) * {scalar.CP_DRY} / {SECONDS}, 4) AS "Q" FROM b""")
-def temperature_budget_all(spark, d):
-    rows = level_cube(spark, d, whole=True).withColumn("w", F.col("u") / 1000)
-    out = calculus.temperature_budget(rows, "time", "lev")
-    return texted(out.select("time", "lev", "lat", "lon", steady("dTdt", 4).alias("dTdt"), steady(1e6 * F.col("adv_T"), 4).alias("adv_T"), steady(1e6 * F.col("ver"), 4).alias("ver"), steady("Q", 4).alias("Q")), "time")
+for _name in ("temperature_advection", "static_stability", "temperature_budget"):  # earlier names of the same
+    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]
 
 
 # --- energy ------------------------------------------------------------------------------------------------
@@ -526,6 +511,14 @@ def null_masks(spark, d):
     return rounded(select.null_ring(rows, [], ["ring"]), 4, "band", "ring").select("lat", "lon", "band", "ring")
 
 
+@query(f"WITH {GRID} SELECT 30.0::DOUBLE * (i - 4) AS lat, lon, CASE WHEN i NOT IN (1, 7) THEN round(f, 4) END AS f, CASE WHEN i NOT IN (1, 7) THEN round({RE} * cos(radians(30.0::DOUBLE * (i - 4))) * radians(5.0), 3) END AS width FROM grid")
+def poles(spark, d):
+    """Rows of the grid from pole to pole: no values there, and no distances to divide by."""
+    rows = price_grid(spark, d).withColumn("lat", F.lit(30.0) * (F.col("i") - 4))
+    out = rows.withColumn("f", select.null_poles(F.col("lat"), F.col("f"))).withColumn("width", select.null_poles(F.col("lat"), calculus.dx([])))
+    return rounded(rounded(out, 4, "f"), 3, "width").select("lat", "lon", "f", "width")
+
+
 @query(f"WITH {GRID} SELECT lat, lon, round(f, 4) AS f FROM grid WHERE lat > 10 AND lat < 70 AND lon > 5 AND lon < 250")
 def interior(spark, d):
     return rounded(select.interior(price_grid(spark, d), []), 4, "f").select("lat", "lon", "f")
@@ -592,15 +585,18 @@ def profile_sql(kind: int) -> str:
 
 
 def profile(kind: int):
+    """The profile at a level for each cell, and its heating of the cell's price."""
+
     def run(spark, d):
-        return forcing.levels(spark).select("lev", steady(forcing.vertical_value(F.col("sigma"), kind), 6).alias("ver"))
+        ver = forcing.vertical_value(F.col("j") / 50.0, kind)
+        return price_grid(spark, d).select("i", "j", steady(ver, 6).alias("ver"), steady(ver * F.col("f") / 86400, 6).alias("heat"))
 
     return run
 
 
 for _kind in (1, 2, 3):
     QUERIES[f"vertical_profile_{_kind}"] = profile(_kind)
-    SQL[f"vertical_profile_{_kind}"] = steady_sql(f"WITH {LEVELS} SELECT lev, round({profile_sql(_kind)}, 6) AS ver FROM lv")
+    SQL[f"vertical_profile_{_kind}"] = steady_sql(f"WITH {GRID}, p AS (SELECT *, j / 50.0::DOUBLE AS sigma FROM grid) SELECT i, j, round({profile_sql(_kind)}, 6) AS ver, round({profile_sql(_kind)} * f / 86400, 6) AS heat FROM p")
 
 CENTRE = "(lon - 77.0::DOUBLE)", "(lat - 31.5::DOUBLE)"
 ELLIPSE = f"({CENTRE[0]} * {CENTRE[0]} / 529.0::DOUBLE + {CENTRE[1]} * {CENTRE[1]} / 420.25::DOUBLE)"
@@ -631,6 +627,16 @@ def outer_product_forcing(spark, d):
     return out.select("lev", "lat", "lon", steady(F.col("v").cast("double"), 12).alias("v"), steady(F.col("t").cast("double"), 12).alias("t"))
 
 
+AROUND = "((CASE WHEN abs(lon - 355.0::DOUBLE) > 180 THEN lon + 5.0::DOUBLE ELSE lon - 355.0::DOUBLE END))"
+
+
+@query(f"WITH {GRID} SELECT lat, lon, round(CASE WHEN e > 1 THEN 0.0::DOUBLE ELSE 0.25::DOUBLE * (1 - sqrt(e)) END, 6) AS hor FROM (SELECT lat, lon, {AROUND} * {AROUND} / 2500.0::DOUBLE + (lat - 31.5::DOUBLE) * (lat - 31.5::DOUBLE) / 420.25::DOUBLE AS e FROM grid)")
+def horizontal_profile_wrap(spark, d):
+    """A cone about 355 degrees east, which reaches over the meridian of 0."""
+    value = forcing.horizontal_value(F.col("lon"), F.col("lat"), 1, rx=50.0, ry=20.5, centre=(355.0, 31.5), wrap=True)
+    return price_grid(spark, d).select("lat", "lon", steady(value, 6).alias("hor"))
+
+
 def hat(x: str, dim: str, step: float) -> str:
     """SQL of the linear weight of a node of an even axis."""
     return f"greatest(0.0::DOUBLE, 1 - abs({x} - {dim}) / {step})"
@@ -669,11 +675,6 @@ def interp3d(spark, d):
     return rounded(out, 2, "f").select("lev", "lat", "lon", "f")
 
 
-@query("""WITH p AS (SELECT m, l, row_number() OVER (ORDER BY l, m) AS n FROM range(0, 43) a(m), range(0, 43) b(l) WHERE m <= 42 - l)
-SELECT CAST(m AS INT) AS m, CAST(l AS INT) AS l, CAST(2 * n - 1 AS INT) AS re_index, CAST(2 * n AS INT) AS im_index FROM p""")
-def nmo_index(spark, d):
-    return spectral.index_map(spark)
-
 
 # --- one long history, by chunks ---------------------------------------------------------------------------
 
@@ -919,6 +920,18 @@ def event_members(spark, d):
     return rows.groupBy("type", "lat", "lon").agg(F.count("*").alias("n"), F.sum("flag").alias("hits"))
 
 
+@query()
+def event_clusters(spark, d):
+    """Event days by the cluster of their flags, and the mean flag of each cell over a cluster's days."""
+    cube = dated(spark, d)
+    threshold = reduce.quantile(cube, "x", 0.8)
+    members = files.stored(climate.event_samples(cube, climate.extreme_events(cube, "x", threshold=threshold), "x", threshold))
+    cells = members.select("lat", "lon").distinct()
+    full = members.select("key").distinct().crossJoin(F.broadcast(cells)).join(members, ["key", "lat", "lon"], "left").withColumn("flag", F.coalesce("flag", F.lit(0.0)))
+    types = modes.kmeans(select.flatten(full, ["key"], ["lat", "lon"], "flag"), 4).select("key", "type")
+    return members.join(types, "key").groupBy("type", "lat", "lon").agg(F.count("*").alias("n"), F.avg("flag").alias("mean"))
+
+
 @query(f"""WITH {GRID}, {STACK}, {values_sql('lon', [7.5, 101.0, 300.0])}, {values_sql('lat', [14.0, 33.0])}, {values_sql('lev', [100.0, 150.0])},
 f AS (SELECT tlev AS lev, tlat AS lat, tlon AS lon, sum({hat('tlon', 'lon', 5.0)} * {hat('tlat', 'lat', 10.0)} * {hat('tlev', 'lev', 100.0)} * f) AS f FROM stack, t_lon, t_lat, t_lev GROUP BY 1, 2, 3)
 SELECT lev, lat, lon, round(CASE WHEN lon <= 250 THEN f ELSE 0 END, 2) AS v, 0.0::DOUBLE AS d, round(CASE WHEN lon <= 250 THEN -f ELSE 0 END, 2) AS t, 0.0::DOUBLE AS p FROM f""")
@@ -945,6 +958,16 @@ def packed_forcing(spark, d):
     return rounded(rows.withColumn("at", (F.col("_place") + 1).cast("int")), 4, "coef").select("at", "m", "block", "l", "row", "k", "coef")
 
 
+@query(f"""WITH {GRID}, {WAVES}, p AS (SELECT m, l, row_number() OVER (ORDER BY l, m) AS n FROM range(0, 43) a(m), range(0, 43) b(l) WHERE m <= 42 - l)
+SELECT CAST(m AS INT) AS m, CAST(l AS INT) AS l, part, k, var, CAST(CASE part WHEN 're' THEN 2 * n - 1 ELSE 2 * n END AS INT) AS "at", round(coef, 4) AS coef FROM waves JOIN p USING (m, l)""")
+def nmo_index(spark, d):
+    """Where each coefficient stands in the model's array."""
+    places = spectral.index_map(spark)
+    rows = coefficients(spark, d).join(F.broadcast(places), ["m", "l"])
+    at = F.when(F.col("part") == "re", F.col("re_index")).otherwise(F.col("im_index"))
+    return rows.select("m", "l", "part", "k", "var", at.alias("at"), steady("coef", 4).alias("coef"))
+
+
 @query(f"WITH {GRID} SELECT i, j, round(-j * g, 6) AS re, round(j * f, 4) AS im FROM grid")
 def zonal_derivative(spark, d):
     re, im = spectral.zonal_derivative(F.col("j"), F.col("f"), F.col("g"))

@@ -23,10 +23,8 @@ YEARLY = f"""{SALES}, yearly AS (
 CUBE = """cube AS (
   SELECT CAST(l_linenumber AS INT) AS lev, 10.0::DOUBLE * (1 + CAST(l_quantity AS INT) % 5) AS lat, 15.0::DOUBLE * (CAST(l_quantity AS INT) // 5 % 8) AS lon, CAST(date_trunc('month', l_shipdate) AS DATE) AS time,
     CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 / 100 AS t,
-    CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) AS u, CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) AS v FROM lineitem
-  WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-05-01' GROUP BY 1, 2, 3, 4)"""
+    CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) AS u, CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) AS v FROM lineitem GROUP BY 1, 2, 3, 4)"""
 
-CUBE_ALL = CUBE.replace("\n  WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-05-01'", "")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,11 +65,9 @@ def yearly_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.yearly_mean(select.months(sales_cube(spark, sf_dir), "time", [6, 7, 8]), "time", ["lat", "lon"], ["x"])
 
 
-def level_cube(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(time, lev, lat, lon, t, u, v): all months of a field with levels, or four of them."""
+def level_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(time, lev, lat, lon, t, u, v): all months of a field with levels."""
     rows = table(spark, sf_dir, "lineitem")
-    if not whole:
-        rows = rows.where("l_shipdate >= TIMESTAMP_NTZ '1996-01-01' AND l_shipdate < TIMESTAMP_NTZ '1996-05-01'")
     q = F.col("l_quantity").cast("int")
     keys = [F.col("l_linenumber").cast("int").alias("lev"), (F.lit(10.0) * (1 + q % 5)).alias("lat"), (F.lit(15.0) * (F.floor(q / 5) % 8)).alias("lon"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("time")]
     return rows.groupBy(*keys).agg((cents("l_extendedprice") / 100 / 100).alias("t"), cents("l_discount").alias("u"), cents("l_tax").alias("v"))

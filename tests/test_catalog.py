@@ -72,5 +72,13 @@ def test_cluster_curve_goes_to_twenty(spark):
 @pytest.mark.parametrize("name", ["temperature_advection", "static_stability", "temperature_budget"])
 def test_level_queries_over_all_months(spark, duck, name):
     months = {str(m) for (m,) in duck.sql("SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) FROM lineitem WHERE l_shipdate IS NOT NULL").fetchall()}
-    got = {r.time for r in catalog.QUERIES[f"{name}_all"](spark, DATA).select("time").distinct().collect()} - {None}
+    got = {r.time for r in catalog.QUERIES[name](spark, DATA).select("time").distinct().collect()} - {None}
     assert got == months and len(months) > 80
+
+
+def test_clusters_of_event_days(spark):
+    """Every member of an event day is in one cluster; the table of sf0.001 may have no such day."""
+    got = catalog.QUERIES["event_clusters"](spark, "/root/testdata/sf0.01").collect()
+    members = catalog.QUERIES["event_members"](spark, "/root/testdata/sf0.01").agg({"n": "sum"}).first()[0]
+    assert len({r.type for r in got}) == 4 and sum(r.n for r in got) == members
+    assert catalog.QUERIES["event_clusters"](spark, DATA).count() >= 0

@@ -519,3 +519,16 @@ def test_separated_solves_a_large_field(spark):
     dx2, dy2 = elliptic.spacing(lats, lons)
     laplace = (psi[1:-1, 2:] - 2 * psi[1:-1, 1:-1] + psi[1:-1, :-2]) / dx2[1:-1, 1:-1] + (psi[2:, 1:-1] - 2 * psi[1:-1, 1:-1] + psi[:-2, 1:-1]) / dy2[1:-1, 1:-1]
     assert np.abs(laplace - r[1:-1, 1:-1]).max() < 1e-6 and not psi[[0, -1]].any() and not psi[:, [0, -1]].any()
+
+
+def test_output_modes_of_the_transforms(spark):
+    t = spectral.Truncation(16, 8, 5, 5, 5)
+    field = np.random.default_rng(2).random((8, 16))
+    slabs = spark.createDataFrame([(1, [float(i) for i in range(8)], [float(i) for i in range(16)], field.ravel().tolist())], "k int, lat array<double>, lon array<double>, data array<double>")
+    waves = spectral.to_waves(slabs, ["k"], t)
+    got = lambda **how: np.array(spectral.to_grid(waves, ["k"], t, **how).first().data).reshape(8, 16)
+    plain = got()
+    assert np.allclose(got(mode="N"), -plain) and np.allclose(got(mode="A", onto=slabs), field + plain) and np.allclose(got(mode="S", onto=slabs), field - plain)
+    assert {(r.m, r.l, r.part): -r.coef for r in spectral.to_waves(slabs, ["k"], t, mode="N").collect()} == pytest.approx({(r.m, r.l, r.part): r.coef for r in waves.collect()})
+    with pytest.raises(ValueError):
+        spectral.to_grid(waves, ["k"], t, mode="A")
