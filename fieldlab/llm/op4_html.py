@@ -9,7 +9,9 @@ belong to the text, short ones too, but for those inside elements that are no ar
 class or id that names nothing else (menus, footers, sidebars, adverts, forms, scripts, styles, reader
 comments), or by a name that may be an article's own (header, notice, share ...) where the line's ratio isn't
 above the threshold either. A name is a whole class or id: boilerplate words with no others than
-structural ones, so `share-price` or `article-header` name nothing. Headings are never told by name.
+structural ones, so `share-price` or `article-header` name nothing. Headings are never told by name. A form, or an
+element of such a name, that wraps the page hides nothing (see Lines.visible). Cost is linear in the page, however
+deep its elements are nested.
 
 A line break inside a block is white space. Null, empty or text-free html gives an empty text. A comment or tag
 that is cut off at the end is dropped. Repeated pages are treated alike; extra columns pass through.
@@ -18,6 +20,7 @@ that is cut off at the end is dropped. Repeated pages are treated alike; extra c
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -41,11 +44,13 @@ REGIONS = frozenset("article body div main section table tbody td tr".split())
 CLOSED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 # Elements, roles and class words that hold no article text.
-NO_TEXT = frozenset("aside button canvas dialog footer form head iframe menu nav noscript object script select style svg template textarea".split())
+NO_TEXT = frozenset("aside button canvas dialog footer head iframe menu nav noscript object script select style svg template textarea".split())
 NO_TEXT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-NO_TEXT_NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter outbrain pager pagination popup sidebar signup sponsor sponsored subscribe subscription taboola toolbar".split())
+NO_TEXT_NAMES = frozenset("ad adbox ads adsbygoogle adsense adslot adunit advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment commentform commentlist comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter outbrain pager pagination popup sidebar signup sponsor sponsored subscribe subscription taboola toolbar".split())
 PERHAPS_NO_TEXT = frozenset("alert banner disclaimer header notice notification promo promoted promotion related replies reply share sharing social".split())
 STRUCTURE = frozenset("area bar block body bottom box button buttons col column container content form global group icon icons inner item items left link links list main message outer overlay page panel primary reader right row secondary section site slot text thread title toggle top unit user widget wrap wrapper".split())
+#: Words that say where a surely named element stands.
+CONTEXT = frozenset("article articles blog desktop entry mobile post posts px size story wp x".split())
 ARTICLE_NAMES = frozenset("ad ads advert advertisement comment comments promo reply sponsored".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -58,7 +63,8 @@ def named(known: dict) -> set[str]:
     for name in f"{known.get('class') or ''} {known.get('id') or ''}".split():
         found = {w.lower() for w in WORD.findall(name)}
         words = found & (NO_TEXT_NAMES | PERHAPS_NO_TEXT)
-        if words and found <= words | STRUCTURE:
+        about = STRUCTURE | CONTEXT if words & NO_TEXT_NAMES or "related" in words else STRUCTURE
+        if words and found <= words | about:
             out |= words
     return out
 
@@ -66,42 +72,60 @@ def named(known: dict) -> set[str]:
 class Line(NamedTuple):
     text: str
     tags: int  # since the line before
-    path: tuple[tuple[str, int], ...]  # open regions: tag and number
+    region: int  # innermost open region, 0 if there's none
+    veil: int  # innermost open element that hides its text unless it's the page's wrapper
     doubtful: bool  # inside an element that is perhaps no text
     heading: bool  # of the first level
 
 
+class Open(NamedTuple):
+    tag: str
+    hides: bool
+    perhaps: bool
+    region: int  # its number, or 0
+    veil: int
+
+
 class Lines(HTMLParser):
-    """Parser events as lines."""
+    """Parser events as lines. Regions and veils are numbered from 1, with the number of the one around each; what a
+    line or an element costs doesn't grow with the depth it stands at."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, int, int]] = []  # tag, whether it hides its text, whether perhaps, number
-        self.hidden = self.doubtful = self.count = self.tags = 0
+        self.open: list[Open] = []
+        self.opened: Counter[str] = Counter()
+        self.hidden = self.doubtful = self.tags = 0
+        self.regions, self.veils = [("", 0)], [("", 0, False)]  # tag and parent; kind, parent, and whether an article is inside
+        self.inner_region, self.inner_veil = [0], [0]
         self.parts: list[str] = []
         self.lines: list[Line] = []
 
     def flush(self) -> None:
         if self.parts:
             if text := SPACE.sub(" ", "".join(self.parts)).strip():
-                tags = [x[0] for x in self.open]
-                self.lines.append(Line(text, self.tags, tuple((t, n) for t, _, _, n in self.open if t in REGIONS), self.doubtful > 0, "h1" in tags))
+                self.lines.append(Line(text, self.tags, self.inner_region[-1], self.inner_veil[-1], self.doubtful > 0, self.opened["h1"] > 0))
                 self.tags = 0
             self.parts.clear()
 
     def pop_to(self, at: int) -> None:
-        for _, hides, perhaps, _ in self.open[at:]:
-            self.hidden -= hides
-            self.doubtful -= perhaps
+        for x in self.open[at:]:
+            self.hidden -= x.hides
+            self.doubtful -= x.perhaps
+            self.opened[x.tag] -= 1
+            if x.region:
+                self.inner_region.pop()
+            if x.veil:
+                self.inner_veil.pop()
         del self.open[at:]
 
     def close_first(self, tags: set[str], barriers) -> None:
+        if not any(self.opened[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
+            if self.open[i].tag in tags:
                 return self.pop_to(i)
-            if self.open[i][0] in barriers:
+            if self.open[i].tag in barriers:
                 return None
-        return None
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -113,27 +137,43 @@ class Lines(HTMLParser):
         elif tag == "br":
             self.parts.append(" ")
         if tag not in VOID:
-            hides, perhaps = self.judged(tag, attrs)
-            self.count += 1
-            self.open.append((tag, hides, perhaps, self.count))
+            hides, veils, perhaps = self.judged(tag, attrs)
+            region = veil = 0
+            if tag in REGIONS:
+                region = len(self.regions)
+                self.regions.append((tag, self.inner_region[-1]))
+                self.inner_region.append(region)
+            if tag in ("article", "main") and not veils:
+                kind, around, _ = self.veils[self.inner_veil[-1]]
+                self.veils[self.inner_veil[-1]] = (kind, around, True)
+            if veils:
+                veil = len(self.veils)
+                self.veils.append(("form" if tag == "form" else "name", self.inner_veil[-1], False))
+                self.inner_veil.append(veil)
+            self.open.append(Open(tag, hides, perhaps, region, veil))
+            self.opened[tag] += 1
             self.hidden += hides
             self.doubtful += perhaps
 
-    def judged(self, tag: str, attrs) -> tuple[bool, bool]:
-        """Whether an element hides its text, and whether it perhaps does."""
-        if tag in NO_TEXT or tag == "header" and not any(x[0] == "article" for x in self.open):
-            return True, False
+    def judged(self, tag: str, attrs) -> tuple[bool, bool, bool]:
+        """Whether an element hides its text, whether it does unless it wraps the page, and whether it perhaps does."""
+        if tag in NO_TEXT or tag == "header" and not self.opened["article"]:
+            return True, False, False
         if tag in ("html", "body", "main"):
-            return False, False
+            return False, False, False
         known = dict(attrs)
         if "hidden" in known or known.get("role") in NO_TEXT_ROLES or known.get("aria-hidden") == "true" or "display:none" in (known.get("style") or "").replace(" ", ""):
-            return True, False
+            return True, False, False
+        if tag == "form":
+            return False, True, False
         if tag in HEADINGS or not ("class" in known or "id" in known):
-            return False, False
+            return False, False, False
         words = named(known)
         if tag == "article":
-            return not words.isdisjoint(ARTICLE_NAMES), False
-        return not words.isdisjoint(NO_TEXT_NAMES), bool(words)
+            return False, not words.isdisjoint(ARTICLE_NAMES), False
+        if words.isdisjoint(NO_TEXT_NAMES):
+            return False, False, bool(words)
+        return tag not in BLOCKS, tag in BLOCKS, False  # what is within a line wraps no page
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -144,15 +184,43 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                return self.pop_to(i)
-        return None
+        if self.opened[tag]:
+            at = next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i].tag == tag)
+            self.pop_to(at)
 
     def handle_data(self, data):
         if not self.hidden:
             self.parts.append(data)
 
+    def visible(self) -> list[Line]:
+        """Lines that no veil hides; the tags of hidden ones count for the next.
+
+        A veil that holds HOLDS of the page's text wraps the page, if it's a form, or has a heading of the first level; so
+        does a form around an article.
+        """
+        size, headed = [0] * len(self.veils), [False] * len(self.veils)
+        for x in self.lines:
+            size[x.veil] += len(x.text)
+            headed[x.veil] |= x.heading
+        total, article = sum(size), [v[2] for v in self.veils]
+        for i in range(len(self.veils) - 1, 0, -1):  # what is inside has larger numbers
+            around = self.veils[i][1]
+            size[around] += size[i]
+            headed[around] |= headed[i]
+            article[around] |= article[i] and self.veils[i][0] == "form"
+        shown = [True] * len(self.veils)
+        for i, (kind, around, _) in enumerate(self.veils[1:], 1):
+            wraps = size[i] >= HOLDS * total and (kind == "form" or headed[i]) or kind == "form" and article[i]
+            shown[i] = shown[around] and wraps
+        out, tags = [], 0
+        for x in self.lines:
+            if shown[x.veil]:
+                out.append(x._replace(tags=x.tags + tags))
+                tags = 0
+            else:
+                tags += x.tags
+        return out
+
 
 def uncut(html: str) -> str:
     """Without a comment or tag that is cut off at the end."""
@@ -180,29 +248,25 @@ def content(lines: list[Line]) -> tuple[np.ndarray, np.ndarray]:
     return smooth >= threshold, ratios >= threshold
 
 
-def regions(lines: list[Line], is_content: np.ndarray) -> set[int]:
+def regions(lines: list[Line], is_content: np.ndarray, tree: list[tuple[str, int]]) -> set[int]:
     """Numbers of the elements whose lines are the main text."""
-    weight: dict[tuple, int] = {}
-    depth: dict[tuple, int] = {}
-    total = 0
+    weight, every, depth = [0] * len(tree), [0] * len(tree), [0] * len(tree)
     for line, yes in zip(lines, is_content, strict=True):
-        if yes:
-            total += len(line.text)
-            for d, element in enumerate(line.path):
-                weight[element] = weight.get(element, 0) + len(line.text)
-                depth[element] = d
+        weight[line.region] += len(line.text) if yes else 0
+        every[line.region] += len(line.text)
+    for n in range(len(tree) - 1, 0, -1):  # what is inside has larger numbers
+        weight[tree[n][1]] += weight[n]
+        every[tree[n][1]] += every[n]
+    for n in range(1, len(tree)):
+        depth[n] = depth[tree[n][1]] + 1
     for kind in ("article", "main"):
-        if own := {n for t, n in weight if t == kind}:
-            return own
-        by: dict[int, int] = {}
-        for line in lines:
-            for t, n in line.path:
-                if t == kind:
-                    by[n] = by.get(n, 0) + len(line.text)
-        if by:
-            return {max(by, key=by.get)}
-    holding = [e for e, w in weight.items() if w >= HOLDS * total]
-    return {max(holding, key=lambda e: depth[e])[1]} if holding else set()
+        own = [n for n in range(1, len(tree)) if tree[n][0] == kind]
+        if content_own := {n for n in own if weight[n]}:
+            return content_own
+        if best := [n for n in own if every[n]]:
+            return {max(best, key=lambda n: every[n])}
+    holding = [n for n in range(1, len(tree)) if weight[n] and weight[n] >= HOLDS * weight[0]]
+    return {max(holding, key=lambda n: depth[n])} if holding else set()
 
 
 def main_text(html: str) -> str:
@@ -213,18 +277,21 @@ def main_text(html: str) -> str:
         parser.feed(html[i : i + CHUNK])
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines, tree = parser.visible(), parser.regions
     if not lines:
         return ""
     is_content, above = content(lines)
-    chosen = regions(lines, is_content)
-    inside = [not chosen or any(n in chosen for _, n in x.path) for x in lines]
-    around: set[tuple] = set()  # paths to what stands around a region that is no article
-    for x, yes in zip(lines, inside, strict=True):
-        if chosen and yes and not any(t in ("article", "main") for t, _ in x.path):
-            at = next(i for i, (_, n) in enumerate(x.path) if n in chosen)
-            around.update(x.path[:i] for i in range(at + 1))
-    return "\n".join(x.text for x, yes, high in zip(lines, inside, above, strict=True) if (yes or x.heading and x.path in around) and (high or not x.doubtful))
+    chosen = regions(lines, is_content, tree)
+    inside, framed = [not chosen] * len(tree), [False] * len(tree)
+    for n in range(1, len(tree)):
+        inside[n] = not chosen or n in chosen or inside[tree[n][1]]
+        framed[n] = tree[n][0] in ("article", "main") or framed[tree[n][1]]
+    around: set[int] = set()  # what stands around a region that is no article
+    for n in chosen:
+        while n and not framed[n]:
+            n = tree[n][1]
+            around.add(n)
+    return "\n".join(x.text for x, high in zip(lines, above, strict=True) if (inside[x.region] or x.heading and x.region in around) and (high or not x.doubtful))
 
 
 def extract_text(pages: DataFrame, html: str = "html", to: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 
@@ -48,6 +49,12 @@ ONE = " ".join(LONG.split())
         (f"<article><p>{LONG}</p></article><article class='comment'><p>{LONG}</p></article>", ONE),
         (f"<div id=page><div class=menu>m</div><h1>Title</h1><div id=text><p>{LONG}</p><p>{LONG}</p></div></div>", f"Title\n{ONE}\n{ONE}"),
         (f"<header><h1>Site</h1></header><div id=text><p>{LONG}</p><p>{LONG}</p></div><div><h1>Other</h1><a>x</a></div>", f"{ONE}\n{ONE}"),
+        (f"<form id=aspnetForm><div id=menu><a>m</a></div><div id=text><p>{LONG}</p><p>{LONG}</p></div><input><button>Go</button></form>", f"{ONE}\n{ONE}"),
+        (f"<form id=aspnetForm><article><p>{LONG}</p></article><p>{LONG}</p></form><p>{LONG}</p>", ONE),
+        (f"<article><p>{LONG}</p><form><p>Your name</p></form></article>", ONE),
+        (f"<div class='comments'><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div></div>", f"Title\n{ONE}\n{ONE}"),
+        (f"<article><h1>T</h1><p>{LONG}</p><ol class='commentlist'><li>{LONG}</li></ol><div class='advert-300x250'>Buy</div><div class='wp-block-ad'>Buy</div><ins class='adsbygoogle'>Buy</ins></article>", f"T\n{ONE}"),
+        (f"<div id=text><p>{LONG}</p><p>{LONG}</p><div class='post-comments'><p>{LONG}</p></div><div class='related-posts'><a>A</a> <a>B</a> <a>C</a></div></div>", f"{ONE}\n{ONE}"),
     ],
 )
 def test_rules(body, expected):
@@ -57,7 +64,7 @@ def test_rules(body, expected):
 def test_ratios_and_clusters_equal_a_plain_version():
     rng = random.Random(5)
     for _ in range(50):
-        lines = [op.Line("x" * rng.choice([2, 5, 30, 200, 900]), rng.randint(0, 9), (), False, False) for _ in range(rng.randint(1, 60))]
+        lines = [op.Line("x" * rng.choice([2, 5, 30, 200, 900]), rng.randint(0, 9), 0, 0, False, False) for _ in range(rng.randint(1, 60))]
         ratios = [len(x.text) / max(1, x.tags) for x in lines]
         kernel = [math.exp(-0.5 * (d / op.SIGMA) ** 2) for d in range(-4, 5)]
         smooth = [sum(k * ratios[min(max(i + d, 0), len(ratios) - 1)] for k, d in zip(kernel, range(-4, 5), strict=True)) / sum(kernel) for i in range(len(ratios))]
@@ -93,3 +100,36 @@ def test_rows(spark, tmp_path):
     assert got == [(1, 0), (2, 0), (3, 2), (3, 2), (4, 39999)]
     assert op.extract_text(df.limit(0)).count() == 0
     assert op.extract_text(df.withColumnRenamed("url", "text")).columns == ["page_id", "html", "text"]
+
+
+def plain_regions(lines, is_content, tree):
+    """The choice of regions by the whole path of each line."""
+    def path(n):
+        return path(tree[n][1]) + [n] if n else []
+    total = sum(len(x.text) for x, yes in zip(lines, is_content, strict=True) if yes)
+    held = lambda n, only: sum(len(x.text) for x, yes in zip(lines, is_content, strict=True) if n in path(x.region) and (yes or not only))
+    for kind in ("article", "main"):
+        own = [n for n in range(1, len(tree)) if tree[n][0] == kind]
+        if any(held(n, True) for n in own):
+            return {n for n in own if held(n, True)}
+        if any(held(n, False) for n in own):
+            return {max(own, key=lambda n: held(n, False))}
+    holding = [n for n in range(1, len(tree)) if held(n, True) and held(n, True) >= op.HOLDS * total]
+    return {max(holding, key=lambda n: len(path(n)))} if holding else set()
+
+
+def test_regions_equal_a_plain_version():
+    rng = random.Random(3)
+    for kinds in ("div section", "div article", "div main section", "div article main"):
+        for _ in range(60):
+            tree = [("", 0)] + [(rng.choice(kinds.split()), rng.randrange(n)) for n in range(1, rng.randint(2, 12))]
+            lines = [op.Line("x" * rng.choice([1, 7, 40]), 1, rng.randrange(len(tree)), 0, False, False) for _ in range(rng.randint(1, 15))]
+            marks = [rng.random() < 0.6 for _ in lines]
+            assert op.regions(lines, marks, tree) == plain_regions(lines, marks, tree)
+
+
+@pytest.mark.parametrize("html", ["<div>word " * 20_000, "<span>" * 20_000 + "<p>a</i>" * 20_000, "<b><p>" * 20_000, "<article>" + "<header>x " * 20_000, "<div>" * 20_000 + "</span>" * 20_000 + "end", "<form><p>w " * 20_000])
+def test_deep_pages_take_linear_time(html):
+    began = time.process_time()
+    op.main_text(html)
+    assert time.process_time() - began < 4
