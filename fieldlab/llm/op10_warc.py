@@ -6,8 +6,8 @@ source digest; metadata also keeps the source's HTTP headers. Digests are sha256
 and record ids are urn:uuids derived from the source's key, URI, payload and kind, so a run that is repeated
 gives the same records.
 
-Records are built by column expressions, but for character references, which the standard library decodes in
-batches (no-break spaces become spaces). Scripts, styles and comments without an end go to the end of the page;
+Records are built by column expressions, but for the text of a page, which is made in batches: patterns take markup
+out, the standard library decodes character references (no-break spaces become spaces). Scripts, styles and comments without an end go to the end of the page;
 quoted attributes may hold >. Reading goes through whole files and Content-Length (gzip members too), and its
 rows are sources of derivatives; writing goes through the text sink, one WARC file per partition.
 
@@ -17,7 +17,9 @@ Repeated pages give repeated records with the same ids, which are written once.
 
 from __future__ import annotations
 
+import re
 import zlib
+from hashlib import sha256
 from html import unescape
 
 import pandas as pd
@@ -32,28 +34,28 @@ VERSION = "WARC/1.1"
 NO_DATE = "1970-01-01T00:00:00Z"
 
 #: The rest of a tag; after an odd quote, up to the next >.
-TAG_END = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+'){0,200}+>|[^>]*+>)"""
-# What the conversion does to html, in order; ++ and *+ only keep Java from going back.
+TAG_END = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)"""
+# What the conversion does to html, in order; ++ and *+ only keep it from going back.
 CONVERSION = [
-    (r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<head\b[^>]*>.*?</head\s*>", " "),
-    (r"[ \t\r\n\f]+", " "),
+    (r"(?is)<!--.*?(?:-->|\Z)|<script\b[^>]*>.*?(?:</script\s*>|\Z)|<style\b[^>]*>.*?(?:</style\s*>|\Z)|<head\b[^>]*>.*?</head\s*>", " "),
+    (r"[\t\r\n\f]+ *[ \t\r\n\f]*| [ \t\r\n\f]+", " "),
     (r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b" + TAG_END, "\n"),
     (r"<[A-Za-z/!?]" + TAG_END, ""),
-    (r" *\n[ \n]*", "\n"),
 ]
+STEPS = [(re.compile(pattern), to) for pattern, to in CONVERSION]
 
 
-@F.pandas_udf(T.StringType())
-def unescaped(texts: pd.Series) -> pd.Series:
-    """Character references decoded, no-break spaces as spaces."""
-    return texts.map(lambda x: unescape(x).replace("\xa0", " ") if "&" in x else x.replace("\xa0", " "))
+def converted(html: str) -> str:
+    """Text of a page: a line for each block, references decoded, no-break spaces as spaces."""
+    for pattern, to in STEPS:
+        html = pattern.sub(to, html)
+    lines = "\n".join(x for line in html.split("\n") if (x := line.strip(" ")))
+    return (unescape(lines) if "&" in lines else lines).replace("\xa0", " ").strip(" \n")
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: a line for each block, references decoded."""
-    for pattern, to in CONVERSION:
-        html = F.regexp_replace(html, pattern, to)
-    return F.btrim(unescaped(html), F.lit(" \n"))
+@F.pandas_udf(T.StringType())
+def plain_text(html: pd.Series) -> pd.Series:
+    return html.map(converted)
 
 
 def urn(*parts: Column) -> Column:
@@ -136,7 +138,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     The key is the record's id. Digests are as the file has them, or made where it has none. Responses can go to
     derivatives as they are. A file is read whole, by one task.
     """
-    columns = "record_type string, record_id string, refers_to string, target_uri string, date string, block_digest string, payload_digest string, source_digest string, http_headers string, payload string, block binary"
+    columns = "record_type string, record_id string, refers_to string, target_uri string, date string, block_digest string, payload_digest string, source_digest string, http_headers string, payload string"
 
     def run(frames):
         for frame in frames:
@@ -144,12 +146,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for h, block in parsed(unzipped(bytes(content))):
                     head, cut, body = block.partition(b"\r\n\r\n") if h.get("warc-type") == "response" else (b"", b"", block)
-                    rows.append((*(h.get(x) for x in ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "warc-block-digest", "warc-payload-digest", "warc-source-payload-digest")), (head + cut[:2]).decode("utf-8", "replace"), body.decode("utf-8", "replace"), block))
+                    own = {"warc-block-digest": sha256(block).hexdigest(), "warc-payload-digest": sha256(body).hexdigest()}
+                    h = {k: f"sha256:{v}" for k, v in own.items()} | h  # of the bytes, whatever their encoding
+                    rows.append((*(h.get(x) for x in ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "warc-block-digest", "warc-payload-digest", "warc-source-payload-digest")), (head + cut[:2]).decode("utf-8", "replace"), body.decode("utf-8", "replace")))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in columns.split(",")])
 
     rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, columns)
-    made = F.coalesce("payload_digest", digest(F.col("payload"))).alias("payload_digest"), F.coalesce("block_digest", digest(F.col("block"))).alias("block_digest")
-    return rows.select(F.col("record_id").alias("key"), "record_type", "record_id", "refers_to", "target_uri", "date", "http_headers", "payload", *made, "source_digest")
+    return rows.select(F.col("record_id").alias("key"), "record_type", "record_id", "refers_to", "target_uri", "date", "http_headers", "payload", "payload_digest", "block_digest", "source_digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,8 +163,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     text = "payload"
-    for pattern, to in CONVERSION:
-        text = f"regexp_replace({text}, {q(pattern.replace('++', '+').replace('*+', '*').replace('}+', '}'))}, {q(to)}, 'g')"
+    for pattern, to in [*CONVERSION, (r" *\n[ \n]*", "\n")]:
+        text = f"regexp_replace({text}, {q(pattern.replace('++', '+').replace('*+', '*').replace(chr(92) + 'Z', chr(92) + 'z'))}, {q(to)}, 'g')"
     for name, to in REFERENCES:
         text = f"replace({text}, {q(name)}, {q(to)})"
     cut = lambda h: f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' || {h}[21:32] || '>'"

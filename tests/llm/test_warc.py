@@ -37,7 +37,7 @@ def test_conversion_of_odd_markup(spark):
         "<p title='a>b' class=\"c>d\">text</p>": "text",
         "<a title='odd>one</a> two": "one two",
         "<SCRIPT>x</SCRIPT><DIV>up</DIV>1 < 2": "up\n1 < 2",
-        "<a " + "b='>' " * 1000 + ">long</a>": None,
+        "<a " + "b='>' " * 1000 + ">long</a>": "long",
         "<" + "'" * 100_000: None,
         "<p " + '"' * 100_001: None,
     }
@@ -82,3 +82,11 @@ def test_query_equals_its_sql(spark, tmp_path):
         got = op.query(spark, folder)
         assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(op.ORACLE).select(*[duckdb.ColumnExpression(c) for c in got.columns]).fetchall())
     assert op.derivatives(op.responses(pages(spark).limit(0))).count() == 0
+
+
+def test_digests_are_of_bytes(spark, tmp_path):
+    body = "Grüße".encode("latin-1")
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n" + body
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n")
+    r = op.read_warc(spark, str(tmp_path / "a.warc")).first()
+    assert r.payload_digest == "sha256:" + hashlib.sha256(body).hexdigest() and r.block_digest == "sha256:" + hashlib.sha256(block).hexdigest()
