@@ -750,8 +750,9 @@ def poisson_sor(spark, d):
 
 # Sines along the 48 inner longitudes, elimination along the 5 inner latitudes, and sines back; the ring is 0.
 ACROSS, ALONG = f"pow({RE} * cos(radians(10.0 * i)), 2)", f"pow({RE} * radians(10.0::DOUBLE), 2)"
+VORTICITY, DIVERGENCE = f"{w3('v', 'lat', 'lon')} / {DX} - {w3('u', 'lon', 'lat')} / {DY}", f"{w3('u', 'lat', 'lon')} / {DX} + {w3('v', 'lon', 'lat')} / {DY} - v * tan(radians(lat)) / {RE}"
 POISSON = f"""flow AS (SELECT i, j, lat, lon, f / 1000 AS u, g * 100 AS v FROM grid),
-rhs AS (SELECT i, j, {w3('v', 'lat', 'lon')} / {DX} - {w3('u', 'lon', 'lat')} / {DY} AS r FROM flow),
+rhs AS (SELECT i, j, {VORTICITY} AS r FROM flow),
 k AS (SELECT k, -4 * pow(sin({math.pi!r} * k / 98), 2) / pow(radians(5.0::DOUBLE), 2) AS e FROM range(1, 49) t(k)),
 wave AS (SELECT i, k, e / {ACROSS} - 2 / {ALONG} AS b, sum(r * sin({math.pi!r} * (j - 1) * k / 49)) AS f FROM rhs, k WHERE i BETWEEN 2 AND 6 AND j BETWEEN 2 AND 49 GROUP BY i, k, e),
 up AS (
@@ -767,14 +768,24 @@ def poisson_separated(spark, d):
     return rounded(elliptic.poisson(files.stored(rows), ["k"], "rhs", "psi", method="separated"), 2, "psi").select("lat", "lon", "psi")
 
 
-@query()
+def potential_sql(poisson: str, name: str, u: str, v: str) -> str:
+    """SQL of a potential, the solution with the other sign, and its wind; nothing on the ring."""
+    inner = lambda x, digits: f"CASE WHEN i BETWEEN 2 AND 6 AND j BETWEEN 2 AND 49 THEN round({x}, {digits}) END"
+    return f"""WITH RECURSIVE {GRID}, {poisson}, p AS (SELECT i, j, lat, lon, -coalesce(psi, 0) AS p FROM grid LEFT JOIN psi USING (i, j)),
+g AS (SELECT *, {w3('p', 'lat', 'lon')} / {DX} AS gx, {w3('p', 'lon', 'lat')} / {DY} AS gy FROM p)
+SELECT lat, lon, {inner('p', 2)} AS {name}, {inner(u, 6)} AS u_{name}, {inner(v, 6)} AS v_{name} FROM g"""
+
+
+@query(potential_sql(POISSON, "psi", "-gy", "gx"))
 def stream_function(spark, d):
-    return elliptic.stream_function(flow(spark, d), ["k"])
+    out = elliptic.stream_function(flow(spark, d), ["k"])
+    return rounded(rounded(out, 2, "psi"), 6, "u_psi", "v_psi").select("lat", "lon", "psi", "u_psi", "v_psi")
 
 
-@query()
+@query(potential_sql(POISSON.replace(VORTICITY, DIVERGENCE), "chi", "gx", "gy"))
 def velocity_potential(spark, d):
-    return elliptic.velocity_potential(flow(spark, d), ["k"])
+    out = elliptic.velocity_potential(flow(spark, d), ["k"])
+    return rounded(rounded(out, 2, "chi"), 6, "u_chi", "v_chi").select("lat", "lon", "chi", "u_chi", "v_chi")
 
 
 @query()
