@@ -3,12 +3,13 @@
 Folding first: compatibility forms and homoglyphs become plain letters, digits and signs between letters
 become the letters that they stand for. The lexicon holds beginnings of words (and whole words) with
 weights, the log-odds of toxic against clean documents, learned from labelled rows; exception phrases are
-longer entries of weight 0, and as the longest match at a place counts, they silence what they hold. The
+longer entries of weight 0, and as the longest match at a place counts, they silence what they hold. They are
+learned too: an entry's word with the word before or after it, where such pairs stand in clean documents. The
 weights of a text's matches are normalised by its length, and a logistic curve over weight, weight by
 length and number of different entries gives the score.
 
-Learning takes at most FIT_ROWS labelled documents (by the hash of their id), and a lexicon of at most
-LEXICON entries; scoring is narrow. Null or empty texts get the score of a text without matches. Labels
+Learning takes at most FIT_ROWS labelled documents (by the hash of their id), which is its only bound: every
+term of them that has the least documents and log-odds becomes an entry. Scoring is narrow. Null or empty texts get the score of a text without matches. Labels
 that are null are ignored; of several labels of a document the highest counts. Repeated rows are scored
 alike. Columns named score are replaced; others pass through.
 """
@@ -19,18 +20,16 @@ import re
 import unicodedata
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.llm.common import add_columns, raw_texts, send, small_batches, table, tidy
 
 #: Labelled documents that are learned from, at most.
 FIT_ROWS = 20_000
-#: Entries of the lexicon, at most.
-LEXICON = 4_000
-#: Lengths of beginnings of words that may be entries; longer words are cut to the last.
+#: Lengths of beginnings of words that may be entries; whole words of any length may be too.
 SHORTEST, LONGEST = 3, 12
-#: Toxic documents that an entry needs, and its least log-odds.
+#: Toxic documents that an entry needs, and its least log-odds; an exception needs as many clean ones, and as low log-odds.
 LEAST_DOCS, LEAST_WEIGHT = 4, 2.0
 #: Distinct terms that a task counts before it passes them on.
 TASK_TERMS = 60_000
@@ -43,9 +42,11 @@ HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһкмтвгпαεορυικν
 SUBSTITUTES = str.maketrans("013457@$!", "oieastasi")
 
 BEYOND_LATIN = re.compile("[^\x00-ɏ]")
+OTHER_DIGIT = re.compile("[2689]")
 DIGIT_IN_WORD = re.compile(r"[0-9@$!]")
 MIXED = re.compile(r"(?<![^\W_])(?=[0134578@$!]*[^\W\d_])(?=[^\W\d_]*[0134578@$!]+[^\W\d_]|[0134578@$]+[^\W\d_])[\w@$!]+")
 WORD = re.compile(r"[^\W\d_]{%d,}" % SHORTEST)
+WORD_END, WORD_AFTER = re.compile(r"[^\W\d_]*"), re.compile(r" [^\W\d_]+(?![^\W_])")
 
 
 def fold(text: str) -> str:
@@ -60,26 +61,29 @@ def fold(text: str) -> str:
 
 
 def unmasked(m: re.Match) -> str:
-    """A word with digits or signs for letters; signs at its end are punctuation, long mixes are codes."""
+    """A word with digits or signs for letters; signs at its end are punctuation. Mixes of mostly digits, or with
+    digits inside that stand for no letter, are codes."""
     word = m[0].rstrip("@$!")
-    if len(word) > 20 or sum(c.isdigit() for c in word) * 3 > 2 * len(word):
+    if OTHER_DIGIT.search(word.rstrip("0123456789")) or sum(c.isdigit() for c in word) * 3 > 2 * len(word):
         return m[0]
     return word.translate(SUBSTITUTES) + m[0][len(word) :]
 
 
 def terms(text: str) -> set[str]:
-    """Beginnings of a folded text's words."""
-    return {w[:n] for w in set(WORD.findall(fold(text))) for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
+    """Beginnings of a folded text's words, and the words themselves."""
+    own = set(WORD.findall(fold(text)))
+    return own | {w[:n] for w in own for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
 
 
-def term_counts(sample: DataFrame, text: str, label: str) -> DataFrame:
-    """(term, toxic, clean): documents of each label that hold a term."""
+def term_counts(sample: DataFrame, text: str, label: str, start=lambda: terms) -> DataFrame:
+    """(term, toxic, clean): documents of each label that hold a term. start() gives the function from a text to its terms."""
     small_batches(sample.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
         counts: dict[str, list[int]] = {}
+        of = start()
 
         def pour():
             both = list(counts.values())
@@ -89,7 +93,7 @@ def term_counts(sample: DataFrame, text: str, label: str) -> DataFrame:
 
         for batch in batches:
             for raw, y in zip(raw_texts(batch, text), batch.column(label).to_pylist(), strict=True):
-                for t in terms(raw.decode()):
+                for t in of(raw.decode()):
                     c = counts.get(t)
                     if c is None:
                         c = counts[t] = [0, 0]
@@ -120,14 +124,35 @@ class Lexicon:
             self.automaton.make_automaton()
         return self.automaton
 
+    def matches(self, folded: str):
+        """(end, length, weight, entry) of the longest entries that begin a word."""
+        if self.weights:
+            for end, (n, w, t) in self.built().iter_long(folded):
+                if w and (end == n - 1 or not folded[end - n].isalnum()):
+                    yield end, n, w, t
+
+    def phrases(self, text: str) -> set[str]:
+        """The words of a text's matches, each with the word before it and with the word after it."""
+        text, out = fold(text), set()
+        for end, n, _, _ in self.matches(text):
+            start, here = end - n + 1, WORD_END.match(text, end + 1).end()
+            first = start - 1
+            if first > 0 and text[first] == " ":
+                while first and text[first - 1].isalpha():
+                    first -= 1
+                if first < start - 1 and not (first and text[first - 1].isalnum()):
+                    out.add(text[first:here])
+            after = WORD_AFTER.match(text, here)
+            if after:
+                out.add(text[start:here] + after[0])
+        return out
+
     def features(self, text: str) -> list[float]:
         """Total weight, weight by length, different entries and length, damped."""
         text, total, own = fold(text), 0.0, set()
-        if len(self.weights):
-            for end, (n, w, t) in self.built().iter_long(text):
-                if w and (end == n - 1 or not text[end - n].isalnum()):
-                    total += w
-                    own.add(t)
+        for _, _, w, t in self.matches(text):
+            total += w
+            own.add(t)
         n_words = text.count(" ") + text.count("\n") + 1
         return [float(np.log1p(total)), total / (n_words**0.5), float(np.log1p(len(own))), float(np.log(n_words))]
 
@@ -136,16 +161,21 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(b[0] + (features - mean) / std @ b[1:], -30, 30)))
 
 
-def chosen(counts: list, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Weights of the entries: no term that says the same as a longer one, best first."""
-    by = {r.term: (r.toxic, r.clean) for r in counts}
-    extended = {(t[:-1], by[t]) for t in by}
-    good = []
-    for t, (a, b) in by.items():
-        w = float(np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1)))
-        if a >= LEAST_DOCS and w >= LEAST_WEIGHT and (t, (a, b)) not in extended:
-            good.append((w * a**0.5, t, w))
-    return {t: w for _, t, w in sorted(good, reverse=True)[:LEXICON]}
+def log_odds(n_toxic: int, n_clean: int) -> Column:
+    return F.log((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n_clean + 1.0))
+
+
+def entries(counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Weights of the entries: terms with the least documents and log-odds, but none that says the same as a longer one."""
+    rows = counts.withColumn("w", log_odds(n_toxic, n_clean)).where((F.col("toxic") >= LEAST_DOCS) & (F.col("w") >= LEAST_WEIGHT)).collect()
+    extended = {(r.term[: min(len(r.term) - 1, LONGEST)], r.toxic, r.clean) for r in rows}
+    return {r.term: r.w for r in rows if (r.term, r.toxic, r.clean) not in extended}
+
+
+def exceptions(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[str, ...]:
+    """Phrases of clean documents."""
+    rows = counts.where((F.col("clean") >= LEAST_DOCS) & (log_odds(n_toxic, n_clean) <= -LEAST_WEIGHT)).collect()
+    return tuple(sorted(r.term for r in rows))
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,13 +208,13 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sample = docs.select(doc_id, text).join(F.broadcast(known), doc_id).select(text, F.col("_y").alias("_y"), F.pmod(F.xxhash64(doc_id, F.lit(11)), F.lit(folds)).alias("_fold")).persist()
     sizes = {(r._fold, r.y): r.n for r in sample.groupBy("_fold", (F.col("_y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
 
-    def weights(part: DataFrame, of: list[int]) -> dict[str, float]:
-        rows = term_counts(part, text, "_y").where((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") * 4 > F.col("clean")))
-        total = lambda y: sum(sizes.get((f, y), 0) for f in of)
-        # Only the best terms by this simple bound go to the driver.
-        return chosen(rows.orderBy(F.desc("toxic"), "term").limit(25 * LEXICON).collect(), total(1), total(0))
+    def lexicon(part: DataFrame, of: list[int]) -> Lexicon:
+        n = [sum(sizes.get((f, y), 0) for f in of) for y in (1, 0)]
+        plain = Lexicon(entries(term_counts(part, text, "_y"), *n))
+        plainly = send(spark, plain)
+        return Lexicon(plain.weights, (*EXCEPTIONS, *exceptions(term_counts(part, text, "_y", lambda: plainly().phrases), *n)))
 
-    half = Lexicon(weights(sample.where("_fold = 0"), [0]))
+    half = lexicon(sample.where("_fold = 0"), [0])
     sent = send(spark, half)
     rest = sample.where("_fold > 0")
 
@@ -193,7 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return lambda raws: [[mine.features(x.decode()) for x in raws]]
 
     got = add_columns(rest, text, "_f array<double>", start).select("_y", "_f").collect()
-    out = Lexicon(weights(sample, list(range(folds))))
+    out = lexicon(sample, list(range(folds)))
     y = np.array([r._y > 0 for r in got], float)
     if 0 < y.sum() < len(y):
         out.curve = fitted(np.array([r._f for r in got]), y)

@@ -89,3 +89,38 @@ def test_features_equal_a_plain_search():
     lexicon = op.Lexicon({"clown": 3.0, "scum": 2.0})
     assert lexicon.features("a clown fish and pond scum")[0] == 0 < lexicon.features("a clown and scum")[0]
 
+
+def test_learning_equals_plain_counts(spark):
+    """Entries, weights and exceptions of a small corpus, counted without Spark; words of any length, no bound on entries."""
+    texts, labels = corpus(300)
+    long = "unbelievable" + "x" * 40
+    texts = [t + (f" {long}s idiot" if y else f" {long} garden") + (" idiot river" if i % 3 == 1 and not y else "") for i, (t, (_, y)) in enumerate(zip(texts, labels, strict=True))]
+    got = op.learn(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    y = [b for _, b in labels]
+
+    def counted(of):
+        held = [of(t) for t in texts]
+        each = {t: (sum(t in h for h, b in zip(held, y, strict=True) if b), sum(t in h for h, b in zip(held, y, strict=True) if not b)) for t in set().union(*held)}
+        return each, {t: math.log((a + 0.5) / (sum(y) + 1)) - math.log((b + 0.5) / (len(y) - sum(y) + 1)) for t, (a, b) in each.items()}
+
+    n, w = counted(op.terms)
+    good = {t for t in n if n[t][0] >= op.LEAST_DOCS and w[t] >= op.LEAST_WEIGHT}
+    want = {t: w[t] for t in good if not any(n[u] == n[t] and len(u) > len(t) and (u[:-1] == t or len(u) > op.LONGEST and u[: op.LONGEST] == t) for u in good)}
+    assert long + "s" in want
+    n, w = counted(op.Lexicon(want).phrases)
+    silent = {t for t in n if n[t][1] >= op.LEAST_DOCS and w[t] <= -op.LEAST_WEIGHT}
+    assert {t for t, x in got.weights.items() if x == 0} == silent | {op.fold(x) for x in op.EXCEPTIONS}
+    assert {t for t, x in got.weights.items() if x} == want.keys() and all(abs(got.weights[t] - x) < 1e-9 for t, x in want.items())
+
+
+def test_phrases_of_clean_documents_are_exceptions(spark):
+    texts = ["you moron go away", "what a moron you are"] * 40 + ["the velvet moron grows in the garden"] * 20 + ["nothing of the kind"] * 200
+    labels = [(i, int(i < 80)) for i in range(len(texts))]
+    lexicon = op.learn(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert lexicon.weights["velvet moron"] == lexicon.weights["moron grows"] == 0 and "a moron" not in lexicon.weights
+    assert lexicon.features("a velvet moron")[0] == 0 < lexicon.features("a moron")[0]
+
+
+def test_masked_words_of_any_length():
+    assert op.fold("1d10t" + "y" * 40 + "1d10t") == "idiot" + "y" * 40 + "idiot" and op.fold("m0r0n99") == "moron99"
+    assert op.fold("a2f4c9") == "a2f4c9"
