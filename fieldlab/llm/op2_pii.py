@@ -4,7 +4,8 @@ Entities are found by one pattern over the whole text. Each has a kind and a nor
 matter: case of addresses, separators and + or 00 of numbers). The norm gets a core by a keyed permutation of
 all norms of the same format: characters are permuted within their script, case and class (vowels stay
 vowels), so different norms of a format have different cores by construction. Card numbers keep their first
-digit and whether the check digit is right, phones what precedes their last ten digits, secrets their prefix;
+digit and whether the check digit is right, IBANs their country and whether the check digits are right, phones
+what precedes their last ten digits, secrets their prefix;
 domains keep their script and end in a reserved one. People are told by the gender of their title, their given
 and their family name: the family name has one surrogate, the given name another with an ending of the same
 gender. The core is written out in the entity's own format and case.
@@ -15,11 +16,14 @@ each attempt makes the core one character longer, so there is always room. So th
 surrogate in every document, and different ones different surrogates.
 
 Phones are written with or without a country code in groups of 3, 3 and 4, with + or 00 and groups of any
-usual length, or with a leading 0 (five pairs, or an area code and 6 to 8 digits).
+usual length, with a leading 0 (five pairs, or an area code and 6 to 8 digits), or as 11 digits from 13 to 19 on.
+Four years in a row are no card, what follows the word version no address, what follows commit, checksum or the
+name of a hash no secret.
 
 Texts without entities pass by narrowly. For the others the dictionary is joined to the distinct (text,
-entity) pairs, and each text gets its own surrogates back; joins are by hash of the whole text, and the
-dictionary has each norm once, so hot entities and copies only make one side of a join long.
+entity) pairs, and each text gets its own surrogates back; joins are by hash of the whole text. The
+dictionary has each norm once, and so has each text its surrogates, so hot entities and copies only make one side
+of a join long, which Spark splits.
 
 Null text stays null; an empty text is empty. The noncharacter U+FDD0 in a text becomes U+FFFD. Repeated
 rows are treated alike. A column named n_entities is replaced; others pass through. No pattern looks back over
@@ -47,13 +51,15 @@ TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mr
 NAME_PART = r"\p{Lu}[\p{Ll}'’-]+"
 PATTERNS = [
     r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+){0,126}\.\p{L}{2,}",
-    r"(?<![0-9A-Za-z])(?:(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])",
-    r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
+    r"(?<![0-9A-Za-z])(?:(?<!(?i:sha-?1|sha-?256|sha-?512|md5|commit|checksum|digest)[ :=-]{1,3})(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])",
+    r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?=(?:[ A-Z]{0,6}[0-9]){8})(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?(?![0-9A-Za-z])",
+    r"(?<![0-9.])(?<!(?i:version)[ :]{1,2}|(?<![0-9A-Za-z])[vV])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     r"(?<![0-9+])\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     r"(?<![0-9+]|[0-9][.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     r"(?<![0-9+]|[0-9][.,-])(?:\+|00)(?=(?:[ ./()-]{0,3}[0-9]){7})[1-9][0-9]{0,2}(?:[ ./-]?\(?[0-9]{1,5}\)?)?(?:[ ./-]?[0-9]{2,4}){2,5}(?![0-9])",
     r"(?<![0-9+]|[0-9][.-])(?:0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})|\(?0[1-9][0-9]{1,3}\)?[ /-][0-9]{6,8})(?![0-9])",
-    r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    r"(?<![0-9+])1[3-9][0-9]{9}(?![0-9])",
+    r"(?<![0-9])(?!(?:(?:19|20)[0-9]{2}[ -]){3}(?:19|20)[0-9]{2}(?![0-9]))[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     r"(?<!\p{L})(?:" + "|".join(TITLES) + r")\.? " + NAME_PART + "(?: " + NAME_PART + ")?",
 ]
@@ -77,6 +83,7 @@ def kind(entity: Column) -> Column:
         .when(entity.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip")
         .when(entity.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(entity.rlike(r"^(?:[0-9a-fA-F]{32,128}|AKIA.*|gh[pousr]_.*|sk-.*)$"), "secret")
+        .when(entity.rlike(r"^[A-Z]{2}[0-9]{2} ?[0-9A-Z]{4}"), "iban")
         .when(entity.rlike(r"^[1-9]([ -]?[0-9]){12,18}$"), "card")
         .when(entity.rlike(r"^[+(0-9]"), "phone")
         .otherwise("name")
@@ -98,7 +105,7 @@ def norms(entity: Column, of: Column) -> Column:
     person = F.when(F.size(words) > 2, F.concat(family, one(F.concat(F.lit("given-"), gender(entity)), F.element_at(words, 2)))).otherwise(family)
     address = F.concat_ws(".", F.transform(F.split(entity, r"\."), lambda x: x.cast("int").cast("string")))
     hexes = F.when(entity.rlike("^[0-9a-fA-F]+$"), F.lower(entity)).otherwise(entity)
-    name = F.when(of == "phone", F.regexp_replace(digits_of(entity), "^00", "")).when(of.isin("card", "ssn"), digits_of(entity)).when(of == "email", F.lower(entity)).when(of == "ip", address).when(of == "secret", hexes).otherwise(entity)
+    name = F.when(of == "phone", F.regexp_replace(digits_of(entity), "^00", "")).when(of.isin("card", "ssn"), digits_of(entity)).when(of == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(of == "email", F.lower(entity)).when(of == "ip", address).when(of == "secret", hexes).otherwise(entity)
     return F.when(of == "name", person).otherwise(one(of, name))
 
 
@@ -138,6 +145,12 @@ def check_digit(digits: str) -> str:
     return f"pmod(-aggregate({each}, 0, (a, x) -> CAST(a + x AS INT)), 10)"
 
 
+def iban_digits(country: str, account: str) -> str:
+    """SQL for the two check digits of an IBAN."""
+    each = f"transform(split(concat({account}, {country}, '00'), ''), c -> if(c BETWEEN '0' AND '9', named_struct('v', CAST(c AS INT), 'm', 10), named_struct('v', ascii(c) - 55, 'm', 100)))"
+    return f"lpad(CAST(98 - aggregate({each}, 0, (a, x) -> CAST((a * x.m + x.v) % 97 AS INT)) AS STRING), 2, '0')"
+
+
 def core() -> str:
     """SQL for the surrogate of a norm, from columns kind, norm and attempt."""
     key, more = ("kind", "CAST(attempt AS STRING)"), f"greatest(attempt - {SAME - 1}, 0)"
@@ -150,6 +163,8 @@ def core() -> str:
     head = "substring(norm, 1, 1)"
     body = f"concat({head}, {permuted(longer('substring(norm, 2, char_length(norm) - 2)', repr('0')), *key, head)})"
     card = f"transform(array({body}), b -> concat(b, CAST(pmod({check_digit('b')} + CAST(right(norm, 1) AS INT) - {check_digit('left(norm, char_length(norm) - 1)')}, 10) AS STRING)))[0]"
+    country, checks, account = "left(norm, 2)", "substring(norm, 3, 2)", "substring(norm, 5)"
+    iban = f"transform(array({permuted(longer(account, repr('0')), *key, country)}), b -> concat({country}, if({checks} = {iban_digits(country, account)}, {iban_digits(country, 'b')}, {permuted(checks, *key, country)}), b))[0]"
     kept = "greatest(char_length(norm) - 10, char_length(regexp_extract(norm, '^0*', 0)))"
     phone = f"concat(left(norm, {kept}), {permuted(longer(f'substring(norm, {kept} + 1)', repr('0')), *key, f'left(norm, {kept})')})"
     octets = "transform(split(norm, '[.]'), x -> named_struct('v', CAST(x AS INT), 'size', 256))"
@@ -160,7 +175,7 @@ def core() -> str:
     own = "coalesce(nullif(regexp_extract(norm, '[а-яё]|[α-ω]', 0), ''), 'a')"
     person = permuted(longer("norm", own), *key)
     ending = "CASE kind " + " ".join(f"WHEN 'given-{g}' THEN element_at(array({', '.join(map(repr, endings))}), char_length(norm) % {len(endings)} + 1)" for g, endings in ENDINGS.items()) + " ELSE '' END"
-    cases = {"email": email, "card": card, "phone": phone, "ip": ip, "secret": secret, "ssn": permuted(longer("norm", repr("0")), *key)}
+    cases = {"email": email, "card": card, "iban": iban, "phone": phone, "ip": ip, "secret": secret, "ssn": permuted(longer("norm", repr("0")), *key)}
     return "CASE kind " + " ".join(f"WHEN '{k}' THEN {sql}" for k, sql in cases.items()) + f" ELSE concat({person}, {ending}) END"
 
 
@@ -169,14 +184,15 @@ def written(entity: Column, of: Column, surrogate: Column, given: Column) -> Col
     words = F.split(entity, " ")
     name = F.concat_ws(" ", F.element_at(words, 1), given, surrogate)
     surrogate = F.when((of == "phone") & digits_of(entity).startswith("00"), F.concat(F.lit("00"), surrogate)).otherwise(surrogate)
-    place = lambda i: F.char_length(digits_of(F.substring(entity, F.lit(1), i + 1)))
-    digits = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(surrogate, place(i), F.lit(1))).otherwise(c)), "")
-    digits = F.concat(digits, F.substring(surrogate, F.char_length(digits_of(entity)) + 1, F.char_length(surrogate)))
+    kept = F.when(of == "iban", F.replace(entity, F.lit(" "), F.lit(""))).otherwise(digits_of(entity))
+    place = lambda i: F.char_length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9A-Z]", ""))
+    digits = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("^[0-9A-Z]$"), F.substring(surrogate, place(i), F.lit(1))).otherwise(c)), "")
+    digits = F.concat(digits, F.substring(surrogate, F.char_length(kept) + 1, F.char_length(surrogate)))
     end = F.when(of == "email", F.char_length(F.regexp_extract(entity, r"\.\p{L}+$", 0))).otherwise(0)
     like = F.split(F.substring(entity, F.lit(1), F.char_length(entity) - end), "")
     each = F.array_join(F.transform(F.split(surrogate, ""), lambda c, i: F.when(F.get(like, i).rlike(r"^\p{Lu}$"), F.upper(c)).otherwise(c)), "")
     cased = F.when(entity == F.upper(entity), F.upper(surrogate)).when(entity == F.lower(entity), surrogate).otherwise(each)
-    return F.when(of.isin("phone", "card", "ssn"), digits).when((of == "email") | entity.rlike("^[0-9a-fA-F]+$"), cased).when(of == "name", name).otherwise(surrogate)
+    return F.when(of.isin("phone", "card", "iban", "ssn"), digits).when((of == "email") | entity.rlike("^[0-9a-fA-F]+$"), cased).when(of == "name", name).otherwise(surrogate)
 
 
 def dictionary(names: DataFrame) -> DataFrame:
@@ -213,7 +229,8 @@ def surrogates(docs: DataFrame, text: str = "text") -> DataFrame:
     given = F.col("kind").startswith("given-")
     told = pairs.join(dictionary(pairs), ["kind", "norm"]).groupBy("_h", "entity", "of").agg(F.max(F.when(~given, F.col("core"))).alias("core"), F.max(F.when(given, F.col("core"))).alias("given"))
     told = told.select("_h", "entity", written(F.col("entity"), F.col("of"), F.col("core"), F.col("given")).alias("surrogate"))
-    own = told.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_map"))
+    # Written out, so that the join below is of two plain shuffles: Spark splits the rows of a text of many copies.
+    own = cut(told.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_map")))
     new = F.array_join(F.transform("_parts", lambda x, i: F.when(i % 2 == 1, F.element_at(F.col("_map"), x)).otherwise(x)), "")
     return plain.unionByName(found.join(own, "_h").select(*out(new, (F.size("_parts") - 1) / 2)))
 

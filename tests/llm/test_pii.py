@@ -139,3 +139,34 @@ def test_local_and_european_phones(spark):
 def test_clashing_columns(spark):
     got = op.surrogates(docs(spark, ["a@b.com", "plain"], _h=1, _parts=2, _own=3, _map=4, entity=5, core=6)).collect()
     assert {(r._h, r._parts, r._own, r._map, r.entity, r.core) for r in got} == {(1, 2, 3, 4, 5, 6)} and sum(r.n_entities for r in got) == 1
+
+
+def iban_valid(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_ibans(spark):
+    texts = ["IBAN DE89370400440532013000 or DE89 3704 0044 0532 0130 00.", "GB82 WEST 1234 5698 7654 32", "wrong: DE00370400440532013000", "US20 THIS MUST STAY HERE"]
+    got = [r.text for r in op.surrogates(docs(spark, texts)).orderBy("doc_id").collect()]
+    a, b = re.fullmatch(r"IBAN (DE\d{20}) or (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d)\.", got[0]).groups()
+    assert a == b.replace(" ", "") != "DE89370400440532013000" and iban_valid(a) and iban_valid("GB82 WEST 1234 5698 7654 32")
+    assert re.fullmatch(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", got[1]) and iban_valid(got[1]) and "WEST" not in got[1]
+    assert re.fullmatch(r"wrong: DE\d{20}", got[2]) and got[2] != texts[2] and got[3] == texts[3]
+    many = [f"DE89{i:018d}" for i in range(10_000_000, 10_000_300)]
+    assert len({r.text for r in op.surrogates(docs(spark, many)).collect()} - set(many)) == 300
+
+
+def test_what_only_looks_like_an_entity(spark):
+    stay = ["In 2019 2020 2021 2022 it rained", "version 1.2.3.4 and v10.20.30.40", "commit " + "0a1b" * 10, "SHA-256: " + "0a1b" * 16]
+    go = ["call 13812345678 now", "host 1.2.3.4", "key " + "0a1b" * 10, "2019 2020 2021 2022 2"]
+    got = [r.text for r in op.surrogates(docs(spark, stay + go)).orderBy("doc_id").collect()]
+    assert got[:4] == stay and re.fullmatch(r"call 1\d{10} now", got[4]) and not any(a == b for a, b in zip(got[4:7], go, strict=False))
+
+
+def test_copies_of_a_text_can_be_split(spark):
+    """The join that gives texts their surrogates back has a shuffle, not an aggregate, on both sides."""
+    rows = op.surrogates(docs(spark, ["Mr Smith"] * 500 + ["Mrs Jones, a@b.org"] * 3))
+    assert rows.groupBy("text").count().count() == 2
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
