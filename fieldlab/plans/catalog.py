@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlab.functions import scalar, stats
-from fieldlab.model import from_slab, to_series, to_slab
+from fieldlab.model import from_slab, normalise, to_series, to_slab
 from fieldlab.operators import calculus, climate, elliptic, forcing, joins, modes, reduce, regrid, select, spatial, spectral, window
 from fieldlab.plans.proxies import CUBE, DAILY, GRID, MONTHLY, SALES, YEARLY, daily_series, level_cube, monthly_cube, price_grid, sales_cube, samples, table, yearly_cube
-from fieldlab.sources import files, netcdf, pieces
+from fieldlab.sources import files, netcdf, pieces, shapefile, vectors
 from fieldlab.streaming import windows
 
 QUERIES: dict = {}
@@ -719,6 +719,57 @@ def npy_vector(spark, d):
     return rounded(files.read_npy(spark, path), 4, "value").select("at", "value")
 
 
+@query(f"""WITH {CUBE}, placed AS (SELECT *, CAST(dense_rank() OVER (ORDER BY time) - 1 AS INT) AS step FROM cube)
+SELECT step AS time, CAST(lev AS DOUBLE) AS lev, lat, lon, round(CAST(CAST(t AS REAL) AS DOUBLE), 2) AS t FROM placed WHERE step >= 12 AND lev BETWEEN 2 AND 4""")
+def grads_scan(spark, d):
+    """The cube with levels, written as a GrADS binary; some times and levels of one variable are read."""
+    path = files.shared_folder(spark)
+    ctl = files.write_grads(level_cube(spark, d), path, ["t", "u"], start="00z01jan1992", every="1mo")
+    cells = files.read_grads(spark, path, ctl).where("time >= 12 AND variable = 't' AND lev BETWEEN 2 AND 4 AND value IS NOT NULL")
+    return rounded(cells.withColumnRenamed("value", "t"), 2, "t").select("time", "lev", "lat", "lon", "t")
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY c_nationkey) AS INT) AS geom_id, round((max(c_custkey) - min(c_custkey)) * (max(c_acctbal) - min(c_acctbal)), 2) AS area FROM customer GROUP BY c_nationkey""")
+def shapefile_areas(spark, d):
+    """Boxes of the customers of each nation, written as a shapefile; their areas from the edges of what is read."""
+    path = files.shared_folder(spark)
+    span = table(spark, d, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("x1"), F.max("c_custkey").alias("x2"), F.min("c_acctbal").alias("y1"), F.max("c_acctbal").alias("y2"))
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    boxes = span.select(F.col("c_nationkey").alias("geom_id"), F.lit(0).alias("ring_id"), F.array(corner("x1", "y1"), corner("x1", "y2"), corner("x2", "y2"), corner("x2", "y1")).alias("vertices"))
+    shapefile.write_shapefile(boxes, path)
+    edges = spatial.edge_table(files.read_shapefile(spark, path))
+    return rounded(edges.groupBy("geom_id").agg(F.abs(F.sum((F.col("x1") + F.col("x2")) / 2 * (F.col("y2") - F.col("y1")))).alias("area")), 2, "area")
+
+
+@query(f"""WITH {GRID}, waves AS (SELECT j % 5 AS m, j // 5 % 4 AS l, j // 20 % 2 AS row, i AS k, 1 + (j // 40 + 2) % 3 AS block, f AS coef FROM grid)
+SELECT row_number() OVER (ORDER BY m, block, l, row, k) - 1 AS "at", round(coef, 4) AS value FROM waves""")
+def raw_dump(spark, d):
+    """Packed coefficients, written as one raw file and read by ranges."""
+    path = files.shared_folder(spark)
+    spectral.dump(spectral.packed(coefficients(spark, d), ["vor", "div", "t"]), path)
+    return rounded(vectors.scan(spark, path, "<f8"), 4, "value").select("at", "value")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(CAST(month(o_orderdate) <= 6 AS INT) AS VARCHAR) AS half FROM orders")
+def delimited_records(spark, d):
+    """Orders, appended as delimited text by halves of the year and read again."""
+    path = files.shared_folder(spark)
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), (F.month("o_orderdate") <= 6).cast("int").alias("half"))
+    for half in (0, 1):
+        files.append_records(rows.where(F.col("half") == half), path)
+    return files.read_records(spark, path, rows.columns)
+
+
+@query(f"WITH {SALES} SELECT CAST(year(time) AS INT) AS year, CAST(time AS VARCHAR) AS time, lat, lon, round(x, 4) AS x FROM sales WHERE year(time) IN (1993, 1995)")
+def cached_cube(spark, d):
+    """The sales cube, computed once and kept by years; the second call reads what the first has written."""
+    path = files.shared_folder(spark)
+    named = lambda: normalise(sales_cube(spark, d).withColumnRenamed("time", "valid_time"), {"valid_time": "time"}).withColumn("year", F.year("time"))
+    files.write_cube(files.cached(spark, f"{path}/cube", named), f"{path}/years")
+    cube = files.read_cube(spark, f"{path}/years", "x", dims=("year", "time", "lat", "lon")).where("year IN (1993, 1995)")
+    return texted(rounded(cube, 4, "x"), "time").select("year", "time", "lat", "lon", "x")
+
+
 # --- streams -----------------------------------------------------------------------------------------------
 
 

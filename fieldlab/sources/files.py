@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
-from fieldlab.sources import netcdf
+from fieldlab.sources import netcdf, pieces, vectors
 
 SEPARATOR = "◇"
 
@@ -103,8 +103,15 @@ def read_netcdf(spark: SparkSession, path: str, *variables: str, dims: tuple[str
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(path, at, value) of vectors saved as npy."""
+    """(path, at, value) of arrays saved as npy, read by ranges; files in a store that only Spark can open are read whole."""
+    try:
+        netcdf.located(path)
+    except (OSError, ValueError):
+        return read_npy_whole(spark, path)
+    return vectors.scan(spark, path)
+
 
+def read_npy_whole(spark: SparkSession, path: str) -> DataFrame:
     def run(frames):
         import pandas as pd
 
@@ -113,7 +120,8 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
                 v = np.load(io.BytesIO(bytes(content)), allow_pickle=False).ravel().astype(float)
                 yield pd.DataFrame({"path": p, "at": np.arange(len(v)), "value": v})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, at long, value double")
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, at long, value double")
+    return rows.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 def grads_header(text: str) -> dict:
@@ -209,6 +217,35 @@ class GradsReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(same + number // len(self.layers)), pa.array(same + lev), pa.array(lat), pa.array(lon), pa.array([name]).take(pa.array(same)), pa.array(value, mask=empty)], ["time", "lev", "lat", "lon", "variable", "value"])
 
 
+def write_grads(df: DataFrame, path: str, variables: list[str], levels: bool = True, undef: float = -9.99e8, start: str = "00z01jan2000", every: str = "1dy") -> str:
+    """A cube of one row for each cell (time, lev if it has levels, lat, lon) as one GrADS binary; its descriptor.
+
+    Tasks write whole times at their offsets. Only the labels of the axes come to the driver. Cells without a row are
+    undefined, rows with a null label aren't written, of several rows for a cell one is. The descriptor counts times
+    from `start` by `every`, as the format has only even ones.
+    """
+    dims = ["time", *(["lev"] if levels else []), "lat", "lon"]
+    rows = df.select("time", *[F.col(c).cast("double").alias(c) for c in (*dims[1:], *variables)]).dropna(subset=dims)
+    times = sorted(r[0] for r in rows.select("time").distinct().collect())
+    axes = {d: np.array(sorted(r[0] for r in rows.select(d).distinct().collect()), float) for d in dims[1:]} | {"time": np.arange(len(times))}
+    size = 4 * len(variables) * int(np.prod([len(axes[d]) for d in dims[1:]], dtype=int))
+    places = df.sparkSession.createDataFrame([(t, i) for i, t in enumerate(times)], f"time {dict(df.dtypes)['time']}, _step int")
+    run = max(1, netcdf.PARTITION_BYTES // max(1, size))
+    dealt = rows.join(places, "time").withColumn("_run", F.expr(f"_step DIV {run}")).repartition("_run").sortWithinPartitions("_run", "_step").drop("time")
+
+    def records(batches):
+        import pyarrow as pa
+
+        for step, data in netcdf.dense_steps(batches, dims, axes, variables, undef):
+            yield pa.RecordBatch.from_pylist([{"file": "", "at": step * size, "content": b"".join(x.astype(">f4").tobytes() for x in data)}], pieces.ARROW)
+
+    pieces.write(dealt.mapInArrow(records, pieces.SCHEMA), path, {"": b""}, {"": len(times) * size})
+    listed = lambda name, labels: f"{name} {len(labels)} LEVELS {' '.join(map(repr, map(float, labels)))}"
+    own = [f"{v} {len(axes['lev']) if levels else 0} 99 {v}" for v in variables]
+    lines = [f"DSET ^{os.path.basename(path)}", f"UNDEF {undef!r}", "OPTIONS big_endian", listed("XDEF", axes["lon"]), listed("YDEF", axes["lat"]), listed("ZDEF", axes["lev"] if levels else [0.0]), f"TDEF {len(times)} LINEAR {start} {every}"]
+    return "\n".join([*lines, f"VARS {len(variables)}", *own, "ENDVARS"])
+
+
 def shapes(content: bytes):
     """(number, rings) of the polygon records of an ESRI shapefile."""
     at = 100
@@ -226,7 +263,7 @@ def shapes(content: bytes):
 
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """(geom_id, ring_id, vertices) of polygons."""
+    """(geom_id, ring_id, vertices) of the polygons of a file, or of the .shp files of a folder; ids count a file's records."""
 
     def run(frames):
         import pandas as pd
@@ -236,7 +273,7 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(g, i, [{"x": float(x), "y": float(y)} for x, y in r]) for g, rings in shapes(bytes(content)) for i, r in enumerate(rings)]
                 yield pd.DataFrame(rows, columns=["geom_id", "ring_id", "vertices"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "geom_id int, ring_id int, vertices array<struct<x:double,y:double>>")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[sS][hH][pP]").load(path).select("content").mapInPandas(run, "geom_id int, ring_id int, vertices array<struct<x:double,y:double>>")
 
 
 def read_records(spark: SparkSession, path: str, names: list[str]) -> DataFrame:

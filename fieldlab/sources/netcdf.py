@@ -388,6 +388,27 @@ def header(axes: dict[str, np.ndarray], units: dict[str, str], names: list[str],
     return build(begins) + fixed, 8 * (1 + cells * len(names)), cells
 
 
+def dense_steps(batches: Iterator[pa.RecordBatch], dims: list[str], axes: dict[str, np.ndarray], variables: list[str], fill: float) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(step, one field for each variable) of rows in the order of _step; places without a value have the fill."""
+    now, data, cells = None, [], int(np.prod([len(axes[d]) for d in dims[1:]], dtype=int))
+    for batch in batches:
+        steps_of = batch.column("_step").to_numpy()
+        inner = [np.searchsorted(axes[d], batch.column(d).to_numpy()) for d in dims[1:]]
+        place = np.ravel_multi_index(inner, [len(axes[d]) for d in dims[1:]]) if inner else np.zeros(len(steps_of), int)
+        values = [batch.column(v).to_numpy(zero_copy_only=False) for v in variables]
+        for part in np.split(np.arange(len(steps_of)), np.flatnonzero(np.diff(steps_of)) + 1):
+            if not len(part):
+                continue
+            if steps_of[part[0]] != now:
+                if now is not None:
+                    yield now, data
+                now, data = int(steps_of[part[0]]), [np.full(cells, fill) for _ in variables]
+            for own, v in zip(data, values, strict=True):
+                own[place[part]] = np.where(np.isnan(v[part].astype(float)), fill, v[part].astype(float))
+    if now is not None:
+        yield now, data
+
+
 def write_netcdf(df: DataFrame, path: str, dims: list[str], variables: list[str], steps: int | None = None, single: bool = False) -> None:
     """A cube of one row for each cell as NetCDF, by records of its first dimension; cells without a row are missing.
 
@@ -401,7 +422,7 @@ def write_netcdf(df: DataFrame, path: str, dims: list[str], variables: list[str]
     label = lambda d: (F.unix_micros(F.col(d).cast("timestamp")) / 1e6 if d in units else F.col(d)).cast("double").alias(d)
     rows = df.select(*[label(d) for d in dims], *[F.col(v).cast("double").alias(v) for v in variables]).dropna(subset=dims)
     axes = {d: np.array(sorted(r[0] for r in rows.select(d).distinct().collect()), float) for d in dims}
-    _, size, cells = header(axes, units, variables, 0)
+    size = header(axes, units, variables, 0)[1]
     n = len(axes[dims[0]])
     per = n if single else steps or max(1, PARTITION_BYTES // size)
     # Work is dealt out by runs of steps; in a single file a run is what a task writes at once.
@@ -410,30 +431,10 @@ def write_netcdf(df: DataFrame, path: str, dims: list[str], variables: list[str]
     dealt = rows.join(places, dims[0]).repartition("_run").sortWithinPartitions("_run", "_step")
 
     def records(batches):
-        now, label, data = None, None, None
-
-        def finished():
-            body = b"".join(np.asarray(x, ">f8").tobytes() for x in (np.array([label]), *data))
-            start = len(header(axes, units, variables, min(per, n - now // per * per))[0])
-            return {"file": "" if single else f"part-{now // per:05d}.nc", "at": start + now % per * size, "content": body}
-
-        for batch in batches:
-            steps_of = batch.column("_step").to_numpy()
-            inner = [np.searchsorted(axes[d], batch.column(d).to_numpy()) for d in dims[1:]]
-            place = np.ravel_multi_index(inner, [len(axes[d]) for d in dims[1:]]) if inner else np.zeros(len(steps_of), int)
-            values = [batch.column(v).to_numpy(zero_copy_only=False) for v in variables]
-            for part in np.split(np.arange(len(steps_of)), np.flatnonzero(np.diff(steps_of)) + 1):
-                if not len(part):
-                    continue
-                if steps_of[part[0]] != now:
-                    if now is not None:
-                        yield finished()
-                    now, label = int(steps_of[part[0]]), axes[dims[0]][steps_of[part[0]]]
-                    data = [np.full(cells, FILLS[6]) for _ in variables]
-                for own, v in zip(data, values, strict=True):
-                    own[place[part]] = np.where(np.isnan(v[part].astype(float)), FILLS[6], v[part].astype(float))
-        if now is not None:
-            yield finished()
+        for step, data in dense_steps(batches, dims, axes, variables, FILLS[6]):
+            body = b"".join(np.asarray(x, ">f8").tobytes() for x in (axes[dims[0]][step : step + 1], *data))
+            start = len(header(axes, units, variables, min(per, n - step // per * per))[0])
+            yield {"file": "" if single else f"part-{step // per:05d}.nc", "at": start + step % per * size, "content": body}
 
     def run_batches(batches):
         for r in records(batches):

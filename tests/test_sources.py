@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlab.sources import files, netcdf, pieces
+from fieldlab.sources import files, netcdf, pieces, shapefile, vectors
 from fieldlab.streaming import windows
 
 
@@ -180,3 +180,69 @@ def test_grads_reads_by_fields(spark, tmp_path):
     assert rows.rdd.getNumPartitions() == 6 and rows.count() == 36 and rows.where("value IS NULL").count() == 1
     some = rows.where("variable = 't' AND lev = 200.0 AND time >= 1")
     assert some.rdd.getNumPartitions() == 1 and [r.value for r in some.orderBy("lat", "lon").collect()] == [24.0, 25.0, 26.0, 27.0, 28.0, 29.0]
+
+
+def test_npy_is_read_by_ranges(spark, tmp_path):
+    """Arrays of several dimensions, also stored by columns, count in the order of rows; missing is NULL."""
+    a = np.arange(24, dtype=">f4").reshape(2, 3, 4)
+    a[1, 2, 3] = np.nan
+    np.save(tmp_path / "rows.npy", a)
+    np.save(tmp_path / "columns.npy", np.asfortranarray(a))
+    np.save(tmp_path / "none.npy", np.array([], "<i2"))
+    df = vectors.scan(spark, str(tmp_path), partitionBytes=20)
+    assert df.rdd.getNumPartitions() == 10
+    for name in ("rows", "columns"):
+        got = df.where(F.col("path").endswith(f"/{name}.npy")).orderBy("at").collect()
+        assert [r.at for r in got] == list(range(24)) and [r.value for r in got] == [*map(float, range(23)), None]
+    assert files.read_npy(spark, str(tmp_path / "none.npy")).count() == 0
+    np.arange(5, dtype="<i4").tofile(tmp_path / "raw.bin")
+    assert [r.value for r in vectors.scan(spark, str(tmp_path / "raw.bin"), "<i4", partitionBytes=8).orderBy("at").collect()] == [0.0, 1.0, 2.0, 3.0, 4.0]
+    with pytest.raises(Exception, match="no multiple"):
+        vectors.scan(spark, str(tmp_path / "raw.bin"), "<f8").count()
+    with pytest.raises(Exception, match="no npy file"):
+        vectors.scan(spark, str(tmp_path / "raw.bin")).count()
+    np.save(tmp_path / "text.npy", np.array(["a"]))
+    with pytest.raises(Exception, match="not numbers"):
+        vectors.scan(spark, str(tmp_path / "text.npy")).count()
+
+
+def rings_of(n):
+    """n polygons; every third one has a hole, and ids aren't dense."""
+    box = lambda x, y, s: [(x, y), (x, y + s), (x + s, y + s), (x + s, y)]
+    return {3 * i + 5: [box(i * 1.0, -i * 0.5, 2.0), *([box(i + 0.5, 0.5 - i * 0.5, 0.25)[::-1]] if i % 3 == 0 else [])] for i in range(n)}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2500])
+def test_shapefile_round_trip(spark, tmp_path, n):
+    want = rings_of(n)
+    rows = [(g, i, r) for g, rings in want.items() for i, r in enumerate(rings)] + [(None, 0, [(0.0, 0.0)]), (1, 0, [])]
+    df = spark.createDataFrame(rows, "geom_id int, ring_id int, vertices array<struct<x:double,y:double>>").repartition(7)
+    assert shapefile.write_shapefile(df, str(tmp_path / "out"), "p") == n
+    got = {}
+    for r in files.read_shapefile(spark, str(tmp_path / "out")).orderBy("geom_id", "ring_id").collect():
+        got.setdefault(r.geom_id, []).append([(v.x, v.y) for v in r.vertices])
+    assert got == {i + 1: rings for i, rings in enumerate(want.values())}
+    shp, shx, dbf = ((tmp_path / "out" / f"p.{k}").read_bytes() for k in ("shp", "shx", "dbf"))
+    for content in (shp, shx):
+        assert struct.unpack(">i", content[:4]) == (9994,) and struct.unpack(">i", content[24:28])[0] * 2 == len(content) and struct.unpack("<2i", content[28:36]) == (1000, 5)
+    if n:
+        points = np.array([p for rings in want.values() for r in rings for p in r])
+        assert struct.unpack("<4d", shp[36:68]) == (*points.min(0), *points.max(0))
+    # The index tells where each record is, the table which id it has.
+    for i, (g, rings) in enumerate(want.items()):
+        at, words = struct.unpack(">2i", shx[100 + 8 * i : 108 + 8 * i])
+        assert struct.unpack(">2i", shp[2 * at : 2 * at + 8]) == (i + 1, words) and struct.unpack("<2i", shp[2 * at + 44 : 2 * at + 52]) == (len(rings), 5 * len(rings))
+        assert int(dbf[65 + 19 * i + 1 : 65 + 19 * (i + 1)]) == g
+    assert struct.unpack("<IHH", dbf[4:12]) == (n, 65, 19) and dbf[32:39] == b"geom_id" and dbf[64:65] == b"\r" and dbf[-1:] == b"\x1a" and len(dbf) == 66 + 19 * n
+
+
+def test_grads_round_trip(spark, tmp_path):
+    cells = [(t, lev, lat, lon, float(100 * t + lev / 100 + lat + lon / 10), None if lon == 20.0 else float(t)) for t in (3, 7, 9) for lev in (850.0, 500.0) for lat in (-5.0, 5.0) for lon in (0.0, 10.0, 20.0) if (t, lev, lat) != (7, 500.0, 5.0)]
+    df = spark.createDataFrame([*cells, (None, 1.0, 1.0, 1.0, 1.0, 1.0)], "time int, lev double, lat double, lon double, a double, b double")
+    ctl = files.write_grads(df, str(tmp_path / "x.gra"), ["a", "b"])
+    assert (tmp_path / "x.gra").stat().st_size == 3 * 2 * 2 * 2 * 3 * 4
+    got = {(r.time, r.lev, r.lat, r.lon, r.variable): r.value for r in files.read_grads(spark, str(tmp_path / "x.gra"), ctl).where("value IS NOT NULL").collect()}
+    want = {((3, 7, 9).index(t), lev, lat, lon, v): x for t, lev, lat, lon, a, b in cells for v, x in (("a", float(np.float32(a))), ("b", b)) if x is not None}
+    assert got == want
+    flat = files.write_grads(df.where("lev = 500").drop("lev"), str(tmp_path / "y.gra"), ["a"], levels=False)
+    assert files.read_grads(spark, str(tmp_path / "y.gra"), flat).where("value IS NOT NULL").count() == 15
