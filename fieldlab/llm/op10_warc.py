@@ -8,8 +8,8 @@ gives the same records.
 
 Records are built by column expressions, but for the text of a page, which is made in batches: patterns take markup
 out, the standard library decodes character references (no-break spaces become spaces). Scripts, styles and comments without an end go to the end of the page;
-quoted attributes may hold >. Reading goes through whole files and Content-Length (gzip members too), and its
-rows are sources of derivatives; writing goes through the text sink, one WARC file per partition.
+quoted attributes may hold >. Reading streams files by Content-Length (gzip members too), and its rows are
+sources of derivatives; writing goes through the text sink, one WARC file per partition.
 
 Null html is an empty payload, null url an empty URI; tabs and line breaks in a URL are left out, as browsers do.
 Repeated pages give repeated records with the same ids, which are written once. Extra columns aren't returned.
@@ -17,21 +17,30 @@ Repeated pages give repeated records with the same ids, which are written once.
 
 from __future__ import annotations
 
+import io
 import re
 import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import sha256
 from html import unescape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from fieldlab.llm.common import table
+from fieldlab.sources import netcdf
 
 VERSION = "WARC/1.1"
 #: Date of records whose source has none.
 NO_DATE = "1970-01-01T00:00:00Z"
+GZIP = b"\x1f\x8b"
+#: Bytes read or inflated at once, and about those of a batch of records.
+CHUNK, BATCH = 1 << 16, 8 << 20
 
 #: The rest of a tag; after an odd quote, up to the next >.
 TAG_END = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)"""
@@ -106,52 +115,185 @@ def write_warc(records: DataFrame, path: str, compression: str | None = None) ->
     (writer.option("compression", compression) if compression else writer).text(path)
 
 
-def parsed(data: bytes):
-    """(headers, block) of each record of a WARC file; blank lines between records are skipped."""
-    at = 0
-    while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        length = int(headers.get("content-length", 0))
-        yield headers, data[end + 4 : end + 4 + length]
-        at = end + 4 + length
+class Stream:
+    """The bytes of a file, as far as they are needed; members of a gzip file one after the other."""
 
+    def __init__(self, file):
+        self.parts, self.have = self.chunks(file), bytearray()
 
-def unzipped(data: bytes) -> bytes:
-    """All members of a gzip file, or data as it is."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
+    @staticmethod
+    def chunks(file) -> Iterator[bytes]:
+        data = file.read(max(2, CHUNK))
+        if data[:2] != GZIP:
+            while data:
+                yield data
+                data = file.read(CHUNK)
+            return
         member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out) or data
+        while data or (data := file.read(CHUNK)):
+            if member.eof:
+                data += file.read(1) if len(data) < 2 else b""
+                if data[:2] != GZIP:  # padding
+                    return
+                member = zlib.decompressobj(31)
+            yield member.decompress(data, CHUNK)
+            data = member.unused_data if member.eof else member.unconsumed_tail
+
+    def fill(self, n: int) -> bool:
+        while len(self.have) < n:
+            part = next(self.parts, None)
+            if part is None:
+                return False
+            self.have += part
+        return True
+
+    def take(self, n: int) -> bytes:
+        self.fill(n)
+        out = bytes(memoryview(self.have)[:n])
+        del self.have[:n]
+        return out
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What stands before a mark, which goes too; None if there is none."""
+        seen = 0
+        while (at := self.have.find(mark, max(0, seen - len(mark) + 1))) < 0:
+            seen = len(self.have)
+            if not self.fill(seen + 1):
+                return None
+        return self.take(at + len(mark))[:at]
+
+
+def parsed(file) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of a WARC file; blank lines between records are skipped."""
+    stream = Stream(file)
+    while True:
+        while stream.fill(2) and stream.have[:2] == b"\r\n":
+            del stream.have[:2]
+        if not stream.fill(5) or stream.have[:5] != b"WARC/" or (head := stream.until(b"\r\n\r\n")) is None:
+            return
+        headers = fields_of(head)
+        yield headers, stream.take(int(headers.get("content-length", 0)))
+
+
+def fields_of(head: bytes) -> dict[str, str]:
+    """Named fields below the first line, names in lower case; a line that begins with white space goes on with the one before."""
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+def unchunked(body: bytes) -> bytes:
+    """A body without the lengths of chunked transfer; as it is if it hasn't got them."""
+    out, at = [], 0
+    while at < len(body):
+        end = body.find(b"\r\n", at)
+        size = body[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return body
+        n = int(size, 16)
+        if not n:
+            break
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out)
+
+
+def content(head: bytes, body: bytes) -> str:
+    """A response's body as text: without chunks, gzip or deflate coding, by its charset (UTF-8 if none is known)."""
+    fields = fields_of(head)
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        body = unchunked(body)
+    for coding in reversed(fields.get("content-encoding", "").lower().split(",")):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding.strip(), ()):
+            try:
+                body = zlib.decompressobj(bits).decompress(body)
+                break
+            except zlib.error:  # stored without the coding that it names
+                continue
+    charset = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", fields.get("content-type", ""), re.I)
+    try:
+        return body.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
+NAMES = ["record_type", "record_id", "refers_to", "target_uri", "date", "payload_digest", "block_digest", "source_digest", "http_headers", "payload"]
+FIELDS = ["warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "warc-payload-digest", "warc-block-digest", "warc-source-payload-digest"]
+SCHEMA = ", ".join(f"{n} string" for n in NAMES)
+
+
+def batches(file) -> Iterator[pa.RecordBatch]:
+    """The records of a file, in batches of about BATCH bytes."""
+    rows, size = [], 0
+    for h, block in parsed(file):
+        head, cut, body = block.partition(b"\r\n\r\n") if h.get("warc-type") == "response" else (b"", b"", block)
+        own = {"warc-block-digest": sha256(block).hexdigest(), "warc-payload-digest": sha256(body).hexdigest()}
+        h = {k: f"sha256:{v}" for k, v in own.items()} | h  # of the bytes, whatever their encoding
+        rows.append([*(h.get(x) for x in FIELDS), (head + cut[:2]).decode("utf-8", "replace"), content(head, body)])
+        size += len(block)
+        if size >= BATCH:
+            yield batch_of(rows)
+            rows, size = [], 0
+    if rows:
+        yield batch_of(rows)
+
+
+def batch_of(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], NAMES)
+
+
+@dataclass
+class File(InputPartition):
+    path: str
+
+
+class Warc(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "warc"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return WarcReader(self.options["path"])
+
+
+class WarcReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[File]:
+        return [File(path) for path, _ in netcdf.files_of(self.path)]
+
+    def read(self, part: File):
+        system, inner = netcdf.located(part.path)
+        with system.open_input_file(inner) as file:
+            yield from batches(file)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files: key, record_type, record_id, refers_to, target_uri, date, http_headers, payload, payload_digest, block_digest, source_digest.
 
-    The key is the record's id. Digests are as the file has them, or made where it has none. Responses can go to
-    derivatives as they are. A file is read whole, by one task.
+    The key is the record's id. Digests are as the file has them, or made where it has none, of the bytes as they stand
+    there; the payload of a response is decoded. Responses can go to derivatives as they are. A task streams a file and
+    holds a batch of records at a time, so files may be of any size, and a record as large as a Spark string. Files are
+    not cut: a record may itself hold a WARC file, so no pattern tells safely where a record begins. A file without
+    records gives none, a record that the file's end cuts gives what is there. Files in a store that only Spark can
+    open are read whole.
     """
-    columns = "record_type string, record_id string, refers_to string, target_uri string, date string, block_digest string, payload_digest string, source_digest string, http_headers string, payload string"
-
-    def run(frames):
-        for frame in frames:
-            for content in frame["content"]:
-                rows = []
-                for h, block in parsed(unzipped(bytes(content))):
-                    head, cut, body = block.partition(b"\r\n\r\n") if h.get("warc-type") == "response" else (b"", b"", block)
-                    own = {"warc-block-digest": sha256(block).hexdigest(), "warc-payload-digest": sha256(body).hexdigest()}
-                    h = {k: f"sha256:{v}" for k, v in own.items()} | h  # of the bytes, whatever their encoding
-                    rows.append((*(h.get(x) for x in ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "warc-block-digest", "warc-payload-digest", "warc-source-payload-digest")), (head + cut[:2]).decode("utf-8", "replace"), body.decode("utf-8", "replace")))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in columns.split(",")])
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, columns)
+    try:
+        netcdf.located(path)
+    except (OSError, ValueError):
+
+        def run(given):
+            for batch in given:
+                for whole in batch.column("content"):
+                    yield from batches(io.BytesIO(whole.as_py()))
+
+        rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
+    else:
+        spark.dataSource.register(Warc)
+        rows = spark.read.format("warc").load(path)
     return rows.select(F.col("record_id").alias("key"), "record_type", "record_id", "refers_to", "target_uri", "date", "http_headers", "payload", "payload_digest", "block_digest", "source_digest")
 
 

@@ -1,5 +1,8 @@
 import gzip
 import hashlib
+import io
+import tracemalloc
+import zlib
 
 import duckdb
 
@@ -90,3 +93,75 @@ def test_digests_are_of_bytes(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n")
     r = op.read_warc(spark, str(tmp_path / "a.warc")).first()
     assert r.payload_digest == "sha256:" + hashlib.sha256(body).hexdigest() and r.block_digest == "sha256:" + hashlib.sha256(block).hexdigest()
+
+
+def record(body: bytes, kind="resource", extra=b"") -> bytes:
+    return b"WARC/1.1\r\nWARC-Type: %s\r\nWARC-Record-ID: <%d>\r\n%sContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind.encode(), len(body), extra, len(body), body)
+
+
+def plain_records(data: bytes):
+    """Blocks of a file that is held whole."""
+    while (data := data.lstrip(b"\r\n")).startswith(b"WARC/"):
+        head, _, rest = data.partition(b"\r\n\r\n")
+        n = int(head.partition(b"Content-Length: ")[2].split(b"\r\n")[0])
+        yield rest[:n]
+        data = rest[n:]
+
+
+def test_streamed_records_equal_whole_ones(monkeypatch):
+    """Chunks of any size, records that hold other records, members cut anywhere, padding and ends that come early."""
+    inner = record(b"a\r\n\r\nWARC/1.1\r\n\r\n") + record(b"")
+    bodies = [b"", b"x" * 5000, inner, gzip.compress(inner, mtime=0), b"\r\n\r\n" * 3, "ä".encode() * 700]
+    whole = b"".join(map(record, bodies))
+    kinds = {
+        "plain": whole, "by record": b"".join(gzip.compress(record(b)) for b in bodies), "one member": gzip.compress(whole), "stored": gzip.compress(whole, 0),
+        "odd members": b"".join(gzip.compress(whole[i : i + 777]) for i in range(0, len(whole), 777)), "padded": gzip.compress(whole) + b"\0" * 100,
+    }
+    assert list(plain_records(whole)) == bodies
+    for size in (1, 2, 7, 1000, 1 << 20):
+        monkeypatch.setattr(op, "CHUNK", size)
+        for kind, data in kinds.items():
+            assert [block for _, block in op.parsed(io.BytesIO(data))] == bodies, (size, kind)
+    *most, last = (block for _, block in op.parsed(io.BytesIO(whole[:-1000])))
+    assert most == bodies[:-1] and last == bodies[-1][:404]
+    assert not list(op.parsed(io.BytesIO(b""))) and not list(op.parsed(io.BytesIO(b"no records" * 100)))
+
+
+def test_memory_is_of_a_batch(tmp_path):
+    """60 MB that are small as gzip, and a batch at a time."""
+    with open(tmp_path / "a.warc.gz", "wb") as f:
+        for i in range(60):
+            f.write(gzip.compress(record(b"%d" % i * (1 << 19)), 1))
+    tracemalloc.start()
+    with open(tmp_path / "a.warc.gz", "rb") as f:
+        counts = [b.num_rows for b in op.batches(f)]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sum(counts) == 60 and len(counts) > 5 and peak < 50 << 20
+
+
+def test_codings_and_charsets(spark, tmp_path):
+    text = "<p>Grüße</p>"
+    raw, latin = text.encode(), text.encode("latin-1")
+    chunked = lambda b: b"5;x=1\r\n" + b[:5] + b"\r\n%X\r\n" % len(b[5:]) + b[5:] + b"\r\n0\r\n\r\n"
+    deflated = zlib.compressobj(wbits=-15)
+    cases = [
+        (b"Content-Type: text/html; charset=ISO-8859-1", latin),
+        (b"Transfer-Encoding: chunked", chunked(raw)),
+        (b"Content-Encoding: gzip", gzip.compress(raw)),
+        (b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked(gzip.compress(raw))),
+        (b"Content-Encoding: deflate", zlib.compress(raw)),
+        (b"Content-Encoding: deflate", deflated.compress(raw) + deflated.flush()),
+        (b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip", raw),
+        (b"Content-Type: text/html;\r\n charset=\"latin1\"", latin),
+        (b"Content-Type: text/html; charset=none-such", raw),
+        (b"Content-Encoding: br", raw),
+    ]
+    for i, (fields, body) in enumerate(cases):
+        http = b"HTTP/1.1 200 OK\r\n" + fields + b"\r\n\r\n" + body
+        (tmp_path / f"{i}.warc").write_bytes(record(http, "response", b"WARC-Target-URI: u%d\r\n" % i))
+    rows = op.read_warc(spark, str(tmp_path))
+    got = {r.target_uri: r for r in rows.collect()}
+    assert rows.rdd.getNumPartitions() == len(got) == len(cases)
+    for i, (_, body) in enumerate(cases):
+        assert got[f"u{i}"].payload == text and got[f"u{i}"].payload_digest == "sha256:" + hashlib.sha256(body).hexdigest()
