@@ -9,7 +9,8 @@ bound), which must leave room for the whole window (length bound); then the word
 
 The benchmark is cut into blocks of about BLOCK (window, item) pairs, dealt by a hash of both, so a window that
 very many items hold is in several blocks, with some of the items in each. A block fits in any worker, so its
-size bounds what is sent; each further block is another pass over the documents, behind a checkpoint.
+size bounds what is sent. Where there are several, each is a pass that writes only what it found, by a 128-bit hash of
+the text; at the end the documents meet that in one join, however many blocks there were.
 
 Null or empty texts have no words: such documents are clean, such items never occur. Items without an id
 mark words but aren't listed. Repeated rows are scored alike. Columns named n_words, hits, items or
@@ -18,14 +19,17 @@ contaminated are replaced; others pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldlab.llm.common import as_batch, cut, raw_texts, send, small_batches, table, tidy
+from fieldlab.llm.common import Stored, as_batch, cut, raw_texts, send, small_batches, table, tidy
 from fieldlab.llm.text import words
 
 WINDOW = 13
@@ -37,6 +41,8 @@ SHARE = 0.05
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 20
+#: Hashes of texts with hits that a task remembers at most.
+SEEN = 1_000_000
 
 
 def windows_of(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
@@ -145,10 +151,29 @@ def token_counts(docs: DataFrame, sent, text: str) -> dict[tuple[int, int], int]
     return {(r.k, r.token % (1 << 64)): r.n for r in rows}
 
 
-def scan(docs: DataFrame, sent, text: str, first: bool) -> DataFrame:
-    """Adds the block's hits (start, end of merged word spans, flat) and items to those of earlier blocks."""
+def merged(spans: Iterable[tuple[int, int]]) -> list[int]:
+    """Spans as flat starts and ends, those that overlap or touch as one."""
+    flat: list[int] = []
+    for a, b in sorted(spans):
+        if flat and a <= flat[-1]:
+            flat[-1] = max(flat[-1], b)
+        else:
+            flat += (a, b)
+    return flat
+
+
+def hits_of(block: Block, ids: np.ndarray) -> tuple[list[int], list[str]]:
+    """Merged word spans and sorted items of a text."""
+    spans, items = [], set()
+    for start, n in block.matches(ids):
+        spans.append((start, start + len(block.windows[n])))
+        items.update(block.items[n])
+    return merged(spans), sorted(items)
+
+
+def scan(docs: DataFrame, sent, text: str) -> DataFrame:
+    """docs with n_words, and the hits (start, end of merged word spans, flat) and items of the only block."""
     kept = [c for c in docs.columns if c not in ("n_words", "_hits", "_items")]
-    earlier = [] if first else ["_hits", "_items"]
     schema = T.StructType([*docs.select(*kept).schema, *T._parse_datatype_string("n_words long, _hits array<int>, _items array<string>")])
 
     def run(batches):
@@ -156,28 +181,68 @@ def scan(docs: DataFrame, sent, text: str, first: bool) -> DataFrame:
 
         block = sent()
         for batch in batches:
-            before = list(zip(*(batch.column(c).to_pylist() for c in earlier), strict=True)) if earlier else repeat(((), ()))
             n_words, hits, items = [], [], []
-            for raw, (old_hits, old_items) in zip(raw_texts(batch, text), before, strict=False):
+            for raw in raw_texts(batch, text):
                 ids = block.numbers(words(raw))
-                spans, mine = list(zip(old_hits[::2], old_hits[1::2], strict=True)), set(old_items)
-                for start, n in block.matches(ids):
-                    spans.append((start, start + len(block.windows[n])))
-                    mine.update(block.items[n])
-                flat: list[int] = []
-                for a, b in sorted(spans):
-                    if flat and a <= flat[-1]:
-                        flat[-1] = max(flat[-1], b)
-                    else:
-                        flat += (a, b)
+                spans, mine = hits_of(block, ids)
                 n_words.append(len(ids))
-                hits.append(flat)
-                items.append(sorted(mine))
+                hits.append(spans)
+                items.append(mine)
             columns = [batch.column(c) for c in kept] + [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "n_words", "_hits", "_items"])
 
     small_batches(docs.sparkSession)
-    return docs.select(*kept, *earlier).mapInArrow(tidy(run), schema)
+    return docs.select(*kept).mapInArrow(tidy(run), schema)
+
+
+def scan_texts(docs: DataFrame, sent, text: str) -> DataFrame:
+    """(_op1_text, hits, items) of the texts in which one of several blocks occurs; of a text's copies a task tells one."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        block, seen = sent(), set()
+        for batch in batches:
+            rows = []
+            for raw in raw_texts(batch, text):
+                spans, items = hits_of(block, block.numbers(words(raw)))
+                if spans and (h := xxhash.xxh3_128_digest(raw)) not in seen:
+                    seen.add(h)
+                    rows.append((h, spans, items))
+            if len(seen) > SEEN:
+                seen.clear()
+            h, hits, items = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["_op1_text", "hits", "items"])
+
+    small_batches(docs.sparkSession)
+    return docs.select(text).mapInArrow(tidy(run), "_op1_text binary, hits array<int>, items array<string>")
+
+
+def joined(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
+    """docs with n_words, and what all blocks found in their texts."""
+    kept = [c for c in docs.columns if c not in ("n_words", "_hits", "_items")]
+
+    def whole(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            spans = [merged(zip(x[::2], x[1::2], strict=True)) for x in batch.column("hits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_op1_text"), pa.array(spans, pa.list_(pa.int32())), batch.column("items")], ["_op1_text", "_hits", "_items"])
+
+    def marked(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            raws = list(raw_texts(batch, text))
+            own = [pa.array([len(words(x)) for x in raws], pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in raws], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *own], [*kept, "n_words", "_op1_text"])
+
+    every = found.distinct().groupBy("_op1_text").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # Written, so that Spark knows its size, and can split the rows of a text that is repeated a lot.
+    every = Stored(docs.sparkSession)(every.mapInArrow(whole, "_op1_text binary, _hits array<int>, _items array<string>"))
+    rows = docs.select(*kept).mapInArrow(tidy(marked), T.StructType([*docs.select(*kept).schema, *T._parse_datatype_string("n_words long, _op1_text binary")]))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return rows.join(every, "_op1_text", "left").select(*kept, "n_words", none("_hits", "int"), none("_items", "string"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -187,14 +252,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     blocks = max(1, -(-pairs.count() // block))
     pairs = pairs.withColumn("block", F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks)))
     mine = docs.select(*[c for c in docs.columns if c not in ("n_words", "hits", "items", "contaminated")])
-    out = mine
+    parts = []
     for b in range(blocks):
         by: dict[bytes, list[str]] = {}
         for r in pairs.where(F.col("block") == b).collect():
             by.setdefault(bytes(r.window), []).extend([r.item_id] if r.item_id is not None else [])
         found = Block(list(by), list(by.values()))
         found.rank(token_counts(mine, send(spark, found), text) if by else {})
-        out = scan(cut(out) if b else out, send(spark, found), text, first=b == 0)
+        parts.append(cut(scan_texts(mine, send(spark, found), text)) if blocks > 1 else scan(mine, send(spark, found), text))
+    out = joined(mine, reduce(DataFrame.union, parts), text) if blocks > 1 else parts[0]
     spans = F.transform(F.sequence(F.lit(0), F.size("_hits") - 2, F.lit(2)), lambda i: F.struct(F.element_at("_hits", i + 1).alias("first"), F.element_at("_hits", i + 2).alias("end")))
     out = out.withColumn("hits", F.when(F.size("_hits") > 0, spans).otherwise(F.array().cast("array<struct<first:int,end:int>>")))
     hit = n_hit()

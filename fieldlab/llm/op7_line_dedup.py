@@ -115,13 +115,13 @@ class LineRuns:
         self.levels = [[]]
 
 
-def batches_of(docs: DataFrame, n: int = BATCHES) -> list[DataFrame]:
+def batches_of(docs: DataFrame, n: int = BATCHES, text: str = "text") -> list[DataFrame]:
     """docs in n batches: files of a plain Parquet read, which has enough of them, else rows by a hash of their text."""
     plan = docs._jdf.queryExecution().analyzed().treeString().strip()
     files = sorted(docs.inputFiles()) if plan.startswith("Relation") and "\n" not in plan else []
     if len(files) >= n:
         return [docs.sparkSession.read.schema(docs.schema).parquet(*files[i::n]) for i in range(n)]
-    return [docs.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) for i in range(n)]
+    return [docs.where(F.pmod(F.xxhash64(text), F.lit(n)) == i) for i in range(n)]
 
 
 def drop_keys(docs: DataFrame, frequent: DataFrame, text: str = "text", most: int = BROADCAST_KEYS) -> DataFrame:

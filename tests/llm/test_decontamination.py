@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fieldlab.llm import op1_decontamination as op
 
+from fieldlab.llm.common import cut
+
 from .common_cases import docs, odd, saved
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -71,10 +73,27 @@ def test_query_equals_brute_force(spark, tmp_path):
 
 def test_odd_rows_and_clashing_columns(spark):
     benchmark = spark.createDataFrame([(1, "same row twice"), (None, "no id here"), (2, None), (3, "")], "item_id long, text string")
-    got = op.decontaminate(odd(spark, hits="mine", n_words=7), benchmark).collect()
-    assert len(got) == 8
-    assert [r.items for r in got if r.doc_id == 5] == [["1"], ["1"]] and [r.contaminated for r in got if r.doc_id is None] == [True]
-    assert [(r.n_words, r.contaminated) for r in got if r.doc_id in (1, 2, 3)] == [(0, False)] * 3
+    for block in (op.BLOCK, 1):
+        got = op.decontaminate(odd(spark, hits="mine", n_words=7), benchmark, block=block).collect()
+        assert len(got) == 8
+        assert [r.items for r in got if r.doc_id == 5] == [["1"], ["1"]] and [r.contaminated for r in got if r.doc_id is None] == [True]
+        assert [(r.n_words, r.contaminated) for r in got if r.doc_id in (1, 2, 3)] == [(0, False)] * 3
+
+
+def test_blocks_write_what_they_found_only(spark, monkeypatch):
+    """Copies of a text come once from each task, and no text is written; spans of several blocks are merged."""
+    texts = ["clean words only"] * 50 + ["one two three four five six"] * 200
+    benchmark = spark.createDataFrame([(i, " ".join("one two three four five six".split()[i : i + 3])) for i in range(4)], "item_id long, text string")
+    cuts = []
+    monkeypatch.setattr(op, "cut", lambda df: cuts.append(df.columns) or cut(df))
+    out = op.decontaminate(docs(spark, texts).repartition(3), benchmark, block=1)
+    got = sorted((r.doc_id, [tuple(h) for h in r.hits], r.items) for r in out.collect())
+    assert got == [(i, [], []) for i in range(50)] + [(i, [(0, 6)], ["0", "1", "2", "3"]) for i in range(50, 250)]
+    assert len(cuts) > 2 and all(c == ["_op1_text", "hits", "items"] for c in cuts[1:])
+    block = op.Block([b"one two three"], [["0"]])
+    block.rank({})
+    found = op.scan_texts(docs(spark, texts).repartition(3), op.send(spark, block), "text")
+    assert found.count() <= 3
 
 
 def test_empty_tables(spark):
