@@ -66,7 +66,10 @@ def energy_budget(df: DataFrame, index: DataFrame, mask: DataFrame, fluxes: list
 
 
 def extreme_events(df: DataFrame, value: str, q: float = 0.8, share: float = 0.2, year: str = "year", day: str = "dos", threshold: DataFrame | None = None) -> DataFrame:
-    """The days on which a share of the cells exceeds the quantile of all values, with that fraction and the key year * 100 + day."""
+    """The days on which a share of the cells exceeds the quantile of all values, with that fraction and the key year * 100 + day.
+
+    The key tells days apart only where they are below 100, as in a summer; others are told by year and day.
+    """
     threshold = threshold or reduce.quantile(df, value, q)
     cells = select.present(df, value).select("lat", "lon").distinct().agg(F.count("*").alias("n"))
     flags = joins.with_scalars(df, threshold).withColumn("flag", F.when(F.col(value).isNotNull(), (F.col(value) > F.col("q")).cast("int")))
@@ -78,4 +81,4 @@ def event_samples(df: DataFrame, events: DataFrame, value: str, threshold: DataF
     """Flags of all cells on event days, cells without any value left out: the rows that are clustered."""
     rows = df.join(events.select(year, day, "key"), [year, day])
     rows = joins.with_scalars(rows, threshold).withColumn("flag", F.when(F.col(value).isNotNull(), (F.col(value) > F.col("q")).cast("double")))
-    return select.drop_empty(rows, ["lat", "lon"], "flag").select("key", "lat", "lon", "flag")
+    return select.drop_empty(rows, ["lat", "lon"], "flag").select(year, day, "key", "lat", "lon", "flag")

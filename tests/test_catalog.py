@@ -82,3 +82,25 @@ def test_clusters_of_event_days(spark):
     members = catalog.QUERIES["event_members"](spark, "/root/testdata/sf0.01").agg({"n": "sum"}).first()[0]
     assert len({r.type for r in got}) == 4 and sum(r.n for r in got) == members
     assert catalog.QUERIES["event_clusters"](spark, DATA).count() >= 0
+
+
+@pytest.fixture(scope="module")
+def shared_keys(tmp_path_factory):
+    """(folder, DuckDB's views): event days of two years that have the same key year * 100 + day, and quiet days."""
+    folder, c = tmp_path_factory.mktemp("shared_keys"), duckdb.connect()
+    for t in ("nation", "customer"):
+        c.execute(f"COPY (SELECT * FROM '{DATA}/{t}.parquet') TO '{folder}/{t}.parquet'")
+    hot = "(DATE '1996-04-15', [0, 1]), (DATE '1997-01-06', [1, 2]), (DATE '1996-04-16', [3, 4]), (DATE '1997-01-07', [0, 4])"
+    days = f"SELECT * FROM (VALUES {hot}) h(day, regions) UNION ALL SELECT CAST(DATE '1998-01-01' + CAST(k AS INT) AS DATE), CAST([] AS INT[]) FROM range(0, 40) t(k)"
+    price = "CASE WHEN list_contains(regions, CAST(n_regionkey AS INT)) THEN 500.0 ELSE 100.0 END::DOUBLE"
+    c.execute(f"COPY (SELECT c_custkey AS o_custkey, day AS o_orderdate, {price} AS o_totalprice FROM '{DATA}/customer.parquet' JOIN '{DATA}/nation.parquet' ON c_nationkey = n_nationkey CROSS JOIN ({days})) TO '{folder}/orders.parquet'")
+    for t in ("nation", "customer", "orders"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return str(folder), c
+
+
+def test_clusters_tell_days_of_one_key_apart(spark, shared_keys):
+    folder, c = shared_keys
+    got = catalog.QUERIES["event_clusters"](spark, folder).collect()
+    cells = len(c.sql(f"WITH {catalog.SALES} SELECT DISTINCT lat, lon FROM sales").fetchall())
+    assert len({r.type for r in got}) == 4 and len(got) == 4 * cells and all(r.n == 1 and r.mean in (0.0, 1.0) for r in got)
