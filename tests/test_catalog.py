@@ -104,3 +104,9 @@ def test_clusters_tell_days_of_one_key_apart(spark, shared_keys):
     got = catalog.QUERIES["event_clusters"](spark, folder).collect()
     cells = len(c.sql(f"WITH {catalog.SALES} SELECT DISTINCT lat, lon FROM sales").fetchall())
     assert len({r.type for r in got}) == 4 and len(got) == 4 * cells and all(r.n == 1 and r.mean in (0.0, 1.0) for r in got)
+
+
+def test_members_tell_days_of_one_key_apart(spark, shared_keys):
+    folder, c = shared_keys
+    got = sorted(key(r) for r in catalog.QUERIES["event_members"](spark, folder).select("type", "lat", "lon", "n", "hits").collect())
+    assert got == sorted(key(r) for r in c.sql(f"SELECT type, lat, lon, n, hits FROM ({catalog.SQL['event_members']})").fetchall()) and got
