@@ -6,13 +6,15 @@ longest first, into the open window with the tightest fit, found by a segment tr
 capacities. Groups are independent, so any number of tasks packs any number of documents, and only the last
 windows of a group stay part empty.
 
-Tokenizing uses that white space separates ids: each run of other characters is encoded once per batch and
-looked up afterwards; a task keeps a bounded table of runs from one batch to the next.
+Tokenizing uses that white space separates ids, and so do signs after a letter or a digit: each part between them is
+encoded once per batch and looked up afterwards; a worker keeps a bounded table of parts from one batch, and one task,
+to the next.
 Null or empty text is the end id alone. Repeated rows are packed as often as they occur; a null doc_id is kept. Extra columns aren't returned.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -30,22 +32,26 @@ LENGTH = 4096
 END_ID = 2
 #: Remainders of a group, about.
 GROUP = 20_000
-#: Entries that a task's look-up table keeps from one batch to the next.
-KNOWN = 150_000
+#: Entries of a worker's look-up table.
+KNOWN = 600_000
 
-#: Lower-case Latin letters, with signs after them that have ids of their own; or anything else.
-WORD_AND_SIGNS = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:#$%&*|\"()-]*) |[^ ]+ ")
+#: A word of Latin letters, normal already but for the case.
+WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Signs that have ids of their own after a letter or a digit.
+SIGNS = ".,!?;:#$%&*|\"()-"
 #: First bytes of the marks that may be composed with an ASCII letter; such texts aren't lower-cased before.
 MARKS = (b"\xcc", b"\xcd")
+#: ASCII letters and digits among bytes.
+ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
 WORD_END = "</w>"
 
 
 class Encoder:
     """Ids of texts as little-endian bytes.
 
-    Words of Latin letters, most of what is new in a batch, and the signs after them go to the tokenizer's model
-    joined by spaces: they are normal already and need no pattern, and as the last id of each says so, the ids are
-    cut apart again. Everything else is encoded by the whole tokenizer, run by run.
+    Words of Latin letters, most of what is new in a batch, and signs go to the tokenizer's model joined by spaces:
+    they are normal already and need no pattern, and as the last id of each says so, the ids are cut apart again.
+    Everything else is encoded by the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -53,40 +59,83 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.plain = Tokenizer(self.tokenizer.model)
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ascii, self.latin = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        spaces = pre_tokenizers.CharDelimiterSplit(" ")
+        self.ascii.pre_tokenizer = spaces  # the model's own characters
+        self.latin.pre_tokenizer = pre_tokenizers.Sequence([spaces, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
-    def whole(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in runs], add_special_tokens=False)
-        return {x: array("I", e.ids).tobytes() for x, e in zip(runs, found, strict=True)}
+    def whole(self, parts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([x.decode() for x in parts], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
-    def words(self, runs: list[bytes], found: list[tuple[str, str]]) -> dict[bytes, bytes]:
-        """Runs that are a word and signs, found apart."""
-        text = " ".join([f"{word} {signs}" if signs else word for word, signs in found])
-        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids if runs else [], "<u4")
+    def apart(self, parts: list[bytes], plain) -> list[bytes]:
+        """Of words and groups of signs."""
+        text = b" ".join(parts).decode().lower()
+        ids = np.array(plain.encode_batch_fast([text], add_special_tokens=False)[0].ids if parts else [], "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
-        last = np.cumsum([2 if signs else 1 for _, signs in found], dtype=np.int64)
-        if len(last) and last[-1] != len(ends):
-            return self.whole(runs)
-        raw, cuts = ids.tobytes(), (4 * ends[last - 1]).tolist()
-        return dict(zip(runs, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
-
-    def learn(self, runs: set[bytes]) -> None:
-        """Adds what the table doesn't hold; runs: all of a batch."""
-        new = list(runs - self.known.keys())
+        if len(ends) != len(parts):
+            return self.whole(parts)
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of parts that the table doesn't hold."""
+        signs, plain, latin, other = SIGNS.encode(), [], [], []
+        for x in parts:
+            if x.isalpha() or not x.strip(signs):  # bytes: ASCII letters
+                plain.append(x)
+            else:
+                (latin if WORD.fullmatch(x.decode()) else other).append(x)
+        plain = [x for x in plain if x]
+        ids = chain(self.apart(plain, self.ascii), self.apart(latin, self.latin), self.whole(other))
+        return {b"": b""} | dict(zip([*plain, *latin, *other], ids, strict=True))
+
+    def ids_of(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of a batch's distinct parts."""
+        ids = list(map(self.known.get, parts))
+        new = [x for x, own in zip(parts, ids, strict=True) if own is None]
+        if not new:
+            return ids
+        found = self.learn(new)
+        ids = [found[x] if own is None else own for x, own in zip(parts, ids, strict=True)]
         if len(self.known) + len(new) > KNOWN:
-            self.known = {run: self.known[run] for run in runs if run in self.known}
-        found = WORD_AND_SIGNS.findall((b" ".join(new) + b" ").decode() if new else "")
-        self.known |= self.words([run for run, x in zip(new, found, strict=True) if x[0]], [x for x in found if x[0]])
-        self.known |= self.whole([run for run, x in zip(new, found, strict=True) if not x[0]])
+            self.known, found = {}, zip(parts, ids, strict=True)
+        self.known.update(found)
+        return ids
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
-        runs = [(raw if any(m in raw for m in MARKS) else raw.lower()).split() for raw in raws]
-        self.learn(set(chain.from_iterable(runs)))
-        return [b"".join(map(self.known.__getitem__, x)) for x in runs]
+        """Texts are cut at white space, and runs before the signs at their ends; each distinct part is looked up once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pa.array([raw if any(m in raw for m in MARKS) else raw.lower() for raw in raws], pa.binary()).view(pa.string())
+        split = pc.ascii_split_whitespace(texts)
+        runs = split.flatten()
+        if not len(runs):
+            return [b""] * len(raws)
+        offsets, data = np.frombuffer(runs.buffers()[1], np.int32)[: len(runs) + 1], runs.buffers()[2] or pa.py_buffer(b"")
+        size = pc.binary_length(pc.ascii_rtrim(runs, characters=SIGNS)).to_numpy()
+        chars, end = np.frombuffer(b"\0\0" + data.to_pybytes(), np.uint8), offsets[:-1] + size
+        last, before = chars[end + 1], chars[end]
+        letter = ALNUM[last] | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+        cuts = np.empty(2 * len(runs) + 1, np.int32)
+        cuts[::2], cuts[1::2] = offsets, np.where(letter | (size == 0), end, offsets[1:])
+        coded = pa.BinaryArray.from_buffers(pa.binary(), 2 * len(runs), [None, pa.py_buffer(cuts), data]).dictionary_encode()
+        one = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        parts = pc.binary_join(one, b" ")[0].as_py().split(b" ")  # quicker than to_pylist
+        joined = pa.array(self.ids_of(parts), pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(joined.buffers()[1], np.int64)[2 * split.offsets.to_numpy()].tolist()
+        ids = memoryview(joined.buffers()[2] or b"")
+        return [bytes(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """The worker's own: its table stays from one task to the next."""
+    return Encoder(path)
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -97,11 +146,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     def run(batches):
         import pyarrow as pa
 
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for batch in batches:
             rows = []
-            for i, raw in zip(batch.column(doc_id).to_pylist(), encoder.encode(raw_texts(batch, text)), strict=True):
+            for i, raw in zip(batch.column(doc_id).to_pylist(), encode(raw_texts(batch, text)), strict=True):
                 ids = raw + end
                 n = len(ids) // 4
                 for start in range(0, n, length):

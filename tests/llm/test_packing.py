@@ -78,3 +78,16 @@ def test_full_table_of_known_runs(spark, tokenizer, monkeypatch):
     for _ in range(2):
         got = e.encode([b"one two three four", b"two five"])
         assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ("one two three four", "two five")]
+
+
+def test_signs_are_encoded_apart(tokenizer):
+    """A word is encoded once, whatever signs follow it; where signs may belong to what is before them, they stay with it."""
+    e = op.Encoder(op.tokenizer_path())
+    e.encode([b"wordy, wordy! (wordy) Wordy?!", b"wordy."])
+    assert set(e.known) - {b""} == {b"wordy", b",", b"!", b")", b"(wordy", b"?!", b"."}
+    bits = ["a", "Wordy", "É", "ÿ", "×", "÷", "ª", "ß", "'", "'s", "'LL", "7", "½", "漢", "Ⅷ", "e\u0301", "E\u0300", "\u0327", "I\u0307", "İ", "K", "_", "<", "<|endoftext|>", " ", "\n", "\t", "\x1c", "\x85", "\u3000", "\u200b", "\0", *op.SIGNS, "..", "--"]
+    rng = np.random.default_rng(5)
+    texts = ["", " ", "!", "\u0301.", " a ", *("".join(rng.choice(bits, rng.integers(1, 12))) for _ in range(3000))]
+    expected = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.encode([t.encode() for t in texts]) == expected and e.encode([b"", b" "]) == [b"", b""] and e.encode([]) == []
+    assert op.encoder(op.tokenizer_path()) is op.encoder(op.tokenizer_path())
